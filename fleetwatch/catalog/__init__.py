@@ -1,4 +1,4 @@
 """All registered queries and their SQL forms."""
 
-from . import alarm_queries, facts_queries, view_queries  # noqa: F401
-from .base import ORACLES, QUERIES  # noqa: F401
+from . import alarm_queries, facts_queries, ledger_queries, view_queries  # noqa: F401
+from .base import QUERIES, oracles  # noqa: F401

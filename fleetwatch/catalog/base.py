@@ -12,7 +12,7 @@ from ..rules import ERROR_FAMILIES, ERROR_RULES, PRESEEN_CLASSES, SIGNAL_RULES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, tuple[str, list[str]]] = {}
 
 
 def query(name: str, sql: str | None = None, ctes: list[str] | None = None):
@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None, ctes: list[str] | None = None):
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_ctes(sql, ctes or [])
+            _SQL[name] = (sql, ctes or [])
         return fn
     return add
 
@@ -137,6 +137,10 @@ CTES: dict[str, tuple[list[str], str]] = {
 }
 
 
+def oracles() -> dict[str, str]:
+    return {name: with_ctes(sql, ctes) for name, (sql, ctes) in _SQL.items()}
+
+
 def cte(name: str, needs: list[str], sql: str) -> None:
     CTES[name] = (needs, sql)
 
