@@ -25,8 +25,17 @@ def _entries(spark, sf):
                     payload.alias("payload"), F.col("ts").alias("created_at"), F.col("event_id").alias("source_id"))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def ledger_of(spark, sf):
-    return led.append(_entries(spark, sf))
+    """The ledger as a stored table: written once per application, then read."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _STORED:
+        path = work_dir(spark, "ledger")
+        led.append(_entries(spark, sf)).write.parquet(path)
+        _STORED[at] = path
+    return spark.read.parquet(_STORED[at])
 
 
 cte("ledger", ["tasks"], """
@@ -60,7 +69,7 @@ def e2(spark, sf):
 
 @query("e3_ledger", "SELECT seq, event_type, payload_hash, prev_hash, source_id FROM ledger", ["ledger"])
 def e3(spark, sf):
-    return ledger_of(spark, sf).select("seq", "event_type", "payload_hash", "prev_hash", "source_id")
+    return led.append(_entries(spark, sf)).select("seq", "event_type", "payload_hash", "prev_hash", "source_id")
 
 
 @query("e3_second_batch", """

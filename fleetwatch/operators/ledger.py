@@ -10,17 +10,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.hashing import payload_digest
-from .sequences import previous_values, range_bucket, rank_rows, time_bucket
+from .sequences import previous_values, range_bucket, running_offsets, time_bucket
 
-CHAIN_RANGE = 65_536
+# rows ordered by one task
+CHAIN_RANGE = 1 << 20
 BLOCK = 1024
 _HEIGHT = 10
-# 1024 ** 4 rows, about 10 ** 12
-LEVELS = 4
 
 
 def payload_problems(entries: DataFrame, payload: str = "payload") -> DataFrame:
@@ -46,17 +46,25 @@ def append(entries: DataFrame, ledger: DataFrame | None = None,
     by = bucket if bucket is not None else time_bucket("created_at", 3600)
     hashed = entries.select("event_type", "created_at", "source_id",
                             payload_digest(F.col("payload")).alias("payload_hash"))
-    ranked = rank_rows(hashed, [], by, list(order), "seq")
-    start, link = F.lit(0), F.lit(R.GENESIS)
+    keyed = hashed.withColumn("_bucket", by)
+    first, link = F.lit(0), F.lit(R.GENESIS)
     if ledger is not None:
         last = ledger.groupBy().agg(F.max("seq").alias("m"), F.max_by("payload_hash", "seq").alias("h"))
-        start = F.coalesce(last.select("m").scalar(), start)
+        first = F.coalesce(last.select("m").scalar(), first)
         link = F.coalesce(last.select("h").scalar(), link)
-    chained = previous_values(ranked, [], range_bucket("seq", CHAIN_RANGE), ["seq"], "payload_hash")
-    return chained.select(
-        (F.col("seq") + start).alias("seq"), "event_type", "payload_hash",
-        F.coalesce("prev_1", link).alias("prev_hash"), F.lit(bytearray(R.UNSIGNED_MARK)).alias("signature"),
-        "created_at", "source_id")
+    # one summary row per bucket gives both the first number and the link of the next bucket
+    tails = keyed.groupBy("_bucket").agg(
+        F.count(F.lit(1)).alias("_rows"), F.max_by("payload_hash", F.struct(*order)).alias("_tail"))
+    across = W.partitionBy(F.lit(0)).orderBy("_bucket")
+    carried = running_offsets(tails, [], "_bucket", "_rows", "_before").select(
+        "_bucket", "_before", F.lag("_tail").over(across).alias("_link"))
+    inside = W.partitionBy("_bucket").orderBy(*order)
+    rows = (keyed.withColumn("_local", F.row_number().over(inside))
+            .withColumn("_prev", F.lag("payload_hash").over(inside)).join(carried, "_bucket"))
+    return rows.select(
+        (F.col("_before") + F.col("_local") + first).cast("bigint").alias("seq"), "event_type",
+        "payload_hash", F.coalesce("_prev", "_link", link).alias("prev_hash"),
+        F.lit(bytearray(R.UNSIGNED_MARK)).alias("signature"), "created_at", "source_id")
 
 
 def chain_breaks(ledger: DataFrame) -> DataFrame:
@@ -112,42 +120,51 @@ def _block_roots(nodes: DataFrame, full_only: bool = False) -> DataFrame:
     return g.select(F.col("block").alias("pos"), _fold(F.col("_h"), F.col("block") > 0).alias("hash"))
 
 
-def merkle_root(ledger: DataFrame, levels: int = LEVELS) -> DataFrame:
+def _levels(ledger: DataFrame, levels: int | None) -> int:
+    """Levels of 1024-node blocks the ledger needs; reads one maximum when not given."""
+    if levels is not None:
+        return levels
+    n = ledger.agg(F.max("seq")).first()[0] or 1
+    levels = 1
+    while BLOCK ** levels < n:
+        levels += 1
+    return levels
+
+
+def merkle_root(ledger: DataFrame, levels: int | None = None) -> DataFrame:
     """E5: one row (root). Every level folds blocks of 1024 nodes where they are, so a
     level is a thousandth of the one below it and no step sees the whole ledger. Only the
     very first block may stay shorter than its full height: when it is the only one."""
     nodes = _nodes(ledger)
-    for _ in range(levels):
+    for _ in range(_levels(ledger, levels)):
         nodes = _block_roots(nodes)
     empty = F.sha2(F.lit(R.GENESIS), 256)
     return nodes.groupBy().agg(F.coalesce(F.max("hash"), empty).alias("root"))
 
 
-def prefix_roots(ledger: DataFrame, counts: DataFrame, levels: int = LEVELS) -> DataFrame:
+def prefix_roots(ledger: DataFrame, counts: DataFrame, levels: int | None = None) -> DataFrame:
     """Roots of several prefixes: ``counts`` has a distinct column ``covers``.
 
     Full blocks are folded once and shared. A prefix differs from the others only in the
     last block of each level, so per prefix and level at most 1024 nodes are read."""
     nodes = _nodes(ledger)
     state = counts.select("covers", F.col("covers").alias("_n"), F.lit(None).cast("string").alias("_carry"))
-    for _ in range(levels):
+    for _ in range(_levels(ledger, levels)):
         carry = F.col("_carry")
         own = carry.isNotNull() | (F.col("_n") % BLOCK != 0)
         up = F.call_function("div", F.col("_n") + (BLOCK - 1), F.lit(BLOCK))
-        shared = state.where(~own).select("covers", up.alias("_n"), carry)
-        tails = state.where(own).withColumn("_block", F.call_function("div", F.col("_n") - 1, F.lit(BLOCK)))
-        keyed = nodes.withColumn("_block", range_bucket("pos", BLOCK))
-        before = F.col("_n") - F.when(carry.isNotNull(), 1).otherwise(0)
-        joined = (tails.join(keyed, "_block", "left")
-                  .withColumn("hash", F.when(F.col("pos") < before, F.col("hash")))
-                  .groupBy("covers", "_n", "_carry", "_block")
-                  .agg(F.filter(_sorted(), lambda h: h.isNotNull()).alias("_h"),
-                       F.count_if((F.col("pos") < before) & F.col("hash").isNull()).alias("_bad")))
-        full = F.concat(F.col("_h"), F.when(carry.isNotNull(), F.array(carry))
-                        .otherwise(F.array().cast("array<string>")))
-        folded = joined.select("covers", up.alias("_n"), F.when(
-            (F.size(full) > 0) & (F.col("_bad") == 0), _fold(full, F.col("_block") > 0)).alias("_carry"))
-        state = folded.unionByName(shared)
+        # a prefix that ends on a shared full block looks up nothing and carries nothing
+        keyed = state.withColumn("_block", F.when(
+            own, F.call_function("div", F.col("_n") - 1, F.lit(BLOCK))))
+        wanted = F.col("pos") < F.col("_n") - F.when(carry.isNotNull(), 1).otherwise(0)
+        tails = (keyed.join(nodes.withColumn("_block", range_bucket("pos", BLOCK)), "_block", "left")
+                 .withColumn("_h", F.when(wanted, F.struct("pos", "hash")))
+                 .groupBy("covers", "_n", "_carry", "_block")
+                 .agg(F.sort_array(F.collect_list("_h")).alias("_h")))
+        last = F.when(carry.isNotNull(), F.array(carry)).otherwise(F.array().cast("array<string>"))
+        full = F.concat(F.transform("_h", lambda s: s["hash"]), last)
+        state = tails.select("covers", up.alias("_n"), F.when(
+            F.size(full) > 0, _fold(full, F.col("_block") > 0)).alias("_carry"))
         nodes = _block_roots(nodes, full_only=True)
     return state.select("covers", F.col("_carry").alias("root"))
 

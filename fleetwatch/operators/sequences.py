@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_FANOUT = 4096
-
 
 def time_bucket(ts: str, seconds: int) -> Column:
     return F.call_function("div", F.unix_seconds(F.col(ts)), F.lit(seconds))
@@ -27,22 +25,11 @@ def range_bucket(col: str, width: int) -> Column:
 
 def running_offsets(summary: DataFrame, keys: Sequence[str], bucket: str, count: str,
                     out: str) -> DataFrame:
-    """Rows in earlier buckets of the same key. Without a key the summary is first summed
-    per block of buckets, so the only single-task step has one row per 4096 buckets."""
-    before = lambda *part: (W.partitionBy(*part).orderBy(bucket)
-                            .rowsBetween(W.unboundedPreceding, -1))
-    if keys:
-        return summary.withColumn(out, F.coalesce(F.sum(count).over(before(*keys)), F.lit(0)))
-    blocked = summary.withColumn("_block", range_bucket(bucket, _FANOUT))
-    blocks = (blocked.groupBy("_block").agg(F.sum(count).alias("_n"))
-              .withColumn("_one", F.lit(0)))
-    blocks = blocks.select("_block", F.coalesce(
-        F.sum("_n").over(W.partitionBy("_one").orderBy("_block")
-                         .rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return (blocked.join(blocks, "_block")
-            .withColumn(out, F.col("_base") + F.coalesce(
-                F.sum(count).over(before("_block")), F.lit(0)))
-            .drop("_block", "_base"))
+    """Rows in earlier buckets of the same key. The summary has one row per bucket, so even
+    without a key it is some million times smaller than the rows."""
+    before = (W.partitionBy(*(keys or [F.lit(0)])).orderBy(bucket)
+              .rowsBetween(W.unboundedPreceding, -1))
+    return summary.withColumn(out, F.coalesce(F.sum(count).over(before), F.lit(0)))
 
 
 def rank_rows(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str],
@@ -70,10 +57,13 @@ def previous_values(df: DataFrame, keys: Sequence[str], bucket: Column,
             .select("*", *[F.lag(F.struct(value), i).over(w).alias(f"_lag_{i}")
                            for i in range(1, n + 1)],
                     F.lead(F.lit(1), n).over(w).alias("_more")))
-    tails = (rows.where(F.col("_more").isNull())
-             .groupBy(*keys, "_bucket")
-             .agg(F.sort_array(F.collect_list(F.struct("_local", value)), asc=False)
-                  .alias("_tail")))
+    if n == 1:
+        newest = F.max_by(F.struct(value), F.struct(*order))
+        tails = keyed.groupBy(*keys, "_bucket").agg(F.array(newest).alias("_tail"))
+    else:
+        last = F.sort_array(F.collect_list(F.struct("_local", value)), asc=False)
+        tails = (rows.where(F.col("_more").isNull()).groupBy(*keys, "_bucket")
+                 .agg(F.transform(last, lambda s: F.struct(s[value].alias(value))).alias("_tail")))
     carried = _carry(tails, keys, n)
     joined = rows.drop("_more").join(carried, [*keys, "_bucket"], "left")
     for i in range(1, n + 1):
@@ -86,27 +76,7 @@ def previous_values(df: DataFrame, keys: Sequence[str], bucket: Column,
 
 
 def _carry(tails: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """Per bucket, up to n newest rows of the earlier buckets, newest first."""
-    def shifted(part: Sequence[str]) -> Column:
-        w = W.partitionBy(*part).orderBy("_bucket")
-        parts = [F.coalesce(F.lag("_tail", i).over(w), F.array()) for i in range(1, n + 1)]
-        return F.slice(F.concat(*parts), 1, n)
-
-    if keys:
-        return tails.select(*keys, "_bucket", shifted(keys).alias("_carried"))
-    blocked = tails.withColumn("_block", range_bucket("_bucket", _FANOUT))
-    inner = blocked.select("_block", "_bucket", "_tail", shifted(["_block"]).alias("_near"))
-    newest = lambda c: F.slice(F.flatten(F.transform(
-        F.sort_array(F.collect_list(c), asc=False), lambda s: s["_tail"])), 1, n)
-    # newest n buckets of each block are enough to fill n rows
-    last = (blocked.withColumn("_back", F.row_number().over(
-                W.partitionBy("_block").orderBy(F.desc("_bucket"))))
-            .where(F.col("_back") <= n).groupBy("_block")
-            .agg(newest(F.struct("_bucket", "_tail")).alias("_tail"))
-            .withColumn("_one", F.lit(0)))
-    w = W.partitionBy("_one").orderBy("_block")
-    far = last.select("_block", F.slice(F.concat(
-        *[F.coalesce(F.lag("_tail", i).over(w), F.array()) for i in range(1, n + 1)]),
-        1, n).alias("_far"))
-    return (inner.join(far, "_block")
-            .select("_bucket", F.slice(F.concat("_near", "_far"), 1, n).alias("_carried")))
+    """Per bucket, up to n newest values of the earlier buckets, newest first."""
+    w = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket")
+    parts = [F.coalesce(F.lag("_tail", i).over(w), F.array()) for i in range(1, n + 1)]
+    return tails.select(*keys, "_bucket", F.slice(F.concat(*parts), 1, n).alias("_carried"))
