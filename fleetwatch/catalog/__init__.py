@@ -1,4 +1,5 @@
 """All registered queries and their SQL forms."""
 
-from . import alarm_queries, facts_queries, ledger_queries, view_queries  # noqa: F401
+from . import (alarm_queries, facts_queries, ingest_queries, ledger_queries,  # noqa: F401
+               view_queries)
 from .base import QUERIES, oracles  # noqa: F401

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from .sequences import previous_values, range_bucket
 
+# JSON keeps milliseconds unless told otherwise
+_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 _COLS = ["seq", "event_type", "payload_hash", "prev_hash", "signature", "created_at"]
 
 
@@ -128,7 +130,8 @@ def export_tables(tables: dict[str, DataFrame], path: str, as_json: bool = False
         if as_json:
             df = df.select(*[F.lower(F.hex(c)).alias(c) if t == "binary" else F.col(c)
                              for c, t in df.dtypes])
-            df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")
+            df.write.mode("overwrite").option("ignoreNullFields", "false") \
+                .option("timestampFormat", _TS).json(f"{path}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -144,7 +147,7 @@ def rebuild_tables(spark: SparkSession, path: str, schemas: dict[str, str],
             continue
         text = ", ".join(f"`{f.name}` " + ("string" if f.dataType.simpleString() == "binary"
                                            else f.dataType.simpleString()) for f in wanted)
-        df = spark.read.schema(text).json(f"{path}/{name}")
+        df = spark.read.schema(text).option("timestampFormat", _TS).json(f"{path}/{name}")
         out[name] = df.select(*[F.unhex(f.name).alias(f.name) if f.dataType.simpleString() == "binary"
                                 else F.col(f.name) for f in wanted])
     return out
