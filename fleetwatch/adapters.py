@@ -38,8 +38,8 @@ def _numbered(prefix: str, col: str) -> Column:
     return F.concat(F.lit(prefix), F.lpad(F.col(col).cast("string"), 12, "0"))
 
 
-def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return (table(spark, sf, "events")
+def _events(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    return ((table(spark, sf, "events") if rows is None else rows)
             .withColumn("ts", F.col("ts").cast("timestamp"))
             .withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")))
 
@@ -55,7 +55,7 @@ def _task() -> Column:
                     block.cast("string"))
 
 
-def task_events(spark: SparkSession, sf: str) -> DataFrame:
+def task_events(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     k, kind = F.col("k"), F.col("event_type")
     status = (F.when(kind != "error", "ok")
               .when(k % 20 == 0, "quarantined").otherwise("error"))
@@ -64,7 +64,7 @@ def task_events(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit('{"count": '), (k % 3).cast("string"), F.lit(', "box": "'), kind, F.lit('"}'))
     ).otherwise(
         F.concat(F.lit('{"box":"'), kind, F.lit('","count":'), (k % 3).cast("string"), F.lit("}")))
-    return _events(spark, sf).select(
+    return _events(spark, sf, rows).select(
         _numbered("evt-", "event_id").alias("event_id"), _agent().alias("agent_id"),
         _task().alias("task_id"),
         F.concat(F.lit("sess-"), F.call_function("div", F.col("event_id"), F.lit(4))
@@ -88,10 +88,10 @@ def subject_events(spark: SparkSession, sf: str) -> DataFrame:
         _numbered("evt-", "event_id").alias("event_id"), "ts")
 
 
-def guard_events(spark: SparkSession, sf: str) -> DataFrame:
+def guard_events(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     k, kind = F.col("k"), F.col("event_type")
     decides = kind.isin("signup", "error")
-    return _events(spark, sf).select(
+    return _events(spark, sf, rows).select(
         _numbered("grd-", "event_id").alias("event_id"), _agent().alias("agent_id"),
         _task().alias("task_id"),
         F.when(decides, "permission_decision").otherwise("tool_call").alias("event_type"),
@@ -143,6 +143,12 @@ def tickets(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(None).cast("timestamp").alias("resolved_at"), created.alias("created_at"))
 
 
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The given event file as a file stream."""
+    return (spark.readStream.schema(table(spark, sf, "events").schema)
+            .option("pathGlobFilter", "events.parquet").parquet(sf))
+
+
 def supplier_costs(spark: SparkSession, sf: str) -> DataFrame:
     """(agent_id, day, cost) from every line item, several years of days per supplier."""
     return (table(spark, sf, "lineitem")

@@ -60,7 +60,7 @@ def archive_ledger(ledger: DataFrame, path: str, chunk_rows: int = R.ARCHIVE_CHU
     rows = rows.select(*_COLS).withColumn(
         "chunk", F.call_function("div", F.col("seq") - 1, F.lit(chunk_rows)))
     wanted = _describe(rows)
-    if _exists(spark, f"{path}/manifest"):
+    if path_exists(spark, f"{path}/manifest"):
         wanted = wanted.join(spark.read.parquet(f"{path}/manifest").select("key"), "key", "left_anti")
     new = rows.join(wanted.select("chunk", "key"), "chunk").drop("chunk")
     (new.repartition("key").sortWithinPartitions("key", "seq").write.mode("overwrite")
@@ -68,7 +68,7 @@ def archive_ledger(ledger: DataFrame, path: str, chunk_rows: int = R.ARCHIVE_CHU
     stored = spark.read.parquet(f"{path}/chunks").withColumn("chunk", F.call_function(
         "div", F.col("seq") - 1, F.lit(chunk_rows)))
     fresh = _describe_keys(stored).join(file_hashes(spark, path), "key")
-    if _exists(spark, f"{path}/manifest"):
+    if path_exists(spark, f"{path}/manifest"):
         fresh = fresh.join(spark.read.parquet(f"{path}/manifest").select("key"), "key", "left_anti")
     fresh.write.mode("append").parquet(f"{path}/manifest")
     return manifest_of(spark, path)
@@ -80,7 +80,7 @@ def _describe_keys(stored: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), _digest().alias("chain_digest")))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 

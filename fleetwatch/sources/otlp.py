@@ -23,23 +23,24 @@ def _listed(json: Column) -> Column:
     return F.when(F.startswith(json, F.lit("{")), F.concat(F.lit("["), json, F.lit("]"))).otherwise(json)
 
 
-def _resource_spans(body: Column) -> Column:
-    """One parse for regular requests. A request with a single object where a list belongs
-    is parsed level by level instead."""
-    regular = F.from_json(body, REQUEST)["resourceSpans"]
+def _parsed(requests: DataFrame) -> DataFrame:
+    """Adds ``_spans``, the resource list. Regular requests are parsed once; a request with a
+    single object where a list belongs is parsed again, level by level."""
+    body, regular = F.col("body"), F.col("_regular")
     outer = F.from_json(_listed(F.get_json_object(body, "$.resourceSpans")),
                         f"array<struct<resource:{_RESOURCE}, scopeSpans:string>>")
     lenient = F.transform(outer, lambda r: F.struct(
         r["resource"].alias("resource"),
         F.from_json(_listed(r["scopeSpans"]), _SCOPES).alias("scopeSpans")))
     odd = regular.isNull() | F.exists(regular, lambda r: r["scopeSpans"].isNull())
-    return F.when(odd, lenient).otherwise(regular)
+    return (requests.withColumn("_regular", F.from_json(body, REQUEST)["resourceSpans"])
+            .withColumn("_spans", F.when(odd, lenient).otherwise(regular)).drop("_regular"))
 
 
 def malformed(requests: DataFrame) -> DataFrame:
     """Requests to quarantine, with the reason."""
     reason = F.when(F.try_parse_json("body").isNull(), "bad json").otherwise("no resourceSpans")
-    return (requests.where(_resource_spans(F.col("body")).isNull())
+    return (_parsed(requests).where(F.col("_spans").isNull())
             .select("request_id", reason.alias("reason"), "body"))
 
 
@@ -47,7 +48,7 @@ def flatten(requests: DataFrame) -> DataFrame:
     """A1: one row per span of the requests (request_id, received_at, body), with the
     attributes of its resource."""
     keep = [c for c in requests.columns if c != "body"]
-    res = requests.select(*keep, F.explode(_resource_spans(F.col("body"))).alias("_r"))
+    res = _parsed(requests).select(*keep, F.explode("_spans").alias("_r"))
     scopes = res.select(*keep, F.col("_r.resource.attributes").alias("resource_attributes"),
                         F.explode("_r.scopeSpans").alias("_s"))
     return (scopes.select(*keep, "resource_attributes", F.explode("_s.spans").alias("_p"))
@@ -59,14 +60,18 @@ def _value_text(v: Column) -> Column:
     return F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"], v["boolValue"], items)
 
 
+def _newest_first(attrs: Column, name: str) -> Column:
+    return F.struct(F.reverse(F.transform(attrs, lambda a: a["key"])).alias("keys"),
+                    F.reverse(F.transform(attrs, lambda a: a["value"])).alias("values")).alias(name)
+
+
 class Attributes:
-    """Last-wins lookups in a KeyValue list."""
+    """Last-wins lookups in a KeyValue list that ``_newest_first`` has turned around."""
 
-    def __init__(self, attrs: Column):
-        self.keys = F.reverse(F.transform(attrs, lambda a: a["key"]))
-        self.values = F.reverse(F.transform(attrs, lambda a: a["value"]))
+    def __init__(self, turned: Column):
+        self.keys, self.values = turned["keys"], turned["values"]
 
-    def __getitem__(self, key: str) -> Column:
+    def __getitem__(self, key: str | Column) -> Column:
         return _value_text(F.get(self.values, (F.array_position(self.keys, key) - 1).cast("int")))
 
     def text(self, key: str) -> Column:
@@ -76,10 +81,9 @@ class Attributes:
 
 def attribute_map(attrs: Column) -> Column:
     """A2: the list as a map of text values; the last of equal keys wins."""
-    pairs = Attributes(attrs)
+    pairs = Attributes(_newest_first(attrs, "_a"))
     keys = F.array_distinct(F.transform(attrs, lambda a: a["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: _value_text(
-        F.get(pairs.values, (F.array_position(pairs.keys, k) - 1).cast("int")))))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: pairs[k]))
 
 
 def _whole(text: Column) -> Column:
@@ -89,7 +93,9 @@ def _whole(text: Column) -> Column:
 def to_task_events(spans: DataFrame, default_fleet: str = "default") -> DataFrame:
     """A3: task events of generative spans. The agent comes from the span, then from its
     resource, then from the service name. Latency is in milliseconds."""
-    s, r = Attributes(F.col("attributes")), Attributes(F.col("resource_attributes"))
+    spans = spans.select("*", _newest_first(F.col("attributes"), "_s"),
+                         _newest_first(F.col("resource_attributes"), "_r"))
+    s, r = Attributes(F.col("_s")), Attributes(F.col("_r"))
     name = F.coalesce(F.nullif("name", F.lit("")), F.lit("span"))
     start = F.coalesce(F.coalesce("timeUnixNano", "startTimeUnixNano").try_cast("bigint"), F.lit(0))
     end = F.coalesce(F.coalesce("timeEndedUnixNano", "endTimeUnixNano").try_cast("bigint"), F.lit(0))
