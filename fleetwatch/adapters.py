@@ -21,8 +21,15 @@ ERROR_TEXTS = [
 ]
 
 
+_READ: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """The given table; the footer is read once per session, the rows never kept."""
+    at = (spark.sparkContext.applicationId, id(spark), sf, name)
+    if at not in _READ:
+        _READ[at] = spark.read.parquet(f"{sf}/{name}.parquet")
+    return _READ[at]
 
 
 def as_of(text: str = AS_OF) -> Column:

@@ -28,7 +28,8 @@ cte("mapped", ["facts", "calibration"], """
 
 
 def mapped(spark, sf):
-    return ops.map_to_alarms(fact_table(spark, sf), R.signal_rules(spark), calibration(spark, sf))
+    state = calibration(spark, sf)
+    return ops.map_to_alarms(fact_table(spark, sf, state), R.signal_rules(spark), state)
 
 
 @query("d2_alarms", """
@@ -51,8 +52,9 @@ def d3(spark, sf):
     own = (t.groupBy("agent_id").agg(F.sum("cost_usd").cast("double").alias("value"))
            .select("agent_id", F.lit("cost.monthly").alias("signal"),
                    (F.col("value") > 2000).alias("fired"), "value"))
-    return ops.audit_notes(fact_table(spark, sf).unionByName(own), R.signal_rules(spark),
-                           calibration(spark, sf), facts.end_state_divergence(t))
+    state = calibration(spark, sf)
+    return ops.audit_notes(fact_table(spark, sf, state).unionByName(own), R.signal_rules(spark),
+                           state, facts.end_state_divergence(t))
 
 
 @query("d4_calibration_state", "SELECT agent_id, calibration_until, closed FROM calibration", ["calibration"])

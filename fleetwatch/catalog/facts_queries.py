@@ -383,9 +383,10 @@ def calibration(spark, sf):
     return alarm_ops.calibration_state(registrations(spark, sf), A.as_of("2024-01-15 06:00:00"))
 
 
-def fact_table(spark, sf):
-    return evaluate(registrations(spark, sf), A.task_events(spark, sf), A.guard_events(spark, sf),
-                    A.tickets(spark, sf), A.as_of(), windows(), calibration(spark, sf))
+def fact_table(spark, sf, state=None):
+    state = state if state is not None else calibration(spark, sf)
+    return evaluate(state, A.task_events(spark, sf), A.guard_events(spark, sf),
+                    A.tickets(spark, sf), A.as_of(), windows(), state)
 
 
 @query("b17_evaluate_facts", "SELECT agent_id, signal, fired, round(value, 4) AS value FROM facts", ["facts"])

@@ -30,27 +30,21 @@ def _hours(alarms: DataFrame, signals: list[str]) -> DataFrame:
                         | (F.col("_hour") == hour(F.col("_to")))))
 
 
-def _lookback(alarms: DataFrame, signals: list[str], rows: DataFrame, state: Column,
-              merge: Callable[[str], Column], by: list[str]) -> DataFrame:
-    """Merged state per alarm (and ``by``) over the events of its window. ``merge`` must be
-    an aggregate that can be applied to its own results."""
+def _lookback(alarms: DataFrame, signals: list[str], rows: DataFrame, states: dict[str, Column],
+              merge: dict[str, Callable[[str], Column]], by: list[str]) -> DataFrame:
+    """Merged states per alarm (and ``by``) over the events of its window. Every ``merge``
+    must be an aggregate that can be applied to its own results."""
     hours = _hours(alarms, signals)
-    rows = rows.select("agent_id", *by, "ts", state.alias("_state"),
+    folded = [fn(name).alias(name) for name, fn in merge.items()]
+    rows = rows.select("agent_id", *by, "ts", *[c.alias(n) for n, c in states.items()],
                        F.call_function("div", F.unix_seconds("ts"), F.lit(3600)).alias("_hour"))
-    per_hour = rows.groupBy("agent_id", "_hour", *by).agg(merge("_state").alias("_state"))
-    keep = ["alarm_id", *by, "_state"]
+    per_hour = rows.groupBy("agent_id", "_hour", *by).agg(*folded)
+    keep = ["alarm_id", *by, *states]
     whole = hours.where(~F.col("_edge")).join(per_hour, ["agent_id", "_hour"]).select(*keep)
     partial = (hours.where("_edge").join(rows, ["agent_id", "_hour"])
                .where((F.col("ts") >= F.col("_from")) & (F.col("ts") <= F.col("_to")))
                .select(*keep))
-    return whole.unionByName(partial).groupBy("alarm_id", *by).agg(merge("_state").alias("_state"))
-
-
-def _top_tool(alarms: DataFrame, signal: str, rows: DataFrame) -> DataFrame:
-    counted = _lookback(alarms, [signal], rows, F.lit(1), F.sum, ["tool_name"])
-    best = F.min(F.struct((-F.col("_state")).alias("neg"), "tool_name"))
-    return (counted.groupBy("alarm_id").agg(best.alias("b"))
-            .select("alarm_id", F.col("b.tool_name").alias("tool"), (-F.col("b.neg")).alias("c")))
+    return whole.unionByName(partial).groupBy("alarm_id", *by).agg(*folded)
 
 
 def _clock(ts: Column) -> Column:
@@ -61,50 +55,56 @@ def suggest(alarms: DataFrame, tasks: DataFrame, guards: DataFrame,
             tickets: DataFrame) -> DataFrame:
     """One suggestion per alarm. Equal counts go to the tool first in name order."""
     a = alarms.select("alarm_id", "agent_id", "signal", "created_at")
-    calls = guards.where(F.col("event_type") == "tool_call")
-    denials = guards.where((F.col("event_type") == "permission_decision")
-                           & (F.col("decision") == "deny"))
-    out = lambda df, step, conf, note: df.select(
-        "alarm_id", step.alias("step"), F.lit(conf).alias("conf"), note.alias("why"))
-
-    last = _lookback(a, ["loop>=2"], calls, F.struct("ts", "event_id", "tool_name"), F.max, [])
-    looped = out(last, F.concat(F.lit("repeated call "), F.col("_state.tool_name"),
-                                F.lit(" (last at "), _clock(F.col("_state.ts")), F.lit(")")),
-                 0.90, F.lit("3-identical-call loop breaker fired on this tool"))
-
-    first = _lookback(a, _ERROR_SIGNALS, tasks.where(F.col("status") == "error"),
-                      F.struct("ts", "event_id", "task_id", "error_class", "session_id"), F.min, [])
-    first = first.select("alarm_id", "_state.*").join(a.select("alarm_id", "agent_id"), "alarm_id")
-    members = tasks.groupBy("session_id").agg(F.min("agent_id").alias("_lo"),
-                                              F.max("agent_id").alias("_hi"))
-    first = first.join(members, "session_id", "left")
+    call = F.col("event_type") == "tool_call"
+    denial = (F.col("event_type") == "permission_decision") & F.col("decision").eqNullSafe("deny")
+    tool_states = _lookback(
+        a, ["loop>=2", "permission.deny>0.20", "drift.tool_distribution>0.40"], guards,
+        {"last": F.when(call, F.struct("ts", "event_id", "tool_name")),
+         "calls": F.when(call, 1).otherwise(0), "denied": F.when(denial, 1).otherwise(0)},
+        {"last": F.max, "calls": F.sum, "denied": F.sum}, ["tool_name"])
+    top = lambda c: F.min(F.when(F.col(c) > 0, F.struct((-F.col(c)).alias("neg"), "tool_name"))).alias(c)
+    tools = tool_states.groupBy("alarm_id").agg(F.max("last").alias("last"), top("calls"), top("denied"))
+    label_count = lambda c: F.concat(F.col(f"{c}.tool_name"), F.lit("' ("),
+                                     (-F.col(f"{c}.neg")).cast("string"), F.lit("x in 24h)"))
+
+    task_states = _lookback(
+        a, [*_ERROR_SIGNALS, "cost.daily>2x_ewma"], tasks,
+        {"first": F.when(F.col("status") == "error",
+                         F.struct("ts", "event_id", "task_id", "error_class", "session_id")),
+         "dearest": F.struct("cost_usd", "event_id", "task_id", "model_name")},
+        {"first": F.min, "dearest": F.max}, [])
+    members = tasks.groupBy(F.col("session_id").alias("_session")).agg(
+        F.min("agent_id").alias("_lo"), F.max("agent_id").alias("_hi"))
+
+    rows = (a.join(tools, "alarm_id", "left").join(task_states, "alarm_id", "left")
+            .withColumn("_session", F.when(F.col("signal").isin(*_ERROR_SIGNALS), F.col("first.session_id")))
+            .join(members, "_session", "left"))
     partner = (F.when(F.col("_lo") != F.col("agent_id"), F.col("_lo"))
                .when(F.col("_hi") != F.col("agent_id"), F.col("_hi")))
-    label = F.coalesce("error_class", F.lit("None"))
-    errors = out(first, F.concat(label, F.lit(" on "), F.col("task_id"), F.lit(" ("),
-                                 _clock(F.col("ts")), F.lit(")")), 0.75,
-                 F.concat(F.lit("first error '"), label, F.lit("' on task "), F.col("task_id"),
-                          F.coalesce(F.concat(F.lit("; same-session partner: "), partner),
-                                     F.lit(""))))
-
-    denied = out(_top_tool(a, "permission.deny>0.20", denials),
-                 F.concat(F.lit("denied tool '"), F.col("tool"), F.lit("' ("),
-                          F.col("c").cast("string"), F.lit("x in 24h)")), 0.80,
-                 F.lit("highest deny count inside the alarm window"))
-    drift = out(_top_tool(a, "drift.tool_distribution>0.40", calls),
-                F.concat(F.lit("pivot onto '"), F.col("tool"), F.lit("' ("),
-                         F.col("c").cast("string"), F.lit("x in 24h)")), 0.70,
-                F.lit("JSD drift alarm; dominant 24h tool differs from 7d prior"))
-
-    dearest = _lookback(a, ["cost.daily>2x_ewma"], tasks,
-                        F.struct("cost_usd", "event_id", "task_id", "model_name"), F.max, [])
-    cost = out(dearest, F.concat(F.lit("task "), F.col("_state.task_id"), F.lit(" on "),
-                                 F.col("_state.model_name"), F.lit(" ($"),
-                                 F.format_string("%.2f", F.col("_state.cost_usd").cast("double")), F.lit(")")),
-               0.65, F.lit("largest single-task cost in the alarm day"))
-
-    found = looped.unionByName(errors).unionByName(denied).unionByName(drift).unionByName(cost)
-    rows = a.join(found, "alarm_id", "left")
+    label = F.coalesce("first.error_class", F.lit("None"))
+    is_ = lambda *signals: F.col("signal").isin(*signals)
+    step = (F.when(is_("loop>=2"), F.concat(F.lit("repeated call "), F.col("last.tool_name"),
+                                            F.lit(" (last at "), _clock(F.col("last.ts")), F.lit(")")))
+            .when(is_(*_ERROR_SIGNALS), F.concat(label, F.lit(" on "), F.col("first.task_id"), F.lit(" ("),
+                                                 _clock(F.col("first.ts")), F.lit(")")))
+            .when(is_("permission.deny>0.20"), F.concat(F.lit("denied tool '"), label_count("denied")))
+            .when(is_("drift.tool_distribution>0.40"), F.concat(F.lit("pivot onto '"), label_count("calls")))
+            .when(is_("cost.daily>2x_ewma"), F.concat(
+                F.lit("task "), F.col("dearest.task_id"), F.lit(" on "), F.col("dearest.model_name"), F.lit(" ($"),
+                F.format_string("%.2f", F.col("dearest.cost_usd").cast("double")), F.lit(")"))))
+    conf = (F.when(is_("loop>=2"), 0.90).when(is_(*_ERROR_SIGNALS), 0.75)
+            .when(is_("permission.deny>0.20"), 0.80).when(is_("drift.tool_distribution>0.40"), 0.70)
+            .when(is_("cost.daily>2x_ewma"), 0.65))
+    why = (F.when(is_("loop>=2"), "3-identical-call loop breaker fired on this tool")
+           .when(is_(*_ERROR_SIGNALS), F.concat(
+               F.lit("first error '"), label, F.lit("' on task "), F.col("first.task_id"),
+               F.coalesce(F.concat(F.lit("; same-session partner: "), partner), F.lit(""))))
+           .when(is_("permission.deny>0.20"), "highest deny count inside the alarm window")
+           .when(is_("drift.tool_distribution>0.40"),
+                 "JSD drift alarm; dominant 24h tool differs from 7d prior")
+           .when(is_("cost.daily>2x_ewma"), "largest single-task cost in the alarm day"))
+    rows = rows.select("alarm_id", "agent_id", "signal", "created_at", step.alias("step"),
+                       conf.alias("conf"), why.alias("why"))
 
     oldest = (tickets.where(F.col("status") == "open").groupBy()
               .agg(F.min(F.struct("created_at", "escalation_id", "agent_id", "task_id")).alias("t"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,41 +17,39 @@ from .. import rules as R
 from .sequences import rank_rows
 
 
+def _recurrence(values: Column, weight: float, start: Column) -> Column:
+    """y[0] = start, then y[t] = weight * x[t] + (1 - weight) * y[t-1], as an array."""
+    return F.aggregate(
+        F.slice(values, F.lit(2), F.size(values)), F.array(start),
+        lambda acc, x: F.concat(acc, F.array(x * weight + F.element_at(acc, -1) * (1.0 - weight))))
+
+
 def ewma_card(series: DataFrame, keys: Sequence[str], order: str, value: str,
               min_obs: int = R.EWMA_WARMUP, calibrated: str | None = None) -> DataFrame:
     """EWMA control card. Per step: n, mu, sigma, z (null until armed), armed, alarm.
 
     The mean starts at the first value with variance zero; each later step moves the mean
-    by alpha and the variance, taken around the moved mean, by beta. Both are plain
-    exponential recurrences, which pandas evaluates natively per key. A ``calibrated``
-    column keeps the card disarmed while false."""
+    by alpha and the variance, taken around the moved mean, by beta. Both recurrences run
+    over one array of days per key. A ``calibrated`` column keeps the card disarmed while
+    false."""
     keys = list(keys)
-    floor = max(int(min_obs), 1)
-    cols = [*keys, order, value] + ([calibrated] if calibrated else [])
-    types = dict(series.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in [*keys, order]]
-                       + [f"`{value}` double", "n bigint", "mu double", "sigma double",
-                          "z double", "armed boolean", "alarm boolean"])
-
-    def card(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        x = pdf[value].astype("float64")
-        mu = x.ewm(alpha=R.EWMA_ALPHA, adjust=False).mean()
-        sigma = ((x - mu) ** 2).ewm(alpha=R.EWMA_BETA, adjust=False).mean() ** 0.5
-        n = pd.Series(range(1, len(pdf) + 1), dtype="int64")
-        armed = (n >= floor) & (sigma > 0)
-        if calibrated:
-            armed &= pdf[calibrated].astype(bool)
-        z = ((x - mu) / sigma).where(armed)
-        out = pdf[[*keys, order]].copy()
-        out[value], out["n"], out["mu"], out["sigma"] = x, n, mu, sigma
-        out["z"], out["armed"], out["alarm"] = z, armed, (z > R.EWMA_Z_LIMIT).fillna(False)
-        return out
-
-    prepared = series.select(*[F.col(c).cast("double") if c == value else F.col(c)
-                               for c in cols])
-    return (prepared.groupBy(*keys).applyInPandas(card, schema)
-            .withColumn("z", F.when(~F.isnan("z"), F.col("z"))))
+    flag = F.col(calibrated) if calibrated else F.lit(True)
+    step = F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x"), flag.alias("c"))
+    days = series.groupBy(*keys).agg(F.sort_array(F.collect_list(step)).alias("_s"))
+    xs = days.select("*", F.transform("_s", lambda s: s["x"]).alias("_x"))
+    means = xs.select("*", _recurrence(F.col("_x"), R.EWMA_ALPHA, F.get("_x", F.lit(0))).alias("_mu"))
+    gaps = means.select("*", F.zip_with("_x", "_mu", lambda x, m: (x - m) * (x - m)).alias("_d"))
+    spread = gaps.select("*", _recurrence(F.col("_d"), R.EWMA_BETA, F.lit(0.0)).alias("_v"))
+    rows = spread.select(*keys, F.posexplode(F.arrays_zip("_s", "_mu", "_v")).alias("_i", "_r"))
+    out = rows.select(
+        *keys, F.col("_r._s.o").alias(order), F.col("_r._s.x").alias(value),
+        (F.col("_i") + 1).cast("bigint").alias("n"), F.col("_r._mu").alias("mu"),
+        F.sqrt("_r._v").alias("sigma"), F.col("_r._s.c").alias("_c"))
+    armed = (F.col("n") >= max(int(min_obs), 1)) & (F.col("sigma") > 0) & F.col("_c")
+    z = F.when(armed, (F.col(value) - F.col("mu")) / F.col("sigma"))
+    return out.select(
+        *keys, order, value, "n", "mu", "sigma", z.alias("z"), armed.alias("armed"),
+        F.coalesce(z > R.EWMA_Z_LIMIT, F.lit(False)).alias("alarm"))
 
 
 def normalize_counts(counts: DataFrame, keys: Sequence[str], count: str,
@@ -63,24 +60,26 @@ def normalize_counts(counts: DataFrame, keys: Sequence[str], count: str,
 
 
 def _two_sided(counts: DataFrame, keys: Sequence[str], category: str, left: str,
-               right: str) -> DataFrame:
+               right: str, also: Sequence[str] = ()) -> DataFrame:
     """One row per key and category with both shares, smoothed."""
     merged = counts.groupBy(*keys, category).agg(
-        F.sum(left).cast("double").alias("_l"), F.sum(right).cast("double").alias("_r"))
+        F.sum(left).cast("double").alias("_l"), F.sum(right).cast("double").alias("_r"),
+        *[F.sum(c).alias(c) for c in also])
     shares = normalize_counts(normalize_counts(merged, keys, "_l", "_p"), keys, "_r", "_q")
-    return shares.select(*keys, (F.col("_p") + R.EPS).alias("p"), (F.col("_q") + R.EPS).alias("q"))
+    return shares.select(*keys, (F.col("_p") + R.EPS).alias("p"), (F.col("_q") + R.EPS).alias("q"), *also)
 
 
 def jsd(counts: DataFrame, keys: Sequence[str], category: str, left: str,
-        right: str) -> DataFrame:
+        right: str, also: Sequence[str] = ()) -> DataFrame:
     """Base-2 Jensen-Shannon divergence of two count columns, with its band. An empty
-    side gives a null value and the band ``warming_up``."""
-    pq = _two_sided(counts, keys, category, left, right)
+    side gives a null value and the band ``warming_up``. Columns in ``also`` are summed per
+    key on the way."""
+    pq = _two_sided(counts, keys, category, left, right, also)
     p, q = F.col("p"), F.col("q")
     m = (p + q) * 0.5
     term = p * 0.5 * F.log2(p / m) + q * 0.5 * F.log2(q / m)
     v = F.col("jsd")
-    return (pq.groupBy(*keys).agg(F.sum(term).alias("jsd"))
+    return (pq.groupBy(*keys).agg(F.sum(term).alias("jsd"), *[F.sum(c).alias(c) for c in also])
             .withColumn("jsd", F.when(v.isNotNull(), F.greatest(v, F.lit(0.0))))
             .withColumn("band", F.when(v.isNull(), "warming_up").when(v < R.JSD_WATCH, "healthy")
                         .when(v <= R.JSD_ALARM, "watch").otherwise("alarm")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..operators import facts
+from ..operators.stats import jsd
 
 
 @dataclass
@@ -21,60 +22,98 @@ class Windows:
     ewma_warmup: int = R.EWMA_WARMUP
 
 
+def _task_facts(tasks: DataFrame, window_s: float) -> DataFrame:
+    """Error share and retries per agent from one anchor pass and one window pass. The
+    anchor row itself lies in the window, so no agent is lost."""
+    anchors = tasks.groupBy("agent_id").agg(F.max("ts").alias("latest"),
+                                            F.max("retry_count").cast("double").alias("retries"))
+    status = F.col("status")
+    recent = (tasks.select("agent_id", "ts", "status").join(anchors, "agent_id")
+              .where(F.col("ts") >= F.col("latest") - facts.seconds(window_s)))
+    total = F.count_if(status.isin("ok", "error"))
+    return recent.groupBy("agent_id").agg(
+        (F.count_if(status == "error") / F.when(total > 0, total)).alias("errors"),
+        F.max("retries").alias("retries"))
+
+
+def _guard_facts(guards: DataFrame, w: Windows) -> DataFrame:
+    """Tool divergence and deny share per agent, likewise from two passes."""
+    decision = F.col("event_type") == "permission_decision"
+    call = F.col("event_type") == "tool_call"
+    anchors = guards.groupBy("agent_id").agg(F.max("ts").alias("g"),
+                                             F.max(F.when(decision, F.col("ts"))).alias("d"))
+    day = F.col("g") - facts.seconds(w.recent_h * 3600)
+    week = day - facts.seconds(w.prior_days * 86_400)
+    judged = decision & (F.col("ts") >= F.col("d") - facts.seconds(w.deny_s))
+    rows = (guards.select("agent_id", "ts", "event_type", "tool_name", "decision")
+            .join(anchors, "agent_id").where((call & (F.col("ts") > week)) | judged))
+    counts = rows.groupBy("agent_id", F.when(call, F.col("tool_name")).alias("tool_name")).agg(
+        F.count_if(call & (F.col("ts") <= day)).alias("prior"),
+        F.count_if(call & (F.col("ts") > day)).alias("recent"),
+        F.count_if(judged & F.col("decision").eqNullSafe("deny")).alias("denied"),
+        F.count_if(judged).alias("judged"))
+    return (jsd(counts, ["agent_id"], "tool_name", "prior", "recent", ["denied", "judged"])
+            .withColumn("deny", F.col("denied") / F.when(F.col("judged") > 0, F.col("judged"))))
+
+
 def evaluate(agents: DataFrame, tasks: DataFrame, guards: DataFrame, tickets: DataFrame,
              as_of: Column, windows: Windows | None = None,
              calibration: DataFrame | None = None, output_quality: bool = False,
              per_agent_tickets: bool = False) -> DataFrame:
     """(agent_id, signal, fired, value) for every agent and signal.
 
-    Each fact is computed fleet-wide and reduced to one row per agent before the union.
-    The cost fact reads the newest day of the card and needs a closed calibration.
-    Divergent end states feed ``drift.output_quality`` only on request."""
+    Facts over the same rows share a pass, and every fact is down to one row per agent
+    before they meet. The cost fact reads the newest day of the card and needs a closed
+    calibration. Divergent end states feed ``drift.output_quality`` only on request."""
     w = windows or Windows()
-    part = lambda df, signal, value="value", fired="fired": df.select(
-        "agent_id", F.lit(signal).alias("signal"), F.col(value).cast("double").alias("value"),
-        F.col(fired).alias("fired"))
+    t = _task_facts(tasks, w.error_s)
+    g = _guard_facts(guards, w)
     costs = facts.daily_cost(tasks)
     if calibration is not None:
-        costs = costs.join(calibration.select("agent_id", "closed"), "agent_id", "left") \
-                     .withColumn("closed", F.coalesce("closed", F.lit(False)))
+        costs = (costs.join(calibration.select("agent_id", "closed"), "agent_id", "left")
+                 .withColumn("closed", F.coalesce("closed", F.lit(False))))
     card = facts.cost_spikes(costs, w.ewma_warmup, "closed" if calibration is not None else None)
-    newest = card.groupBy("agent_id").agg(
-        F.max_by(F.struct("z", "fired"), F.col("day")).alias("c")).select("agent_id", "c.*")
-    loops = facts.loop_hits(guards).withColumn("fired", F.col("looped_tasks") > 0)
-    fresh = (facts.new_error_classes(tasks).groupBy("agent_id")
-             .agg(F.count(F.lit(1)).alias("value")).withColumn("fired", F.lit(True)))
-    parts = [
-        part(facts.error_rate(tasks, w.error_s), "error.rate>0.20"),
-        part(facts.deny_ratio(guards, w.deny_s), "permission.deny>0.20"),
-        part(facts.retries(tasks), "latency.retry>=3"),
-        part(facts.tool_drift(guards, w.recent_h, w.prior_days),
-             "drift.tool_distribution>0.40", "jsd"),
-        part(loops, "loop>=2", "looped_tasks"),
-        part(fresh, "error.new_class_seen"),
-        part(newest, "cost.daily>2x_ewma", "z"),
-    ]
+    newest = card.groupBy("agent_id").agg(F.max_by(F.struct("z", "fired"), "day").alias("c"))
+    loops = facts.loop_hits(guards)
+    fresh = facts.new_error_classes(tasks).groupBy("agent_id").agg(F.count(F.lit(1)).alias("classes"))
+    fact = lambda signal, value, fired: F.struct(
+        F.lit(signal).alias("signal"), value.cast("double").alias("value"),
+        F.coalesce(fired, F.lit(False)).alias("fired"))
+    v = F.col
+    listed = {
+        "t": (t, [fact("error.rate>0.20", v("errors"), v("errors") > R.ERROR_RATE_LIMIT),
+                  fact("latency.retry>=3", v("retries"), v("retries") >= R.RETRY_LIMIT)]),
+        "g": (g, [fact("permission.deny>0.20", v("deny"), v("deny") > R.DENY_RATIO_LIMIT),
+                  fact("drift.tool_distribution>0.40", v("jsd"), v("band") == "alarm")]),
+        "l": (loops, [fact("loop>=2", v("looped_tasks"), v("looped_tasks") > 0)]),
+        "n": (fresh, [fact("error.new_class_seen", v("classes"), v("classes") > 0)]),
+        "c": (newest, [fact("cost.daily>2x_ewma", v("c.z"), v("c.fired"))]),
+    }
     if output_quality:
         diverged = (facts.end_state_divergence(tasks).groupBy("agent_id")
-                    .agg(F.count_if("diverged").alias("value"))
-                    .withColumn("fired", F.col("value") > 0))
-        parts.append(part(diverged, "drift.output_quality"))
+                    .agg(F.count_if("diverged").alias("runs")))
+        listed["q"] = (diverged, [fact("drift.output_quality", v("runs"), v("runs") > 0)])
     if per_agent_tickets:
-        parts.append(part(facts.ticket_age(tickets, as_of), "escalation.age_max>24"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+        listed["k"] = (facts.ticket_age(tickets, as_of),
+                       [fact("escalation.age_max>24", v("value"), v("fired"))])
+    found = None
+    for df, items in listed.values():
+        part = df.select("agent_id", F.inline(F.array(*items)))
+        found = part if found is None else found.unionByName(part)
 
-    grid = agents.select("agent_id", F.explode(F.array(*[F.lit(s) for s in R.SIGNALS]))
-                         .alias("signal"))
-    table = (grid.join(found, ["agent_id", "signal"], "left")
-             .withColumn("fired", F.coalesce("fired", F.lit(False))))
+    # the grid joins the union through one grouping per agent, not per agent and signal
+    by_signal = found.groupBy("agent_id").agg(F.map_from_entries(F.collect_list(
+        F.struct("signal", F.struct("value", "fired")))).alias("_f"))
+    grid = (agents.select("agent_id").join(by_signal, "agent_id", "left")
+            .select("agent_id", "_f", F.explode(F.array(*[F.lit(s) for s in R.SIGNALS])).alias("signal")))
+    table = grid.select("agent_id", "signal", F.coalesce(F.col("_f")[F.col("signal")]["fired"],
+                                                         F.lit(False)).alias("fired"),
+                        F.col("_f")[F.col("signal")]["value"].alias("value"))
     if not per_agent_tickets:
-        oldest = facts.fleet_ticket_age(tickets, as_of)
         aging = F.col("signal") == "escalation.age_max>24"
-        table = (table
-                 .withColumn("value", F.when(aging, oldest.select("value").scalar())
-                             .otherwise(F.col("value")))
-                 .withColumn("fired", F.when(aging, oldest.select("fired").scalar())
-                             .otherwise(F.col("fired"))))
-    return table.select("agent_id", "signal", "fired", "value")
+        oldest = (facts.fleet_ticket_age(tickets, as_of)
+                  .select(F.struct("value", "fired").alias("o")).scalar())
+        table = table.select(
+            "agent_id", "signal", F.when(aging, oldest["fired"]).otherwise(F.col("fired")).alias("fired"),
+            F.when(aging, oldest["value"]).otherwise(F.col("value")).alias("value"))
+    return table
