@@ -45,9 +45,14 @@ def _numbered(prefix: str, col: str) -> Column:
     return F.concat(F.lit(prefix), F.lpad(F.col(col).cast("string"), 12, "0"))
 
 
-def _events(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
-    return ((table(spark, sf, "events") if rows is None else rows)
-            .withColumn("ts", F.col("ts").cast("timestamp"))
+def _events(spark: SparkSession, sf: str, rows: DataFrame | None = None,
+            since: str | None = None) -> DataFrame:
+    """The files hold local timestamps, so a window start is compared before the cast:
+    only then does Parquet skip row groups by it."""
+    rows = table(spark, sf, "events") if rows is None else rows
+    if since is not None:
+        rows = rows.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+    return (rows.withColumn("ts", F.col("ts").cast("timestamp"))
             .withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")))
 
 
@@ -62,7 +67,8 @@ def _task() -> Column:
                     block.cast("string"))
 
 
-def task_events(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+def task_events(spark: SparkSession, sf: str, rows: DataFrame | None = None,
+                since: str | None = None) -> DataFrame:
     k, kind = F.col("k"), F.col("event_type")
     status = (F.when(kind != "error", "ok")
               .when(k % 20 == 0, "quarantined").otherwise("error"))
@@ -71,7 +77,7 @@ def task_events(spark: SparkSession, sf: str, rows: DataFrame | None = None) ->
         F.concat(F.lit('{"count": '), (k % 3).cast("string"), F.lit(', "box": "'), kind, F.lit('"}'))
     ).otherwise(
         F.concat(F.lit('{"box":"'), kind, F.lit('","count":'), (k % 3).cast("string"), F.lit("}")))
-    return _events(spark, sf, rows).select(
+    return _events(spark, sf, rows, since).select(
         _numbered("evt-", "event_id").alias("event_id"), _agent().alias("agent_id"),
         _task().alias("task_id"),
         F.concat(F.lit("sess-"), F.call_function("div", F.col("event_id"), F.lit(4))
@@ -95,10 +101,11 @@ def subject_events(spark: SparkSession, sf: str) -> DataFrame:
         _numbered("evt-", "event_id").alias("event_id"), "ts")
 
 
-def guard_events(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+def guard_events(spark: SparkSession, sf: str, rows: DataFrame | None = None,
+                 since: str | None = None) -> DataFrame:
     k, kind = F.col("k"), F.col("event_type")
     decides = kind.isin("signup", "error")
-    return _events(spark, sf, rows).select(
+    return _events(spark, sf, rows, since).select(
         _numbered("grd-", "event_id").alias("event_id"), _agent().alias("agent_id"),
         _task().alias("task_id"),
         F.when(decides, "permission_decision").otherwise("tool_call").alias("event_type"),

@@ -14,6 +14,8 @@ WEEK_AGO = f"{AS_OF_SQL} - INTERVAL 7 DAY"
 MONTH_AGO = f"{AS_OF_SQL} - INTERVAL 30 DAY"
 RANK_SQL = """CASE severity WHEN 'Emergency' THEN 0 WHEN 'Critical' THEN 1 WHEN 'High' THEN 2
      WHEN 'Medium' THEN 3 WHEN 'Low' THEN 4 ELSE 5 END"""
+# window starts before the report time
+DAY, WEEK, MONTH = "2024-01-30 00:00:00", "2024-01-24 00:00:00", "2024-01-01 00:00:00"
 SINCE = "2024-01-10 00:00:00"
 SINCE_SQL = f"TIMESTAMP '{SINCE}'"
 _COST = "CAST(round(coalesce(sum({}), 0), 4) AS DOUBLE)"
@@ -25,7 +27,7 @@ SELECT (SELECT count(*) FROM alarms WHERE status = 'open') AS open_alarms,
        (SELECT count(*) FROM agents) AS agents, (SELECT count(*) FROM tasks WHERE ts >= {DAY_AGO}) AS events_24h""",
        ["alarms", "agents", "tasks"])
 def g1(spark, sf):
-    return views.summary(A.alarms(spark, sf), A.agents(spark, sf), A.task_events(spark, sf), A.as_of())
+    return views.summary(A.alarms(spark, sf), A.agents(spark, sf), A.task_events(spark, sf, since=DAY), A.as_of())
 
 
 @query("g2_open_by_severity", f"""
@@ -39,7 +41,7 @@ def g2(spark, sf):
 SELECT hour(ts) AS hour, count(*) AS tasks, count(*) FILTER (status = 'error') AS errors
 FROM tasks WHERE ts >= {DAY_AGO} GROUP BY 1""", ["tasks"])
 def g3(spark, sf):
-    return views.hourly(A.task_events(spark, sf), A.as_of())
+    return views.hourly(A.task_events(spark, sf, since=DAY), A.as_of())
 
 
 cte("per_agent", ["agents", "tasks"], f"""
@@ -53,7 +55,7 @@ cte("per_agent", ["agents", "tasks"], f"""
 
 @query("g4_per_agent", "SELECT * FROM per_agent", ["per_agent"])
 def g4(spark, sf):
-    return views.per_agent_ranked(A.agents(spark, sf), A.task_events(spark, sf), A.as_of())
+    return views.per_agent_ranked(A.agents(spark, sf), A.task_events(spark, sf, since=MONTH), A.as_of())
 
 
 cte("week_series", ["tasks"], f"""
@@ -68,7 +70,7 @@ def _day(df):
 
 @query("g5_daily_series", "SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM week_series", ["week_series"])
 def g5(spark, sf):
-    return _day(views.daily_series(A.task_events(spark, sf), A.as_of()))
+    return _day(views.daily_series(A.task_events(spark, sf, since=WEEK), A.as_of()))
 
 
 @query("g6_daily_tool_mix", f"""
@@ -76,7 +78,7 @@ SELECT agent_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, tool_name, count(*) A
 FROM guards WHERE event_type = 'tool_call' AND ts >= CAST(CAST({AS_OF_SQL} AS DATE) - 6 AS TIMESTAMP) GROUP BY 1, 2, 3""",
        ["guards"])
 def g6(spark, sf):
-    return _day(views.daily_tool_mix(A.guard_events(spark, sf), A.as_of()))
+    return _day(views.daily_tool_mix(A.guard_events(spark, sf, since=WEEK), A.as_of()))
 
 
 cte("mix", ["guards"], """
@@ -109,7 +111,7 @@ _CARD = ewma_sql("week_series", "week")
 SELECT agent_id, CAST(day AS VARCHAR) AS day, CASE WHEN i >= 3 AND s2 > 0 THEN round((cost - mu) / sqrt(s2), 4) END AS z
 FROM {_CARD}""", [_CARD])
 def g8(spark, sf):
-    s = views.daily_series(A.task_events(spark, sf), A.as_of())
+    s = views.daily_series(A.task_events(spark, sf, since=WEEK), A.as_of())
     return _day(views.daily_z(s).select("agent_id", "day", F.round("z", 4).alias("z")))
 
 
@@ -202,13 +204,13 @@ cte("cost_ranking", ["tasks"], f"""
 
 @query("g15_cost_ranking", "SELECT * FROM cost_ranking", ["cost_ranking"])
 def g15(spark, sf):
-    return reports.cost_ranking(A.task_events(spark, sf), A.as_of())
+    return reports.cost_ranking(A.task_events(spark, sf, since=WEEK), A.as_of())
 
 
 @query("g16_first_seen_classes", f"""
 SELECT error_class, min(ts) AS first_ts FROM tasks WHERE error_class IS NOT NULL AND ts >= {WEEK_AGO} GROUP BY 1""", ["tasks"])
 def g16(spark, sf):
-    return reports.first_seen_classes(A.task_events(spark, sf), A.as_of())
+    return reports.first_seen_classes(A.task_events(spark, sf, since=WEEK), A.as_of())
 
 
 cte("anchors", ["alarms"], f"""
@@ -257,7 +259,7 @@ def g24(spark, sf):
 SELECT agent_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS d, {_COST.format('cost_usd')} AS cost, count(*) AS tasks,
        count(*) FILTER (status = 'error') AS e FROM tasks WHERE ts >= {SINCE_SQL} GROUP BY 1, 2""", ["tasks"])
 def g25_days(spark, sf):
-    return views.agent_days(A.task_events(spark, sf), A.as_of(SINCE)).withColumn("d", F.col("d").cast("string"))
+    return views.agent_days(A.task_events(spark, sf, since=SINCE), A.as_of(SINCE)).withColumn("d", F.col("d").cast("string"))
 
 
 @query("g25_status_counts", "SELECT agent_id, status, count(*) AS n FROM tasks GROUP BY 1, 2", ["tasks"])
@@ -275,17 +277,17 @@ def g25_top(spark, sf):
 
 @query("g26_window_count", f"SELECT count(*) AS c FROM tasks WHERE ts >= {SINCE_SQL}", ["tasks"])
 def g26_count(spark, sf):
-    return views.window_count(A.task_events(spark, sf), A.as_of(SINCE))
+    return views.window_count(A.task_events(spark, sf, since=SINCE), A.as_of(SINCE))
 
 
 @query("g26_agent_totals", f"""
 SELECT agent_id, count(*) AS c, {_COST.format('cost_usd')} AS s, count(*) FILTER (status = 'error') AS e
 FROM tasks WHERE ts >= {SINCE_SQL} GROUP BY 1""", ["tasks"])
 def g26_totals(spark, sf):
-    return views.agent_totals(A.task_events(spark, sf), A.as_of(SINCE))
+    return views.agent_totals(A.task_events(spark, sf, since=SINCE), A.as_of(SINCE))
 
 
 @query("g27_active_agents", f"""
 SELECT agent_id, count(*) AS tasks FROM tasks WHERE ts >= {WEEK_AGO} GROUP BY 1 ORDER BY tasks DESC, agent_id LIMIT 3""", ["tasks"])
 def g27(spark, sf):
-    return views.active_agents(A.task_events(spark, sf), A.as_of("2024-01-24 00:00:00"), 3)
+    return views.active_agents(A.task_events(spark, sf, since=WEEK), A.as_of(WEEK), 3)

@@ -23,6 +23,15 @@ def range_bucket(col: str, width: int) -> Column:
     return F.call_function("div", F.col(col), F.lit(width))
 
 
+def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Equi-join on the keys and the bucket in which null keys also meet."""
+    cols = [*keys, "_bucket"]
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in cols],
+                           *[c for c in right.columns if c not in cols])
+    cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in cols]
+    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in cols])
+
+
 def running_offsets(summary: DataFrame, keys: Sequence[str], bucket: str, count: str,
                     out: str) -> DataFrame:
     """Rows in earlier buckets of the same key. The summary has one row per bucket, so even
@@ -39,7 +48,7 @@ def rank_rows(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequenc
     counts = keyed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     offsets = running_offsets(counts, keys, "_bucket", "_rows", "_before").drop("_rows")
     local = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
-    return (keyed.withColumn("_local", local).join(offsets, [*keys, "_bucket"])
+    return (_same_key(keyed.withColumn("_local", local), offsets, keys, "inner")
             .withColumn(out, (F.col("_before") + F.col("_local")).cast("bigint"))
             .drop("_bucket", "_local", "_before"))
 
@@ -65,7 +74,7 @@ def previous_values(df: DataFrame, keys: Sequence[str], bucket: Column,
         tails = (rows.where(F.col("_more").isNull()).groupBy(*keys, "_bucket")
                  .agg(F.transform(last, lambda s: F.struct(s[value].alias(value))).alias("_tail")))
     carried = _carry(tails, keys, n)
-    joined = rows.drop("_more").join(carried, [*keys, "_bucket"], "left")
+    joined = _same_key(rows.drop("_more"), carried, keys, "left")
     for i in range(1, n + 1):
         # the i-th previous row lies (i - local) rows into the carried tail
         from_tail = F.get(F.col("_carried"), F.lit(i) - F.col("_local"))[value]

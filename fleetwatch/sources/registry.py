@@ -67,9 +67,10 @@ def registry(spark: SparkSession, extra: dict[str, str] | None = None) -> DataFr
 
 
 def typed_attributes(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(id, key, actual) for every attribute of a JSON object column."""
+    """(id, key, actual) for every attribute of a JSON object column; an empty object or
+    invalid JSON gives one row with a null key."""
     v = rows.select(id_col, F.try_parse_json(json_col).alias("_v"))
-    each = v.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+    each = v.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("_v").outer()))
     t = F.schema_of_variant("value")
     actual = (F.when(t == "BOOLEAN", "bool").when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "int")
               .when(t.isin("DOUBLE", "FLOAT") | F.startswith(t, F.lit("DECIMAL")), "double")

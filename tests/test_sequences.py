@@ -15,7 +15,7 @@ def rows():
     out, pos = [], 0
     for _ in range(600):
         pos += rng.choice([0, 1, 1, 2, 300])
-        key = "hot" if rng.random() < 0.4 else f"k{rng.randrange(40)}"
+        key = "hot" if rng.random() < 0.4 else rng.choice([None, *[f"k{i}" for i in range(30)]])
         out.append((key, pos, len(out), rng.randrange(3)))
     return out
 
