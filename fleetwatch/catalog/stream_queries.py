@@ -73,12 +73,13 @@ _ARM = "(i >= 10 AND s2 > 0 AND day >= first_day + 14)"
 
 
 @query("s3_cost_card", f"""
-SELECT agent_id, CAST(day AS VARCHAR) AS day, i AS n, round(mu, 6) AS mu, {_ARM} AS armed,
+SELECT agent_id, CAST(day AS VARCHAR) AS day, i AS n, CASE WHEN {_ARM} THEN round((cost - mu) / sqrt(s2), 4) END AS z, {_ARM} AS armed,
        {_ARM} AND (cost - mu) / sqrt(s2) > 2.5 AND mu > 0 AND cost > 2 * mu AS fired
 FROM {_CARD} JOIN (SELECT agent_id, min(day) AS first_day FROM closed_days GROUP BY 1) USING (agent_id)""", [_CARD])
 def s3(spark, sf):
     return _run(detectors.cost_card(_tasks(spark, sf), 10), spark, "card").select(
-        "agent_id", F.to_date("day").cast("string").alias("day"), "n", r6("mu"), "armed", "fired")
+        "agent_id", F.to_date("day").cast("string").alias("day"), "n",
+        F.when(F.col("armed"), F.round("z", 4)).alias("z"), "armed", "fired")
 
 
 @query("s4_loop_openings", "SELECT * FROM loop_openings", ["loop_openings"])
