@@ -212,7 +212,7 @@ FROM (SELECT severity, count(*) AS n, count(*) FILTER (status = 'open') AS o,
 UNION ALL SELECT 3, row_number() OVER (ORDER BY created_at DESC, alarm_id), alarm_id,
        CAST(evidence_seq AS VARCHAR) || ' ' || coalesce(CAST(evidence_seq_resolved AS VARCHAR), '-') FROM anchors
 UNION ALL SELECT 4, row_number() OVER (ORDER BY cost_usd DESC, agent_id), agent_id, format('{{:.2f}}', cost_usd) || ' ' || CAST(tasks AS VARCHAR) FROM cost_ranking
-UNION ALL SELECT 5, row_number() OVER (ORDER BY f DESC, error_class), error_class, strftime(f, '%Y-%m-%d %H:%M')
+UNION ALL SELECT 5, 0, error_class, strftime(f, '%Y-%m-%d %H:%M')
 FROM (SELECT error_class, min(ts) AS f FROM tasks WHERE error_class IS NOT NULL AND ts >= {AS_OF_SQL} - INTERVAL 7 DAY GROUP BY 1)
 UNION ALL SELECT 6, 1, 'ledger entries', CAST(count(*) AS VARCHAR) FROM ledger
 UNION ALL SELECT 6, 2, 'latest seal seal-' || CAST(c AS VARCHAR), substr(CASE WHEN c % 5 = 1 THEN sha256(h) ELSE h END, 1, 16) || ' ' || CAST(k AS VARCHAR)

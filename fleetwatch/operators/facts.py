@@ -16,7 +16,9 @@ from ..functions.text import canonical_json, classify_error
 from .sequences import previous_values, rank_rows, time_bucket
 from .stats import ewma_card, jsd
 
-SEQUENCE_BUCKET_S = 3600
+# A task's calls lie close together; a template's runs are few keys with many rows.
+SEQUENCE_BUCKET_S = 600
+TEMPLATE_BUCKET_S = 60
 _DAY_S = 86_400
 
 
@@ -170,7 +172,7 @@ def cost_spikes(costs: DataFrame, min_obs: int = R.EWMA_WARMUP,
                         & (F.col("cost") > F.col("mu") * R.COST_MULTIPLE)))
 
 
-def end_state_divergence(tasks: DataFrame, bucket_s: int = SEQUENCE_BUCKET_S) -> DataFrame:
+def end_state_divergence(tasks: DataFrame, bucket_s: int = TEMPLATE_BUCKET_S) -> DataFrame:
     """Runs whose end state differs from the previous run of the same template. Few
     templates carry all runs, so each is cut by time."""
     runs = (tasks.where(F.coalesce(F.length("task_template"), F.lit(0)) > 0)

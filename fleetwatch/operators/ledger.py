@@ -41,9 +41,9 @@ def append(entries: DataFrame, ledger: DataFrame | None = None,
            order: Sequence[str] = ("created_at", "source_id"), bucket: Column | None = None) -> DataFrame:
     """Ledger rows for a batch of (event_type, payload, created_at, source_id).
 
-    ``bucket`` must not decrease along ``order``; hours by default. Give a bucket over
+    ``bucket`` must not decrease along ``order``; minutes by default. Give a bucket over
     the source id when a large batch shares one creation time."""
-    by = bucket if bucket is not None else time_bucket("created_at", 3600)
+    by = bucket if bucket is not None else time_bucket("created_at", 60)
     hashed = entries.select("event_type", "created_at", "source_id",
                             payload_digest(F.col("payload")).alias("payload_hash"))
     keyed = hashed.withColumn("_bucket", by)

@@ -67,7 +67,7 @@ def weekly_digest(alarms: DataFrame, tasks: DataFrame, ledger: DataFrame, seals:
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     drift = drift_items(alarms, as_of, days)
-    # the drift section is not limited, so its order is by key and not by a global rank
+    # sections without a limit carry no global rank, which would order them in one task
     drift = drift.select(F.lit(1).alias("section"), F.lit(0).cast("bigint").alias("rank"),
                          F.concat_ws(" ", "alarm_id", "agent_id").alias("subject"),
                          F.concat_ws(" ", "signal", "severity", text("evidence_seq")).alias("detail"))
@@ -78,9 +78,9 @@ def weekly_digest(alarms: DataFrame, tasks: DataFrame, ledger: DataFrame, seals:
                       F.concat_ws(" ", text("evidence_seq"), text("evidence_seq_resolved")))
     cost = section(cost_ranking(tasks, as_of, days), 4, [F.desc("cost_usd"), F.col("agent_id")],
                    F.col("agent_id"), F.concat_ws(" ", F.format_string("%.2f", "cost_usd"), text("tasks")))
-    classes = section(first_seen_classes(tasks, as_of, days), 5,
-                      [F.desc("first_ts"), F.col("error_class")], F.col("error_class"),
-                      F.date_format("first_ts", "yyyy-MM-dd HH:mm"))
+    classes = first_seen_classes(tasks, as_of, days).select(
+        F.lit(5).alias("section"), F.lit(0).cast("bigint").alias("rank"),
+        F.col("error_class").alias("subject"), F.date_format("first_ts", "yyyy-MM-dd HH:mm").alias("detail"))
     entries = ledger.groupBy().agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(6).alias("section"), F.lit(1).cast("bigint").alias("rank"),
         F.lit("ledger entries").alias("subject"), text("n").alias("detail"))
