@@ -257,14 +257,16 @@ def ewma_sql(source: str, name: str) -> str:
 
 _CARD = ewma_sql("costs", "supp")
 _CARD_TASKS = ewma_sql("daily", "task")
-_CARD_COLS = """agent_id, CAST(day AS VARCHAR) AS day, round(mu, 4) AS mu, round(sqrt(s2), 4) AS sigma,
+_CARD_COLS = """agent_id, CAST(day AS VARCHAR) AS day, i AS n, round(sqrt(s2), 4) AS sigma,
        CASE WHEN {arm} THEN round((cost - mu) / sqrt(s2), 4) END AS z, {arm} AS armed,
        {arm} AND (cost - mu) / sqrt(s2) > 2.5 AS alarm"""
 
 
 def _card(df):
+    """The early means have few decimals and sit on rounding ties; z and sigma, which are
+    built from them, do not."""
     return df.select("agent_id", F.col("day").cast("string").alias("day"),
-                     F.round("mu", 4).alias("mu"), F.round("sigma", 4).alias("sigma"),
+                     "n", F.round("sigma", 4).alias("sigma"),
                      F.round("z", 4).alias("z"), "armed", "alarm")
 
 
