@@ -72,7 +72,7 @@ def x6_slow(spark, sf):
 
 
 _MAD_SQL = """
-SELECT event_id, agent_id, round(0.6745 * (CAST({v} AS DOUBLE) - m) / nullif(mad, 0), 6) AS robust_z,
+SELECT event_id, agent_id, round(0.6745 * (CAST({v} AS DOUBLE) - m) / nullif(mad, 0), 9) AS robust_z,
        coalesce(abs(0.6745 * (CAST({v} AS DOUBLE) - m) / nullif(mad, 0)) > 3, FALSE) AS alarm
 FROM tasks JOIN (SELECT agent_id, median(abs(CAST({v} AS DOUBLE) - m)) AS mad, any_value(m) AS m FROM tasks
   JOIN (SELECT agent_id, median(CAST({v} AS DOUBLE)) AS m FROM tasks GROUP BY 1) USING (agent_id) GROUP BY 1) USING (agent_id)"""
@@ -80,12 +80,12 @@ FROM tasks JOIN (SELECT agent_id, median(abs(CAST({v} AS DOUBLE) - m)) AS mad, a
 
 @query("x6_cost_outliers", _MAD_SQL.format(v="cost_usd"), ["tasks"])
 def x6_cost(spark, sf):
-    return rel.task_outliers(A.task_events(spark, sf), "cost_usd").select("event_id", "agent_id", r6("robust_z"), "alarm")
+    return rel.task_outliers(A.task_events(spark, sf), "cost_usd").select("event_id", "agent_id", F.round("robust_z", 9).alias("robust_z"), "alarm")
 
 
 @query("x6_latency_outliers", _MAD_SQL.format(v="latency_ms"), ["tasks"])
 def x6_latency(spark, sf):
-    return rel.task_outliers(A.task_events(spark, sf), "latency_ms").select("event_id", "agent_id", r6("robust_z"), "alarm")
+    return rel.task_outliers(A.task_events(spark, sf), "latency_ms").select("event_id", "agent_id", F.round("robust_z", 9).alias("robust_z"), "alarm")
 
 
 @query("x6_first_token_card", """
@@ -134,7 +134,7 @@ def x8(spark, sf):
 
 
 @query("x9_baselines", """
-SELECT agent_id, round(avg(CAST(cost_usd AS DOUBLE)), 4) AS mean_cost_usd, quantile_disc(latency_ms, 0.95) AS p95_latency_ms,
+SELECT agent_id, round(avg(CAST(cost_usd AS DOUBLE)), 8) AS mean_cost_usd, quantile_disc(latency_ms, 0.95) AS p95_latency_ms,
        round(any_value(mad), 6) AS mad_cost_usd, any_value(tools) AS tools
 FROM tasks JOIN (SELECT agent_id, median(abs(CAST(cost_usd AS DOUBLE) - m)) AS mad FROM tasks
   JOIN (SELECT agent_id, median(CAST(cost_usd AS DOUBLE)) AS m FROM tasks GROUP BY 1) USING (agent_id) GROUP BY 1) USING (agent_id)
@@ -143,5 +143,5 @@ GROUP BY 1""", ["tasks", "guards"])
 def x9(spark, sf):
     t = A.task_events(spark, sf)
     return rel.baselines(t, A.guard_events(spark, sf), facts.daily_cost(t), calibration(spark, sf)).select(
-        "agent_id", F.round("mean_cost_usd", 4).alias("mean_cost_usd"), "p95_latency_ms", r6("mad_cost_usd"),
+        "agent_id", F.round("mean_cost_usd", 8).alias("mean_cost_usd"), "p95_latency_ms", r6("mad_cost_usd"),
         F.size("tool_mix").cast("bigint").alias("tools"))
