@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fleetwatch import catalog
 from tools.check_sql import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -19,10 +20,11 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.oracles())
+    assert set(catalog.QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
     cur = con.execute(entry.oracle_sql()[name])
