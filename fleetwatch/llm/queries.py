@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, langid, warc
+from . import chat, decontamination, langid, simhash, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ FROM tok LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.drop("text_hash", "item_ids")
+
+
+@query("op1_simhash_groups")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
