@@ -59,11 +59,11 @@ def paths(nodes: DataFrame, keep: int | None = 1) -> DataFrame:
         s = levels[-1]
         up = s.select("tree", F.col("node").alias("at"), F.col("jump").alias("next"), F.col("dist").alias("more"),
                       F.col("total").alias("plus"))
-        levels.append(stored(
-            s.alias("a").join(up.alias("b"), _same("a", "b", ("jump", "at")), "left")
-            .select("a.tree", "a.node", F.col("b.next").alias("jump"),
-                    (F.col("a.dist") + F.coalesce("b.more", F.lit(0))).alias("dist"),
-                    (F.col("a.total") + F.coalesce("b.plus", F.lit(0.0))).alias("total")), "chat-level"))
+        # a node that has met its root is done; only the others are joined again
+        onward = (s.where("jump IS NOT NULL").alias("a").join(up.alias("b"), _same("a", "b", ("jump", "at")))
+                  .select("a.tree", "a.node", F.col("b.next").alias("jump"), (F.col("a.dist") + F.col("b.more")).alias("dist"),
+                          (F.col("a.total") + F.col("b.plus")).alias("total")))
+        levels.append(stored(s.where("jump IS NULL").unionByName(onward), "chat-level"))
     parents = levels[0].where("jump IS NOT NULL").select("tree", F.col("jump").alias("node")).distinct()
     leaves = (levels[-1].where("jump IS NULL").alias("a")
               .join(parents.alias("b"), _same("a", "b", ("node", "node")), "left_anti"))
