@@ -144,9 +144,6 @@ class Transducer:
         self.pairs: dict[int, bool] = {}
         self.paths = _Paths(self.shortest_path)
 
-    def __reduce__(self):  # caches stay behind
-        return Transducer, (self.model,)
-
     @staticmethod
     def _surface(piece: str, kind: int) -> bytes:
         if kind == BYTE:
@@ -262,19 +259,29 @@ class Transducer:
         return out.decode("utf-8", "replace")
 
 
-def load(path: str = MODEL) -> Transducer:
-    with open(path, "rb") as f:
-        return Transducer(Model.parse(f.read()))
+def load(model: str | bytes = MODEL) -> Transducer:
+    """The transducer of a model file, given by its path or its content."""
+    return Transducer(Model.parse(_content(model)))
+
+
+def _content(model: str | bytes) -> bytes:
+    if isinstance(model, bytes):
+        return model
+    with open(model, "rb") as f:
+        return f.read()
 
 
-def tokenize(docs: DataFrame, model: str | Transducer = MODEL) -> DataFrame:
+def tokenize(docs: DataFrame, model: str | bytes = MODEL) -> DataFrame:
     """One row per document: token_ids, n_tokens, n_byte_tokens and decoded, the text decoded
-    from the tokens. The model (its size is that of the file) is read once and broadcast."""
-    transducer = load(model) if isinstance(model, str) else model
-    shared = docs.sparkSession.sparkContext.broadcast(transducer)
+    from the tokens. The model file is read on the driver and broadcast as it is; each Python
+    worker compiles it once and keeps it with the broadcast value."""
+    shared = docs.sparkSession.sparkContext.broadcast({"model": _content(model)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
+        own = shared.value
+        if "compiled" not in own:
+            own["compiled"] = load(own["model"])
+        t = own["compiled"]
         is_byte = np.zeros(len(t.model.pieces), bool)
         is_byte[list(t.bytes.values())] = True
         for batch in batches:
@@ -296,7 +303,7 @@ def tokenize(docs: DataFrame, model: str | Transducer = MODEL) -> DataFrame:
         run, "doc_id long, token_ids array<int>, n_tokens long, n_byte_tokens long, decoded string")
 
 
-def report(docs: DataFrame, model: str | Transducer = MODEL) -> DataFrame:
+def report(docs: DataFrame, model: str | bytes = MODEL) -> DataFrame:
     """Tokens of every document and the digest of the text they decode to."""
     return tokenize(docs, model).select("doc_id", "n_tokens", "n_byte_tokens", "token_ids",
                                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
