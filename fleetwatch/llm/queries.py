@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, langid, pieces, simhash, warc
+from . import chat, decontamination, langid, lines, pieces, simhash, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,25 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_sentencepiece")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_line_dedup", """
+WITH l AS (SELECT doc_id, pos - 1 AS pos, lines[pos] AS line FROM (
+             SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos
+             FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
+w AS (SELECT * FROM l WHERE trim(line) <> ''),
+d AS (SELECT line, length(line) AS n, min((doc_id, pos)) AS place FROM w GROUP BY line),
+k AS (SELECT line, n, place, unnest(list_distinct([(true, n // 2, left(line, n // 2)), (true, (n - 1) // 2, left(line, (n - 1) // 2)),
+        (false, n // 2, right(line, n // 2)), (false, (n - 1) // 2, right(line, (n - 1) // 2))])) AS key FROM d WHERE n >= 16),
+near AS (SELECT DISTINCT a.line FROM k a JOIN k b ON a.key = b.key AND a.line <> b.line AND b.place < a.place AND abs(a.n - b.n) <= 1
+         WHERE CASE WHEN a.n = b.n THEN len(list_filter(range(1, a.n + 1), lambda i: a.line[i] <> b.line[i])) = 1
+                    WHEN a.n > b.n THEN len(list_filter(range(1, a.n + 1), lambda i: left(a.line, i - 1) || substr(a.line, i + 1) = b.line)) > 0
+                    ELSE len(list_filter(range(1, b.n + 1), lambda i: left(b.line, i - 1) || substr(b.line, i + 1) = a.line)) > 0 END),
+f AS (SELECT l.doc_id, l.pos, l.line, coalesce(near.line IS NOT NULL, false) AS near,
+             d.line IS NOT NULL AND ((l.doc_id, l.pos) <> d.place OR near.line IS NOT NULL) AS gone
+      FROM l LEFT JOIN d USING (line) LEFT JOIN near ON near.line = l.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, count(*) FILTER (gone AND near) AS n_near,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256
+FROM f GROUP BY doc_id""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
