@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, langid, lines, pieces, simhash, warc
+from . import chat, decontamination, langid, lines, neighbours, pieces, simhash, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,8 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, count(*
 FROM f GROUP BY doc_id""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_nearest_neighbours")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
