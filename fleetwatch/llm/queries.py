@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import (chat, decontamination, langid, lines, neighbours, pieces, quality, simhash, toxicity,
                warc)
 from .common import stored, table
@@ -139,3 +141,6 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_toxicity")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run

@@ -1,8 +1,10 @@
 """Operator 9: toxicity by a chain of linear classifiers.
 
-Words (lower-cased runs of letters and digits) are hashed into ``BUCKETS`` columns; a text is the vector of
-the square roots of its word shares, so its length does not matter. The categories form a
-chain: each has a logistic model over the words and the log odds of all earlier categories. While
+Words (lower-cased runs of letters and digits) and the first ``STEM`` bytes of longer words are
+hashed into ``BUCKETS`` columns, so that unseen forms of a word share its stem's weight; a text is
+the vector of the square roots of their shares, so its length matters little, beside a few
+shares of character classes and repetition. The categories form a chain: each has a logistic
+model over these and the log odds of all earlier categories. While
 learning, those come from models that have not seen the document (``FOLDS`` folds); while
 scoring, from the models before it in the chain.
 
@@ -10,8 +12,9 @@ The label table names one toxicity category and whether a text is junk; the regi
 ``poor`` (quality 0), then ``toxic``. The operator takes any list of 0/1 columns.
 
 The chain is fitted on a sample of at most about ``LEARN`` documents per combination of labels (by
-hash of the id, weighted back to the shares of all labelled rows). Its word counts come from
-Spark tasks; each model has BUCKETS weights and is broadcast. Scoring covers whole texts.
+hash of the id, weighted back to the shares of all labelled rows). Its features come from
+Spark tasks, columns of fewer than ``LEAST_DOCS`` of its documents (a twentieth of a small sample)
+get no weight; each model has BUCKETS weights and is broadcast. Scoring covers whole texts.
 
 Defined cases: a null or empty text has no words and gets the score of the constant; null labels
 and values other than 0 and 1 are not learned from; several labels of one id are samples of their
@@ -30,19 +33,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .decontamination import words
+from .quality import WIDTH, describe
 
 BUCKETS = 1 << 18
+STEM = 4
+LEAST_DOCS = 10
 LEARN = 2500
 FOLDS = 4
-ROUNDS, STEP, RIDGE = 120, 0.5, 1e-6
-THRESHOLD = 0.5
+ROUNDS, STEP, RIDGE = 150, 0.5, 1e-5
+THRESHOLD = 0.3
 ROWS = 512
 
 
 def word_shares(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and square roots of word shares."""
+    """Columns and square roots of the shares of words and stems."""
     own = words(text)
-    columns, counts = np.unique(np.fromiter(map(crc32, own), np.uint32, len(own)) % BUCKETS, return_counts=True)
+    marks = own + [b"^" + w[:STEM] for w in own if len(w) > STEM]
+    columns, counts = np.unique(np.fromiter(map(crc32, marks), np.uint32, len(marks)) % BUCKETS, return_counts=True)
     return columns.astype(np.int32), np.sqrt(counts / max(1, len(own)))
 
 
@@ -95,9 +102,16 @@ def _log_odds(rows: Rows, extra: np.ndarray, model: tuple[np.ndarray, np.ndarray
     return np.clip(rows.dot(w) + extra @ v[:-1] + v[-1], -30, 30)
 
 
-def fit_chain(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, importance: np.ndarray):
-    """One model per column of ``y``; the earlier categories' log odds are out of fold."""
-    extra, models, fold = np.zeros((len(rows), 0)), [], np.arange(len(rows)) % FOLDS
+def _scaled(style: np.ndarray, scale: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return (style - scale[0]) / scale[1] / np.sqrt(WIDTH)
+
+
+def fit_chain(rows: list[tuple[np.ndarray, np.ndarray]], style: np.ndarray, y: np.ndarray, importance: np.ndarray):
+    """Scale of the style columns and one model per column of ``y``; the earlier categories'
+    log odds are out of fold."""
+    std = style.std(axis=0)
+    scale = style.mean(axis=0), np.where(std > 1e-9, std, 1.0)
+    extra, models, fold = _scaled(style, scale), [], np.arange(len(rows)) % FOLDS
     every = Rows(rows)
     for k in range(y.shape[1]):
         models.append(fit_linear(every, extra, y[:, k], importance))
@@ -110,14 +124,19 @@ def fit_chain(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, importan
                 part = fit_linear(Rows([rows[i] for i in inside]), extra[inside], y[inside, k], importance[inside])
                 unseen[outside] = _log_odds(Rows([rows[i] for i in outside]), extra[outside], part)
         extra = np.concatenate([extra, unseen[:, None]], axis=1)
-    return models
+    return scale, models
 
 
-def run_chain(models, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    every, extra = Rows(rows), np.zeros((len(rows), 0))
+def run_chain(chain, rows: list[tuple[np.ndarray, np.ndarray]], style: np.ndarray) -> np.ndarray:
+    scale, models = chain
+    every, extra = Rows(rows), _scaled(style, scale)
     for model in models:
         extra = np.concatenate([extra, _log_odds(every, extra, model)[:, None]], axis=1)
-    return _sigmoid(extra)
+    return _sigmoid(extra[:, WIDTH:])
+
+
+def _style(text: bytes | None) -> np.ndarray:
+    return describe(text.split() if text else [])
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]):
@@ -137,19 +156,23 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [word_shares(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([c.tobytes() for c, _ in got], pa.binary()),
-                 pa.array([v.astype(np.float32).tobytes() for _, v in got], pa.binary())], ["doc_id", "kind", "c", "v"])
-
-    got = rows.mapInArrow(run, "doc_id long, kind string, c binary, v binary").toPandas().sort_values(["doc_id", "kind"])
+            texts = [t.as_py() for t in batch.column(2)]
+            got = [word_shares(t) for t in texts]
+            blobs = ([c.tobytes() for c, _ in got], [v.astype(np.float32).tobytes() for _, v in got],
+                     [_style(t).tobytes() for t in texts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(b, pa.binary()) for b in blobs]],
+                                             ["doc_id", "kind", "c", "v", "style"])
+
+    got = rows.mapInArrow(run, "doc_id long, kind string, c binary, v binary, style binary").toPandas().sort_values(["doc_id", "kind"])
     if got.empty:
         return None
     kinds = got["kind"].to_numpy()
     y = np.array([[int(b) for b in k] for k in kinds], float)
     importance = np.array([count[k] for k in kinds]) / np.array([(kinds == k).sum() for k in kinds])
     pairs = [(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32).astype(float)) for c, v in zip(got["c"], got["v"])]
-    return fit_chain(pairs, y, importance)
+    common = np.bincount(np.concatenate([c for c, _ in pairs]), minlength=BUCKETS) >= min(LEAST_DOCS, len(pairs) // 20 + 1)
+    style = np.array([np.frombuffer(b, float) for b in got["style"]])
+    return fit_chain([(c[common[c]], v[common[c]]) for c, v in pairs], style, y, importance)
 
 
 def score(docs: DataFrame, models, names: list[str]) -> DataFrame:
@@ -164,7 +187,8 @@ def score(docs: DataFrame, models, names: list[str]) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
-                p = run_chain(models, [word_shares(t.as_py()) for t in part.column(1)])
+                texts = [t.as_py() for t in part.column(1)]
+                p = run_chain(models, [word_shares(t) for t in texts], np.array([_style(t) for t in texts]))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(p[:, j]) for j in range(len(columns))]], ["doc_id", *columns])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
