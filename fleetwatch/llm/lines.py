@@ -26,7 +26,7 @@ blank (the pipeline stage removes it); an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import sha256_hex, stored
@@ -37,33 +37,42 @@ SHORT = 16
 BROADCAST_ROWS = 500_000
 
 
-def _half_keys(line: Column, n: Column) -> Column:
-    def keys(p: Column) -> list[Column]:
-        return [F.xxhash64(F.lit("first"), p, F.substring(line, F.lit(1), p)),
-                F.xxhash64(F.lit("last"), p, F.substring(line, n - p + 1, p))]
+HALVES = ("first_low", "last_low", "first_high", "last_high")
+
+
+def _half_keys(line: Column, n: Column) -> list[Column]:
+    """Hashes of the first and last half; lines of even length have two half lengths."""
     low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    first, last = zip(keys(low), keys(high))
-    return F.struct(F.array(*first).alias("first"), F.array(*last).alias("last"))
+    keys = [F.xxhash64(F.lit(side), p, F.substring(line, at, p))
+            for p in (low, high) for side, at in (("first", F.lit(1)), ("last", n - p + 1))]
+    return [F.when((n >= SHORT) & ((low != high) | F.lit(i < 2)), k).alias(name)
+            for i, (k, name) in enumerate(zip(keys, HALVES))]
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, at, digest, lid, n, halves) of every line that is not blank."""
+    """(doc_id, th, at, digest, lid, n, half hashes) of every line that is not blank."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     lines = lines.where(F.trim("line") != "").withColumn("n", F.char_length("line"))
-    halves = F.when(F.col("n") >= SHORT, _half_keys(F.col("line"), F.col("n")))
     return lines.select("doc_id", "th", "at", F.unhex(F.md5("line")).alias("digest"), F.xxhash64("line").alias("lid"),
-                        "n", halves.alias("halves"))
+                        "n", *_half_keys(F.col("line"), F.col("n")))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The variants whose key more than one line has. Distinct lines that become equal by one
+    deletion are few: no more than places times characters."""
+    w = Window.partitionBy("key")
+    return (rows.withColumns({"low": F.min("lid").over(w), "high": F.max("lid").over(w)})
+            .where(F.col("low") != F.col("high")).drop("low", "high"))
 
 
-def _candidates(lines: DataFrame) -> DataFrame:
+def _candidates(distinct: DataFrame) -> DataFrame:
     """(lid, edit_late, edit_early): lines that share their first half (so the edit is late) or
     their last half with another line."""
-    keys = lines.where("halves IS NOT NULL").select("lid", "halves").distinct()
-    late = keys.select("lid", F.explode(F.array_distinct("halves.first")).alias("key"), F.lit(True).alias("late"))
-    early = keys.select("lid", F.explode(F.array_distinct("halves.last")).alias("key"), F.lit(False).alias("late"))
-    keys = late.unionByName(early)
-    common = (keys.groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("b"))
-              .where(F.col("a") != F.col("b")).select("key"))
+    keys = [F.struct(F.col(h).alias("key"), F.lit(h.startswith("first")).alias("late")) for h in HALVES]
+    keys = distinct.select("lid", F.explode(F.array(*keys)).alias("k")).select("lid", "k.key", "k.late").where("key IS NOT NULL")
+    # any number of lines may begin alike: sums per key and a join that can be split, no window
+    common = (keys.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high"))
+              .where(F.col("low") != F.col("high")).select("key"))
     return (keys.join(common, "key", "left_semi").groupBy("lid")
             .agg(F.max("late").alias("edit_late"), F.max(~F.col("late")).alias("edit_early")))
 
@@ -83,8 +92,8 @@ def _with_text(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(key, gone, lid, place): the hashed deletion neighbourhood; ``gone`` is the deleted
-    position, 0 for the line itself."""
+    """(key, gone, lid): the hashed deletion neighbourhood; ``gone`` is the deleted position, 0
+    for the line itself."""
     n = F.char_length("line")
     blocks = F.transform(F.sequence(F.lit(0), F.floor(n / BLOCK).cast("int")), lambda i: F.struct(
         i.alias("i"), F.xxhash64(F.substring(F.col("line"), F.lit(1), i * BLOCK)).alias("before"),
@@ -92,22 +101,21 @@ def variants(lines: DataFrame) -> DataFrame:
         F.xxhash64(F.substring(F.col("line"), (i + 1) * BLOCK + 1, n)).alias("after"),
         F.substring(F.col("line"), i * BLOCK + 1, F.lit(BLOCK - 1)).alias("own"),
         F.xxhash64(F.substring(F.col("line"), (i + 1) * BLOCK, n)).alias("own_after")))
-    cut = lines.select("lid", "place", "edit_late", "edit_early", n.alias("n"), F.explode(blocks).alias("b"))
-    itself = cut.select(F.xxhash64("b.i", "b.before", "b.own", "b.own_after").alias("key"), F.lit(0).alias("gone"),
-                        "lid", "place")
+    cut = lines.select("lid", "edit_late", "edit_early", n.alias("n"), F.explode(blocks).alias("b"))
+    itself = cut.select(F.xxhash64("b.i", "b.before", "b.own", "b.own_after").alias("key"), F.lit(0).alias("gone"), "lid")
     size = F.char_length("b.here")
     without = (cut.where(size > 0)
-               .select("lid", "place", "edit_late", "edit_early", "n", "b", F.explode(F.sequence(F.lit(1), size)).alias("j"))
+               .select("lid", "edit_late", "edit_early", "n", "b", F.explode(F.sequence(F.lit(1), size)).alias("j"))
                .withColumn("gone", F.col("b.i") * BLOCK + F.col("j"))
                .where((F.col("edit_late") & (F.col("gone") > F.floor((F.col("n") - 1) / 2)))
                       | (F.col("edit_early") & (F.col("gone") <= F.floor(F.col("n") / 2) + 1))))
     rest = F.concat(F.substring(F.col("b.here"), F.lit(1), F.col("j") - 1), F.substring(F.col("b.here"), F.col("j") + 1, F.lit(BLOCK)))
-    return itself.unionByName(without.select(F.xxhash64("b.i", "b.before", rest, "b.after").alias("key"), "gone", "lid", "place"))
+    return itself.unionByName(without.select(F.xxhash64("b.i", "b.before", rest, "b.after").alias("key"), "gone", "lid"))
 
 
 def near_links(lines: DataFrame) -> DataFrame:
     """(lid, place, lead_lid, lead_place), unverified: a line and an earlier one."""
-    v = stored(variants(lines), "variants")
+    v = stored(_shared(variants(lines)).join(lines.select("lid", "place"), "lid"), "variants")
     less, whole = v.where("gone > 0"), v.where("gone = 0")
     leads = (less.groupBy("key", "gone").agg(F.min(F.struct("place", "lid")).alias("lead"), F.count("*").alias("n"))
              .where("n > 1").select("key", "gone", "lead"))
@@ -126,9 +134,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     for a near copy."""
     lines = stored(places(docs), "lines")
     place = F.struct("doc_id", "th", "at")
-    distinct = stored(lines.groupBy("digest", "lid", "n").agg(
+    distinct = stored(lines.groupBy("digest", "lid", "n", *HALVES).agg(
         F.min(place).alias("place"), F.max(place).alias("last_place")), "distinct-lines")
-    cands = _candidates(lines)
+    cands = _candidates(distinct)
     texts = stored(_with_text(docs, distinct.where(F.col("n") >= SHORT).join(cands, "lid")
                               .select("lid", "edit_late", "edit_early", "place")), "line-texts")
     short = texts.select("lid", "place", "line")
@@ -140,11 +148,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     fate = (distinct.join(near, ["lid", "place"], "left")
             .where((F.col("place") != F.col("last_place")) | F.col("near"))
             .select("digest", "place", F.coalesce("near", F.lit(False)).alias("near")))
-    gone = (lines.select("digest", "doc_id", "th", "at").distinct().join(fate, "digest")
+    gone = (lines.select("digest", "doc_id", "th", "at").join(fate, "digest")
             .withColumn("first", F.struct("doc_id", "th", "at") == F.col("place"))
             .where(F.col("near") | ~F.col("first")))
-    return gone.groupBy("doc_id", "th").agg(F.collect_list("at").alias("gone"),
-                                            F.count_if(F.col("near")).alias("n_near"))
+    # sets, because repeated rows name their places more than once
+    return gone.groupBy("doc_id", "th").agg(F.collect_set("at").alias("gone"),
+                                            F.size(F.collect_set(F.when(F.col("near"), F.col("at")))).alias("n_near"))
 
 
 def rewrite(docs: DataFrame) -> DataFrame:
