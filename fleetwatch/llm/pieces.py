@@ -101,15 +101,17 @@ class Model:
 
 
 class _Paths(dict):
-    """Token bytes of recent chunks."""
+    """Token bytes of recent chunks. When full, the entries become the old generation, from which
+    those still in use are taken back."""
 
     def __init__(self, solve) -> None:
-        self.solve = solve
+        self.solve, self.old = solve, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = array("i", self.solve(chunk)).tobytes()
+        ids = self.old.get(chunk) or array("i", self.solve(chunk)).tobytes()
         if len(chunk) <= SHORT:
             if len(self) >= CACHE:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
@@ -194,50 +196,59 @@ class Transducer:
 
     def shortest_path(self, chunk: str) -> list[int]:
         """Tropical shortest path through the transducer composed with ``chunk``."""
-        arcs, bpe, n = self.arcs, self.model.kind == BPE, len(chunk)
-        # per position: last piece -> (weight, start, piece before); -1 stands for no piece
-        states: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
-        states[0][-1] = (0.0, -1, -1)
+        return self._weighed(chunk) if self.model.kind == UNIGRAM else self._admitted(chunk)
+
+    def _admitted(self, chunk: str) -> list[int]:
+        """BPE: all admitted arcs weigh nothing and each position has one admitted last piece,
+        so the first way to reach it is the best."""
+        arc, pair, compatible, n = self.arcs.get, self.pairs.get, self.compatible, len(chunk)
+        last, came = [None] * (n + 1), [0] * (n + 1)
+        last[0] = -1
         for i in range(n):
-            here = states[i]
-            if not here:
+            before = last[i]
+            if before is None:
                 continue
-            single = arcs.get(chunk[i], -1) >= 0
-            stop = i
-            while stop < n:
-                stop += 1
+            for stop in range(i + 1, n + 1):
+                piece = arc(chunk[i:stop])
+                if piece is None:
+                    break
+                if piece >= 0 and last[stop] is None:
+                    ok = before < 0 or pair(before << 24 | piece)
+                    if ok is None:
+                        ok = compatible(before, piece)
+                    if ok:
+                        last[stop], came[stop] = piece, i
+            if last[i + 1] is None and arc(chunk[i], -1) < 0:  # no piece has this character
+                last[i + 1], came[i + 1] = -1, i
+        out, at = [], n
+        while at > 0:
+            out.append([last[at]] if last[at] >= 0 else self._fallback(chunk[at - 1]))
+            at = came[at]
+        return [x for part in reversed(out) for x in part]
+
+    def _fallback(self, c: str) -> list[int]:
+        return [self.bytes[b] for b in c.encode("utf-8", "replace")] if self.model.byte_fallback else [self.unknown]
+
+    def _weighed(self, chunk: str) -> list[int]:
+        arcs, n = self.arcs, len(chunk)
+        # per position: (weight, piece or -1 for a character without piece, start)
+        best: list[tuple[float, int, int] | None] = [None] * (n + 1)
+        best[0] = (0.0, -1, 0)
+        for i in range(n):
+            weight = best[i][0]
+            for stop in range(i + 1, n + 1):
                 piece = arcs.get(chunk[i:stop])
                 if piece is None:
                     break
-                if piece < 0:
-                    continue
-                for last, (weight, _, _) in here.items():
-                    if bpe:
-                        if last >= 0 and not self.compatible(last, piece):
-                            continue
-                    else:
-                        weight += self.cost[piece]
-                    known = states[stop].get(piece if bpe else -1)
-                    if known is None or weight < known[0]:
-                        states[stop][piece if bpe else -1] = (weight, i, last if bpe else piece)
-            if not single:
-                last, (weight, _, _) = min(here.items(), key=lambda x: x[1][0])
-                weight += self.unknown_cost
-                known = states[i + 1].get(-1)
-                if known is None or weight < known[0]:
-                    states[i + 1][-1] = (weight, i, last if bpe else -2)
-        out: list[list[int]] = []
-        at, last = n, min(states[n], key=lambda s: states[n][s][0])
+                if piece >= 0 and (best[stop] is None or weight + self.cost[piece] < best[stop][0]):
+                    best[stop] = (weight + self.cost[piece], piece, i)
+            if arcs.get(chunk[i], -1) < 0 and (best[i + 1] is None or weight + self.unknown_cost < best[i + 1][0]):
+                best[i + 1] = (weight + self.unknown_cost, -1, i)
+        out, at = [], n
         while at > 0:
-            _, start, other = states[at][last]
-            piece, before = (last, other) if bpe else (other, -1)
-            if piece >= 0:
-                out.append([piece])
-            elif self.model.byte_fallback:
-                out.append([self.bytes[b] for b in chunk[start].encode()])
-            elif not out or out[-1] != [self.unknown]:  # a run of unknown characters is one token
-                out.append([self.unknown])
-            at, last = start, before
+            _, piece, start = best[at]
+            out.append([piece] if piece >= 0 else self._fallback(chunk[start]))
+            at = start
         return [x for part in reversed(out) for x in part]
 
     def encode(self, text: str) -> np.ndarray:
@@ -250,7 +261,10 @@ class Transducer:
                 blobs.append(array("i", [p]).tobytes())
             else:
                 blobs += map(self.paths.__getitem__, self.chunks.findall(p))
-        return np.frombuffer(b"".join(blobs), np.int32)
+        ids = np.frombuffer(b"".join(blobs), np.int32)
+        if not self.model.byte_fallback:  # a run of unknown characters is one token
+            ids = ids[(ids != self.unknown) | (np.diff(ids, prepend=-1) != 0)]
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.surface.__getitem__, ids))
