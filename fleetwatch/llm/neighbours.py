@@ -37,11 +37,12 @@ MAX_LISTS = 1024
 REPLICAS = 4
 BOUNDARY = 0.15
 PRUNE = 0.15
-MIN_LISTS = 8
-SHARE = 4
+MIN_LISTS = 12
+SHARE = 5
 DEGREE = 24
 PART = 1024
 QUERIES = 256
+HELD = 1_000_000
 
 
 def usable(v: Column) -> Column:
@@ -150,23 +151,30 @@ def _packed(rows: DataFrame, sizes: dict[int, int], most: int) -> DataFrame:
             .select("list", F.col("p.id").alias("ids"), F.col("p.vec").alias("vecs")))
 
 
+def _top(who: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
+    """The k best candidates per query, an id once with its best score, ties to smaller ids."""
+    order = np.lexsort((ids, -score, who))
+    who, ids, score = who[order], ids[order], score[order]
+    pairs = np.lexsort((np.arange(len(who)), ids, who))
+    again = np.zeros(len(who), bool)
+    again[pairs[1:]] = (who[pairs[1:]] == who[pairs[:-1]]) & (ids[pairs[1:]] == ids[pairs[:-1]])
+    who, ids, score = who[~again], ids[~again], score[~again]
+    keep = np.arange(len(who)) - np.searchsorted(who, who, "left") < k
+    return who[keep], ids[keep], score[keep]
+
+
 def _best(ids: np.ndarray, v: np.ndarray, who: np.ndarray, q: np.ndarray, k: int):
-    """Per query the k best of one part, exact ties by id: (query, id, score) arrays."""
+    """Per query the k best of one part: (query, id, score) arrays. The matrix product finds
+    what may be among them, the score is computed pair by pair."""
     s = q @ v.T
     s[who[:, None] == ids[None, :]] = -np.inf
-    if len(ids) > k:
+    near = s > -np.inf
+    if len(ids) > k and len(np.unique(ids)) == len(ids):
         bar = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
-        near = s >= (bar - 1e-9 * np.maximum(1, np.abs(bar)))[:, None]
-        near &= s > -np.inf
-    else:
-        near = s > -np.inf
+        near &= s >= (bar - 1e-9 * np.maximum(1, np.abs(bar)))[:, None]
     i, j = np.nonzero(near)
     score = np.concatenate([(q[i[a:a + 16384]] * v[j[a:a + 16384]]).sum(axis=1) for a in range(0, max(1, len(i)), 16384)])
-    order = np.lexsort((ids[j], -score, i))
-    i, j, score = i[order], j[order], score[order]
-    first = np.searchsorted(i, i, "left")
-    keep = np.arange(len(i)) - first < k
-    return who[i[keep]], ids[j[keep]], score[keep]
+    return _top(who[i], ids[j], score, k)
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -223,12 +231,26 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     pairs = left.join(_packed(postings, sizes, PART), "list").select("who", "q", "ids", "vecs")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Results of the lists that one task reads are merged per query, up to HELD at a time."""
         unpack = lambda col: np.frombuffer(b"".join(col.as_py()), float).reshape(-1, dim)
+        held, size = [], 0
+
+        def merged():
+            return _top(*[np.concatenate(c) for c in zip(*held)], k)
+
         for batch in batches:
             for i in range(batch.num_rows):
                 who, q, ids, v = (col[i] for col in batch.columns)
-                found = _best(np.array(ids.as_py()), unpack(v), np.array(who.as_py()), unpack(q), k)
-                yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], ["query_id", "vec_id", "score"])
+                held.append(_best(np.array(ids.as_py()), unpack(v), np.array(who.as_py()), unpack(q), k))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(f) for f in held[0]], ["query_id", "vec_id", "score"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(f) for f in merged()], ["query_id", "vec_id", "score"])
 
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return (pairs.mapInArrow(score, "query_id long, vec_id long, score double")
