@@ -170,10 +170,13 @@ cte("sug_steps", ["sug_window", "sug_task_window"], """
   UNION ALL
   SELECT f.alarm_id, f.error_class || ' on ' || f.task_id || ' (' || strftime(f.ts, '%Y-%m-%d %H:%M:%S') || ')', 0.75,
          'first error ''' || f.error_class || ''' on task ' || f.task_id
-         || coalesce('; same-session partner: ' || CASE WHEN lo <> who THEN lo WHEN hi <> who THEN hi END, '')
+         || coalesce('; same-session partner: ' || o.partner, '')
   FROM (SELECT * FROM sug_task_window WHERE signal LIKE 'error.%' AND status = 'error'
         QUALIFY row_number() OVER (PARTITION BY alarm_id ORDER BY ts, event_id) = 1) f
-  JOIN (SELECT session_id, min(agent_id) AS lo, max(agent_id) AS hi FROM tasks GROUP BY 1) USING (session_id)
+  LEFT JOIN (SELECT x.alarm_id, min(t.agent_id) AS partner
+             FROM (SELECT alarm_id, who, session_id FROM sug_task_window WHERE signal LIKE 'error.%' AND status = 'error'
+                   QUALIFY row_number() OVER (PARTITION BY alarm_id ORDER BY ts, event_id) = 1) x
+             JOIN tasks t ON t.session_id = x.session_id AND t.agent_id <> x.who GROUP BY 1) o ON o.alarm_id = f.alarm_id
   UNION ALL
   SELECT alarm_id, CASE WHEN signal LIKE 'permission%' THEN 'denied tool ''' ELSE 'pivot onto ''' END || tool_name || ''' (' || CAST(c AS VARCHAR) || 'x in 24h)',
          CASE WHEN signal LIKE 'permission%' THEN 0.80 ELSE 0.70 END,

@@ -59,8 +59,11 @@ def raise_alarms(mapped: DataFrame, as_of: Column, existing: DataFrame | None =
     rows = (mapped.where(~F.col("suppressed"))
             .where(F.col("event_type").isin("escalation", "report_item"))
             .withColumn("created_at", as_of)
-            .withColumn("alarm_id", alarm_id(F.col("agent_id"), F.col("signal"), F.col("created_at")))
-            .dropDuplicates(["alarm_id"]))
+            .withColumn("alarm_id", alarm_id(F.col("agent_id"), F.col("signal"), F.col("created_at"))))
+    # of equal keys the earliest row wins, then the smallest value: a repeated run stores the same
+    parts = [c for c in rows.columns if c not in ("alarm_id", "created_at", "value")]
+    rows = (rows.groupBy("alarm_id").agg(F.min(F.struct("created_at", "value", *parts)).alias("_row"))
+            .select("alarm_id", "_row.*"))
     if existing is not None:
         rows = rows.join(existing.select("alarm_id"), "alarm_id", "left_anti")
     return rows.select(

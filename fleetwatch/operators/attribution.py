@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 METHOD = "heuristic.v1"
@@ -73,14 +74,19 @@ def suggest(alarms: DataFrame, tasks: DataFrame, guards: DataFrame,
                          F.struct("ts", "event_id", "task_id", "error_class", "session_id")),
          "dearest": F.struct("cost_usd", "event_id", "task_id", "model_name")},
         {"first": F.min, "dearest": F.max}, [])
-    members = tasks.groupBy(F.col("session_id").alias("_session")).agg(
-        F.min("agent_id").alias("_lo"), F.max("agent_id").alias("_hi"))
-
+    # the two smallest agents of a session: one of them is the smallest other one
+    nth = F.row_number().over(W.partitionBy("_session").orderBy("agent_id"))
+    members = (tasks.select(F.col("session_id").alias("_session"), "agent_id").distinct().withColumn("_nth", nth)
+               .where(F.col("_nth") <= 2).groupBy("_session")
+               .agg(F.min("agent_id").alias("_lo"), F.max("agent_id").alias("_next")))
+    asked = (a.where(F.col("signal").isin(*_ERROR_SIGNALS)).select("alarm_id", "agent_id")
+             .join(task_states.select("alarm_id", F.col("first.session_id").alias("_session")), "alarm_id"))
+    partners = (asked.join(members, "_session")
+                .select("alarm_id", F.when(F.col("_lo") != F.col("agent_id"), F.col("_lo"))
+                        .otherwise(F.nullif("_next", "agent_id")).alias("_partner")))
     rows = (a.join(tools, "alarm_id", "left").join(task_states, "alarm_id", "left")
-            .withColumn("_session", F.when(F.col("signal").isin(*_ERROR_SIGNALS), F.col("first.session_id")))
-            .join(members, "_session", "left"))
-    partner = (F.when(F.col("_lo") != F.col("agent_id"), F.col("_lo"))
-               .when(F.col("_hi") != F.col("agent_id"), F.col("_hi")))
+            .join(partners, "alarm_id", "left"))
+    partner = F.col("_partner")
     label = F.coalesce("first.error_class", F.lit("None"))
     is_ = lambda *signals: F.col("signal").isin(*signals)
     step = (F.when(is_("loop>=2"), F.concat(F.lit("repeated call "), F.col("last.tool_name"),

@@ -26,25 +26,34 @@ _HEIGHT = 10
 def payload_problems(entries: DataFrame, payload: str = "payload") -> DataFrame:
     """Entries whose payload has no canonical form, with the reason. JSON has no NaN or
     infinity, so numbers that are not finite show up as invalid JSON or as such words."""
-    p = F.col(payload)
+    return entries.withColumn("reason", _payload_reason(F.col(payload))).where(F.col("reason").isNotNull())
+
+
+def _payload_reason(p: Column) -> Column:
     bare = p.rlike(r'(^|[\[:,\s])[-+]?(NaN|Infinity)\s*([,\]}]|$)')
-    reason = (F.when(p.isNull(), "missing payload").when(bare, "non-finite number")
-              .when(F.try_parse_json(p).isNull(), "invalid json"))
-    return entries.withColumn("reason", reason).where(F.col("reason").isNotNull())
+    return (F.when(p.isNull(), "missing payload").when(bare, "non-finite number")
+            .when(F.try_parse_json(p).isNull() | payload_digest(p).isNull(), "invalid json"))
+
+
+def rejected(entries: DataFrame) -> DataFrame:
+    """The entries that ``append`` refuses, with the reason. Accepted and rejected entries
+    together are the batch."""
+    return entries.withColumn("reason", _refusal()).where(F.col("reason").isNotNull())
 
 
-def valid_payloads(entries: DataFrame, payload: str = "payload") -> DataFrame:
-    return entries.join(payload_problems(entries, payload).select("source_id"), "source_id", "left_anti")
+def _refusal() -> Column:
+    return F.coalesce(_payload_reason(F.col("payload")), F.when(F.col("created_at").isNull(), "missing created_at"))
 
 
 def append(entries: DataFrame, ledger: DataFrame | None = None,
            order: Sequence[str] = ("created_at", "source_id"), bucket: Column | None = None) -> DataFrame:
-    """Ledger rows for a batch of (event_type, payload, created_at, source_id).
+    """Ledger rows for a batch of (event_type, payload, created_at, source_id). Entries
+    that ``rejected`` names never enter the chain.
 
     ``bucket`` must not decrease along ``order``; minutes by default. Give a bucket over
     the source id when a large batch shares one creation time."""
     by = bucket if bucket is not None else time_bucket("created_at", 60)
-    hashed = entries.select("event_type", "created_at", "source_id",
+    hashed = entries.where(_refusal().isNull()).select("event_type", "created_at", "source_id",
                             payload_digest(F.col("payload")).alias("payload_hash"))
     keyed = hashed.withColumn("_bucket", by)
     first, link = F.lit(0), F.lit(R.GENESIS)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -32,11 +34,12 @@ def build_session(app: str = "fleetwatch", cores: str | None = None,
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for checkpoints and written tables, under the shared folder that
-    the cluster names in ``spark.checkpoint.dir``. Only a session without that setting
-    (a test) gets a local temporary folder."""
+    the cluster names in ``spark.checkpoint.dir``. Without that setting a cluster is an error;
+    only a session inside one process (a test, the bench) gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="fleetwatch-")
         spark.conf.set("spark.checkpoint.dir", base)
-    import uuid
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"

@@ -25,23 +25,44 @@ def _listed(json: Column) -> Column:
 
 def _parsed(requests: DataFrame) -> DataFrame:
     """Adds ``_spans``, the resource list. Regular requests are parsed once; a request with a
-    single object where a list belongs is parsed again, level by level."""
+    single object where a list belongs is parsed again, level by level. What cannot be read on
+    a level is null there, which ``malformed`` reports."""
     body, regular = F.col("body"), F.col("_regular")
     outer = F.from_json(_listed(F.get_json_object(body, "$.resourceSpans")),
                         f"array<struct<resource:{_RESOURCE}, scopeSpans:string>>")
     lenient = F.transform(outer, lambda r: F.struct(
         r["resource"].alias("resource"),
-        F.from_json(_listed(r["scopeSpans"]), _SCOPES).alias("scopeSpans")))
-    odd = regular.isNull() | F.exists(regular, lambda r: r["scopeSpans"].isNull())
+        F.transform(F.from_json(_listed(r["scopeSpans"]), "array<struct<spans:string>>"), lambda s: F.struct(
+            F.from_json(_listed(s["spans"]), f"array<{_SPAN}>").alias("spans"))).alias("scopeSpans")))
+    odd = regular.isNull() | _unread_scope(regular) | _unread_spans(regular)
     return (requests.withColumn("_regular", F.from_json(body, REQUEST)["resourceSpans"])
             .withColumn("_spans", F.when(odd, lenient).otherwise(regular)).drop("_regular"))
 
 
+def _unread_scope(resources: Column) -> Column:
+    return F.exists(resources, lambda r: r["scopeSpans"].isNull())
+
+
+def _unread_spans(resources: Column) -> Column:
+    return F.exists(resources, lambda r: F.exists(r["scopeSpans"], lambda s: s["spans"].isNull()))
+
+
+def _unread_attributes(resources: Column, body: Column) -> Column:
+    """A list of attributes that is there but cannot be read."""
+    unread = F.exists(resources, lambda r: F.exists(r["scopeSpans"], lambda s: F.exists(
+        s["spans"], lambda p: p["attributes"].isNull())))
+    return unread & body.rlike(r'"attributes"\s*:\s*[^\s\[n]')
+
+
 def malformed(requests: DataFrame) -> DataFrame:
-    """Requests to quarantine, with the reason."""
-    reason = F.when(F.try_parse_json("body").isNull(), "bad json").otherwise("no resourceSpans")
-    return (_parsed(requests).where(F.col("_spans").isNull())
-            .select("request_id", reason.alias("reason"), "body"))
+    """Requests to quarantine, with the reason. A request with a part that cannot be read
+    is reported although its other parts go on."""
+    body, spans = F.col("body"), F.col("_spans")
+    reason = (F.when(spans.isNull(), F.when(F.try_parse_json("body").isNull(), "bad json").otherwise("no resourceSpans"))
+              .when(_unread_scope(spans), "unread scopeSpans").when(_unread_spans(spans), "unread spans")
+              .when(_unread_attributes(spans, body), "unread attributes"))
+    return (_parsed(requests).withColumn("_reason", reason).where(F.col("_reason").isNotNull())
+            .select("request_id", F.col("_reason").alias("reason"), "body"))
 
 
 def flatten(requests: DataFrame) -> DataFrame:
@@ -130,5 +151,5 @@ def to_task_events(spans: DataFrame, default_fleet: str = "default") -> DataFram
 def read_requests(spark, path: str) -> DataFrame:
     """One request per text line; the file path and line text make the id."""
     lines = spark.read.text(path, wholetext=False)
-    return lines.select(F.sha2("value", 256).alias("request_id"),
+    return lines.select(F.sha2(F.concat_ws("\n", "_metadata.file_path", "value"), 256).alias("request_id"),
                         F.current_timestamp().alias("received_at"), F.col("value").alias("body"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules as R
@@ -28,15 +29,14 @@ def authenticity(envelopes: DataFrame, pads: DataFrame, skew_s: int = R.REPLAY_W
 
 def verify(envelopes: DataFrame, pads: DataFrame, skew_s: int = R.REPLAY_WINDOW_S) -> DataFrame:
     """Every envelope with its ``reason``; of authentic ones with the same key and nonce
-    only the first to arrive is accepted. Only ids and nonces are grouped, not bodies."""
+    only the first to arrive is accepted, also when a delivery is repeated under the same id.
+    Rejected envelopes are spread by their id, so a common nonce among them is no hot group."""
     checked = authenticity(envelopes, pads, skew_s)
-    tag = F.struct("received_at", "envelope_id")
-    first = (checked.where(F.col("reason").isNull()).groupBy("key_id", "nonce")
-             .agg(F.min(tag)["envelope_id"].alias("envelope_id"))
-             .select("envelope_id", F.lit(True).alias("_first")))
-    return (checked.join(first, "envelope_id", "left")
-            .withColumn("reason", F.when(F.col("reason").isNull() & F.col("_first").isNull(), "replay")
-                        .otherwise(F.col("reason"))).drop("_first"))
+    spread = F.when(F.col("reason").isNotNull(), F.col("envelope_id"))
+    arrival = W.partitionBy("key_id", "nonce", spread).orderBy("received_at", "envelope_id")
+    return (checked.withColumn("_nth", F.row_number().over(arrival))
+            .withColumn("reason", F.when(F.col("reason").isNull() & (F.col("_nth") > 1), "replay")
+                        .otherwise(F.col("reason"))).drop("_nth"))
 
 
 def accepted(verified: DataFrame) -> DataFrame:
