@@ -174,6 +174,38 @@ def a6(spark, sf):
     return verified(spark, sf).select("envelope_id", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
+@query("a6_redelivered", """
+SELECT envelope_id, reason FROM envelope_checks UNION ALL
+SELECT envelope_id, CASE WHEN reason = '' THEN 'replay' ELSE reason END FROM envelope_checks""", ["envelope_checks"])
+def a6_redelivered(spark, sf):
+    """Every delivery arrives twice under the same id, as at-least-once transport does."""
+    e = envelopes(spark, sf)
+    return signed.verify(e.unionByName(e), hmac_pads(spark, SECRETS)) \
+        .select("envelope_id", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@query("a8_nested", """
+SELECT event_id AS request_id, (['unread scopeSpans', '', 'unread spans', '', 'unread attributes'])[CAST(n % 5 + 1 AS INT)] AS reason,
+       CAST(([1, 1, 0, 2, 1])[CAST(n % 5 + 1 AS INT)] AS BIGINT) AS spans FROM tasks""", ["tasks"])
+def a8_nested(spark, sf):
+    """Requests with a part that cannot be read, and with one object in place of a span list."""
+    t = A.task_events(spark, sf).withColumn("n", _n())
+    span = F.concat(F.lit('{"traceId":"t","spanId":"'), F.col("event_id"), F.lit('","name":"x"}'))
+    scope = lambda spans: F.concat(F.lit('{"scopeSpans":[{"spans":'), spans, F.lit("}]}"))
+    listed = lambda *parts: F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+    odd = F.concat(F.lit('{"spanId":"'), F.col("event_id"), F.lit('","attributes":"none"}'))
+    resources = (F.when(F.col("n") % 5 == 0, listed(scope(listed(span)), F.lit('{"scopeSpans":7}')))
+                 .when(F.col("n") % 5 == 1, listed(scope(span)))
+                 .when(F.col("n") % 5 == 2, listed(scope(F.lit('"oops"'))))
+                 .when(F.col("n") % 5 == 3, listed(scope(listed(span, span)))).otherwise(listed(scope(listed(odd)))))
+    r = t.select(F.col("event_id").alias("request_id"), F.col("ts").alias("received_at"),
+                 F.concat(F.lit('{"resourceSpans":'), resources, F.lit("}")).alias("body"))
+    spans = otlp.flatten(r).groupBy("request_id").agg(F.count(F.lit(1)).alias("spans"))
+    return (r.select("request_id").join(otlp.malformed(r).select("request_id", "reason"), "request_id", "left")
+            .join(spans, "request_id", "left")
+            .select("request_id", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("spans", F.lit(0)).alias("spans")))
+
+
 @query("a7_reject_accounting", """
 SELECT CASE WHEN reason = '' THEN 'accepted' ELSE 'reject:' || reason END AS outcome, count(*) AS n FROM envelope_checks GROUP BY 1""",
        ["envelope_checks"])

@@ -72,6 +72,20 @@ def e3(spark, sf):
     return led.append(_entries(spark, sf)).select("seq", "event_type", "payload_hash", "prev_hash", "source_id")
 
 
+@query("e3_rejects", """
+SELECT event_id AS source_id, CASE k % 10 WHEN 0 THEN 'non-finite number' WHEN 1 THEN 'invalid json' WHEN 2 THEN 'missing payload'
+       WHEN 3 THEN 'missing created_at' ELSE 'accepted' END AS outcome FROM tasks""", ["tasks"])
+def e3_rejects(spark, sf):
+    """Every entry of a batch is either in the ledger or named as rejected."""
+    t = A.task_events(spark, sf).select("event_id", F.call_function("div", F.col("input_tokens") - 100, F.lit(10)).alias("k"))
+    k = F.col("k") % 10
+    batch = _entries(spark, sf).join(t, F.col("source_id") == F.col("event_id")).select(
+        "event_type", F.when(k == 0, '{"v": NaN}').when(k == 1, "{oops").when(k != 2, F.col("payload")).alias("payload"),
+        F.when(k != 3, F.col("created_at")).alias("created_at"), "source_id")
+    return led.append(batch).select("source_id", F.lit("accepted").alias("outcome")).unionByName(
+        led.rejected(batch).select("source_id", F.col("reason").alias("outcome")))
+
+
 @query("e3_second_batch", """
 SELECT seq, payload_hash, prev_hash FROM ledger WHERE seq > (SELECT count(*) FROM tasks WHERE ts < TIMESTAMP '2024-01-15')""",
        ["ledger"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from .. import rules as R
 from ..functions.hashing import hmac_pads, hmac_sha256
+from ..operators import ledger
 from ..session import work_dir
 from ..streaming import detectors, ingest
 from ..streaming.runner import to_parquet
@@ -48,6 +49,48 @@ def s1(spark, sf):
         "retry_count", r6("ttft_s"), "task_template")
 
 
+def _signed_batches(spark, sf):
+    """Three batches: signed requests with forged copies, the same requests signed again under
+    new nonces, and a replay of the first batch an hour later (by then too old)."""
+    pads = hmac_pads(spark, SECRETS)
+    r = otlp_requests(spark, sf).select("request_id", "received_at", "body", F.unix_seconds("received_at").cast("string").alias("ts_text"))
+
+    def batch(tag, key="key-1", of="key-1"):
+        e = r.select(F.concat(F.lit(tag), "request_id").alias("envelope_id"), F.lit(of).alias("key_id"), "ts_text",
+                     F.concat(F.lit(tag), "request_id").alias("nonce"), "body", "received_at").join(F.broadcast(pads), "key_id")
+        msg = F.concat(F.concat("ts_text", F.lit("."), "nonce").cast("binary"), F.col("body").cast("binary"))
+        return (e.withColumn("signature", hmac_sha256(F.col("ipad"), F.col("opad"), msg)).withColumn("key_id", F.lit(key))
+                .select("envelope_id", "key_id", "ts_text", "nonce", "signature", "body", "received_at"))
+    path, folder = work_dir(spark, "resigned"), work_dir(spark, "signed-log")
+    first = batch("a-")
+    for rows in (first.unionByName(batch("f-", key="key-2")), batch("b-").unionByName(first),
+                 first.withColumn("received_at", F.timestamp_micros(F.unix_micros("received_at") + 3_600_000_000))):
+        rows.coalesce(1).write.mode("append").parquet(path)
+    ingest.signed_log(ingest.envelope_stream(spark, path, 1), pads, folder, work_dir(spark, "signed-log-checkpoint"))
+    return lambda name: spark.read.parquet(f"{folder}/{name}")
+
+
+@query("s1_resigned_events", _CONVERTED, ["tasks"])
+def s1_resigned(spark, sf):
+    return _signed_batches(spark, sf)("events").select(
+        "event_id", "agent_id", "task_id", "session_id", "model_name", "input_tokens", "output_tokens",
+        F.col("cost_usd").cast("double").alias("cost_usd"), "latency_ms", "error_class", "status", "ts",
+        "retry_count", r6("ttft_s"), "task_template")
+
+
+@query("s1_balance", f"""
+SELECT unnest(['landed', 'reject:bad_signature', 'reject:replay', 'reject:timestamp_skew', 'events', 'known events']) AS outcome,
+       unnest([2 * r, r, r, r, e, e]) AS n
+FROM (SELECT (SELECT count(DISTINCT n // 5) FROM tasks) AS r, (SELECT count(*) FROM ({_CONVERTED})) AS e)""", ["tasks"])
+def s1_balance(spark, sf):
+    """Input is landed or rejected; each converted span is a new or a known event."""
+    t = _signed_batches(spark, sf)
+    count = lambda df, c, n=F.lit(1): df.select(c.alias("outcome"), n.cast("bigint").alias("n"))
+    rows = (count(t("landed"), F.lit("landed")).unionByName(count(t("rejected"), F.concat(F.lit("reject:"), "reason")))
+            .unionByName(count(t("events"), F.lit("events"))).unionByName(count(t("known"), F.lit("known events"), F.col("n"))))
+    return rows.groupBy("outcome").agg(F.sum("n").alias("n"))
+
+
 @query("s1_deduplicated_events", "SELECT event_id, agent_id, ts FROM tasks", ["tasks"])
 def s1_dedup(spark, sf):
     t = _tasks(spark, sf)
@@ -66,6 +109,46 @@ def s2(spark, sf):
         .withColumn("value", F.round("value", 6))
 
 
+_TASK_ROWS = "event_id string, agent_id string, status string, cost_usd double, ts timestamp"
+_LATE = "(n % 10 = 0 AND ts < (SELECT max(ts) - INTERVAL 10 MINUTE FROM tasks WHERE n % 10 <> 0))"
+cte("on_time", ["tasks"], f"  SELECT * FROM tasks WHERE NOT {_LATE}")
+
+
+def _with_late_rows(spark, sf):
+    """Three batches in time order, but every tenth event comes only after all others."""
+    src, main, late = work_dir(spark, "delayed"), work_dir(spark, "delayed-on-time"), work_dir(spark, "delayed-late")
+    t = A.task_events(spark, sf).select("event_id", "agent_id", "status", F.col("cost_usd").cast("double").alias("cost_usd"), "ts")
+    held, middle = F.substring("event_id", 5, 12).cast("bigint") % 10 == 0, A.as_of("2024-01-15 00:00:00")
+    for rows in (t.where(~held & (F.col("ts") < middle)), t.where(~held & (F.col("ts") >= middle)), t.where(held)):
+        rows.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(_TASK_ROWS).option("maxFilesPerTrigger", 1).parquet(src)
+    ingest.split_late(stream, _TASK_ROWS, main, late, work_dir(spark, "delayed-checkpoint"))
+    return ingest.landed_stream(spark, main, _TASK_ROWS), spark.read.schema(_TASK_ROWS).parquet(late)
+
+
+@query("s2_on_time_daily", """
+SELECT agent_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS "from", count(*) FILTER (status = 'error') AS hits, count(*) AS total
+FROM on_time WHERE status IN ('ok', 'error')
+  AND CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM on_time) GROUP BY 1, 2""", ["on_time"])
+def s2_on_time(spark, sf):
+    """The error share of closed days over what was in time; s2_late_rows has the others."""
+    rows, _ = _with_late_rows(spark, sf)
+    return _run(detectors.sliding_error_rate(rows, "1 day", "1 day"), spark, "daily").select("agent_id", "from", "hits", "total")
+
+
+@query("s2_late_rows", f"SELECT event_id FROM tasks WHERE {_LATE}", ["tasks"])
+def s2_late(spark, sf):
+    return _with_late_rows(spark, sf)[1].select("event_id")
+
+
+@query("s3_on_time_costs", """
+SELECT agent_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(sum(CAST(cost_usd AS DOUBLE)), 6) AS cost FROM on_time
+WHERE CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM on_time) GROUP BY 1, 2""", ["on_time"])
+def s3_on_time(spark, sf):
+    rows, _ = _with_late_rows(spark, sf)
+    return _run(detectors.daily_costs(rows), spark, "daily-costs").select("agent_id", F.to_date("day").cast("string").alias("day"), r6("cost"))
+
+
 cte("closed_days", ["daily"], """
   SELECT * FROM daily WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM tasks)""")
 _CARD = ewma_sql("closed_days", "live")
@@ -105,7 +188,7 @@ def _alarm_log(spark, sf):
                      F.col("retry_count").cast("double").alias("value"), "ts")
     a, c = work_dir(spark, "alarms"), work_dir(spark, "alarm-ledger")
     detectors.alarm_log(fired, R.signal_rules(spark), a, c, work_dir(spark, "alarms-checkpoint"))
-    return spark.read.parquet(a), spark.read.parquet(c)
+    return spark.read.schema(detectors.ALARM_ROWS).parquet(a), spark.read.schema(detectors.LEDGER_ROWS).parquet(c)
 
 
 @query("s7_alarm_log", """
@@ -116,6 +199,26 @@ def s7(spark, sf):
     return alarms.join(held, "alarm_id", "left").select("alarm_id", "agent_id", "signal", "in_ledger")
 
 
+@query("s7_chain", """
+SELECT count(*) AS entries, count(*) AS checked, TRUE AS ok,
+       CAST(sum(CAST(('0x' || substr(alarm_id, 5, 8)) AS BIGINT)) AS BIGINT) AS ids FROM (SELECT DISTINCT alarm_id FROM stream_alarms)""", ["stream_alarms"])
+def s7_chain(spark, sf):
+    """Facts in three batches, the oldest last and some repeated: each alarm once, one chain."""
+    src = work_dir(spark, "facts")
+    t = A.task_events(spark, sf).where(F.col("retry_count") >= R.RETRY_LIMIT).select(
+        "agent_id", F.lit("latency.retry>=3").alias("signal"), F.col("retry_count").cast("double").alias("value"), "ts")
+    middle = A.as_of("2024-01-15 00:00:00")
+    for rows in (t.where(F.col("ts") >= middle), t.where(F.col("ts") < middle), t):
+        rows.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    a, c = work_dir(spark, "fact-alarms"), work_dir(spark, "fact-ledger")
+    detectors.alarm_log(stream, R.signal_rules(spark), a, c, work_dir(spark, "facts-checkpoint"))
+    chain, alarms = spark.read.schema(detectors.LEDGER_ROWS).parquet(c), spark.read.parquet(a)
+    ids = alarms.agg(F.sum(F.conv(F.substring("alarm_id", 5, 8), 16, 10).cast("bigint")).alias("ids"), F.count(F.lit(1)).alias("entries"))
+    verdict = ledger.verify_chain(chain)
+    return ids.select("entries", verdict.select("checked").scalar().alias("checked"), verdict.select("ok").scalar().alias("ok"), "ids")
+
+
 @query("s8_ticket_escalation", f"""
 SELECT 'alm_' || substr(sha256(agent_id || '|escalation.age_max>24|2024013100'), 1, 16) AS alarm_id, agent_id, 'Emergency' AS severity
 FROM tickets WHERE status = 'open' GROUP BY agent_id

@@ -46,9 +46,11 @@ def _refusal() -> Column:
 
 
 def append(entries: DataFrame, ledger: DataFrame | None = None,
-           order: Sequence[str] = ("created_at", "source_id"), bucket: Column | None = None) -> DataFrame:
+           order: Sequence[str] = ("created_at", "source_id"), bucket: Column | None = None,
+           head: DataFrame | None = None) -> DataFrame:
     """Ledger rows for a batch of (event_type, payload, created_at, source_id). Entries
-    that ``rejected`` names never enter the chain.
+    that ``rejected`` names never enter the chain. The chain goes on after ``ledger``, or after
+    ``head``, its one row of ``chain_head``.
 
     ``bucket`` must not decrease along ``order``; minutes by default. Give a bucket over
     the source id when a large batch shares one creation time."""
@@ -58,9 +60,10 @@ def append(entries: DataFrame, ledger: DataFrame | None = None,
     keyed = hashed.withColumn("_bucket", by)
     first, link = F.lit(0), F.lit(R.GENESIS)
     if ledger is not None:
-        last = ledger.groupBy().agg(F.max("seq").alias("m"), F.max_by("payload_hash", "seq").alias("h"))
-        first = F.coalesce(last.select("m").scalar(), first)
-        link = F.coalesce(last.select("h").scalar(), link)
+        head = chain_head(ledger)
+    if head is not None:
+        first = F.coalesce(head.select("seq").scalar(), first)
+        link = F.coalesce(head.select("payload_hash").scalar(), link)
     # one summary row per bucket gives both the first number and the link of the next bucket
     tails = keyed.groupBy("_bucket").agg(
         F.count(F.lit(1)).alias("_rows"), F.max_by("payload_hash", F.struct(*order)).alias("_tail"))
@@ -76,6 +79,11 @@ def append(entries: DataFrame, ledger: DataFrame | None = None,
         F.lit(bytearray(R.UNSIGNED_MARK)).alias("signature"), "created_at", "source_id")
 
 
+def chain_head(ledger: DataFrame) -> DataFrame:
+    """One row: the last number and hash, null for an empty ledger."""
+    return ledger.groupBy().agg(F.max("seq").alias("seq"), F.max_by("payload_hash", "seq").alias("payload_hash"))
+
+
 def chain_breaks(ledger: DataFrame) -> DataFrame:
     """Entries that are malformed or do not link to the entry before them."""
     rows = previous_values(ledger.select("seq", "payload_hash", "prev_hash", "signature"), [],

@@ -14,7 +14,7 @@ from ..functions.hashing import call_signature
 from ..operators import alarms as alarm_ops
 from ..operators import facts, ledger
 from .ingest import WATERMARK
-from .runner import earlier_batches, each_batch, write_batch
+from .runner import batch_head, each_batch, earlier_batches, write_batch
 
 ALARM_ROWS = ("alarm_id string, agent_id string, signal string, event_type string, reason string,"
               " severity string, sla_hours double, sla_deadline timestamp, trigger_value double,"
@@ -138,24 +138,27 @@ def new_class_log(tasks: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def alarm_log(fired: DataFrame, rules: DataFrame, alarm_path: str, ledger_path: str,
-              checkpoint: str, delay: str = WATERMARK) -> None:
+              checkpoint: str) -> None:
     """Fired facts (agent_id, signal, value, ts) as alarms, one per agent, signal and
-    hour, each with its ledger entry. The stream is the only ledger writer; a repeated
-    batch rewrites its own folders from the same predecessors."""
+    hour, each with its ledger entry. The stored alarms decide what is new, however late a fact
+    comes; only those of the batch's own days are read. The chain goes on from the one-row head
+    of the batch before. The stream is the only ledger writer; a repeated batch rewrites its own
+    folders from the same predecessors."""
     spark = fired.sparkSession
-    once = (fired.withColumn("hour", F.date_trunc("hour", "ts")).withWatermark("ts", delay)
-            .dropDuplicatesWithinWatermark(["agent_id", "signal", "hour"]))
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        # a key may return after its state was dropped, so the stored alarms decide
         mapped = alarm_ops.map_to_alarms(batch.withColumn("fired", F.lit(True)), rules)
-        stored = earlier_batches(spark, alarm_path, batch_id, ALARM_ROWS)
-        write_batch(alarm_ops.raise_alarms(mapped, F.col("ts"), stored), alarm_path, batch_id)
+        days = [r[0] for r in batch.select(F.to_date("ts").cast("string")).distinct().collect()]
+        stored = earlier_batches(spark, alarm_path, batch_id, f"{ALARM_ROWS}, event_date string")
+        rows = alarm_ops.raise_alarms(mapped, F.col("ts"), stored.where(F.col("event_date").isin(days)))
+        write_batch(rows.withColumn("event_date", F.to_date("created_at").cast("string")), alarm_path, batch_id, "event_date")
         new = spark.read.schema(ALARM_ROWS).parquet(f"{alarm_path}/batch_id={batch_id}")
-        chain = earlier_batches(spark, ledger_path, batch_id, LEDGER_ROWS)
-        write_batch(ledger.append(alarm_ops.raise_events(new), chain), ledger_path, batch_id)
+        head = batch_head(spark, f"{ledger_path}-heads", batch_id, "seq bigint, payload_hash string")
+        write_batch(ledger.append(alarm_ops.raise_events(new), head=head), ledger_path, batch_id)
+        chain = spark.read.schema(LEDGER_ROWS).parquet(f"{ledger_path}/batch_id={batch_id}").select("seq", "payload_hash")
+        write_batch(ledger.chain_head(chain.unionByName(head)), f"{ledger_path}-heads", batch_id)
 
-    each_batch(once, land, checkpoint)
+    each_batch(fired, land, checkpoint)
 
 
 def escalate_aged_tickets(tickets: DataFrame, rules: DataFrame, as_of: Column,

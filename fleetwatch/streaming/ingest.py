@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..sources import otlp, signed
-from .runner import each_batch, earlier_batches, to_parquet, write_batch
+from .runner import batch_head, each_batch, earlier_batches, to_parquet, write_batch
 
 WATERMARK = "10 minutes"
 
@@ -38,15 +38,65 @@ def copy_to_hot_tier(events: DataFrame, path: str, checkpoint: str) -> DataFrame
 def split_late(events: DataFrame, schema: str, path: str, late_path: str, checkpoint: str,
                delay_s: int = 600) -> None:
     """Rows older than the newest earlier row minus the delay go to their own table and
-    are never dropped."""
+    are never dropped. Stateful operators read the table of the others as a stream, so their
+    watermark, which never runs ahead of that limit, finds no late row."""
     spark = events.sparkSession
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        newest = (earlier_batches(spark, path, batch_id, schema).groupBy()
-                  .agg(F.max("ts").alias("m")).scalar())
-        limit = newest - F.make_dt_interval(secs=F.lit(delay_s))
-        late = F.coalesce(F.col("ts") < limit, F.lit(False))
+        head = batch_head(spark, f"{path}-heads", batch_id, "newest timestamp")
+        newest = head.select("newest").scalar()
+        late = F.coalesce(F.col("ts") < newest - F.make_dt_interval(secs=F.lit(delay_s)), F.lit(False))
         write_batch(batch.where(~late), path, batch_id)
         write_batch(batch.where(late), late_path, batch_id)
+        seen = batch.select("ts").unionByName(head.select(F.col("newest").alias("ts")))
+        write_batch(seen.groupBy().agg(F.max("ts").alias("newest")), f"{path}-heads", batch_id)
 
     each_batch(events, land, checkpoint)
+
+
+def landed_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``split_late`` found in time, as a stream."""
+    return spark.readStream.schema(schema + ", batch_id bigint").parquet(path).drop("batch_id")
+
+
+def signed_log(envelopes: DataFrame, pads: DataFrame, folder: str, checkpoint: str) -> None:
+    """S1 as tables below ``folder``, first write wins and nothing is lost: ``landed`` holds the
+    accepted envelopes, ``rejected`` the others with their reason, ``events`` each event id once,
+    ``known`` the ids that were there before.
+
+    A nonce is looked up among the landed envelopes of the hours in question (an older replay
+    fails the timestamp test), an event id among the events of its day, so what a batch reads
+    does not grow with the life of the stream."""
+    spark = envelopes.sparkSession
+    landed, events, known, rejected = (f"{folder}/{n}" for n in ("landed", "events", "known", "rejected"))
+    hour = F.date_format("received_at", "yyyyMMddHH").alias("hour")
+    near = F.explode(F.array(*[F.date_format(F.col("received_at") + F.make_dt_interval(hours=F.lit(h)), "yyyyMMddHH")
+                               for h in (-1, 0, 1)])).alias("hour")
+
+    def part(path: str, batch_id: int, schema: str, column: str, wanted: DataFrame) -> DataFrame:
+        values = [r[0] for r in wanted.distinct().collect()]  # hours or days of one batch
+        return earlier_batches(spark, path, batch_id, f"{schema}, {column} string").where(F.col(column).isin(values))
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        checked = signed.verify(batch, pads)
+        before = part(landed, batch_id, "key_id string, nonce string", "hour", batch.select(near)) \
+            .select("key_id", "nonce").distinct().withColumn("_seen", F.lit(True))
+        checked = checked.join(before, ["key_id", "nonce"], "left").withColumn(
+            "reason", F.when(F.col("reason").isNull() & F.col("_seen"), "replay").otherwise(F.col("reason"))).drop("_seen")
+        write_batch(checked.where(F.col("reason").isNotNull()).select("envelope_id", "key_id", "received_at", "reason"),
+                    rejected, batch_id)
+        write_batch(signed.accepted(checked).select("envelope_id", "key_id", "nonce", "body", "received_at", hour),
+                    landed, batch_id, "hour")
+        fresh = spark.read.schema("envelope_id string, body string, received_at timestamp").parquet(f"{landed}/batch_id={batch_id}")
+        rows = otlp.to_task_events(otlp.flatten(fresh.withColumnRenamed("envelope_id", "request_id")))
+        rest = [c for c in rows.columns if c not in ("event_id", "received_at")]
+        rows = (rows.groupBy("event_id").agg(F.min(F.struct("received_at", *rest)).alias("r"), F.count(F.lit(1)).alias("n"))
+                .select("event_id", "r.*", "n").withColumn("event_date", F.to_date("ts").cast("string")))
+        old = part(events, batch_id, "event_id string", "event_date", rows.select("event_date")) \
+            .select("event_id").withColumn("_known", F.lit(True))
+        rows = rows.join(old, "event_id", "left")
+        write_batch(rows.select("event_id", (F.col("n") - F.when(F.col("_known"), 0).otherwise(1)).alias("n"))
+                    .where("n > 0"), known, batch_id)
+        write_batch(rows.where(F.col("_known").isNull()).drop("n", "_known"), events, batch_id, "event_date")
+
+    each_batch(envelopes, land, checkpoint)

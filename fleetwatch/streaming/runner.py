@@ -49,9 +49,19 @@ def each_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoi
     query.awaitTermination()
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
     """Replaces exactly this batch's folder."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/batch_id={batch_id}")
+
+
+def batch_head(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+    """The one row that the batch before this one left as its head; empty for the first. So a
+    batch never reads what all earlier ones wrote."""
+    from ..operators.archive import path_exists
+    at = f"{path}/batch_id={batch_id - 1}"
+    if not path_exists(spark, at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(at)
 
 
 def earlier_batches(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
