@@ -1,9 +1,9 @@
 """Which agent and step most likely caused an alarm, and what operators said.
 
 Each rung needs "the first / last / biggest / most frequent event of the agent in the 24
-hours before the alarm". Events are reduced per agent and hour once; an alarm then reads
-23 or 24 whole hours from that table and only the two partial hours at its window's ends
-from raw rows. No alarm is ever paired with all events of its agent.
+hours before the alarm". Events are reduced per agent and hour, minute and second; an alarm
+reads whole hours, minutes and seconds from these and raw rows only in the two seconds at its
+window's ends. No alarm is ever paired with all events of its agent or of a busy hour.
 """
 
 from __future__ import annotations
@@ -21,31 +21,40 @@ LOOKBACK_H = 24
 _ERROR_SIGNALS = ["error.new_class_seen", "error.rate>0.20"]
 
 
-def _hours(alarms: DataFrame, signals: list[str]) -> DataFrame:
-    hour = lambda c: F.call_function("div", F.unix_seconds(c), F.lit(3600))
-    start = F.col("created_at") - F.make_dt_interval(hours=F.lit(LOOKBACK_H))
-    a = (alarms.where(F.col("signal").isin(*signals))
-         .select("alarm_id", "agent_id", F.col("created_at").alias("_to"), start.alias("_from")))
-    return (a.withColumn("_hour", F.explode(F.sequence(hour(F.col("_from")), hour(F.col("_to")))))
-            .withColumn("_edge", (F.col("_hour") == hour(F.col("_from")))
-                        | (F.col("_hour") == hour(F.col("_to")))))
+def _div(c: Column, by: int) -> Column:
+    return F.call_function("div", c, F.lit(by))
+
+
+def _between(first: Column, last: Column) -> Column:
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _lookback(alarms: DataFrame, signals: list[str], rows: DataFrame, states: dict[str, Column],
               merge: dict[str, Callable[[str], Column]], by: list[str]) -> DataFrame:
     """Merged states per alarm (and ``by``) over the events of its window. Every ``merge``
-    must be an aggregate that can be applied to its own results."""
-    hours = _hours(alarms, signals)
+    must be an aggregate that can be applied to its own results.
+
+    A window is cut into its whole hours, the whole minutes of its two partial hours and the
+    whole seconds of its two partial minutes; only in its first and last second it meets rows."""
+    windows = (alarms.where(F.col("signal").isin(*signals))
+               .withColumn("_from", F.col("created_at") - F.make_dt_interval(hours=F.lit(LOOKBACK_H)))
+               .select("alarm_id", "agent_id", "_from", F.col("created_at").alias("_to"),
+                       F.unix_seconds("_from").alias("_f"), F.unix_seconds("created_at").alias("_t")))
     folded = [fn(name).alias(name) for name, fn in merge.items()]
-    rows = rows.select("agent_id", *by, "ts", *[c.alias(n) for n, c in states.items()],
-                       F.call_function("div", F.unix_seconds("ts"), F.lit(3600)).alias("_hour"))
-    per_hour = rows.groupBy("agent_id", "_hour", *by).agg(*folded)
-    keep = ["alarm_id", *by, *states]
-    whole = hours.where(~F.col("_edge")).join(per_hour, ["agent_id", "_hour"]).select(*keep)
-    partial = (hours.where("_edge").join(rows, ["agent_id", "_hour"])
-               .where((F.col("ts") >= F.col("_from")) & (F.col("ts") <= F.col("_to")))
-               .select(*keep))
-    return whole.unionByName(partial).groupBy("alarm_id", *by).agg(*folded)
+    rows = rows.select("agent_id", *by, "ts", *[c.alias(n) for n, c in states.items()], F.unix_seconds("ts").alias("_s"))
+    keep, f, t = ["alarm_id", *by, *states], F.col("_f"), F.col("_t")
+    cuts = {3600: _between(_div(f, 3600) + 1, _div(t, 3600) - 1)}
+    for unit, above in ((60, 3600), (1, 60)):
+        cuts[unit] = F.concat(_between(_div(f, unit) + 1, (_div(f, above) + 1) * (above // unit) - 1),
+                              _between(_div(t, above) * (above // unit), _div(t, unit) - 1))
+    ends = windows.select("alarm_id", "agent_id", "_from", "_to", F.explode(F.array_distinct(F.array(f, t))).alias("_s"))
+    out = (ends.join(rows, ["agent_id", "_s"])
+           .where((F.col("ts") >= F.col("_from")) & (F.col("ts") <= F.col("_to"))).select(*keep))
+    for unit, cut in cuts.items():
+        wanted = windows.select("alarm_id", "agent_id", F.explode(cut).alias("_at"))
+        whole = rows.groupBy("agent_id", _div(F.col("_s"), unit).alias("_at"), *by).agg(*folded)
+        out = out.unionByName(wanted.join(whole, ["agent_id", "_at"]).select(*keep))
+    return out.groupBy("alarm_id", *by).agg(*folded)
 
 
 def _clock(ts: Column) -> Column:

@@ -174,7 +174,11 @@ def prefix_roots(ledger: DataFrame, counts: DataFrame, levels: int | None = None
         keyed = state.withColumn("_block", F.when(
             own, F.call_function("div", F.col("_n") - 1, F.lit(BLOCK))))
         wanted = F.col("pos") < F.col("_n") - F.when(carry.isNotNull(), 1).otherwise(0)
-        tails = (keyed.join(nodes.withColumn("_block", range_bucket("pos", BLOCK)), "_block", "left")
+        # the few wanted blocks (one per seal and level) pick their nodes first, so no level
+        # has to move the ledger for the sake of the left join
+        blocks = keyed.select("_block").where(F.col("_block").isNotNull()).distinct()
+        picked = nodes.withColumn("_block", range_bucket("pos", BLOCK)).join(blocks, "_block", "left_semi")
+        tails = (keyed.join(picked, "_block", "left")
                  .withColumn("_h", F.when(wanted, F.struct("pos", "hash")))
                  .groupBy("covers", "_n", "_carry", "_block")
                  .agg(F.sort_array(F.collect_list("_h")).alias("_h")))

@@ -14,7 +14,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from .sequences import rank_rows
 
 
 _PIECE = 32
@@ -132,39 +131,53 @@ def _robust_z(df: DataFrame) -> DataFrame:
             .withColumn("alarm", F.coalesce(F.abs("robust_z") > R.MAD_Z_LIMIT, F.lit(False))))
 
 
-def grouped_median(df: DataFrame, keys: Sequence[str], value: str,
-                   accuracy: int = 10_000) -> DataFrame:
-    """Exact median per key, for keys of any size: (keys, n, median).
+# below so many rows a single column is ranked as a whole
+_RANKED_WHOLE = 4000
 
-    A mergeable sketch brackets the median of each key between two close values. Equal
-    values are counted, the counts below, inside and above the bracket say where the middle
-    ranks lie, and only that part is ordered: about a thousandth of a key. A poor bracket
-    costs time, never exactness."""
+
+def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, ranks: Sequence[Column],
+                     accuracy: int = 10_000) -> DataFrame:
+    """Exact value at the given 1-based ranks (expressions over ``n``; their mean if two) per
+    key of any size: (keys, n, quantile, max).
+
+    A sketch whose rank error is bounded by 1 / ``accuracy`` brackets the quantile. One more
+    pass counts, with partial sums, the rows below and above the bracket and each value inside;
+    only these, about a thousandth of a key, are ordered."""
     keys = list(keys)
     v = F.col(value).cast("double")
     margin = 5 / accuracy
-    bracket = F.percentile_approx(v, [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)], accuracy)
-    span = df.groupBy(*keys).agg(bracket.alias("_p"), F.count(v).alias("n"))
-    counted = (df.where(v.isNotNull()).groupBy(*keys, v.alias("_v"))
-               .agg(F.count(F.lit(1)).alias("_c")))
+    p = F.percentile_approx(v, [max(0.0, q - margin), min(1.0, q + margin)], accuracy)
+    span = df.groupBy(*keys).agg(p.alias("_p"), F.count(v).alias("n"), F.min(v).alias("_min"), F.max(v).alias("max"))
+    low = F.col("_p")[0] if q - margin > 0 else F.col("_min")
+    high = F.col("_p")[1] if q + margin < 1 else F.col("max")
+    span = span.withColumn("_p", F.array(low, high))
+    if not keys:  # ranks over n - 1 may lie one place beside the sketch's in a short column
+        whole = F.col("n") < _RANKED_WHOLE
+        span = span.withColumn("_p", F.when(whole, F.array("_min", "max")).otherwise(F.col("_p")))
+        rows = df.select(v.alias("_v")).withColumn("_p", span.select("_p").scalar())
+    else:
+        rows = df.select(*keys, v.alias("_v")).join(span.select(*keys, "_p"), keys)
     cell = F.when(F.col("_v") < F.col("_p")[0], 0).when(F.col("_v") <= F.col("_p")[1], 1).otherwise(2)
-    placed = counted.join(span, keys).withColumn("_cell", cell).drop("_p")
-    totals = placed.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_cc"), F.max("n").alias("n"))
-    before = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    ranks = (totals.withColumn("_before", F.coalesce(F.sum("_cc").over(before), F.lit(0)))
-             .withColumn("_r1", F.call_function("div", F.col("n") + 1, F.lit(2)))
-             .withColumn("_r2", F.call_function("div", F.col("n") + 2, F.lit(2)))
-             .where((F.col("_before") < F.col("_r2"))
-                    & (F.col("_before") + F.col("_cc") >= F.col("_r1")))
-             .select(*keys, "_cell", "_before", "_r1", "_r2"))
-    inside = W.partitionBy(*keys, "_cell").orderBy("_v")
-    upto = F.col("_before") + F.sum("_c").over(inside)
-    hit = (placed.join(ranks, [*keys, "_cell"]).withColumn("_upto", upto)
-           .withColumn("_from", F.col("_upto") - F.col("_c")))
-    holds = lambda r: F.max(F.when((F.col("_from") < F.col(r)) & (F.col("_upto") >= F.col(r)),
-                                   F.col("_v")))
-    return hit.groupBy(*keys).agg(
-        F.max("n").alias("n"), ((holds("_r1") + holds("_r2")) * 0.5).alias("median"))
+    counted = (rows.where(F.col("_v").isNotNull()).withColumn("_cell", cell)
+               .groupBy(*keys, "_cell", F.when(F.col("_cell") == 1, F.col("_v")).alias("_v"))
+               .agg(F.count(F.lit(1)).alias("_c")))
+    upto = F.sum("_c").over(W.partitionBy(*(keys or [F.lit(0)])).orderBy("_cell", "_v"))
+    counted = counted.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
+    counted = counted.join(span.select(*keys, "n", "max"), keys) if keys else counted.withColumns(
+        {c: span.select(c).scalar() for c in ("n", "max")})
+    named = {f"_r{i}": r for i, r in enumerate(ranks)}
+    hit = F.col("_cell") == 1
+    at = lambda r: F.max(F.when(hit & (F.col("_from") < F.col(r)) & (F.col("_upto") >= F.col(r)), F.col("_v")))
+    mean = sum((at(r) for r in named), F.lit(0.0)) / len(ranks)
+    return counted.withColumns(named).groupBy(*keys).agg(
+        F.max("n").alias("n"), mean.alias("quantile"), F.max("max").alias("max"))
+
+
+def grouped_median(df: DataFrame, keys: Sequence[str], value: str, accuracy: int = 10_000) -> DataFrame:
+    """Exact median per key, for keys of any size: (keys, n, median)."""
+    n = F.col("n")
+    ranks = [F.call_function("div", n + 1, F.lit(2)), F.call_function("div", n + 2, F.lit(2))]
+    return grouped_quantile(df, keys, value, 0.5, ranks, accuracy).select(*keys, "n", F.col("quantile").alias("median"))
 
 
 def grouped_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -196,14 +209,7 @@ def cusum(series: DataFrame, keys: Sequence[str], order: str, value: str,
     return s.withColumn("g", g).withColumn("alarm", F.col("g") > limit).drop("_s")
 
 
-def nearest_rank(df: DataFrame, value: str, q: float, bucket: Column) -> DataFrame:
-    """One row (n, quantile, max): the value at 0-based index round(q*(n-1)), half to even.
-    Ranks come from value buckets, so no task sees the whole column."""
-    ranked = rank_rows(df.select(value), [], bucket, [value])
-    n = F.max("_n")
-    total = df.agg(F.count(value).alias("_n"), F.max(value).alias("_max"))
-    target = (F.bround(F.lit(q) * (total["_n"] - 1), 0) + 1).cast("bigint")
-    want = total.select("_n", "_max", target.alias("rank"))
-    return (want.join(ranked, "rank", "left")
-            .groupBy().agg(F.coalesce(n, F.lit(0)).alias("n"), F.max(value).alias("quantile"),
-                           F.max("_max").alias("max")))
+def nearest_rank(df: DataFrame, value: str, q: float) -> DataFrame:
+    """One row (n, quantile, max): the value at 0-based index round(q*(n-1)), half to even."""
+    rank = (F.bround(F.lit(q) * (F.col("n") - 1), 0) + 1).cast("bigint")
+    return grouped_quantile(df, [], value, q, [rank]).withColumn("n", F.coalesce("n", F.lit(0)))

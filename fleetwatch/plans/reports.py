@@ -150,7 +150,6 @@ def alarm_latencies(alarms: DataFrame, tasks: DataFrame, guards: DataFrame,
 
 def alarm_latency_card(latencies: DataFrame, target_ms: float = 500.0) -> DataFrame:
     """One row with count, nearest-rank p95, maximum and the target."""
-    slot = F.floor(F.col("latency_ms") / 100).cast("bigint")
-    card = nearest_rank(latencies, "latency_ms", 0.95, slot)
+    card = nearest_rank(latencies, "latency_ms", 0.95)
     return card.select(F.col("n").alias("count"), F.round("quantile", 1).alias("p95_ms"),
                        F.round("max", 1).alias("max_ms"), F.lit(target_ms).alias("target_ms"))

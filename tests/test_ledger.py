@@ -163,3 +163,17 @@ def test_export_and_rebuild(spark, tmp_path):
             "table": "ledger", "rows": 7, "rebuilt_rows": 7, "same_content": True}
     lost = {"ledger": back["ledger"].where("seq > 1")}
     assert archive.compare_tables({"ledger": l}, lost).first()["same_content"] is False
+
+
+def test_what_cannot_be_appended_is_rejected(spark):
+    at = datetime(2024, 1, 1)
+    rows = [("x", '{"a": 1}', at, "good"), ("x", '{"a": 1}', None, "undated"), ("x", "{oops", at, "broken"),
+            ("x", None, at, "empty"), ("x", '{"a": NaN}', at, "nan"), ("x", '{"a": 2}', at, "broken"), ("x", '{"a": 3}', at, "later")]
+    batch = spark.createDataFrame(rows, "event_type string, payload string, created_at timestamp, source_id string")
+    chain = ledger.append(batch)
+    assert [r["seq"] for r in chain.orderBy("seq").collect()] == [1, 2, 3]
+    assert sorted(r["source_id"] for r in chain.collect()) == ["broken", "good", "later"]
+    assert ledger.verify_chain(chain).first()["ok"]
+    assert sorted((r["source_id"], r["reason"]) for r in ledger.rejected(batch).collect()) == [
+        ("broken", "invalid json"), ("empty", "missing payload"), ("nan", "non-finite number"), ("undated", "missing created_at")]
+    assert chain.count() + ledger.rejected(batch).count() == len(rows)

@@ -74,7 +74,10 @@ def test_grouped_median_and_mad(spark, accuracy):
 
 def test_nearest_rank(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 101)], "v double")
-    r = nearest_rank(df, "v", 0.95, F.floor(F.col("v") / 10).cast("long")).first()
+    r = nearest_rank(df, "v", 0.95).first()
     assert (r["n"], r["quantile"], r["max"]) == (100, 95.0, 100.0)
-    empty = nearest_rank(df.where("v < 0"), "v", 0.95, F.lit(0).cast("long")).first()
+    wide = spark.range(20_001).select((F.col("id") * 7919 % 20_001).cast("double").alias("v"))
+    for q in (0.0, 0.5, 0.95, 1.0):
+        assert nearest_rank(wide, "v", q).first()["quantile"] == round(q * 20_000)
+    empty = nearest_rank(df.where("v < 0"), "v", 0.95).first()
     assert empty["n"] == 0 and empty["quantile"] is None

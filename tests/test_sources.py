@@ -159,3 +159,34 @@ def test_first_write_wins(spark):
     new = spark.createDataFrame([("a", 1, 2), ("a", 2, 1), ("b", 3, 1), ("c", 4, 1)], ddl)
     old = spark.createDataFrame([("c", 9, 0)], ddl)
     assert sorted(tuple(r) for r in ingest.new_events(new, old, ["n"]).collect()) == [("a", 2, 1), ("b", 3, 1)]
+
+
+def test_redelivery_under_the_same_id_is_a_replay(spark):
+    secret, at = b"s3", int(NOW.timestamp())
+    sign = lambda nonce: hmac.new(secret, f"{at}.{nonce}{{}}".encode(), hashlib.sha256).hexdigest()
+    row = lambda i, nonce: (i, "k", str(at), nonce, sign(nonce), "{}", NOW)
+    rows = [row("a", "n1"), row("a", "n1"), row("b", "n2"), row("b", "n2"), row("b", "n2"), row("c", "n3")]
+    got = signed.verify(spark.createDataFrame(rows, schemas.ENVELOPES), hmac_pads(spark, {"k": secret}))
+    assert sorted((r["envelope_id"], r["reason"] or "") for r in got.collect()) == [
+        ("a", ""), ("a", "replay"), ("b", ""), ("b", "replay"), ("b", "replay"), ("c", "")]
+
+
+def test_unreadable_parts_are_reported(spark):
+    good = '{"traceId":"t","spanId":"s","name":"x"}'
+    bodies = {"ok": '{"resourceSpans":[{"scopeSpans":[{"spans":[%s]}]}]}' % good,
+              "object": '{"resourceSpans":[{"scopeSpans":[{"spans":%s}]}]}' % good,
+              "half": '{"resourceSpans":[{"scopeSpans":[{"spans":[%s]}]},{"scopeSpans":5}]}' % good,
+              "spans": '{"resourceSpans":[{"scopeSpans":[{"spans":"no"}]}]}',
+              "attributes": '{"resourceSpans":[{"scopeSpans":[{"spans":[{"spanId":"s","attributes":"no"}]}]}]}'}
+    df = spark.createDataFrame([(k, datetime(2024, 1, 1), v) for k, v in bodies.items()], "request_id string, received_at timestamp, body string")
+    assert {r["request_id"]: r["reason"] for r in otlp.malformed(df).collect()} == {
+        "half": "unread scopeSpans", "spans": "unread spans", "attributes": "unread attributes"}
+    spans = [r["request_id"] for r in otlp.flatten(df).collect()]
+    assert sorted(spans) == ["attributes", "half", "object", "ok"]
+
+
+def test_requests_of_two_files_have_own_ids(spark, tmp_path):
+    for name in ("a.json", "b.json"):
+        (tmp_path / name).write_text('{"resourceSpans":[]}\n')
+    ids = [r["request_id"] for r in otlp.read_requests(spark, str(tmp_path)).collect()]
+    assert len(ids) == len(set(ids)) == 2

@@ -10,6 +10,7 @@ from fleetwatch import catalog, schemas
 from fleetwatch import rules as R
 from fleetwatch.operators import alarms, attribution, facts, ledger, privacy
 from fleetwatch.plans import reports
+from fleetwatch.session import work_dir
 from fleetwatch.streaming import detectors, ingest
 from fleetwatch.streaming.runner import to_parquet
 
@@ -184,3 +185,19 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<ts:timestamp_ntz>" in plan and "GreaterThanOrEqual(ts,2024-01-10T00:00)" in plan
     costs = catalog.QUERIES["b12_daily_cost"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in costs
+
+
+def test_the_earliest_alarm_of_a_key_wins(spark):
+    at = [datetime(2024, 1, 1, 5, m) for m in (9, 3, 3)]
+    fired = spark.createDataFrame([("a", "latency.retry>=3", v, t, True) for v, t in zip((9.0, 5.0, 4.0), at)],
+                                  "agent_id string, signal string, value double, ts timestamp, fired boolean")
+    rows = alarms.raise_alarms(alarms.map_to_alarms(fired, R.signal_rules(spark)), F.col("ts")).collect()
+    assert [(r["trigger_value"], r["created_at"].minute) for r in rows] == [(4.0, 3)]
+
+
+def test_a_cluster_without_shared_folder_is_refused():
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+        sparkContext = type("X", (), {"master": "spark://host:7077"})
+    with pytest.raises(ValueError):
+        work_dir(Session(), "x")
