@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 200_000
+CACHE = 300_000
 SHORT = 48
 ROWS = 256
 # fixed values of the model format: piece kinds and model types
@@ -131,6 +131,7 @@ class Transducer:
             for n in range(1, len(p)):
                 self.arcs.setdefault(p[:n], -1)
         self.arcs.update(own)
+        self.states = self._states()
         self.cost = [-s for _, s, _ in m.pieces]
         self.unknown_cost = max((c for c, p in zip(self.cost, m.pieces) if p[2] == NORMAL), default=0.0) + 10
         self.user = sorted((p for p, _, k in m.pieces if k == USER), key=len, reverse=True)
@@ -146,6 +147,14 @@ class Transducer:
         self.pairs: dict[int, bool] = {}
         self.paths = _Paths(self.shortest_path)
 
+    def _states(self) -> dict:
+        """The piece transducer as nested states: character -> (piece or -1, state after it)."""
+        states: dict[str, dict] = {"": {}}
+        for p in sorted(self.arcs, key=len):
+            before = states[p[:-1]]
+            before[p[-1]] = (self.arcs[p], states.setdefault(p, {}))
+        return states[""]
+
     @staticmethod
     def _surface(piece: str, kind: int) -> bytes:
         if kind == BYTE:
@@ -201,24 +210,27 @@ class Transducer:
     def _admitted(self, chunk: str) -> list[int]:
         """BPE: all admitted arcs weigh nothing and each position has one admitted last piece,
         so the first way to reach it is the best."""
-        arc, pair, compatible, n = self.arcs.get, self.pairs.get, self.compatible, len(chunk)
+        states, pair, compatible, n = self.states, self.pairs.get, self.compatible, len(chunk)
         last, came = [None] * (n + 1), [0] * (n + 1)
         last[0] = -1
         for i in range(n):
             before = last[i]
             if before is None:
                 continue
-            for stop in range(i + 1, n + 1):
-                piece = arc(chunk[i:stop])
-                if piece is None:
+            after, stop = states, i
+            for c in chunk[i:]:
+                arc = after.get(c)
+                if arc is None:
                     break
+                piece, after = arc
+                stop += 1
                 if piece >= 0 and last[stop] is None:
                     ok = before < 0 or pair(before << 24 | piece)
                     if ok is None:
                         ok = compatible(before, piece)
                     if ok:
                         last[stop], came[stop] = piece, i
-            if last[i + 1] is None and arc(chunk[i], -1) < 0:  # no piece has this character
+            if last[i + 1] is None and self.arcs.get(chunk[i], -1) < 0:  # no piece is this character
                 last[i + 1], came[i + 1] = -1, i
         out, at = [], n
         while at > 0:
