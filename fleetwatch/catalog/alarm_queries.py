@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from .. import rules as R
 from ..operators import alarms as ops
-from ..operators import attribution, facts, ingest
+from ..operators import attribution, facts, ingest, ledger
 from .base import cte, query, r6
 from .facts_queries import AS_OF_SQL, calibration, fact_table, registrations
 
@@ -147,6 +147,41 @@ def d7_view(spark, sf):
         .select("alarm_id", "status", "resolved_at")
 
 
+_CLOCK = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+@query("d7_resolution_events", f"""
+SELECT 'alarm_resolved' AS event_type, alarm_id AS source_id, requested_at AS created_at,
+       '{{"alarm_id":"' || alarm_id || '","resolved_by":"' || resolved_by || '","ts":"' || {_CLOCK.format("requested_at")} || '"}}' AS payload
+FROM resolved WHERE accepted""", ["resolved"])
+def d7_events(spark, sf):
+    return ops.resolution_events(ops.resolve_requests(A.alarms(spark, sf), _resolve_requests(spark, sf)))
+
+
+@query("d5_evidence_seq", """
+SELECT alarm_id, max(seq) FILTER (kind = 0) AS evidence_seq, max(seq) FILTER (kind = 1) AS evidence_seq_resolved
+FROM (SELECT alarm_id, kind, row_number() OVER (ORDER BY t, alarm_id) AS seq
+      FROM (SELECT alarm_id, 0 AS kind, created_at AS t FROM alarms
+            UNION ALL SELECT alarm_id, 1, requested_at + INTERVAL 1 SECOND FROM resolved WHERE accepted)) GROUP BY 1""", ["resolved"])
+def d5_evidence(spark, sf):
+    """Creations and resolutions in one chain; each alarm gets both numbers back."""
+    a = A.alarms(spark, sf)
+    done = ops.resolve_requests(a, _resolve_requests(spark, sf)).withColumn(
+        "requested_at", F.timestamp_micros(F.unix_micros("requested_at") + 1_000_000))
+    chain = ledger.append(ops.raise_events(a).unionByName(ops.resolution_events(done)))
+    return ops.with_evidence(a, chain).select("alarm_id", "evidence_seq", "evidence_seq_resolved")
+
+
+@query("d3_audit_events", """
+SELECT 'baseline_audit' AS event_type, '{"agent_id":"' || agent_id || '","note":"' || note || '","signal":"' || signal || '"}' AS payload,
+       'aud_' || substr(sha256(note || '|' || agent_id || '|' || signal), 1, 16) AS source_id
+FROM (SELECT DISTINCT 'calibration_suppressed' AS note, agent_id, signal FROM mapped WHERE suppressed)""", ["mapped"])
+def d3_events(spark, sf):
+    state = calibration(spark, sf)
+    notes = ops.audit_notes(fact_table(spark, sf, state), R.signal_rules(spark), state)
+    return ops.audit_events(notes, A.as_of()).select("event_type", "payload", "source_id")
+
+
 def _first_error(cond: str) -> str:
     return f"""
   SELECT alarm_id, signal, x.* FROM alarms a, LATERAL (
@@ -254,6 +289,14 @@ def d9(spark, sf):
     return attribution.verdicts(_pending(spark, sf), _verdict_requests(spark, sf))
 
 
+@query("d9_verdict_events", f"""
+SELECT 'attribution_confirmed' AS event_type, alarm_id AS source_id, "at" AS created_at,
+       '{{"accepted":' || CAST(accepted AS VARCHAR) || ',"alarm_id":"' || alarm_id || '","operator":"' || operator || '","ts":"'
+       || {_CLOCK.format('"at"')} || '"}}' AS payload FROM verdicts""", ["verdicts"])
+def d9_events(spark, sf):
+    return attribution.verdict_events(attribution.verdicts(_pending(spark, sf), _verdict_requests(spark, sf)))
+
+
 @query("d10_approval_rate", """
 SELECT count(*) AS decided, count(*) FILTER (c) AS accepted, count(*) FILTER (NOT c) AS rejected,
        round(count(*) FILTER (c) / count(*), 6) AS rate

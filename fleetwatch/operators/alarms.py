@@ -84,6 +84,35 @@ def raise_events(alarms: DataFrame) -> DataFrame:
                          F.col("alarm_id").alias("source_id"))
 
 
+def clock_text(ts: str) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+def resolution_events(resolved: DataFrame) -> DataFrame:
+    """Ledger payloads of accepted resolutions; refused requests leave no trace there."""
+    payload = F.to_json(F.struct("alarm_id", "resolved_by", clock_text("requested_at").alias("ts")))
+    return resolved.where("accepted").select(
+        F.lit("alarm_resolved").alias("event_type"), payload.alias("payload"),
+        F.col("requested_at").alias("created_at"), F.col("alarm_id").alias("source_id"))
+
+
+def audit_events(notes: DataFrame, as_of: Column) -> DataFrame:
+    """D3: ledger payloads of audit notes, one per note, agent and signal."""
+    key = F.concat_ws("|", "note", "agent_id", "signal")
+    return notes.select("note", "agent_id", "signal").distinct().select(
+        F.lit("baseline_audit").alias("event_type"), F.to_json(F.struct("agent_id", "note", "signal")).alias("payload"),
+        as_of.alias("created_at"), F.concat(F.lit("aud_"), F.substring(F.sha2(key, 256), 1, 16)).alias("source_id"))
+
+
+def with_evidence(alarms: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Alarms with the numbers of the ledger rows that record their creation and their
+    resolution; null where there is none."""
+    rows = ledger.groupBy(F.col("source_id").alias("alarm_id")).agg(
+        F.min(F.when(F.col("event_type").endswith("_created"), F.col("seq"))).alias("evidence_seq"),
+        F.min(F.when(F.col("event_type") == "alarm_resolved", F.col("seq"))).alias("evidence_seq_resolved"))
+    return alarms.drop("evidence_seq", "evidence_seq_resolved").join(rows, "alarm_id", "left")
+
+
 def open_tickets(requests: DataFrame) -> DataFrame:
     """Manually opened tickets, due four hours after they were asked for."""
     return requests.select(

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .alarms import clock_text
+
 METHOD = "heuristic.v1"
 LOOKBACK_H = 24
 
@@ -161,6 +163,13 @@ def verdicts(suggestions: DataFrame, requests: DataFrame) -> DataFrame:
     return first.join(pending, "alarm_id", "left_semi")
 
 
+def verdict_events(decided: DataFrame) -> DataFrame:
+    """Ledger payloads of the verdicts that count."""
+    payload = F.to_json(F.struct("accepted", "alarm_id", "operator", clock_text("at").alias("ts")))
+    return decided.select(F.lit("attribution_confirmed").alias("event_type"), payload.alias("payload"),
+                          F.col("at").alias("created_at"), F.col("alarm_id").alias("source_id"))
+
+
 def apply_verdicts(suggestions: DataFrame, decided: DataFrame) -> DataFrame:
     d = decided.select("alarm_id", "accepted", F.col("operator").alias("_by"), F.col("at").alias("_at"))
     return (suggestions.join(d, "alarm_id", "left")
