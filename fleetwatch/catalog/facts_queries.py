@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from .. import adapters as A
@@ -9,7 +11,8 @@ from .. import rules as R
 from ..functions.hashing import call_signature
 from ..operators import alarms as alarm_ops
 from ..operators import facts, ingest, stats
-from ..plans.evaluate import Windows, evaluate
+from ..plans.evaluate import Windows, advance, evaluate
+from ..session import work_dir
 from .base import PRESEEN_SQL, classify_sql, cte, query, r6
 
 DAY = 86_400
@@ -396,6 +399,24 @@ def b17(spark, sf):
     return fact_table(spark, sf).select("agent_id", "signal", "fired", F.round("value", 4).alias("value"))
 
 
+def _incremental(spark, sf, middle="2024-01-17 00:00:00"):
+    """A stored state of the rows before ``middle``, then the evaluation of the rest."""
+    since, state = A.as_of(middle), calibration(spark, sf)
+    t, g = A.task_events(spark, sf), A.guard_events(spark, sf)
+    # the new rows and their look-back come from a scan with a pushed filter
+    w = windows()
+    reach = timedelta(hours=w.recent_h, days=w.prior_days, seconds=w.deny_s)
+    recent = {"since": str(datetime.fromisoformat(middle) - reach)}
+    before = advance(t.where(F.col("ts") < since), g.where(F.col("ts") < since), windows()).saved(work_dir(spark, "evaluation"))
+    return evaluate(state, A.task_events(spark, sf, **recent), A.guard_events(spark, sf, **recent), A.tickets(spark, sf),
+                    A.as_of(), windows(), state, state=before, since=since)
+
+
+@query("b17_incremental", "SELECT agent_id, signal, fired, round(value, 4) AS value FROM facts", ["facts"])
+def b17_incremental(spark, sf):
+    return _incremental(spark, sf).select("agent_id", "signal", "fired", F.round("value", 4).alias("value"))
+
+
 @query("c2_jsd_return_flags", f"""
 SELECT agent_id, round(jsd, 6) AS jsd, {_JSD_TAIL} FROM (
   SELECT agent_id, CASE WHEN count(p + q) > 0 THEN greatest(0, sum(0.5 * p * log2(p / (0.5 * (p + q))) + 0.5 * q * log2(q / (0.5 * (p + q))))) END AS jsd

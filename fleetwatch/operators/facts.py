@@ -128,15 +128,19 @@ def loop_openings(guards: DataFrame, bucket_s: int = SEQUENCE_BUCKET_S) -> DataF
                     F.col("o.agent_id"), F.col("o.tool_name")))
 
 
-def loop_hits(guards: DataFrame, bucket_s: int = SEQUENCE_BUCKET_S) -> DataFrame:
-    """Agents with calls at or after the opening of a task, with the number of tasks."""
-    opened = loop_openings(guards, bucket_s).select(
-        "task_id", F.struct("opened_at", F.col("event_id").alias("opened_event")).alias("o"))
-    calls = guards.where(F.col("event_type") == "tool_call").join(opened, "task_id")
+def looped_tasks(guards: DataFrame, opened: DataFrame) -> DataFrame:
+    """(agent_id, task_id) of agents with calls at or after the opening of a task."""
+    o = opened.select("task_id", F.struct("opened_at", F.col("event_id").alias("opened_event")).alias("o"))
+    calls = guards.where(F.col("event_type") == "tool_call").join(o, "task_id")
     after = ((F.col("ts") > F.col("o.opened_at"))
              | ((F.col("ts") == F.col("o.opened_at"))
                 & (F.col("event_id") >= F.col("o.opened_event"))))
-    return (calls.where(after).groupBy("agent_id", "task_id").agg(F.min("ts").alias("_t"))
+    return calls.where(after).select("agent_id", "task_id").distinct()
+
+
+def loop_hits(guards: DataFrame, bucket_s: int = SEQUENCE_BUCKET_S) -> DataFrame:
+    """Agents with calls at or after the opening of a task, with the number of tasks."""
+    return (looped_tasks(guards, loop_openings(guards, bucket_s))
             .groupBy("agent_id").agg(F.count(F.lit(1)).alias("looped_tasks")))
 
 

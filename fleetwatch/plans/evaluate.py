@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules as R
@@ -56,26 +57,103 @@ def _guard_facts(guards: DataFrame, w: Windows) -> DataFrame:
             .withColumn("deny", F.col("denied") / F.when(F.col("judged") > 0, F.col("judged"))))
 
 
+@dataclass
+class State:
+    """What an evaluation keeps of all rows it has seen, each table with a row per key.
+
+    ``tasks`` (agent_id, errors, retries) and ``guards`` (agent_id, deny, jsd, band) are the
+    window facts of each agent's newest rows; ``costs`` its days, ``classes`` its error classes,
+    ``looped`` the tasks in which it met an open breaker, ``opened`` the tasks with one and
+    ``tails`` the last calls of the other tasks."""
+    tasks: DataFrame
+    guards: DataFrame
+    costs: DataFrame
+    classes: DataFrame
+    looped: DataFrame
+    opened: DataFrame
+    tails: DataFrame
+
+    def saved(self, folder: str) -> State:
+        """Written below ``folder`` and read again."""
+        out = {}
+        for f in fields(self):
+            df = getattr(self, f.name)
+            df.write.parquet(f"{folder}/{f.name}")
+            out[f.name] = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{f.name}")
+        return State(**out)
+
+
+def _replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(old.columns))
+
+
+def advance(tasks: DataFrame, guards: DataFrame, windows: Windows | None = None,
+            state: State | None = None, since: Column | None = None) -> State:
+    """The state after the rows from ``since`` on. With a state, older rows are read only as far
+    as the windows of those new rows reach back (a filter on ``ts`` that reaches the scan);
+    an agent without new rows keeps the facts of its last ones."""
+    w = windows or Windows()
+    back = lambda rows, s: rows if since is None else rows.where(F.col("ts") >= since - facts.seconds(s))
+    new_tasks, new_guards = back(tasks, 0), back(guards, 0)
+    wide_tasks = back(tasks, w.error_s)
+    wide_guards = back(guards, w.recent_h * 3600 + w.prior_days * 86_400 + w.deny_s)
+    calls = new_guards.where(F.col("event_type") == "tool_call")
+    call_columns = ["event_type", "task_id", "agent_id", "ts", "event_id", "tool_name", "arguments_json"]
+    if state is not None:
+        wide_tasks = wide_tasks.join(new_tasks.select("agent_id").distinct(), "agent_id", "left_semi")
+        wide_guards = wide_guards.join(new_guards.select("agent_id").distinct(), "agent_id", "left_semi")
+        calls = state.tails.unionByName(calls.select(call_columns))
+        running = calls.join(state.opened.select("task_id"), "task_id", "left_anti")
+    else:
+        running = calls.select(call_columns)
+    t, g = _task_facts(wide_tasks, w.error_s), _guard_facts(wide_guards, w).select("agent_id", "deny", "jsd", "band")
+    costs = (tasks if since is None else new_tasks).groupBy("agent_id", F.to_date("ts").alias("day")).agg(F.sum("cost_usd").alias("cost"))
+    classes = facts.new_error_classes(new_tasks).select("agent_id", "class")
+    opened = facts.loop_openings(running).select("task_id", "opened_at", "event_id")
+    looped = facts.looped_tasks(running, opened)
+    if state is not None:
+        t = _replaced(state.tasks, t.join(state.tasks.select("agent_id", F.col("retries").alias("_r")), "agent_id", "left")
+                      .withColumn("retries", F.greatest("retries", "_r")), ["agent_id"])
+        # a new guard row that is no decision leaves the deny share as it was
+        judged = new_guards.where(F.col("event_type") == "permission_decision").select("agent_id").distinct()
+        kept = (state.guards.select("agent_id", F.col("deny").alias("_d")).join(judged, "agent_id", "left_anti")
+                .withColumn("_kept", F.lit(True)))
+        g = (g.join(kept, "agent_id", "left")
+             .withColumn("deny", F.when(F.col("_kept"), F.col("_d")).otherwise(F.col("deny"))))
+        g = _replaced(state.guards, g, ["agent_id"])
+        costs = state.costs.unionByName(costs).groupBy("agent_id", "day").agg(F.sum("cost").cast(costs.schema["cost"].dataType).alias("cost"))
+        classes = state.classes.unionByName(classes).distinct()
+        after = (new_guards.where(F.col("event_type") == "tool_call").select("agent_id", "task_id")
+                 .join(state.opened.select("task_id"), "task_id", "left_semi"))
+        looped = state.looped.unionByName(looped).unionByName(after.select("agent_id", "task_id")).distinct()
+        opened = state.opened.unionByName(opened)
+    last = F.row_number().over(W.partitionBy("task_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    tails = (running.withColumn("_nth", last).where(F.col("_nth") < R.LOOP_RUN).drop("_nth")
+             .join(opened.select("task_id"), "task_id", "left_anti").select(call_columns))
+    return State(t, g, costs, classes, looped, opened, tails)
+
+
 def evaluate(agents: DataFrame, tasks: DataFrame, guards: DataFrame, tickets: DataFrame,
              as_of: Column, windows: Windows | None = None,
              calibration: DataFrame | None = None, output_quality: bool = False,
-             per_agent_tickets: bool = False) -> DataFrame:
+             per_agent_tickets: bool = False, state: State | None = None, since: Column | None = None) -> DataFrame:
     """(agent_id, signal, fired, value) for every agent and signal.
 
     Facts over the same rows share a pass, and every fact is down to one row per agent
     before they meet. The cost fact reads the newest day of the card and needs a closed
-    calibration. Divergent end states feed ``drift.output_quality`` only on request."""
+    calibration. Divergent end states feed ``drift.output_quality`` only on request. With
+    ``state`` and ``since`` only the rows since then and their look-back are read."""
     w = windows or Windows()
-    t = _task_facts(tasks, w.error_s)
-    g = _guard_facts(guards, w)
-    costs = facts.daily_cost(tasks)
+    s = advance(tasks, guards, w, state, since)
+    t, g = s.tasks, s.guards
+    costs = s.costs.withColumn("cost", F.col("cost").cast("double"))
     if calibration is not None:
         costs = (costs.join(calibration.select("agent_id", "closed"), "agent_id", "left")
                  .withColumn("closed", F.coalesce("closed", F.lit(False))))
     card = facts.cost_spikes(costs, w.ewma_warmup, "closed" if calibration is not None else None)
     newest = card.groupBy("agent_id").agg(F.max_by(F.struct("z", "fired"), "day").alias("c"))
-    loops = facts.loop_hits(guards)
-    fresh = facts.new_error_classes(tasks).groupBy("agent_id").agg(F.count(F.lit(1)).alias("classes"))
+    loops = s.looped.groupBy("agent_id").agg(F.count(F.lit(1)).alias("looped_tasks"))
+    fresh = s.classes.groupBy("agent_id").agg(F.count(F.lit(1)).alias("classes"))
     fact = lambda signal, value, fired: F.struct(
         F.lit(signal).alias("signal"), value.cast("double").alias("value"),
         F.coalesce(fired, F.lit(False)).alias("fired"))
