@@ -19,6 +19,7 @@ HEADLINE = [
     "b11_new_error_classes", "b14_end_state_divergence", "b17_evaluate_facts", "c1_ewma_card",
     "c3_mad_z", "d8_attribution", "g9_agent_state", "g22_alarm_latency_card", "a3_span_events",
     "a6_signed_batches", "e3_ledger", "e4_verify_chain", "e5_merkle_root", "e7_seal_roots", "x7_masked_texts",
+    "x6_cost_outliers", "x9_baselines", "b17_incremental", "s2_sliding_error_rate", "s7_alarm_log",
 ]
 
 

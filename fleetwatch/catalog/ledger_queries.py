@@ -372,6 +372,16 @@ def f3(spark, sf):
     return privacy.read_personal_data(s, k, _master()).withColumn("pii", F.coalesce("pii", F.lit("gone")))
 
 
+@query("f3_files_after_erasure", """
+SELECT subject_id, CASE WHEN erased_at IS NULL THEN pii ELSE 'gone' END AS pii FROM subjects""", ["subjects"])
+def f3_files(spark, sf):
+    """What the stored files still give away after the keys were destroyed there."""
+    path = work_dir(spark, "shredded")
+    s, k = privacy.register(_requests(spark, sf), _master(), path)
+    privacy.shred(spark, path, privacy.erase(s, k, _erase_requests(spark, sf))[2].where("erased"))
+    return privacy.read_personal_data(*privacy.registered(spark, path), _master()).withColumn("pii", F.coalesce("pii", F.lit("gone")))
+
+
 @query("f3_erasure_results", """
 SELECT 'subj-' || CAST(c_custkey AS VARCHAR) AS subject_id, c_custkey % 10 <> 0 AS erased,
        CASE WHEN c_custkey % 10 = 0 THEN 'unknown subject' ELSE '' END AS reason FROM customer WHERE c_custkey % 7 = 3""")

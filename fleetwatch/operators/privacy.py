@@ -1,4 +1,7 @@
-"""Personal data under per-subject keys: register, read, erase, custody, scope."""
+"""Personal data under per-subject keys: register, read, erase, custody, scope.
+
+The master key is a column: give it from a table that is read at run time, since a literal is
+printed in plans and event logs."""
 
 from __future__ import annotations
 
@@ -6,11 +9,15 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from ..session import work_dir
+
 ERASED_NAME = "[ERASED]"
+# stored keys are laid out in so many folders; an erasure rewrites those of its subjects
+KEY_FOLDERS = 64
 
 
 @F.pandas_udf(BinaryType())
@@ -61,8 +68,17 @@ def register(requests: DataFrame, master_key: Column, path: str,
         F.concat(F.lit("created by "), F.col("actor"), F.lit("; lawful basis: "),
                  F.col("lawful_basis")).alias("note"),
         F.col("requested_at").alias("registered_at"))
-     .write.mode("append").parquet(path))
-    stored = requests.sparkSession.read.parquet(path)
+     .withColumn("folder", _folder()).repartition("folder").write.mode("append").partitionBy("folder").parquet(path))
+    return registered(requests.sparkSession, path)
+
+
+def _folder() -> Column:
+    return F.pmod(F.xxhash64("subject_id"), F.lit(KEY_FOLDERS)).cast("int")
+
+
+def registered(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(subjects, keys) as they stand in the files of ``path``."""
+    stored = spark.read.parquet(path)
     never = F.lit(None).cast("timestamp")
     return (stored.select("subject_id", "display_name", "ciphertext", "key_version", "registered_at",
                           never.alias("erased_at")),
@@ -84,9 +100,8 @@ def read_personal_data(subjects: DataFrame, keys: DataFrame, master_key: Column)
 def erase(subjects: DataFrame, keys: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(subjects, keys, results) after the requests (subject_id, actor, requested_at).
 
-    The returned tables replace the stored ones; older files of the key table must be
-    deleted with them, otherwise the wrapped keys survive. Asking twice changes nothing;
-    unknown ids are only reported."""
+    The returned tables are the logical state; ``shred`` destroys the keys in the stored files.
+    Asking twice changes nothing; unknown ids are only reported."""
     first = (requests.groupBy("subject_id").agg(F.min(F.struct("requested_at", "actor")).alias("r"))
              .select("subject_id", F.col("r.requested_at").alias("_at"), F.col("r.actor").alias("_by")))
     state = subjects.select("subject_id", F.lit(True).alias("_known"), F.col("erased_at").alias("_was"))
@@ -110,6 +125,23 @@ def erase(subjects: DataFrame, keys: DataFrame, requests: DataFrame) -> tuple[Da
         "subject_id", F.col("reason").isNull().alias("erased"), "reason", F.col("_at").alias("requested_at"))
 
 
+def shred(spark: SparkSession, path: str, erased: DataFrame) -> None:
+    """destroys the wrapped keys of the subjects in the stored files as well. Only the
+    folders of these subjects are rewritten; their old files are deleted when the new ones are
+    complete, and so is the copy they come from, so no file below ``path`` can decrypt them."""
+    asked = erased.select("subject_id").distinct().withColumn("_gone", F.lit(True))
+    folders = [r[0] for r in asked.select(_folder().alias("f")).distinct().collect()]  # at most KEY_FOLDERS
+    rows = (spark.read.parquet(path).where(F.col("folder").isin(folders)).join(asked, "subject_id", "left")
+            .withColumn("wrapped_key", F.when(F.col("_gone").isNull(), F.col("wrapped_key")))
+            .withColumn("display_name", F.when(F.col("_gone"), ERASED_NAME).otherwise(F.col("display_name"))).drop("_gone"))
+    copy = work_dir(spark, "rewritten-keys")
+    rows.write.parquet(copy)
+    (spark.read.schema(rows.schema).parquet(copy).repartition("folder").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(path))
+    at = spark._jvm.org.apache.hadoop.fs.Path(copy)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def erasure_events(results: DataFrame) -> DataFrame:
     """Ledger payloads of erasures that took place."""
     return results.where("erased").select(
