@@ -191,6 +191,21 @@ def _alarm_log(spark, sf):
     return spark.read.schema(detectors.ALARM_ROWS).parquet(a), spark.read.schema(detectors.LEDGER_ROWS).parquet(c)
 
 
+@query("s6_closed_windows", """
+SELECT agent_id, min(ts) + INTERVAL 14 DAY AS calibration_until FROM tasks GROUP BY 1
+HAVING min(ts) + INTERVAL 14 DAY <= (SELECT max(ts) FROM tasks)""", ["tasks"])
+def s6(spark, sf):
+    """Three batches in time order; windows end in the second and third."""
+    src, path = work_dir(spark, "calibrating"), work_dir(spark, "calibrations")
+    t = A.task_events(spark, sf).select("agent_id", "ts")
+    cuts = [A.as_of(f"2024-01-{d} 00:00:00") for d in ("12", "20")]
+    for rows in (t.where(F.col("ts") < cuts[0]), t.where((F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1])), t.where(F.col("ts") >= cuts[1])):
+        rows.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    detectors.calibration_log(stream, path, work_dir(spark, "calibrations-checkpoint"), 14)
+    return spark.read.parquet(f"{path}/closed").select("agent_id", "calibration_until")
+
+
 @query("s7_alarm_log", """
 SELECT alarm_id, agent_id, 'latency.retry>=3' AS signal, TRUE AS in_ledger FROM stream_alarms""", ["stream_alarms"])
 def s7(spark, sf):

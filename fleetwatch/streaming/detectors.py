@@ -75,7 +75,7 @@ class _CostCard(StatefulProcessor):
 
 def cost_card(tasks: DataFrame, min_obs: int = R.EWMA_WARMUP, calibration_days: int = R.CALIBRATION_DAYS,
               delay: str = WATERMARK) -> DataFrame:
-    """The control card of closed agent-days; alarms wait for the end of the agent's
+    """S3: the control card of closed agent-days; alarms wait for the end of the agent's
     calibration, counted in event time from its first day. One small row per agent-day
     reaches the state, not the traffic."""
     schema = ("agent_id string, day timestamp, cost double, n bigint, mu double, z double,"
@@ -84,6 +84,30 @@ def cost_card(tasks: DataFrame, min_obs: int = R.EWMA_WARMUP, calibration_days:
         _CostCard(min_obs, calibration_days), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
+def calibration_log(events: DataFrame, path: str, checkpoint: str, days: int = R.CALIBRATION_DAYS) -> None:
+    """The end of each agent's calibration as a row of its own below ``path``/closed, written
+    by the batch whose newest event passes it, also when the agent itself is silent. An agent's
+    window counts from its first event; ``path``/registered has one row per agent."""
+    spark = events.sparkSession
+    schema = "agent_id string, calibration_until timestamp"
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        head = batch_head(spark, f"{path}/heads", batch_id, "newest timestamp")
+        known = earlier_batches(spark, f"{path}/registered", batch_id, schema)
+        first = batch.groupBy("agent_id").agg(F.min("ts").alias("t")).join(known.select("agent_id"), "agent_id", "left_anti")
+        write_batch(first.select("agent_id", (F.col("t") + facts.seconds(days * 86_400)).alias("calibration_until")),
+                    f"{path}/registered", batch_id)
+        new = spark.read.schema(schema).parquet(f"{path}/registered/batch_id={batch_id}")
+        seen = batch.select("ts").unionByName(head.select(F.col("newest").alias("ts")))
+        write_batch(seen.groupBy().agg(F.max("ts").alias("newest")), f"{path}/heads", batch_id)
+        newest = spark.read.schema("newest timestamp").parquet(f"{path}/heads/batch_id={batch_id}").select("newest").scalar()
+        ended = F.col("calibration_until") <= newest
+        since = F.coalesce(F.col("calibration_until") > head.select("newest").scalar(), F.lit(True))
+        write_batch(known.where(ended & since).unionByName(new.where(ended)), f"{path}/closed", batch_id)
+
+    each_batch(events, land, checkpoint)
+
+
 class _LoopBreaker(StatefulProcessor):
     """Last signature, run length and opening time of one task."""
 
