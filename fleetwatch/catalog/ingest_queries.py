@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..functions.hashing import hmac_pads, hmac_sha256
 from ..functions.timeparse import ns_to_ts, parse_ts
-from ..operators import ingest
+from ..operators import ingest, tiers
+from ..session import work_dir
 from ..sources import observations, otlp, registry, signed
 from .base import cte, query, r6
 from .facts_queries import AS_OF_SQL, registrations
@@ -325,6 +328,16 @@ def a18(spark, sf):
     return ingest.hot_rows(A.task_events(spark, sf), A.as_of(), 10).select("event_id", "ts")
 
 
+@query("a18_dropped_days", """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM tasks WHERE ts >= TIMESTAMP '2024-01-21' GROUP BY 1""", ["tasks"])
+def a18_dropped(spark, sf):
+    """What a table by day still holds after its expired days were dropped."""
+    path = work_dir(spark, "retention")
+    ingest.write_by_day(A.task_events(spark, sf).select("event_id", "agent_id", "ts"), path)
+    tiers.drop_days(spark, path, date(2024, 1, 21))
+    return spark.read.parquet(path).groupBy(F.col("event_date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _attribute_rows(spark, sf):
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
     e = A.table(spark, sf, "events").select("event_id", k.alias("k"), "value", "event_type")

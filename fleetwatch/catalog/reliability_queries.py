@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..functions.text import mask_personal_data
-from ..operators import facts, ingest, reliability as rel
+from ..operators import facts, ingest, reliability as rel, tiers
 from ..rules import CARD_MASK, CARD_PATTERN, EMAIL_MASK, EMAIL_PATTERN
+from ..session import work_dir
 from .base import query, r6
 from .facts_queries import AS_OF_SQL, calibration
 
@@ -133,6 +136,31 @@ def x8(spark, sf):
     return ingest.warm_rows(A.task_events(spark, sf), A.as_of(), 10, 20).select("event_id", "ts")
 
 
+@query("x8_compacted", """
+SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-12' THEN 'warm' ELSE 'hot' END AS tier FROM tasks""", ["tasks"])
+def x8_compacted(spark, sf):
+    """Days that grew too old for the hot table, moved in two runs; every row is in one tier."""
+    hot, warm = work_dir(spark, "hot-days"), work_dir(spark, "warm-days")
+    ingest.write_by_day(A.task_events(spark, sf).select("event_id", "agent_id", "ts"), hot, 2)
+    for day in (8, 12):
+        tiers.to_warm(spark, hot, warm, date(2024, 1, day))
+    tier = lambda path, name: spark.read.parquet(path).select("event_id", F.lit(name).alias("tier"))
+    return tier(hot, "hot").unionByName(tier(warm, "warm"))
+
+
+@query("x8_cold_summaries", """
+SELECT CAST(day AS VARCHAR) AS day, agent_id, count(*) AS events, CAST(sum(cost_usd) AS DOUBLE) AS cost, any_value(root) AS root
+FROM (SELECT CAST(ts AS DATE) AS day, agent_id, cost_usd FROM tasks) JOIN (
+  SELECT day, sha256(sha256(string_agg(h, '' ORDER BY b))) AS root FROM (
+    SELECT day, b, sha256(string_agg(sha256(event_id), '' ORDER BY p)) AS h FROM (
+      SELECT event_id, day, p, (p - 1) // 1024 AS b FROM (
+        SELECT event_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS p FROM tasks))
+    GROUP BY 1, 2) GROUP BY 1) USING (day) GROUP BY 1, 2""", ["tasks"])
+def x8_cold(spark, sf):
+    return tiers.cold_summaries(A.task_events(spark, sf)).select(
+        F.col("event_date").cast("string").alias("day"), "agent_id", "events", F.col("cost").cast("double").alias("cost"), "root")
+
+
 @query("x9_baselines", """
 SELECT agent_id, round(avg(CAST(cost_usd AS DOUBLE)), 8) AS mean_cost_usd, quantile_disc(latency_ms, 0.95) AS p95_latency_ms,
        round(any_value(mad), 6) AS mad_cost_usd, any_value(tools) AS tools
