@@ -101,6 +101,7 @@ def verify_chunks(manifest: DataFrame, stored: DataFrame, hashes: DataFrame | No
     if hashes is not None:
         out = out.join(hashes.withColumnRenamed("sha256", "_sha"), "key", "left")
         file_ok = F.coalesce(F.col("_sha") == F.col("sha256"), F.lit(False))
+    # fixed values: reason texts of a failed verification
     reason = (F.when(F.col("_rows").isNull(), "chunk missing")
               .when(~file_ok, "chunk hash mismatch")
               .when((F.col("_first") != F.col("first_seq")) | (F.col("_last") != F.col("last_seq")),

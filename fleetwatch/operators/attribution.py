@@ -23,6 +23,30 @@ LOOKBACK_H = 24
 _ERROR_SIGNALS = ["error.new_class_seen", "error.rate>0.20"]
 
 
+# fixed values: the texts of suggestions, which are stored with the alarm
+WHY = {
+    "loop>=2": "3-identical-call loop breaker fired on this tool",
+    "permission.deny>0.20": "highest deny count inside the alarm window",
+    "drift.tool_distribution>0.40": "JSD drift alarm; dominant 24h tool differs from 7d prior",
+    "cost.daily>2x_ewma": "largest single-task cost in the alarm day",
+}
+WHY_TICKET = "oldest open escalation in the fleet"
+MISSING = {
+    "loop>=2": "loop breaker fired; no tool trace in window",
+    "error.new_class_seen": "error burst detected; no error rows in window",
+    "error.rate>0.20": "error burst detected; no error rows in window",
+    "permission.deny>0.20": "deny storm detected; no deny rows in window",
+    "drift.tool_distribution>0.40": "drift alarm; no tool calls in window",
+    "cost.daily>2x_ewma": "cost spike; no task rows in window",
+    "escalation.age_max>24": "aging alarm; no open ticket found",
+}
+NO_TRACE = "insufficient trace"
+
+
+def _by_signal(texts: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])[F.col("signal")]
+
+
 def _div(c: Column, by: int) -> Column:
     return F.call_function("div", c, F.lit(by))
 
@@ -112,14 +136,9 @@ def suggest(alarms: DataFrame, tasks: DataFrame, guards: DataFrame,
     conf = (F.when(is_("loop>=2"), 0.90).when(is_(*_ERROR_SIGNALS), 0.75)
             .when(is_("permission.deny>0.20"), 0.80).when(is_("drift.tool_distribution>0.40"), 0.70)
             .when(is_("cost.daily>2x_ewma"), 0.65))
-    why = (F.when(is_("loop>=2"), "3-identical-call loop breaker fired on this tool")
-           .when(is_(*_ERROR_SIGNALS), F.concat(
-               F.lit("first error '"), label, F.lit("' on task "), F.col("first.task_id"),
-               F.coalesce(F.concat(F.lit("; same-session partner: "), partner), F.lit(""))))
-           .when(is_("permission.deny>0.20"), "highest deny count inside the alarm window")
-           .when(is_("drift.tool_distribution>0.40"),
-                 "JSD drift alarm; dominant 24h tool differs from 7d prior")
-           .when(is_("cost.daily>2x_ewma"), "largest single-task cost in the alarm day"))
+    first_error = F.concat(F.lit("first error '"), label, F.lit("' on task "), F.col("first.task_id"),
+                           F.coalesce(F.concat(F.lit("; same-session partner: "), partner), F.lit("")))
+    why = F.when(is_(*_ERROR_SIGNALS), first_error).otherwise(_by_signal(WHY))
     rows = rows.select("alarm_id", "agent_id", "signal", "created_at", step.alias("step"),
                        conf.alias("conf"), why.alias("why"))
 
@@ -132,26 +151,15 @@ def suggest(alarms: DataFrame, tasks: DataFrame, guards: DataFrame,
     ticket_step = F.concat(F.lit("open ticket "), F.col("_t.task_id"), F.lit(" ("),
                            age_h.cast("bigint").cast("string"), F.lit("h, opened "),
                            _clock(F.col("_t.created_at")), F.lit(")"))
-    missing = (F.when(F.col("signal") == "loop>=2", "loop breaker fired; no tool trace in window")
-               .when(F.col("signal").isin(*_ERROR_SIGNALS),
-                     "error burst detected; no error rows in window")
-               .when(F.col("signal") == "permission.deny>0.20",
-                     "deny storm detected; no deny rows in window")
-               .when(F.col("signal") == "drift.tool_distribution>0.40",
-                     "drift alarm; no tool calls in window")
-               .when(F.col("signal") == "cost.daily>2x_ewma", "cost spike; no task rows in window")
-               .when(F.col("signal") == "escalation.age_max>24",
-                     "aging alarm; no open ticket found")
-               .otherwise(F.concat(F.lit("signal "), F.col("signal"),
-                                   F.lit(" has no dedicated ladder rung"))))
+    missing = F.coalesce(_by_signal(MISSING), F.concat(F.lit("signal "), F.col("signal"), F.lit(" has no dedicated ladder rung")))
     pick = lambda ticket, rung, otherwise: (
         F.when(has_ticket, ticket).when(F.col("step").isNotNull(), rung).otherwise(otherwise))
     return rows.select(
         "alarm_id", F.coalesce(F.col("_t.agent_id"), F.col("agent_id")).alias("suggested_agent_id"),
-        pick(ticket_step, F.col("step"), F.lit("insufficient trace")).alias("suggested_step"),
+        pick(ticket_step, F.col("step"), F.lit(NO_TRACE)).alias("suggested_step"),
         pick(F.lit(0.60), F.col("conf"), F.lit(0.30)).alias("confidence"),
         F.lit(METHOD).alias("method"),
-        pick(F.lit("oldest open escalation in the fleet"), F.col("why"), missing).alias("note"))
+        pick(F.lit(WHY_TICKET), F.col("why"), missing).alias("note"))
 
 
 def verdicts(suggestions: DataFrame, requests: DataFrame) -> DataFrame:

@@ -257,6 +257,7 @@ def verify_seals(ledger: DataFrame, seals: DataFrame) -> DataFrame:
                & F.coalesce("signature_ok", F.lit(False)))
     countersigned = F.col("countersign").isNotNull()
     bound = F.coalesce(token_bound(F.col("countersign"), seal_message(F.col("root"), covers)), F.lit(False))
+    # fixed values: reason texts of a failed verification
     reason = (F.when(beyond, "covers seq beyond ledger")
               .when(spoiled, "corrupt payload hash in covered range")
               .when(~matches, "root or signature mismatch")

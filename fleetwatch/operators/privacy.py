@@ -166,6 +166,7 @@ def custody(keys: DataFrame, subject_id: str | None = None) -> DataFrame:
 
 def display_form(subjects: DataFrame) -> DataFrame:
     """F5."""
+    # fixed value: the mark behind an erased subject
     erased = F.concat(F.col("subject_id"), F.lit(" [erased — crypto-shredded]"))
     return subjects.select("subject_id", F.when(F.col("erased_at").isNotNull(), erased)
                            .otherwise(F.col("display_name")).alias("display"))
