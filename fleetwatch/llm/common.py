@@ -29,7 +29,3 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
-
-def renamed(df: DataFrame, needed: list[str]) -> DataFrame:
-    """Only the needed columns; a clash with extra columns of the caller cannot arise."""
-    return df.select(*[F.col(f"`{c}`") for c in needed])
