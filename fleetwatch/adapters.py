@@ -160,7 +160,7 @@ def tickets(spark: SparkSession, sf: str) -> DataFrame:
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The given event file as a file stream."""
     return (spark.readStream.schema(table(spark, sf, "events").schema)
-            .option("pathGlobFilter", "events.parquet").parquet(sf))
+            .option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 100).parquet(sf))
 
 
 def supplier_costs(spark: SparkSession, sf: str) -> DataFrame:
