@@ -15,7 +15,9 @@ from .common import stored
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u").agg(F.min("v").alias("m"))
+    """Smallest neighbour per node. Stored, so that the join with it shuffles anew and the engine
+    can split the edges of a node that many others point at."""
+    return stored(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
