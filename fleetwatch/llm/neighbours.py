@@ -38,7 +38,7 @@ REPLICAS = 4
 BOUNDARY = 0.15
 PRUNE = 0.15
 MIN_LISTS = 12
-SHARE = 5
+SHARE = 4
 DEGREE = 24
 PART = 1024
 QUERIES = 256

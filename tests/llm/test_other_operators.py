@@ -132,6 +132,18 @@ def test_common_vector_is_found_whole(spark, monkeypatch):
     assert [r["vec_id"] for r in got] == [i for i in range(21) if i != 40][:20]
 
 
+def test_neighbours_visit_a_quarter_of_the_lists(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 16)
+    keep = neighbours.stored
+    monkeypatch.setattr(neighbours, "stored", lambda df, purpose: seen.setdefault(purpose, keep(df, purpose)))
+    x = np.random.default_rng(1).normal(size=(1600, 48))  # without clusters the cap decides, not the distance ratio
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    neighbours.search(table, F.col("vec_id") % 20 == 0)
+    visits = [r["count"] for r in seen["queries"].groupBy("id").count().collect()]
+    assert len(visits) == 80 and max(visits) == 1600 // 16 // 4
+
+
 def test_quality_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
