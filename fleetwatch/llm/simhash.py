@@ -237,7 +237,8 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) per row of ``docs``."""
+    """(doc_id, text_hash, fp, root, component_id) per row of ``docs``; ``root`` names the group,
+    ``component_id`` is its smallest id, which groups may share if an id has several texts."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     rows = stored(fingerprints(rows, "fp"), "fingerprints")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
@@ -245,8 +246,8 @@ def classes(docs: DataFrame) -> DataFrame:
     member = prints.join(roots, prints["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = stored(member.select("fp", "root").join(least, "root").select("fp", "component_id"), "labels")
-    return rows.join(labels, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    labels = stored(member.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "labels")
+    return rows.join(labels, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -258,8 +259,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     share it, that with the smallest text hash). Rows without id stay only where their whole
     group has none."""
     firsts = (classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-              .groupBy("doc_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"))
-              .agg(F.min("text_hash").alias("__first")).select(F.col("doc_id").alias("__id"), "__first"))
+              .groupBy("root", "doc_id").agg(F.min("text_hash").alias("__first"))
+              .select(F.col("doc_id").alias("__id"), "__first"))
     rows = docs.withColumn("__hash", F.xxhash64("text"))
     kept = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__first")),
                      "left_semi")

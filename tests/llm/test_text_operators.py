@@ -93,6 +93,22 @@ def test_simhash_stage(spark, odd):
     assert simhash.report(odd.limit(0)).count() == 0
 
 
+def test_simhash_stage_keeps_one_row_of_every_group(spark):
+    long = prose(400, 3)
+    texts = {"a": prose(40, 5), "b": long, "near b": long + " more", "c": prose(300, 4), "near c": prose(300, 4) + " more"}
+    prints = {k: shingle_print(t) for k, t in texts.items()}
+    apart = lambda x, y: bin(prints[x] ^ prints[y]).count("1")
+    assert 0 < apart("b", "near b") <= 3 and 0 < apart("c", "near c") <= 3
+    assert min(apart(x, y) for x, y in ("ab", "ac", "bc")) > 3
+    rows = [(5, "a"), (5, "b"), (9, "near b"), (None, "c"), (None, "near c"), (5, "b"), (None, "near b"), (None, "c")]
+    kept = simhash.keep_one(docs(spark, [(i, texts[t], "en") for i, t in rows])).select("doc_id", "text").collect()
+    names = {t: k for k, t in texts.items()}
+    kept = [(r["doc_id"], names[r["text"]]) for r in kept]
+    assert sorted(k for k in kept if k[0] is not None) == [(5, "a"), (5, "b")]
+    alone = [k for k in kept if k[0] is None]
+    assert len(alone) == 1 and alone[0][1] in ("c", "near c")
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
