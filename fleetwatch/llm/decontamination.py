@@ -115,10 +115,11 @@ def _windows(length: int):
 
 
 def item_windows(items: DataFrame, length: int = WINDOW) -> DataFrame:
-    """(phrase, item_ids): each distinct window with the items that hold it."""
+    """(phrase, items): each distinct window with the items that hold it, as structs, since
+    collect_list would drop a null id."""
     rows = items.select("item_id", F.col("text").cast("binary").alias("text"))
     return (rows.mapInArrow(_windows(length), "item_id long, phrase binary").distinct()
-            .groupBy("phrase").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids")))
+            .groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("item_id"))).alias("items")))
 
 
 class _Postings:
@@ -202,7 +203,7 @@ def _searched(index: DataFrame, search) -> DataFrame:
 
 
 def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """(segment, ord, matches): the places of all phrases of ``windows`` (phrase, item_ids)."""
+    """(segment, ord, matches): the places of all phrases of ``windows`` (phrase, items)."""
     spark = index.sparkSession
     windows = stored(windows, "windows")
     blocks = max(1, -(-windows.count() // BLOCK))
@@ -212,7 +213,7 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
         vocabulary: dict[bytes, int] = {}
         phrases = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in bytes(r["phrase"]).split(b" ")])
                    for r in rows]
-        shared = spark.sparkContext.broadcast((vocabulary, phrases, [list(r["item_ids"]) for r in rows]))
+        shared = spark.sparkContext.broadcast((vocabulary, phrases, [[i["item_id"] for i in r["items"]] for r in rows]))
 
         def search(lists, shared=shared):
             vocabulary, phrases, items = shared.value

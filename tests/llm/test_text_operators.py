@@ -1,5 +1,6 @@
 """Near-duplicates, decontamination, lines, tokens and languages against brute force."""
 
+import hashlib
 import re
 
 import pytest
@@ -151,6 +152,21 @@ def test_decontamination_empty_tables_and_stage(spark, odd):
     assert sorted([r["doc_id"] for r in kept.collect()], key=str) == want
 
 
+@pytest.mark.parametrize("block", [20_000, 3])
+def test_decontamination_items_without_id(spark, odd, monkeypatch, block):
+    monkeypatch.setattr(decontamination, "BLOCK", block)
+    monkeypatch.setattr(decontamination, "SEGMENT", 300)
+    items = [(None, prose(40, 3)), (None, "one two"), (1, prose(40, 3)), (None, prose(60, 7)), (2, prose(13, 9)), (None, None)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    names = ["n_words", "n_hit", "n_items", "contaminated"]
+    want = [(r["doc_id"], *contaminated(r["text"], items)) for r in odd.collect()]
+    got = decontamination.report(odd, table).collect()
+    assert sorted([(r["doc_id"], *[r[n] for n in names]) for r in got], key=str) == sorted(want, key=str)
+    assert {r["items_sha256"] for r in got if r["doc_id"] == 8} == {hashlib.sha256(b"").hexdigest()}  # as string_agg, which skips null
+    kept = [r["doc_id"] for r in decontamination.keep_clean(odd, table).collect()]
+    assert 8 not in kept and sorted(kept, key=str) == sorted([w[0] for w in want if not w[4]], key=str)
+
+
 def test_proximity(spark):
     table = docs(spark, [(1, "a x b y y c", None), (2, "a b", None), (3, "c b a", None), (4, "a q q q q b q c", None)])
     index = decontamination.build_index(table)
