@@ -34,18 +34,44 @@ def drop_days(spark: SparkSession, path: str, before: date) -> list[date]:
     return gone
 
 
+def _not_in_warm(spark: SparkSession, rows: DataFrame, warm: str, days: list[date]) -> DataFrame:
+    """Rows whose event_id their day in the warm table does not hold; those without one are among them."""
+    held = spark.read.schema(rows.select("event_id", "event_date").schema).parquet(warm).where(F.col("event_date").isin(days))
+    return rows.join(held, ["event_date", "event_id"], "left_anti")
+
+
 def to_warm(spark: SparkSession, hot: str, warm: str, before: date, files_per_day: int = 1) -> list[date]:
-    """Days before ``before`` leave the hot table as few, sorted files in the warm one. A day
-    is deleted from the hot table once it is written; a repeated run skips written days."""
+    """Days before ``before`` leave the hot table as few, sorted files in the warm one. Every hot
+    day is moved, also one that has a warm folder already: late rows and what a lost run left
+    behind are added, rows whose event_id the warm day holds are not repeated (rows without
+    event_id are, after a lost run). Hot files go once the warm table holds all their rows; files that
+    came meanwhile stay for the next run."""
     days = [d for d in days_of(spark, hot) if d < before]
+    if not days:
+        return []
+    rows = spark.read.parquet(hot).where(F.col("event_date").isin(days))
     at, fs = _folder(spark, warm)
-    written = set(days_of(spark, warm)) if fs.exists(at) else set()
-    todo = [d for d in days if d not in written]
-    if todo:
-        rows = spark.read.parquet(hot).where(F.col("event_date").isin(todo)).drop("event_date")
-        write_by_day(rows, warm, files_per_day)
-    drop_days(spark, hot, before)
-    return todo
+    todo = _not_in_warm(spark, rows, warm, days) if fs.exists(at) else rows
+    write_by_day(todo.drop("event_date"), warm, files_per_day)
+    missing = _not_in_warm(spark, rows.where(F.col("event_id").isNotNull()), warm, days)
+    open_days = {r["event_date"] for r in missing.select("event_date").distinct().collect()}
+    moved = [d for d in days if d not in open_days]
+    _drop_files(spark, hot, rows, moved)
+    return moved
+
+
+def _drop_files(spark: SparkSession, path: str, rows: DataFrame, days: list[date]) -> None:
+    """Deletes the files that ``rows`` reads of these days, and the folders that are empty then."""
+    _, fs = _folder(spark, path)
+    of = {f"event_date={d}" for d in days}
+    for name in rows.inputFiles():
+        file = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        if file.getParent().getName() in of:
+            fs.delete(file, False)
+    for d in days:
+        at, _ = _folder(spark, f"{path}/event_date={d}")
+        if not any(not s.getPath().getName().startswith((".", "_")) for s in fs.listStatus(at)):
+            fs.delete(at, True)
 
 
 def cold_summaries(rows: DataFrame, levels: int = 3) -> DataFrame:
