@@ -1,8 +1,8 @@
 """Operator 3: SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-A model file is compiled once into a transducer: the normaliser (white-space marks, dummy
-prefix), one arc per piece and a byte-fallback arc for every other character. Composing it with
-an input gives a lattice of positions; the best path in the tropical semiring (min, +) is the
+A model file is compiled once into a transducer: one arc per piece and a byte-fallback arc for
+every other character. The normaliser (space squeezing, dummy prefix, white-space marks) is not
+compiled into it; it runs as a string step before. Composing the transducer with an input gives a lattice of positions; the best path in the tropical semiring (min, +) is the
 encoding.
 
 * Unigram models weigh an arc with the piece's negative log probability; a state is a position.
