@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import (chat, decontamination, langid, lines, neighbours, pieces, quality, simhash, toxicity,
-               warc)
+from . import (chat, decontamination, langid, lines, manifest, mixing, negatives, neighbours, pieces,
+               quality, simhash, toxicity, warc)
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,88 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = corpus_pipeline.run
+
+
+@query("op11_mixing", rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size, 3 * sum(size) AS cap, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w
+      FROM d GROUP BY source),
+f AS (SELECT *, (SELECT sum(source_size) FROM s) AS total,
+             coalesce(sum(cap) OVER earlier, 0) AS given, (SELECT sum(w) FROM s) - coalesce(sum(w) OVER earlier, 0) AS rest
+      FROM s WINDOW earlier AS (ORDER BY cap::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, cap::DOUBLE * rest <= (total - given)::DOUBLE * w AS is_full FROM f),
+t AS (SELECT source, source_size::BIGINT AS source_size,
+             CASE WHEN is_full THEN cap::DOUBLE
+                  ELSE (total - coalesce((SELECT sum(cap) FROM g WHERE is_full), 0))::DOUBLE * w / (SELECT sum(w) FROM g WHERE NOT is_full)::DOUBLE END AS target
+      FROM g),
+e AS (SELECT doc_id, size, d.source, source_size, target,
+             CASE WHEN source_size > 0 THEN floor(target / source_size * {mixing.SCALE})::HUGEINT ELSE 0 END AS units,
+             length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)) AS class, md5('0:' || coalesce(doc_id::VARCHAR, '')) AS key
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, sum(units) OVER (PARTITION BY source ORDER BY class, key ROWS UNBOUNDED PRECEDING) + {mixing.offset(0)} AS stop FROM e)
+SELECT doc_id, size, source_size, target, size * (stop // {mixing.SCALE} - (stop - units) // {mixing.SCALE})::BIGINT AS taken FROM p""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def _levels_sql(start: str, prefix: str, levels: int) -> str:
+    """Nodes (tree, i, n, h) of every level above ``start``, and after it each leaf's proof and fold."""
+    rolled = [f"{prefix}0 AS (SELECT * FROM {start})"]
+    for k in range(1, levels + 1):
+        rolled.append(f"""{prefix}{k} AS (SELECT tree, i // 16 AS i, (n + 15) // 16 AS n,
+            CASE WHEN n = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {prefix}{k - 1} GROUP BY tree, i // 16, n)""")
+        rolled.append(f"""{prefix}b{k} AS (SELECT a.tree, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+            coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r FROM {prefix}{k - 1} a
+            JOIN {prefix}{k - 1} b ON a.tree IS NOT DISTINCT FROM b.tree AND a.i // 16 = b.i // 16 WHERE a.n > 1 GROUP BY a.tree, a.i)""")
+    return ", ".join(rolled)
+
+
+def _fold_sql(prefix: str, levels: int, tree: str, index: str, first: str) -> str:
+    """``first`` has proof and fold so far; each level adds its siblings."""
+    steps, last = [], first
+    for k in range(1, levels + 1):
+        steps.append(f"""{prefix}f{k} AS (SELECT x.* REPLACE (proof || coalesce(l || r, '') AS proof,
+            CASE WHEN l IS NULL THEN fold ELSE sha256(l || fold || r) END AS fold) FROM {last} x
+            LEFT JOIN {prefix}b{k} s ON s.tree IS NOT DISTINCT FROM x.{tree} AND s.i = x.{index} // {16 ** (k - 1)})""")
+        last = f"{prefix}f{k}"
+    return ", ".join(steps)
+
+
+_LEAF_SQL = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in manifest.FIELDS[:-1])
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda c: [-1 - ascii(c), -1000, -1000, -1000, -1000, -1000, -1000, -1000, -1000]::BIGINT[]))),
+    lambda a, x: CASE WHEN x > -1000 THEN xor(a, -1 - x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+
+
+@query("op12_manifest", f"""
+WITH d AS (SELECT doc_id, source AS tree, {_LEAF_SQL} || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+             CASE WHEN {_CRC_SQL} % 5 = 0 THEN {_LEAF_SQL} || coalesce(strlen(text) || ':' || translate(text, {_AZ}), '-')) END AS changed
+           FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+leaves AS (SELECT tree, i, n, leaf AS h FROM ranked), {_levels_sql("leaves", "a", 5)},
+subroots AS (SELECT tree AS source, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h FROM a5),
+trees AS (SELECT 0 AS tree, i, n, h FROM subroots), {_levels_sql("trees", "z", 3)},
+own AS (SELECT doc_id, tree, i, leaf, '' AS proof, coalesce(changed, leaf) AS fold FROM ranked), {_fold_sql("a", 5, "tree", "i", "own")},
+up AS (SELECT f.doc_id, f.leaf, f.proof, f.fold, s.h AS subroot, s.i AS at, 0 AS zero FROM af5 f JOIN subroots s ON f.tree IS NOT DISTINCT FROM s.source),
+{_fold_sql("z", 3, "zero", "at", "up")}
+SELECT doc_id, leaf, subroot, (SELECT h FROM z3) AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = (SELECT h FROM z3) AS verified
+FROM zf3""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_hard_negatives", """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER w)::INT AS rank, s.vec_id AS negative_id,
+       p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 3""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(table(spark, sf_dir, "embeddings"))
