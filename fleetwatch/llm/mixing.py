@@ -10,7 +10,8 @@
   the copies are spread evenly over sizes and the words taken come within about one long
   document of the target. Expected copies are whole multiples of 1/``SCALE``: exact in any order.
 
-Weights go 1, 2, 3, 1, ... over the sources by code point, null last, or come as a list.
+Weights (whole numbers, 0 or more) go 1, 2, 3, 1, ... over the sources by code point, null last,
+or as a given list repeats.
 
 Defined cases: a null text has size 0, a null source is a source, a source without words gets
 target 0 and no copies; a null id is an id; repeated rows are documents of their own, each with its
@@ -61,13 +62,13 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
     cycle = F.array(*[F.lit(w) for w in weights])
     weighed = ranked.select("source", "source_size", F.get(cycle, (F.col("before") % len(weights)).cast("int")).cast("long").alias("weight"),
                             (most * F.col("source_size")).alias("full"))
-    weighed = weighed.withColumn("need", F.col("full") / F.col("weight")).withColumn("last", F.col("source").isNull())
+    weighed = weighed.withColumn("need", F.when(F.col("weight") > 0, F.col("full") / F.col("weight")).otherwise(F.lit(float("inf")))).withColumn("last", F.col("source").isNull())
     order = ["need", "last", "source"]
     taken = running_sums(weighed, [], order, "full").withColumnRenamed("before", "given").drop("whole")
     filled = running_sums(taken, [], order, "weight").withColumnRenamed("before", "passed").withColumnRenamed("whole", "weights")
     total = filled.agg(F.sum("source_size")).first()[0] or 0
     as_double = lambda c: c.cast("double")
-    is_full = (as_double(F.col("full")) * (F.col("weights") - F.col("passed"))
+    is_full = (F.col("weight") > 0) & (as_double(F.col("full")) * (F.col("weights") - F.col("passed"))
                <= as_double(F.lit(total) - F.col("given")) * F.col("weight"))
     filled = stored(filled.withColumn("is_full", is_full), "targets")
     rest = filled.where("NOT is_full").agg(F.sum("weight")).first()[0] or 1
