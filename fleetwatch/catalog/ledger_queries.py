@@ -8,7 +8,7 @@ from .. import adapters as A
 
 from .. import schemas
 from ..functions.hashing import payload_digest
-from ..operators import archive, ledger as led, privacy
+from ..operators import archive, facts, ledger as led, privacy, reliability as rel
 from ..plans import reports, views
 from ..session import work_dir
 from .base import cte, query
@@ -274,6 +274,43 @@ def a19_files(spark, sf):
     return archive.archive_ledger(rows, path, CHUNK).select("key", "first_seq", "last_seq", "rows", "chain_digest")
 
 
+@query("a19_delta_rows", f"""
+SELECT n - first AS read, n AS rows, n - first AS due FROM (SELECT count(*) AS n,
+  (SELECT count(*) // {CHUNK} * {CHUNK} FROM tasks WHERE ts < TIMESTAMP '2024-01-15') AS first FROM tasks)""", ["tasks"])
+def a19_delta(spark, sf):
+    """What the second run of an archive reads: the rows after its last whole chunk."""
+    path = work_dir(spark, "archive")
+    rows = ledger_of(spark, sf)
+    archive.archive_ledger(rows.where(F.col("created_at") < A.as_of("2024-01-15 00:00:00")), path, CHUNK)
+    start = archive.archived_through(spark, path, CHUNK)
+    read = archive.pending_rows(rows, path, CHUNK).agg(F.count(F.lit(1)).alias("read"))
+    return rows.agg(F.count(F.lit(1)).alias("rows")).select(
+        read.select("read").scalar().alias("read"), "rows", (F.col("rows") - start).alias("due"))
+
+
+@query("a20_altered_files", """
+SELECT key, CASE chunk % 5 WHEN 1 THEN 'chunk hash mismatch' WHEN 2 THEN 'chunk missing' WHEN 3 THEN 'chain digest mismatch'
+                 WHEN 4 THEN 'chain break at seq ' || CAST(first_seq AS VARCHAR) ELSE '' END AS reason
+FROM chunks""", ["chunks"])
+def a20_files(spark, sf):
+    """An archive whose files were tampered with, checked from the files alone: some chunks have
+    another event type than the file that was listed, some are lost, in some a hash is changed and the
+    listed file digest forged to fit, so that the chunk after them links no more."""
+    honest, path = work_dir(spark, "archive"), work_dir(spark, "tampered")
+    manifest = archive.archive_ledger(ledger_of(spark, sf), honest, CHUNK)
+    rows = spark.read.parquet(f"{honest}/chunks").join(manifest.select("key", "chunk", "last_seq"), "key")
+    kind = F.col("chunk") % 5
+    changed = rows.where(kind != 2).select(
+        "seq", F.when(kind == 1, F.concat("event_type", F.lit("?"))).otherwise(F.col("event_type")).alias("event_type"),
+        F.when((kind == 3) & (F.col("seq") == F.col("last_seq")), F.sha2("payload_hash", 256)).otherwise(F.col("payload_hash")).alias("payload_hash"),
+        "prev_hash", "signature", "created_at", "key")
+    changed.repartition("key").sortWithinPartitions("key", "seq").write.partitionBy("key").parquet(f"{path}/chunks")
+    now = archive.file_hashes(spark, path).withColumnRenamed("sha256", "now")
+    forged = manifest.join(now, "key", "left").withColumn("sha256", F.when(kind == 1, F.col("sha256")).otherwise(F.coalesce("now", "sha256")))
+    forged.select(manifest.columns).write.parquet(f"{path}/manifest")
+    return archive.verify_archive(spark, path).select("key", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
 @query("a20_verify_archive", """
 SELECT key, CASE WHEN chunk % 4 = 1 THEN 'chain digest mismatch' WHEN chunk % 4 = 2 THEN 'chunk missing'
                  WHEN chunk % 4 = 3 AND chunk > 0 THEN 'chain break at seq ' || CAST(first_seq AS VARCHAR) ELSE '' END AS reason
@@ -304,6 +341,64 @@ def a21(spark, sf):
     return archive.compare_tables(tables, archive.rebuild_tables(spark, path, ddl, as_json=True))
 
 
+def _all_tables(spark, sf):
+    """Every table of the data model."""
+    from .alarm_queries import suggestions
+    from .facts_queries import calibration
+    t = A.task_events(spark, sf)
+    seals = seals_of(spark, sf)
+    subjects, keys = _registered(spark, sf)
+    tenants = A.table(spark, sf, "nation").select(
+        F.concat(F.lit("tenant-"), F.col("n_nationkey").cast("string")).alias("tenant_id"),
+        F.col("n_name").alias("display_name"), F.lower("n_name").alias("sso_domain"))
+    baselines = rel.baselines(t, A.guard_events(spark, sf), facts.daily_cost(t), calibration(spark, sf)).select(
+        "agent_id", F.to_json("tool_mix").alias("tool_distribution"), "mean_cost_usd", "p95_latency_ms")
+    return {"agents": A.agents(spark, sf), "tasks": t, "guards": A.guard_events(spark, sf), "tickets": A.tickets(spark, sf),
+            "alarms": A.alarms(spark, sf), "calibration": calibration(spark, sf), "baselines": baselines,
+            "suggestions": suggestions(spark, sf), "ledger": ledger_of(spark, sf).drop("source_id"), "seals": seals,
+            "subjects": subjects, "subject_keys": keys, "tenants": tenants}
+
+
+_BUNDLED = "['agents', 'tasks', 'guards', 'tickets', 'alarms', 'calibration', 'baselines', 'suggestions', 'ledger', 'seals', 'subjects', 'subject_keys', 'tenants']"
+
+
+@query("a21_bundle", f"""
+SELECT 'table' AS part, unnest({_BUNDLED}) AS id, TRUE AS ok, '' AS detail
+UNION ALL SELECT 'chain', 'ledger', TRUE, ''
+UNION ALL SELECT 'seal', seal_id, reason = '', reason FROM seal_checks""", ["seal_checks"])
+def a21_bundle(spark, sf):
+    """The exit drill: all tables exported, rebuilt from the files and verified there. Files are
+    many and their names differ from run to run; they show up here only if something is wrong with one."""
+    path = work_dir(spark, "bundle")
+    archive.export_bundle(_all_tables(spark, sf), path)
+    return _drilled(spark, path)
+
+
+def _drilled(spark, path):
+    return archive.verify_bundle(spark, path).where("part <> 'file' OR NOT ok").withColumn("detail", F.coalesce("detail", F.lit("")))
+
+
+@query("a21_tampered_bundle", """
+SELECT 'table' AS part, 'ledger' AS id, FALSE AS ok, 'content mismatch' AS detail
+UNION ALL SELECT 'table', 'tickets', FALSE, 'row count mismatch'
+UNION ALL SELECT 'table', unnest(['agents', 'guards', 'seals']), TRUE, ''
+UNION ALL SELECT 'chain', 'ledger', FALSE, 'broken after ' || CAST((SELECT min(seq) FROM ledger WHERE n % 389 = 388) - 1 AS VARCHAR) || ' entries'
+UNION ALL SELECT 'seal', seal_id, reason = '', reason FROM seal_checks
+UNION ALL SELECT 'files', unnest(['ledger', 'tickets']), FALSE, 'file altered or missing'""", ["seal_checks", "ledger"])
+def a21_tampered(spark, sf):
+    """A bundle in which links of the ledger were changed and tickets taken out after the export."""
+    path = work_dir(spark, "bundle")
+    names = ("agents", "guards", "tickets", "ledger", "seals")
+    every = _all_tables(spark, sf)
+    archive.export_bundle({n: every[n] for n in names}, path)
+    archive.export_tables({"ledger": _tampered(spark, sf).drop("source_id"),
+                           "tickets": every["tickets"].where(F.xxhash64("escalation_id") % 3 != 0)}, path, True)
+    out = _drilled(spark, path)
+    files = (out.where("part = 'file' AND detail <> 'file not listed'").select(F.substring_index("id", "/", 1).alias("id")).distinct()
+             .select(F.lit("files").alias("part"), "id", F.lit(False).alias("ok"), F.lit("file altered or missing").alias("detail")))
+    return out.where("part <> 'file'").unionByName(files)
+
+
 # --- privacy: every customer asks to be registered, some twice, some without a basis
 
 

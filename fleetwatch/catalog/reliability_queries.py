@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..functions.text import mask_personal_data
 from ..operators import facts, ingest, reliability as rel, tiers
+from ..operators.commits import TableLog
 from ..rules import CARD_MASK, CARD_PATTERN, EMAIL_MASK, EMAIL_PATTERN
 from ..session import work_dir
 from .base import query, r6
@@ -141,14 +142,34 @@ SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-12' THEN 'warm' ELSE 'hot' EN
 def x8_compacted(spark, sf):
     """Days that grew too old for the hot table, moved in two runs; late rows reach all days between
     them. Every row is in one tier."""
-    hot, warm = work_dir(spark, "hot-days"), work_dir(spark, "warm-days")
+    log = TableLog(spark, work_dir(spark, "tiers"))
     rows = A.task_events(spark, sf).select("event_id", "agent_id", "ts")
     late = F.coalesce(F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0, F.lit(False))
     for part, day in ((~late, 8), (late, 12)):
-        ingest.write_by_day(rows.where(part), hot, 2)
-        tiers.to_warm(spark, hot, warm, date(2024, 1, day))
-    tier = lambda path, name: spark.read.parquet(path).select("event_id", F.lit(name).alias("tier"))
-    return tier(hot, "hot").unionByName(tier(warm, "warm"))
+        tiers.land(log, rows.where(part), 2)
+        tiers.to_warm(log, date(2024, 1, day))
+    tier = lambda name: log.read(name, "event_id string").select("event_id", F.lit(name).alias("tier"))
+    return tier("hot").unionByName(tier("warm"))
+
+
+@query("x8_cut_runs", """
+SELECT CASE WHEN CAST(substr(event_id, 5) AS BIGINT) % 3 <> 0 THEN event_id END AS event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
+       CASE WHEN ts < TIMESTAMP '2024-01-12' THEN 'warm' ELSE 'hot' END AS tier FROM tasks""", ["tasks"])
+def x8_cut(spark, sf):
+    """Runs that were cut after their writes and before their commit, and a batch that is
+    delivered again. A third of the rows has no id to find a repetition by; every row is there once."""
+    log = TableLog(spark, work_dir(spark, "cut-tiers"))
+    n = F.substring("event_id", 5, 12).cast("bigint")
+    rows = A.task_events(spark, sf).select(F.when(n % 3 != 0, F.col("event_id")).alias("event_id"), "agent_id", "ts")
+    tiers.land(log, rows, 2, writer="feed", batch=0)
+    log.stage("warm", ingest.by_day(rows), "event_date")
+    tiers.to_warm(log, date(2024, 1, 8))
+    log.stage("hot", ingest.by_day(rows), "event_date")
+    tiers.land(log, rows, 2, writer="feed", batch=0)
+    tiers.to_warm(log, date(2024, 1, 12))
+    tier = lambda name: log.read(name, "event_id string, event_date date").select(
+        "event_id", F.col("event_date").cast("string").alias("day"), F.lit(name).alias("tier"))
+    return tier("hot").unionByName(tier("warm"))
 
 
 @query("x8_cold_summaries", """

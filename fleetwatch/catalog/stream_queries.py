@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from .. import adapters as A
 from .. import rules as R
 from ..functions.hashing import hmac_pads, hmac_sha256
-from ..operators import ledger
+from ..operators import ledger, tiers
 from ..session import work_dir
 from ..streaming import detectors, ingest
 from ..streaming.runner import to_parquet
@@ -24,8 +26,17 @@ def _guards(spark, sf):
     return A.guard_events(spark, sf, A.event_stream(spark, sf))
 
 
-def _run(stream, spark, name):
-    return to_parquet(stream, work_dir(spark, name), work_dir(spark, f"{name}-checkpoint"))
+def _run(stream, spark, name, **options):
+    return to_parquet(stream, work_dir(spark, name), work_dir(spark, f"{name}-checkpoint"), **options)
+
+
+def _in_turn(spark, name, batches, run):
+    """Each batch is written in parallel to a folder of its own, and the stream runs over what is new
+    before the next one comes: batches keep their order and none passes through one task."""
+    path = work_dir(spark, name)
+    for i, rows in enumerate(batches):
+        rows.write.parquet(f"{path}/{i:03d}")
+        run(f"{path}/*")
 
 
 @query("s1_signed_ingest", _CONVERTED, ["tasks"])
@@ -61,12 +72,11 @@ def _signed_batches(spark, sf):
         msg = F.concat(F.concat("ts_text", F.lit("."), "nonce").cast("binary"), F.col("body").cast("binary"))
         return (e.withColumn("signature", hmac_sha256(F.col("ipad"), F.col("opad"), msg)).withColumn("key_id", F.lit(key))
                 .select("envelope_id", "key_id", "ts_text", "nonce", "signature", "body", "received_at"))
-    path, folder = work_dir(spark, "resigned"), work_dir(spark, "signed-log")
+    folder, checkpoint = work_dir(spark, "signed-log"), work_dir(spark, "signed-log-checkpoint")
     first = batch("a-")
-    for rows in (first.unionByName(batch("f-", key="key-2")), batch("b-").unionByName(first),
-                 first.withColumn("received_at", F.timestamp_micros(F.unix_micros("received_at") + 3_600_000_000))):
-        rows.coalesce(1).write.mode("append").parquet(path)
-    ingest.signed_log(ingest.envelope_stream(spark, path, 1), pads, folder, work_dir(spark, "signed-log-checkpoint"))
+    batches = (first.unionByName(batch("f-", key="key-2")), batch("b-").unionByName(first),
+               first.withColumn("received_at", F.timestamp_micros(F.unix_micros("received_at") + 3_600_000_000)))
+    _in_turn(spark, "resigned", batches, lambda path: ingest.signed_log(ingest.envelope_stream(spark, path, 1_000_000), pads, folder, checkpoint))
     return lambda name: spark.read.parquet(f"{folder}/{name}")
 
 
@@ -116,13 +126,12 @@ cte("on_time", ["tasks"], f"  SELECT * FROM tasks WHERE NOT {_LATE}")
 
 def _with_late_rows(spark, sf):
     """Three batches in time order, but every tenth event comes only after all others."""
-    src, main, late = work_dir(spark, "delayed"), work_dir(spark, "delayed-on-time"), work_dir(spark, "delayed-late")
+    main, late, checkpoint = (work_dir(spark, f"delayed-{n}") for n in ("on-time", "late", "checkpoint"))
     t = A.task_events(spark, sf).select("event_id", "agent_id", "status", F.col("cost_usd").cast("double").alias("cost_usd"), "ts")
     held, middle = F.substring("event_id", 5, 12).cast("bigint") % 10 == 0, A.as_of("2024-01-15 00:00:00")
-    for rows in (t.where(~held & (F.col("ts") < middle)), t.where(~held & (F.col("ts") >= middle)), t.where(held)):
-        rows.coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(_TASK_ROWS).option("maxFilesPerTrigger", 1).parquet(src)
-    ingest.split_late(stream, _TASK_ROWS, main, late, work_dir(spark, "delayed-checkpoint"))
+    batches = (t.where(~held & (F.col("ts") < middle)), t.where(~held & (F.col("ts") >= middle)), t.where(held))
+    _in_turn(spark, "delayed", batches, lambda path: ingest.split_late(
+        spark.readStream.schema(_TASK_ROWS).parquet(path), _TASK_ROWS, main, late, checkpoint))
     return ingest.landed_stream(spark, main, _TASK_ROWS), spark.read.schema(_TASK_ROWS).parquet(late)
 
 
@@ -167,7 +176,23 @@ def s3(spark, sf):
 
 @query("s4_loop_openings", "SELECT * FROM loop_openings", ["loop_openings"])
 def s4(spark, sf):
-    return _run(detectors.loop_openings(_guards(spark, sf)), spark, "loops")
+    return _run(detectors.loop_openings(_runs(spark, sf)), spark, "loops", idle_batches=False)
+
+
+def _runs(spark, sf):
+    path = work_dir(spark, "call-runs")
+    detectors.land_runs(_guards(spark, sf), path, work_dir(spark, "call-runs-checkpoint"))
+    return detectors.run_stream(spark, path)
+
+
+@query("s4_call_runs", """
+SELECT task_id, CAST(epoch(date_trunc('minute', ts)) AS BIGINT) // 60 AS minute, count(*) AS n FROM guards
+WHERE event_type = 'tool_call' GROUP BY 1, 2""", ["guards"])
+def s4_runs(spark, sf):
+    """What reaches the state of the loop breaker: one row per task and minute stands for all its calls."""
+    path = work_dir(spark, "call-runs")
+    detectors.land_runs(_guards(spark, sf), path, work_dir(spark, "call-runs-checkpoint"))
+    return spark.read.parquet(path).select("task_id", "minute", "n")
 
 
 @query("s5_new_class_log", "SELECT * FROM new_classes", ["new_classes"])
@@ -186,24 +211,36 @@ def _alarm_log(spark, sf):
     t = _tasks(spark, sf).where(F.col("retry_count") >= R.RETRY_LIMIT)
     fired = t.select("agent_id", F.lit("latency.retry>=3").alias("signal"),
                      F.col("retry_count").cast("double").alias("value"), "ts")
-    a, c = work_dir(spark, "alarms"), work_dir(spark, "alarm-ledger")
-    detectors.alarm_log(fired, R.signal_rules(spark), a, c, work_dir(spark, "alarms-checkpoint"))
-    return spark.read.schema(detectors.ALARM_ROWS).parquet(a), spark.read.schema(detectors.LEDGER_ROWS).parquet(c)
+    root = work_dir(spark, "alarm-log")
+    detectors.alarm_log(fired, R.signal_rules(spark), root, work_dir(spark, "alarms-checkpoint"))
+    return detectors.alarm_tables(spark, root)
 
 
 @query("s6_closed_windows", """
 SELECT agent_id, min(ts) + INTERVAL 14 DAY AS calibration_until FROM tasks GROUP BY 1
-HAVING min(ts) + INTERVAL 14 DAY <= (SELECT max(ts) FROM tasks)""", ["tasks"])
+HAVING min(ts) + INTERVAL 14 DAY < (SELECT max(ts) - INTERVAL 10 MINUTE FROM tasks)""", ["tasks"])
 def s6(spark, sf):
-    """Three batches in time order; windows end in the second and third."""
-    src, path = work_dir(spark, "calibrating"), work_dir(spark, "calibrations")
+    """Three batches in time order; timers end windows in the second and third."""
+    out, checkpoint = work_dir(spark, "calibrations"), work_dir(spark, "calibrations-checkpoint")
     t = A.task_events(spark, sf).select("agent_id", "ts")
     cuts = [A.as_of(f"2024-01-{d} 00:00:00") for d in ("12", "20")]
-    for rows in (t.where(F.col("ts") < cuts[0]), t.where((F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1])), t.where(F.col("ts") >= cuts[1])):
-        rows.coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    detectors.calibration_log(stream, path, work_dir(spark, "calibrations-checkpoint"), 14)
-    return spark.read.parquet(f"{path}/closed").select("agent_id", "calibration_until")
+    batches = (t.where(F.col("ts") < cuts[0]), t.where((F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1])), t.where(F.col("ts") >= cuts[1]))
+    _in_turn(spark, "calibrating", batches, lambda path: to_parquet(
+        detectors.calibration_ends(spark.readStream.schema(t.schema).parquet(path), 14), out, checkpoint))
+    return spark.read.parquet(out)
+
+
+@query("s6_known_windows", """
+SELECT agent_id, min(ts) + INTERVAL 14 DAY AS calibration_until FROM tasks GROUP BY 1
+HAVING min(ts) + INTERVAL 14 DAY < (SELECT max(ts) - INTERVAL 10 MINUTE FROM tasks)""", ["tasks"])
+def s6_known(spark, sf):
+    """The windows come from a batch evaluation as initial state; the stream sees the second half of
+    the month, in which an agent may be silent until its window ends."""
+    t = A.task_events(spark, sf).select("agent_id", "ts")
+    known = t.groupBy("agent_id").agg((F.min("ts") + F.make_dt_interval(days=F.lit(14))).alias("calibration_until"))
+    path = work_dir(spark, "second-half")
+    t.where(F.col("ts") >= A.as_of("2024-01-15 00:00:00")).write.parquet(path)
+    return _run(detectors.calibration_ends(spark.readStream.schema(t.schema).parquet(path), 14, known), spark, "known-windows")
 
 
 @query("s7_alarm_log", """
@@ -219,16 +256,13 @@ SELECT count(*) AS entries, count(*) AS checked, TRUE AS ok,
        CAST(sum(CAST(('0x' || substr(alarm_id, 5, 8)) AS BIGINT)) AS BIGINT) AS ids FROM (SELECT DISTINCT alarm_id FROM stream_alarms)""", ["stream_alarms"])
 def s7_chain(spark, sf):
     """Facts in three batches, the oldest last and some repeated: each alarm once, one chain."""
-    src = work_dir(spark, "facts")
     t = A.task_events(spark, sf).where(F.col("retry_count") >= R.RETRY_LIMIT).select(
         "agent_id", F.lit("latency.retry>=3").alias("signal"), F.col("retry_count").cast("double").alias("value"), "ts")
     middle = A.as_of("2024-01-15 00:00:00")
-    for rows in (t.where(F.col("ts") >= middle), t.where(F.col("ts") < middle), t):
-        rows.coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    a, c = work_dir(spark, "fact-alarms"), work_dir(spark, "fact-ledger")
-    detectors.alarm_log(stream, R.signal_rules(spark), a, c, work_dir(spark, "facts-checkpoint"))
-    chain, alarms = spark.read.schema(detectors.LEDGER_ROWS).parquet(c), spark.read.parquet(a)
+    root, checkpoint = work_dir(spark, "fact-log"), work_dir(spark, "facts-checkpoint")
+    _in_turn(spark, "facts", (t.where(F.col("ts") >= middle), t.where(F.col("ts") < middle), t), lambda path: detectors.alarm_log(
+        spark.readStream.schema(t.schema).parquet(path), R.signal_rules(spark), root, checkpoint))
+    alarms, chain = detectors.alarm_tables(spark, root)
     ids = alarms.agg(F.sum(F.conv(F.substring("alarm_id", 5, 8), 16, 10).cast("bigint")).alias("ids"), F.count(F.lit(1)).alias("entries"))
     verdict = ledger.verify_chain(chain)
     return ids.select("entries", verdict.select("checked").scalar().alias("checked"), verdict.select("ok").scalar().alias("ok"), "ids")
@@ -249,19 +283,28 @@ def s9(spark, sf):
     return copy.select("event_id", "agent_id", F.col("event_date").cast("string").alias("event_date"))
 
 
+@query("s9_hot_tier_log", """
+SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, CASE WHEN ts < TIMESTAMP '2024-01-12' THEN 'warm' ELSE 'hot' END AS tier FROM tasks""", ["tasks"])
+def s9_log(spark, sf):
+    """The stream copy as commits, after which old days move to the warm table."""
+    rows = _tasks(spark, sf).select("event_id", "agent_id", "ts")
+    log = ingest.copy_to_hot_log(rows, work_dir(spark, "hot-log"), work_dir(spark, "hot-log-checkpoint"))
+    tiers.to_warm(log, date(2024, 1, 12))
+    tier = lambda name: log.read(name, "event_id string, event_date date").select(
+        "event_id", F.col("event_date").cast("string").alias("event_date"), F.lit(name).alias("tier"))
+    return tier("hot").unionByName(tier("warm"))
+
+
 @query("s10_late_events", """
 SELECT event_id, ts < TIMESTAMP '2024-01-15'
        AND ts < (SELECT max(ts) - INTERVAL 10 MINUTE FROM tasks) AS late FROM tasks""", ["tasks"])
 def s10(spark, sf):
     """The second half of the month arrives first, then the first half."""
-    src = work_dir(spark, "out-of-order")
     t = A.task_events(spark, sf).select("event_id", "agent_id", "ts")
     old = F.col("ts") < A.as_of("2024-01-15 00:00:00")
-    t.where(~old).coalesce(1).write.mode("append").parquet(src)
-    t.where(old).coalesce(1).write.mode("append").parquet(src)
     ddl = "event_id string, agent_id string, ts timestamp"
-    main, late = work_dir(spark, "on-time"), work_dir(spark, "late")
-    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(src)
-    ingest.split_late(stream, ddl, main, late, work_dir(spark, "late-checkpoint"))
+    main, late, checkpoint = work_dir(spark, "on-time"), work_dir(spark, "late"), work_dir(spark, "late-checkpoint")
+    _in_turn(spark, "out-of-order", (t.where(~old), t.where(old)), lambda path: ingest.split_late(
+        spark.readStream.schema(ddl).parquet(path), ddl, main, late, checkpoint))
     flag = lambda p, v: spark.read.schema(ddl).parquet(p).select("event_id", F.lit(v).alias("late"))
     return flag(main, False).unionByName(flag(late, True))

@@ -93,13 +93,17 @@ def warm_rows(rows: DataFrame, as_of: Column, first_day: int = 30, last_day: int
                       & (F.col("ts") >= as_of - F.make_dt_interval(days=F.lit(last_day))))
 
 
-def write_by_day(rows: DataFrame, path: str, files_per_day: int = 1) -> None:
-    """Parquet partitioned by ``event_date`` and sorted by agent and time, so later reads
-    skip files by date and row groups by agent. Hot days are spread over several files."""
+def by_day(rows: DataFrame, files_per_day: int = 1) -> DataFrame:
+    """Rows with their ``event_date``, dealt and sorted so that a write by day has few files and
+    later reads skip files by date and row groups by agent. Hot days are spread over several files."""
     spread = F.pmod(F.xxhash64("agent_id", "event_id"), F.lit(files_per_day))
-    (rows.withColumn("event_date", F.to_date("ts"))
-     .repartition("event_date", spread).sortWithinPartitions("event_date", "agent_id", "ts")
-     .write.mode("append").partitionBy("event_date").parquet(path))
+    return (rows.withColumn("event_date", F.to_date("ts"))
+            .repartition("event_date", spread).sortWithinPartitions("event_date", "agent_id", "ts"))
+
+
+def write_by_day(rows: DataFrame, path: str, files_per_day: int = 1) -> None:
+    """Parquet partitioned by ``event_date``."""
+    by_day(rows, files_per_day).write.mode("append").partitionBy("event_date").parquet(path)
 
 
 def sampled_traces(spans: DataFrame, slow_ms: int = R.TRACE_SLOW_MS,

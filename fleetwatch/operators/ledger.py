@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.hashing import payload_digest
+from ..session import work_dir
 from .sequences import previous_values, range_bucket, running_offsets, time_bucket
 
 # rows ordered by one task
@@ -26,23 +27,34 @@ _HEIGHT = 10
 def payload_problems(entries: DataFrame, payload: str = "payload") -> DataFrame:
     """Entries whose payload has no canonical form, with the reason. JSON has no NaN or
     infinity, so numbers that are not finite show up as invalid JSON or as such words."""
-    return entries.withColumn("reason", _payload_reason(F.col(payload))).where(F.col("reason").isNotNull())
+    return entries.withColumn("reason", _payload_reason(F.col(payload), payload_digest(F.col(payload)))).where(F.col("reason").isNotNull())
 
 
-def _payload_reason(p: Column) -> Column:
-    bare = p.rlike(r'(^|[\[:,\s])[-+]?(NaN|Infinity)\s*([,\]}]|$)')
-    return (F.when(p.isNull(), "missing payload").when(bare, "non-finite number")
-            .when(F.try_parse_json(p).isNull() | payload_digest(p).isNull(), "invalid json"))
+def _payload_reason(p: Column, digest: Column) -> Column:
+    # the words are rare: the pattern runs where one of them stands
+    word = F.contains(p, F.lit("NaN")) | F.contains(p, F.lit("Infinity"))
+    bare = word & p.rlike(r'(^|[\[:,\s])[-+]?(NaN|Infinity)\s*([,\]}]|$)')
+    return F.when(p.isNull(), "missing payload").when(bare, "non-finite number").when(digest.isNull(), "invalid json")
 
 
 def rejected(entries: DataFrame) -> DataFrame:
     """The entries that ``append`` refuses, with the reason. Accepted and rejected entries
     together are the batch."""
-    return entries.withColumn("reason", _refusal()).where(F.col("reason").isNotNull())
+    return entries.withColumn("reason", _refusal(payload_digest(F.col("payload")))).where(F.col("reason").isNotNull())
 
 
-def _refusal() -> Column:
-    return F.coalesce(_payload_reason(F.col("payload")), F.when(F.col("created_at").isNull(), "missing created_at"))
+def _refusal(digest: Column) -> Column:
+    return F.coalesce(_payload_reason(F.col("payload"), digest), F.when(F.col("created_at").isNull(), "missing created_at"))
+
+
+def _hashed(entries: DataFrame) -> DataFrame:
+    """The accepted entries with their payload hash. Each payload is parsed once, by one expression
+    that gives both the digest and the verdict; the small rows are stored, because two steps read them."""
+    digest = payload_digest(F.col("payload"))
+    path = work_dir(entries.sparkSession, "hashed-entries")
+    rows = entries.select("event_type", "created_at", "source_id", digest.alias("payload_hash"), _refusal(digest).alias("reason"))
+    rows.write.parquet(path)
+    return entries.sparkSession.read.schema(rows.schema).parquet(path).where(F.col("reason").isNull()).drop("reason")
 
 
 def append(entries: DataFrame, ledger: DataFrame | None = None,
@@ -50,14 +62,14 @@ def append(entries: DataFrame, ledger: DataFrame | None = None,
            head: DataFrame | None = None) -> DataFrame:
     """Ledger rows for a batch of (event_type, payload, created_at, source_id). Entries
     that ``rejected`` names never enter the chain. The chain goes on after ``ledger``, or after
-    ``head``, its one row of ``chain_head``.
+    ``head``, its one row of ``chain_head``. Entries that ``order`` does not tell apart follow
+    each other by payload hash.
 
     ``bucket`` must not decrease along ``order``; minutes by default. Give a bucket over
     the source id when a large batch shares one creation time."""
     by = bucket if bucket is not None else time_bucket("created_at", 60)
-    hashed = entries.where(_refusal().isNull()).select("event_type", "created_at", "source_id",
-                            payload_digest(F.col("payload")).alias("payload_hash"))
-    keyed = hashed.withColumn("_bucket", by)
+    order = [*order, "payload_hash", "event_type"]
+    keyed = _hashed(entries).withColumn("_bucket", by)
     first, link = F.lit(0), F.lit(R.GENESIS)
     if ledger is not None:
         head = chain_head(ledger)

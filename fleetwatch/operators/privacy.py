@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from ..session import work_dir
+from .commits import TableLog, partition_value
 
 ERASED_NAME = "[ERASED]"
 # stored keys are laid out in so many folders; an erasure rewrites those of its subjects
 KEY_FOLDERS = 64
+_STORED = ("subject_id string, display_name string, key_version int, ciphertext binary, wrapped_key binary,"
+           " note string, registered_at timestamp, folder int")
 
 
 @F.pandas_udf(BinaryType())
@@ -51,7 +53,7 @@ def register(requests: DataFrame, master_key: Column, path: str,
     lawful_basis, requested_at).
 
     Every subject gets a random key. The ciphertext and the wrapped key must come from the
-    same draw, so both are written to ``path`` in one job and read back from there. Of
+    same draw, so both are written below ``path`` in one job, as one commit, and read back from there. Of
     several requests for one subject the earliest counts."""
     ok = requests.where(F.length(F.trim(F.coalesce("lawful_basis", F.lit("")))) > 0)
     if subjects is not None:
@@ -61,14 +63,16 @@ def register(requests: DataFrame, master_key: Column, path: str,
              .select("subject_id", "r.*"))
     drawn = first.withColumn("_dek", _new_key("subject_id"))
     gcm, pad, iv = F.lit("GCM"), F.lit("DEFAULT"), F.lit(bytearray())
-    (drawn.select(
+    rows = (drawn.select(
         "subject_id", "display_name", F.lit(1).alias("key_version"),
         F.aes_encrypt("pii", "_dek", gcm, pad, iv, F.col("subject_id")).alias("ciphertext"),
         F.aes_encrypt("_dek", master_key, gcm, pad, iv, _wrap_aad()).alias("wrapped_key"),
         F.concat(F.lit("created by "), F.col("actor"), F.lit("; lawful basis: "),
                  F.col("lawful_basis")).alias("note"),
         F.col("requested_at").alias("registered_at"))
-     .withColumn("folder", _folder()).repartition("folder").write.mode("append").partitionBy("folder").parquet(path))
+     .withColumn("folder", _folder()).repartition("folder"))
+    log = TableLog(requests.sparkSession, path)
+    log.commit({"subjects": log.stage("subjects", rows, "folder")})
     return registered(requests.sparkSession, path)
 
 
@@ -78,7 +82,7 @@ def _folder() -> Column:
 
 def registered(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(subjects, keys) as they stand in the files of ``path``."""
-    stored = spark.read.parquet(path)
+    stored = TableLog(spark, path).read("subjects", _STORED)
     never = F.lit(None).cast("timestamp")
     return (stored.select("subject_id", "display_name", "ciphertext", "key_version", "registered_at",
                           never.alias("erased_at")),
@@ -127,19 +131,21 @@ def erase(subjects: DataFrame, keys: DataFrame, requests: DataFrame) -> tuple[Da
 
 def shred(spark: SparkSession, path: str, erased: DataFrame) -> None:
     """destroys the wrapped keys of the subjects in the stored files as well. Only the
-    folders of these subjects are rewritten; their old files are deleted when the new ones are
-    complete, and so is the copy they come from, so no file below ``path`` can decrypt them."""
+    folders that hold these subjects are written anew; one commit puts the new ones in the place of the
+    old, then the old files are deleted, so no file below ``path`` can decrypt them. A run that
+    is lost before the commit has changed nothing; one that is lost after it is made good by the
+    next, which deletes what the log says was taken away."""
+    log = TableLog(spark, path)
     asked = erased.select("subject_id").distinct().withColumn("_gone", F.lit(True))
-    folders = [r[0] for r in asked.select(_folder().alias("f")).distinct().collect()]  # at most KEY_FOLDERS
-    rows = (spark.read.parquet(path).where(F.col("folder").isin(folders)).join(asked, "subject_id", "left")
-            .withColumn("wrapped_key", F.when(F.col("_gone").isNull(), F.col("wrapped_key")))
-            .withColumn("display_name", F.when(F.col("_gone"), ERASED_NAME).otherwise(F.col("display_name"))).drop("_gone"))
-    copy = work_dir(spark, "rewritten-keys")
-    rows.write.parquet(copy)
-    (spark.read.schema(rows.schema).parquet(copy).repartition("folder").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(path))
-    at = spark._jvm.org.apache.hadoop.fs.Path(copy)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    wanted = {str(r[0]) for r in asked.select(_folder().alias("f")).distinct().collect()}  # at most KEY_FOLDERS
+    old = [f for f in log.snapshot().of("subjects") if partition_value(f, "folder") in wanted]
+    if old:
+        rows = (log.read("subjects", _STORED, old).join(asked, "subject_id", "left")
+                .withColumn("wrapped_key", F.when(F.col("_gone").isNull(), F.col("wrapped_key")))
+                .withColumn("display_name", F.when(F.col("_gone"), ERASED_NAME).otherwise(F.col("display_name"))).drop("_gone"))
+        new = log.stage("subjects", rows.repartition("folder"), "folder")
+        log.commit({"subjects": new}, {"subjects": old})
+    log.purge()
 
 
 def erasure_events(results: DataFrame) -> DataFrame:

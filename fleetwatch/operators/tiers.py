@@ -1,4 +1,5 @@
-"""Retention and tiers as jobs over tables partitioned by ``event_date``."""
+"""Retention and tiers as jobs over tables partitioned by ``event_date``, either plain
+folders or the hot and warm tables of one commit log."""
 
 from __future__ import annotations
 
@@ -7,7 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ingest import write_by_day
+from .commits import TableLog, partition_value
+from .ingest import by_day
 from .sequences import range_bucket, rank_rows, time_bucket
 
 BLOCK = 1024
@@ -34,44 +36,49 @@ def drop_days(spark: SparkSession, path: str, before: date) -> list[date]:
     return gone
 
 
-def _not_in_warm(spark: SparkSession, rows: DataFrame, warm: str, days: list[date]) -> DataFrame:
-    """Rows whose event_id their day in the warm table does not hold; those without one are among them."""
-    held = spark.read.schema(rows.select("event_id", "event_date").schema).parquet(warm).where(F.col("event_date").isin(days))
-    return rows.join(held, ["event_date", "event_id"], "left_anti")
+def land(log: TableLog, rows: DataFrame, files_per_day: int = 1, writer: str | None = None,
+         batch: int | None = None) -> None:
+    """Adds rows to the hot table of the log; a repeated batch of a writer adds nothing."""
+    log.commit({"hot": log.stage("hot", by_day(rows, files_per_day), "event_date")}, writer=writer, batch=batch)
 
 
-def to_warm(spark: SparkSession, hot: str, warm: str, before: date, files_per_day: int = 1) -> list[date]:
-    """Days before ``before`` leave the hot table as few, sorted files in the warm one. Every hot
-    day is moved, also one that has a warm folder already: late rows and what a lost run left
-    behind are added, rows whose event_id the warm day holds are not repeated (rows without
-    event_id are, after a lost run). Hot files go once the warm table holds all their rows; files that
-    came meanwhile stay for the next run."""
-    days = [d for d in days_of(spark, hot) if d < before]
-    if not days:
+def _old(folders: list[str], before: date) -> dict[str, date]:
+    """The folders of days before ``before``. Rows without a day never grow old."""
+    days = {f: partition_value(f, "event_date") for f in folders}
+    known = {f: date.fromisoformat(d) for f, d in days.items() if d != "__HIVE_DEFAULT_PARTITION__"}
+    return {f: d for f, d in known.items() if d < before}
+
+
+def hot_days(log: TableLog, table: str = "hot") -> list[date]:
+    return sorted(set(_old(log.snapshot().of(table), date.max).values()))
+
+
+def expire(log: TableLog, before: date, table: str = "hot") -> list[date]:
+    """All days before ``before`` leave the table; no row is read."""
+    gone = _old(log.snapshot().of(table), before)
+    if gone:
+        log.commit({}, {table: list(gone)})
+    return sorted(set(gone.values()))
+
+
+def to_warm(log: TableLog, before: date, files_per_day: int = 1) -> list[date]:
+    """Days before ``before`` leave the hot table as few, sorted files of the warm one. One
+    commit adds the warm files and takes the hot ones away, so a row is in exactly one of them whatever
+    is cut short, with or without an id. Rows that come meanwhile are in other folders and stay hot.
+    A row whose event_id its warm day holds already is a repetition and is left out."""
+    now = log.snapshot()
+    moving = _old(now.of("hot"), before)
+    if not moving:
         return []
-    rows = spark.read.parquet(hot).where(F.col("event_date").isin(days))
-    at, fs = _folder(spark, warm)
-    todo = _not_in_warm(spark, rows, warm, days) if fs.exists(at) else rows
-    write_by_day(todo.drop("event_date"), warm, files_per_day)
-    missing = _not_in_warm(spark, rows.where(F.col("event_id").isNotNull()), warm, days)
-    open_days = {r["event_date"] for r in missing.select("event_date").distinct().collect()}
-    moved = [d for d in days if d not in open_days]
-    _drop_files(spark, hot, rows, moved)
-    return moved
-
-
-def _drop_files(spark: SparkSession, path: str, rows: DataFrame, days: list[date]) -> None:
-    """Deletes the files that ``rows`` reads of these days, and the folders that are empty then."""
-    _, fs = _folder(spark, path)
-    of = {f"event_date={d}" for d in days}
-    for name in rows.inputFiles():
-        file = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
-        if file.getParent().getName() in of:
-            fs.delete(file, False)
-    for d in days:
-        at, _ = _folder(spark, f"{path}/event_date={d}")
-        if not any(not s.getPath().getName().startswith((".", "_")) for s in fs.listStatus(at)):
-            fs.delete(at, True)
+    rows = log.read("hot", folders=list(moving))
+    days = set(moving.values())
+    held = [f for f, d in _old(now.of("warm"), before).items() if d in days]
+    if held:
+        known = log.read("warm", folders=held).select("event_date", "event_id")
+        rows = rows.join(known, ["event_date", "event_id"], "left_anti")
+    warm = log.stage("warm", by_day(rows.drop("event_date"), files_per_day), "event_date")
+    log.commit({"warm": warm}, {"hot": list(moving)})
+    return sorted(days)
 
 
 def cold_summaries(rows: DataFrame, levels: int = 3) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 
@@ -12,9 +11,10 @@ from pyspark.sql import SparkSession
 
 def build_session(app: str = "fleetwatch", cores: str | None = None,
                   shuffle_partitions: int | None = None) -> SparkSession:
-    """A local session for tests and the bench. On a cluster use the session it gives you."""
+    """A local session for tests and the bench, with a work folder of its own where the
+    environment names none. On a cluster use the session it gives you."""
     cores = cores or os.environ.get("BENCH_CPUS", "8")
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
@@ -26,20 +26,21 @@ def build_session(app: str = "fleetwatch", cores: str | None = None,
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    spark = builder.getOrCreate()
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        # a core setting: it can only be given to a new session
+        spark.stop()
+        spark = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="fleetwatch-")).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for checkpoints and written tables, under the shared folder that
-    the cluster names in ``spark.checkpoint.dir``. Without that setting a cluster is an error;
-    only a session inside one process (a test, the bench) gets a folder of its own."""
+    """A fresh folder for checkpoints and written tables, under the shared folder that the
+    cluster names in ``spark.checkpoint.dir``. A session without that setting is an error:
+    no folder of one machine takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="fleetwatch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"

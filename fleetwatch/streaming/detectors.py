@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,8 +14,9 @@ from .. import rules as R
 from ..functions.hashing import call_signature
 from ..operators import alarms as alarm_ops
 from ..operators import facts, ledger
+from ..operators.commits import TableLog
 from .ingest import WATERMARK
-from .runner import batch_head, each_batch, earlier_batches, write_batch
+from .runner import each_batch, earlier_batches, write_batch
 
 ALARM_ROWS = ("alarm_id string, agent_id string, signal string, event_type string, reason string,"
               " severity string, sla_hours double, sla_deadline timestamp, trigger_value double,"
@@ -84,66 +86,126 @@ def cost_card(tasks: DataFrame, min_obs: int = R.EWMA_WARMUP, calibration_days:
         _CostCard(min_obs, calibration_days), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
-def calibration_log(events: DataFrame, path: str, checkpoint: str, days: int = R.CALIBRATION_DAYS) -> None:
-    """The end of each agent's calibration as a row of its own below ``path``/closed, written
-    by the batch whose newest event passes it, also when the agent itself is silent. An agent's
-    window counts from its first event; ``path``/registered has one row per agent."""
-    spark = events.sparkSession
-    schema = "agent_id string, calibration_until timestamp"
+class _Calibration(StatefulProcessor):
+    """End of the calibration window of one agent, kept until a timer reports it."""
+
+    def __init__(self, days: int):
+        self.length_ms = days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "until timestamp")
+
+    def _wait(self, until: pd.Timestamp) -> None:
+        self.until.update((until.to_pydatetime(),))
+        self.handle.registerTimer(-(-until.value // 1_000_000))
+
+    def handleInitialState(self, key, known: pd.DataFrame, timerValues) -> None:
+        self._wait(pd.Timestamp(known["calibration_until"].min()))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = min(pd.Timestamp(r["first"].min()) for r in rows)
+        if not self.until.exists():
+            self._wait(first + pd.Timedelta(milliseconds=self.length_ms))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"agent_id": [key[0]], "calibration_until": [pd.Timestamp(self.until.get()[0])]})
+
+    def close(self) -> None:
+        pass
+
+
+def calibration_ends(events: DataFrame, days: int = R.CALIBRATION_DAYS, known: DataFrame | None = None,
+                     delay: str = WATERMARK) -> DataFrame:
+    """(agent_id, calibration_until) once per agent, by an event-time timer: as soon as the
+    watermark, which every agent's events move, passes the end of the window. A silent agent needs no
+    event of its own. The window counts from the agent's first event, or is given by ``known``, the state
+    of a batch evaluation. One row per agent and hour reaches the state, not the traffic."""
+    first = (events.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour").alias("w"), "agent_id")
+             .agg(F.min("ts").alias("first")).select("agent_id", "first", F.window_time("w").alias("at")))
+    if known is not None:
+        known = known.select("agent_id", "calibration_until").groupBy("agent_id")
+    return first.groupBy("agent_id").transformWithStateInPandas(
+        _Calibration(days), outputStructType="agent_id string, calibration_until timestamp",
+        outputMode="Append", timeMode="EventTime", initialState=known)
 
-    def land(batch: DataFrame, batch_id: int) -> None:
-        head = batch_head(spark, f"{path}/heads", batch_id, "newest timestamp")
-        known = earlier_batches(spark, f"{path}/registered", batch_id, schema)
-        first = batch.groupBy("agent_id").agg(F.min("ts").alias("t")).join(known.select("agent_id"), "agent_id", "left_anti")
-        write_batch(first.select("agent_id", (F.col("t") + facts.seconds(days * 86_400)).alias("calibration_until")),
-                    f"{path}/registered", batch_id)
-        new = spark.read.schema(schema).parquet(f"{path}/registered/batch_id={batch_id}")
-        seen = batch.select("ts").unionByName(head.select(F.col("newest").alias("ts")))
-        write_batch(seen.groupBy().agg(F.max("ts").alias("newest")), f"{path}/heads", batch_id)
-        newest = spark.read.schema("newest timestamp").parquet(f"{path}/heads/batch_id={batch_id}").select("newest").scalar()
-        ended = F.col("calibration_until") <= newest
-        since = F.coalesce(F.col("calibration_until") > head.select("newest").scalar(), F.lit(True))
-        write_batch(known.where(ended & since).unionByName(new.where(ended)), f"{path}/closed", batch_id)
-
-    each_batch(events, land, checkpoint)
+
+RUN_ROWS = ("task_id string, minute bigint, first_ts timestamp, n bigint, head_sig string, head bigint,"
+            " head_calls array<struct<ts:timestamp,event_id:string,agent_id:string,tool_name:string>>,"
+            " tail_sig string, tail bigint, hit struct<ts:timestamp,event_id:string,agent_id:string,tool_name:string>")
+
+
+def call_runs(guards: DataFrame, run: int = R.LOOP_RUN) -> DataFrame:
+    """One row per task and minute of calls: the first run of equal calls (signature, length and
+    the calls that could complete a run from before), the last run, and the first call that completes
+    a run inside the minute. Minutes of a task in order give its runs; a task with a third of all
+    calls is as many rows as it has minutes."""
+    calls = guards.where(F.col("event_type") == "tool_call").select(
+        "task_id", F.call_function("div", F.unix_seconds("ts"), F.lit(60)).alias("minute"), "ts", "event_id", "agent_id", "tool_name",
+        call_signature(F.col("tool_name"), F.col("arguments_json")).alias("sig"))
+    order = W.partitionBy("task_id", "minute").orderBy("ts", "event_id")
+    new = ~F.coalesce(F.col("sig") == F.lag("sig").over(order), F.lit(False))
+    placed = (calls.withColumn("nth", F.row_number().over(order)).withColumn("start", F.when(new, F.col("nth")))
+              .withColumn("start", F.max("start").over(order)))
+    length = F.col("nth") - F.col("start") + 1
+    call = F.struct("ts", "event_id", "agent_id", "tool_name")
+    head = F.col("start") == 1
+    early = F.when(head & (F.col("nth") < run), F.struct("nth", call.alias("call")))
+    return placed.groupBy("task_id", "minute").agg(
+        F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n"), F.min_by("sig", "nth").alias("head_sig"), F.count_if(head).alias("head"),
+        F.transform(F.sort_array(F.collect_list(early)), lambda x: x["call"]).alias("head_calls"),
+        F.max_by("sig", "nth").alias("tail_sig"), F.max_by(length, "nth").cast("bigint").alias("tail"),
+        F.min(F.when(length >= run, call)).alias("hit"))
+
+
+def land_runs(guards: DataFrame, path: str, checkpoint: str) -> None:
+    """S4, first half: the runs of each micro-batch, found by Spark and stored under its batch id."""
+    each_batch(guards, lambda batch, batch_id: write_batch(call_runs(batch), path, batch_id), checkpoint)
+
+
+def run_stream(spark: SparkSession, path: str) -> DataFrame:
+    return spark.readStream.schema(f"{RUN_ROWS}, batch_id bigint").parquet(path)
 
 
 class _LoopBreaker(StatefulProcessor):
-    """Last signature, run length and opening time of one task."""
+    """Last signature, run length and opening mark of one task."""
 
     def __init__(self, run: int, ttl_ms: int | None):
         self.run, self.ttl_ms = run, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "sig string, run int, opened boolean", self.ttl_ms)
+        self.tail = handle.getValueState("tail", "sig string, run bigint, opened boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        calls = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        sig, run, opened = self.tail.get() if self.tail.exists() else (None, 0, False)
+        sig, length, opened = self.tail.get() if self.tail.exists() else (None, 0, False)
         if opened:
             return
-        new = calls["sig"] != calls["sig"].shift(fill_value=sig if sig is not None else "")
-        position = calls.groupby(new.cumsum()).cumcount() + 1
-        position = position.where(new.cumsum() > 0, position + run)
-        hits = calls[position >= self.run]
-        self.tail.update((calls["sig"].iloc[-1], int(position.iloc[-1]), bool(len(hits))))
-        if len(hits):
-            yield hits.head(1)[["task_id", "ts", "event_id", "agent_id", "tool_name"]] \
-                .rename(columns={"ts": "opened_at"})
+        for m in pd.concat(list(rows)).sort_values(["minute", "first_ts"]).itertuples():
+            joins = sig is not None and sig == m.head_sig
+            call = m.hit
+            if joins and length + m.head >= self.run:
+                call = m.head_calls[max(0, self.run - int(length) - 1)]
+            if call is not None:
+                self.tail.update((m.tail_sig, int(m.tail), True))
+                call = call.asDict() if hasattr(call, "asDict") else call
+                yield pd.DataFrame([{"task_id": key[0], "opened_at": call["ts"], "event_id": call["event_id"],
+                                     "agent_id": call["agent_id"], "tool_name": call["tool_name"]}])
+                return
+            sig, length = m.tail_sig, int(m.tail) + (int(length) if joins and m.head == m.n else 0)
+        self.tail.update((sig, int(length), False))
 
     def close(self) -> None:
         pass
 
 
-def loop_openings(guards: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """The call that opens the breaker of a task, at most once per task. A task's calls
-    of one micro-batch are ordered together, so ``maxFilesPerTrigger`` bounds them; state
-    is one row per task and can expire after ``ttl_ms``."""
-    calls = guards.where(F.col("event_type") == "tool_call").select(
-        "task_id", "agent_id", "ts", "event_id", "tool_name",
-        call_signature(F.col("tool_name"), F.col("arguments_json")).alias("sig"))
+def loop_openings(runs: DataFrame, ttl_ms: int | None = 7 * 86_400_000) -> DataFrame:
+    """S4, second half: the call that opens the breaker of a task, at most once per task, from
+    the stream of its runs. State and Python see one row per task and minute, never the calls; the
+    state of a task is one row and goes ``ttl_ms`` after its last change (None: never), a week by default. Run it with
+    ``idle_batches=False`` where the run should end with its input."""
     schema = "task_id string, opened_at timestamp, event_id string, agent_id string, tool_name string"
-    return calls.groupBy("task_id").transformWithStateInPandas(
+    return runs.groupBy("task_id").transformWithStateInPandas(
         _LoopBreaker(R.LOOP_RUN, ttl_ms), outputStructType=schema, outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None")
 
@@ -161,30 +223,43 @@ def new_class_log(tasks: DataFrame, path: str, checkpoint: str) -> None:
     each_batch(tasks, land, checkpoint)
 
 
-def alarm_log(fired: DataFrame, rules: DataFrame, alarm_path: str, ledger_path: str,
-              checkpoint: str) -> None:
+def alarm_log(fired: DataFrame, rules: DataFrame, root: str, checkpoint: str) -> None:
     """Fired facts (agent_id, signal, value, ts) as alarms, one per agent, signal and
-    hour, each with its ledger entry. The stored alarms decide what is new, however late a fact
-    comes; only those of the batch's own days are read. The chain goes on from the one-row head
-    of the batch before. The stream is the only ledger writer; a repeated batch rewrites its own
-    folders from the same predecessors."""
+    hour, each with its ledger entry. Alarms, ledger rows and the head of the chain of a batch are one
+    commit below ``root``, so no reader ever finds an alarm without its entry or the other way round,
+    wherever a run is cut. The stored alarms decide what is new, however late a fact comes; only
+    those of the batch's own days are read. A repeated batch finds that it is done.
+    The stream is the only ledger writer."""
     spark = fired.sparkSession
+    log = TableLog(spark, root)
 
     def land(batch: DataFrame, batch_id: int) -> None:
+        now = log.snapshot()
+        if now.done.get("alarms", -1) >= batch_id:
+            return
         mapped = alarm_ops.map_to_alarms(batch.withColumn("fired", F.lit(True)), rules)
-        days = [r[0] for r in batch.select(F.to_date("ts").cast("string")).distinct().collect()]
-        stored = earlier_batches(spark, alarm_path, batch_id, f"{ALARM_ROWS}, event_date string")
-        rows = alarm_ops.raise_alarms(mapped, F.col("ts"), stored.where(F.col("event_date").isin(days)))
-        write_batch(rows.withColumn("event_date", F.to_date("created_at").cast("string")), alarm_path, batch_id, "event_date")
-        new = spark.read.schema(ALARM_ROWS).parquet(f"{alarm_path}/batch_id={batch_id}")
-        head = batch_head(spark, f"{ledger_path}-heads", batch_id, "seq bigint, payload_hash string")
-        write_batch(ledger.append(alarm_ops.raise_events(new), head=head), ledger_path, batch_id)
-        chain = spark.read.schema(LEDGER_ROWS).parquet(f"{ledger_path}/batch_id={batch_id}").select("seq", "payload_hash")
-        write_batch(ledger.chain_head(chain.unionByName(head)), f"{ledger_path}-heads", batch_id)
+        days = batch.select(F.to_date("ts").alias("event_date")).distinct()
+        stored = log.read("alarms", f"{ALARM_ROWS}, event_date date", now.of("alarms")).join(days, "event_date", "left_semi")
+        rows = alarm_ops.raise_alarms(mapped, F.col("ts"), stored.drop("event_date"))
+        alarms = log.stage("alarms", rows.withColumn("event_date", F.to_date("created_at")), "event_date")
+        new = log.read("alarms", f"{ALARM_ROWS}, event_date date", alarms).drop("event_date")
+        head = log.read("heads", "seq bigint, payload_hash string", now.of("heads"))
+        entries = log.stage("ledger", ledger.append(alarm_ops.raise_events(new), head=head))
+        chain = log.read("ledger", LEDGER_ROWS, entries).select("seq", "payload_hash")
+        heads = log.stage("heads", ledger.chain_head(chain.unionByName(head)))
+        log.commit({"alarms": alarms, "ledger": entries, "heads": heads}, {"heads": now.of("heads")}, "alarms", batch_id)
 
     each_batch(fired, land, checkpoint)
 
 
+def alarm_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(alarms, ledger) as committed below ``root``."""
+    log = TableLog(spark, root)
+    now = log.snapshot()
+    return (log.read("alarms", f"{ALARM_ROWS}, event_date date", now.of("alarms")).drop("event_date"),
+            log.read("ledger", LEDGER_ROWS, now.of("ledger")))
+
+
 def escalate_aged_tickets(tickets: DataFrame, rules: DataFrame, as_of: Column,
                           stored: DataFrame | None = None) -> DataFrame:
     """The periodic job that turns tickets open for too long into alarms."""

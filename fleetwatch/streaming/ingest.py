@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators import tiers
+from ..operators.commits import TableLog
 from ..sources import otlp, signed
 from .runner import batch_head, each_batch, earlier_batches, to_parquet, write_batch
 
@@ -35,6 +37,19 @@ def copy_to_hot_tier(events: DataFrame, path: str, checkpoint: str) -> DataFrame
     return to_parquet(events.withColumn("event_date", F.to_date("ts")), path, checkpoint, ["event_date"])
 
 
+def copy_to_hot_log(events: DataFrame, root: str, checkpoint: str, files_per_day: int = 1) -> TableLog:
+    """S9 into the hot table of a commit log, from which ``tiers.to_warm`` moves old days: each
+    batch is one commit, and a batch that comes again adds nothing."""
+    log = TableLog(events.sparkSession, root)
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        if not log.is_done("hot", batch_id):
+            tiers.land(log, batch, files_per_day, "hot", batch_id)
+
+    each_batch(events, land, checkpoint)
+    return log
+
+
 def split_late(events: DataFrame, schema: str, path: str, late_path: str, checkpoint: str,
                delay_s: int = 600) -> None:
     """Rows older than the newest earlier row minus the delay go to their own table and
@@ -74,8 +89,8 @@ def signed_log(envelopes: DataFrame, pads: DataFrame, folder: str, checkpoint: s
                                for h in (-1, 0, 1)])).alias("hour")
 
     def part(path: str, batch_id: int, schema: str, column: str, wanted: DataFrame) -> DataFrame:
-        values = [r[0] for r in wanted.distinct().collect()]  # hours or days of one batch
-        return earlier_batches(spark, path, batch_id, f"{schema}, {column} string").where(F.col(column).isin(values))
+        # the hours or days of the batch; the engine prunes the folders by them
+        return earlier_batches(spark, path, batch_id, f"{schema}, {column} string").join(wanted.distinct(), column, "left_semi")
 
     def land(batch: DataFrame, batch_id: int) -> None:
         checked = signed.verify(batch, pads)

@@ -11,11 +11,13 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 @contextmanager
-def stream_settings(spark: SparkSession):
+def stream_settings(spark: SparkSession, idle_batches: bool = True):
     """Settings a stream copies when it starts: the RocksDB state store and one state
-    partition per core, fixed for the life of its checkpoint."""
+    partition per core, fixed for the life of its checkpoint, and whether batches without
+    input run."""
     wanted = {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB,
-              "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+              "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
+              "spark.sql.streaming.noDataMicroBatches.enabled": str(idle_batches).lower()}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -27,14 +29,16 @@ def stream_settings(spark: SparkSession):
 
 
 def to_parquet(stream: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None,
-               mode: str = "append") -> DataFrame:
-    """Runs the stream over what is available now and returns the written table."""
+               mode: str = "append", idle_batches: bool = True) -> DataFrame:
+    """Runs the stream over what is available now and returns the written table. State with a
+    time to live in processing time asks for one more batch for ever: without ``idle_batches``
+    the run ends with its input."""
     spark = stream.sparkSession
     writer = (stream.writeStream.format("parquet").outputMode(mode).option("path", path)
               .option("checkpointLocation", checkpoint).trigger(availableNow=True))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    with stream_settings(spark):
+    with stream_settings(spark, idle_batches):
         query = writer.start()
     query.awaitTermination()
     return spark.read.parquet(path)

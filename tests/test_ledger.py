@@ -153,6 +153,81 @@ def test_archive_round_trip_and_tampering(spark, tmp_path):
     assert got[key] == "chunk hash mismatch" and list(got.values()).count(None) == 2
 
 
+def test_a_second_run_reads_new_numbers_only(spark, tmp_path):
+    path, at = str(tmp_path / "a"), str(tmp_path / "ledger")
+    _ledger(spark, _rows(35)).write.parquet(at)
+    whole = spark.read.parquet(at)
+    archive.archive_ledger(whole, path, 10, upto_seq=25)
+    assert archive.archived_through(spark, path, 10) == 20
+    rest = archive.pending_rows(whole, path, 10)
+    assert "GreaterThan(seq,20)" in rest._jdf.queryExecution().toString() and rest.count() == 15
+    before = {r["key"]: r["sha256"] for r in archive.manifest_of(spark, path).collect()}
+    # the files of whole chunks are not opened again: one that is damaged is found by the check, not by the next run
+    key = "chunk_000000000001_000000000010"
+    spark.createDataFrame([(1,)], "seq long").coalesce(1).write.mode("overwrite").parquet(f"{path}/chunks/key={key}")
+    after = archive.archive_ledger(whole, path, 10)
+    assert [(r["first_seq"], r["last_seq"]) for r in after.orderBy("chunk").collect()] == [(1, 10), (11, 20), (21, 30), (31, 35)]
+    assert all(r["sha256"] == before.get(r["key"], r["sha256"]) for r in after.collect())
+    assert {r["key"] for r in archive.verify_archive(spark, path).where("reason IS NOT NULL").collect()} == {key, "chunk_000000000011_000000000020"}
+    assert archive.archive_ledger(whole, path, 10).count() == 4  # nothing new
+
+
+def test_a_chunk_whose_file_was_cut_is_not_listed(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "a")
+    describe = archive._describe_keys
+    with monkeypatch.context() as m:
+        m.setattr(archive, "_describe_keys", lambda rows: describe(rows.where("seq <> 15")))
+        assert [r["first_seq"] for r in archive.archive_ledger(_ledger(spark, _rows(30)), path, 10).orderBy("chunk").collect()] == [1, 21]
+    assert archive.archived_through(spark, path, 10) == 10
+    assert archive.archive_ledger(_ledger(spark, _rows(30)), path, 10).count() == 3
+    assert archive.verify_archive(spark, path).where("reason IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("as_json", [True, False])
+def test_a_bundle_is_verified_from_its_files(spark, tmp_path, as_json):
+    path = str(tmp_path / "b")
+    l = _ledger(spark, _rows(12))
+    root = _root([_h(i) for i in range(9)])
+    seals = spark.createDataFrame([("s1", root, 9, None, None, T0, None, True)], schemas.SEALS)
+    empty = spark.createDataFrame([], schemas.TICKETS)
+    archive.export_bundle({"ledger": l, "seals": seals, "tickets": empty}, path, as_json)
+    checked = archive.verify_bundle(spark, path)
+    assert checked.where("NOT ok").count() == 0
+    assert {(r["part"], r["id"]) for r in checked.where("part <> 'file'").collect()} == {
+        ("table", "ledger"), ("table", "seals"), ("table", "tickets"), ("chain", "ledger"), ("seal", "s1")}
+    back = archive.rebuild_bundle(spark, path)
+    assert sorted(map(str, back["ledger"].collect())) == sorted(map(str, l.collect())) and back["ledger"].schema == l.schema
+    # one byte of one file
+    files = [f for f in (tmp_path / "b" / "ledger").iterdir() if f.name.startswith("part-") and f.stat().st_size]
+    victim = files[0]
+    if as_json:
+        victim.write_bytes(victim.read_bytes().replace(b'"seq":1,', b'"seq":1 ,', 1) + b" ")
+    else:
+        victim.write_bytes(victim.read_bytes() + b"\0")
+    (tmp_path / "b" / "ledger" / f".{victim.name}.crc").unlink(missing_ok=True)
+    named = archive.verify_bundle_files(spark, path).where("detail IS NOT NULL").collect()
+    assert [(r["id"], r["detail"]) for r in named] == [(f"ledger/{victim.name}", "file altered")]
+
+
+def test_a_rewritten_bundle_does_not_verify(spark, tmp_path):
+    path = str(tmp_path / "b")
+    rows = [list(r) for r in _rows(12)]
+    archive.export_bundle({"ledger": _ledger(spark, rows)}, path)
+    rows[6][2] = "0" * 64
+    archive.export_tables({"ledger": _ledger(spark, rows)}, path, True)
+    bad = {(r["part"], r["detail"]) for r in archive.verify_bundle(spark, path).where("NOT ok").collect()}
+    assert {("table", "content mismatch"), ("chain", "broken after 7 entries")} <= bad
+    assert {d for p, d in bad if p == "file"} <= {"file altered", "file missing", "file not listed"} and any(p == "file" for p, _ in bad)
+
+
+def test_equal_keys_are_one_chain(spark):
+    """Entries that creation time and source id do not tell apart, also at the end of a bucket."""
+    at = datetime(2024, 1, 1)
+    rows = [("x", '{"a": %d}' % (i % 7), at if i < 40 else datetime(2024, 1, 1, 0, 5), "same") for i in range(80)]
+    chain = ledger.append(spark.createDataFrame(rows, "event_type string, payload string, created_at timestamp, source_id string").repartition(7))
+    assert ledger.verify_chain(chain).first().asDict() == {"ok": True, "checked": 80}
+
+
 def test_export_and_rebuild(spark, tmp_path):
     l = _ledger(spark, _rows(7))
     for as_json in (True, False):

@@ -171,6 +171,35 @@ def test_redelivery_under_the_same_id_is_a_replay(spark):
         ("a", ""), ("a", "replay"), ("b", ""), ("b", "replay"), ("b", "replay"), ("c", "")]
 
 
+def test_an_envelope_with_a_null_is_never_accepted(spark):
+    secret = b"s3"
+    at = int(NOW.timestamp())
+    good = lambda ts: hmac.new(secret, f"{ts}.n{{}}".encode(), hashlib.sha256).hexdigest()
+    full = ("e", "k", str(at), "n", good(at), "{}", NOW)
+    rows = [full] + [tuple(None if i == j else v for j, v in enumerate(full)) for i in range(1, 7)]
+    rows.append(("e", "k", "0", "n", good(0), "{}", None))  # signed, of 1970, without arrival time
+    for row, reason in zip(rows, [None, "unknown_key", "bad_timestamp", "missing_nonce", "bad_signature", "bad_signature", "timestamp_skew", "timestamp_skew"]):
+        got = signed.verify(spark.createDataFrame([row], schemas.ENVELOPES), hmac_pads(spark, {"k": secret})).first()
+        assert got["reason"] == reason, row
+    nameless = spark.createDataFrame([(None, *full[1:])] * 2, schemas.ENVELOPES)
+    assert sorted(r["reason"] or "" for r in signed.verify(nameless, hmac_pads(spark, {"k": secret})).collect()) == ["", "replay"]
+
+
+def test_a_flood_of_one_nonce_is_spread(spark):
+    secret, at = b"s3", int(NOW.timestamp())
+    mac = hmac.new(secret, f"{at}.n{{}}".encode(), hashlib.sha256).hexdigest()
+    flood = spark.range(0, 20_000, 1, 8).select(
+        F.concat(F.lit("e"), F.col("id")).alias("envelope_id"), F.lit("k").alias("key_id"), F.lit(str(at)).alias("ts_text"), F.lit("n").alias("nonce"),
+        F.lit(mac).alias("signature"), F.lit("{}").alias("body"), F.timestamp_seconds(F.lit(at) + F.abs(F.col("id") - 777) % 100).alias("received_at"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    checked = signed.verify(flood, hmac_pads(spark, {"k": secret})).withColumn("task", F.spark_partition_id()).cache()
+    assert [r["envelope_id"] for r in signed.accepted(checked).collect()] == ["e10077"]  # the least id of those that came first
+    assert checked.where("reason = 'replay'").count() == 19_999
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in checked.groupBy("task").count().collect()) < 12_000
+    checked.unpersist()
+
+
 def test_unreadable_parts_are_reported(spark):
     good = '{"traceId":"t","spanId":"s","name":"x"}'
     bodies = {"ok": '{"resourceSpans":[{"scopeSpans":[{"spans":[%s]}]}]}' % good,

@@ -9,6 +9,7 @@ from fleetwatch import adapters as A
 from fleetwatch import catalog, schemas
 from fleetwatch import rules as R
 from fleetwatch.operators import alarms, attribution, facts, ledger, privacy
+from fleetwatch.operators.commits import TableLog
 from fleetwatch.plans import reports
 from fleetwatch.plans.evaluate import advance
 from fleetwatch.session import work_dir
@@ -120,7 +121,9 @@ def _sorted(df, *cols):
 def test_loop_state_survives_batches(spark, tmp_path):
     g = A.guard_events(spark, SF)
     stream, _ = _two_files(spark, g, A.as_of("2024-01-15 09:00:00"), tmp_path)
-    got = to_parquet(detectors.loop_openings(stream), str(tmp_path / "o"), str(tmp_path / "c"))
+    runs = str(tmp_path / "runs")
+    detectors.land_runs(stream, runs, str(tmp_path / "k"))
+    got = to_parquet(detectors.loop_openings(detectors.run_stream(spark, runs)), str(tmp_path / "o"), str(tmp_path / "c"), idle_batches=False)
     cols = ["task_id", "opened_at", "event_id", "agent_id", "tool_name"]
     assert _sorted(got, *cols) == _sorted(facts.loop_openings(g), *cols)
 
@@ -129,18 +132,82 @@ def test_alarm_log_is_one_chain_and_repeats_nothing(spark, tmp_path):
     t = A.task_events(spark, SF).where("retry_count >= 3").select(
         "agent_id", F.lit("latency.retry>=3").alias("signal"), F.col("retry_count").cast("double").alias("value"), "ts")
     stream, src = _two_files(spark, t, A.as_of("2024-01-15 09:20:00"), tmp_path)
-    a, c, k = (str(tmp_path / n) for n in "ack")
-    detectors.alarm_log(stream, R.signal_rules(spark), a, c, k)
-    chain = spark.read.schema(detectors.LEDGER_ROWS).parquet(c)
+    root, k = str(tmp_path / "log"), str(tmp_path / "k")
+    detectors.alarm_log(stream, R.signal_rules(spark), root, k)
+    alarms_, chain = detectors.alarm_tables(spark, root)
     n = chain.count()
     assert ledger.verify_chain(chain).first().asDict() == {"ok": True, "checked": n}
-    assert spark.read.parquet(a).select("alarm_id").distinct().count() == n
+    assert alarms_.select("alarm_id").distinct().count() == n
     # a restart on the same checkpoint finds nothing new; a redelivered file adds no alarm
-    detectors.alarm_log(stream, R.signal_rules(spark), a, c, k)
+    detectors.alarm_log(stream, R.signal_rules(spark), root, k)
     t.coalesce(1).write.mode("append").parquet(src)
-    detectors.alarm_log(stream, R.signal_rules(spark), a, c, k)
-    assert spark.read.parquet(a).count() == n
-    assert spark.read.schema(detectors.LEDGER_ROWS).parquet(c).count() == n
+    detectors.alarm_log(stream, R.signal_rules(spark), root, k)
+    alarms_, chain = detectors.alarm_tables(spark, root)
+    assert alarms_.count() == n and chain.count() == n
+
+
+@pytest.mark.parametrize("cut", [1, 2, 3, 4])
+def test_a_cut_alarm_batch_leaves_no_alarm_without_entry(spark, tmp_path, monkeypatch, cut):
+    """The run is lost before one of its three writes or before the commit."""
+    t = A.task_events(spark, SF).where("retry_count >= 3").select(
+        "agent_id", F.lit("latency.retry>=3").alias("signal"), F.col("retry_count").cast("double").alias("value"), "ts")
+    t.write.parquet(str(tmp_path / "src"))
+    stream = spark.readStream.schema(t.schema).parquet(str(tmp_path / "src"))
+    root, k, calls = str(tmp_path / "log"), str(tmp_path / "k"), []
+    stage, commit = TableLog.stage, TableLog.commit
+
+    def step(fn):
+        def run(self, *args, **kw):
+            calls.append(fn)
+            if len(calls) == cut:
+                raise RuntimeError("driver lost")
+            return fn(self, *args, **kw)
+        return run
+
+    with monkeypatch.context() as m:
+        m.setattr(TableLog, "stage", step(stage))
+        m.setattr(TableLog, "commit", step(commit))
+        with pytest.raises(Exception):
+            detectors.alarm_log(stream, R.signal_rules(spark), root, k)
+    alarms_, chain = detectors.alarm_tables(spark, root)
+    assert alarms_.count() == chain.count() == 0
+    detectors.alarm_log(stream, R.signal_rules(spark), root, k)
+    alarms_, chain = detectors.alarm_tables(spark, root)
+    assert alarms_.select("alarm_id").exceptAll(chain.select("source_id")).count() == 0
+    assert alarms_.count() == chain.count() > 0 and ledger.verify_chain(chain).first()["ok"]
+
+
+def test_call_runs_stand_for_all_calls(spark, tmp_path):
+    """A task with most calls is one row per minute, and runs cross minutes and batches."""
+    t0 = datetime(2024, 1, 1)
+    calls = [("big", i, "x" if i % 500 else "y") for i in range(3000)] + [("slow", i * 70, "z") for i in range(4)] + [("two", i * 40, "ab"[i // 2 % 2]) for i in range(40)]
+    g = spark.createDataFrame([(f"g{task}{i:05d}", "a", task, "tool_call", None, "tool", f'{{"q": "{q}"}}', True, t0 + timedelta(seconds=i)) for task, i, q in calls],
+                              schemas.GUARD_EVENTS)
+    runs = detectors.call_runs(g)
+    assert {r["task_id"]: r["count"] for r in runs.groupBy("task_id").count().collect()} == {"big": 50, "slow": 4, "two": 27}
+    assert runs.agg(F.sum("n")).first()[0] == len(calls)
+    for cut in (65, 1500):
+        folder = tmp_path / str(cut)
+        stream, _ = _two_files(spark, g, F.lit(t0 + timedelta(seconds=cut)), folder)
+        detectors.land_runs(stream, str(folder / "runs"), str(folder / "k"))
+        got = to_parquet(detectors.loop_openings(detectors.run_stream(spark, str(folder / "runs"))), str(folder / "o"), str(folder / "c"), idle_batches=False)
+        cols = ["task_id", "opened_at", "event_id", "agent_id", "tool_name"]
+        assert _sorted(got, *cols) == _sorted(facts.loop_openings(g), *cols)
+
+
+def test_a_silent_agent_ends_its_calibration_by_timer(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    schema = "agent_id string, ts timestamp"
+    batches = [[("silent", t0), ("busy", t0 + timedelta(hours=3))], [("busy", t0 + timedelta(days=2))], [("busy", t0 + timedelta(days=3, hours=1))], [("busy", t0 + timedelta(days=5))]]
+    got = []
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "src"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "src"))
+        out = to_parquet(detectors.calibration_ends(stream, 3), str(tmp_path / "o"), str(tmp_path / "c"))
+        got.append(sorted((r["agent_id"], r["calibration_until"]) for r in spark.read.schema("agent_id string, calibration_until timestamp").parquet(str(tmp_path / "o")).collect()))
+    silent, busy = ("silent", t0 + timedelta(days=3)), ("busy", t0 + timedelta(days=3, hours=3))
+    assert got == [[], [], [silent], [busy, silent]]
+
 
 
 def test_new_class_log_over_batches(spark, tmp_path):
@@ -204,7 +271,17 @@ def test_a_cluster_without_shared_folder_is_refused():
         work_dir(Session(), "x")
 
 
-def test_incremental_evaluation_reads_only_what_is_new(spark, tmp_path):
+@pytest.fixture
+def long_plans(spark):
+    """Plans print folders whole, however long their path is."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    yield
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+@pytest.mark.parametrize("below", ["s", "a-rather-long-folder-name" * 6])
+def test_incremental_evaluation_reads_only_what_is_new(spark, tmp_path, long_plans, below):
+    tmp_path = tmp_path / below
     since = A.as_of("2024-01-20 00:00:00")
     A.task_events(spark, SF).write.parquet(str(tmp_path / "tasks"))
     A.guard_events(spark, SF).write.parquet(str(tmp_path / "guards"))
@@ -217,5 +294,5 @@ def test_incremental_evaluation_reads_only_what_is_new(spark, tmp_path):
         got, want = (sorted(map(str, x.select(*[F.round(c, 6).alias(c) if d == "double" else c for c, d in want.dtypes]).collect())) for x in (got, want))
         assert got == want, name
         plan = getattr(after, name)._jdf.queryExecution().toString()
-        scans = [x for x in plan.split("\n") if "FileScan parquet" in x and ("/tasks" in x or "/guards" in x)]
+        scans = [x for x in plan.split("\n") if "FileScan parquet" in x and (f"{tmp_path}/tasks]" in x or f"{tmp_path}/guards]" in x)]
         assert scans and all("GreaterThanOrEqual(ts" in x for x in scans), name
