@@ -18,8 +18,11 @@ whether or not it is itself dropped, so the result does not depend on any proces
 
 Text moves once for the rewritten documents; before that only digests and hashes do.
 
-Defined cases: blank lines stay; lines under ``SHORT`` characters are only compared for
-equality; a null text stays null; repeated rows (equal id and text) share their places and are
+Lines under ``shortest`` characters are compared for equality only, by default ``SHORT``: within
+one edit of each other stand all numbers of a list and all short labels, which are not copies.
+``shortest=1`` compares every line.
+
+Defined cases: blank lines stay; a null text stays null; repeated rows (equal id and text) share their places and are
 rewritten alike; null ids sort first; a document whose every non-blank line is dropped becomes
 blank (the pipeline stage removes it); an empty table gives an empty result.
 """
@@ -33,28 +36,25 @@ from .common import sha256_hex, stored
 
 BLOCK = 64
 SHORT = 16
-# beyond so many documents with candidate lines their text is fetched by a shuffle join
-BROADCAST_ROWS = 500_000
-
 
 HALVES = ("first_low", "last_low", "first_high", "last_high")
 
 
-def _half_keys(line: Column, n: Column) -> list[Column]:
+def _half_keys(line: Column, n: Column, shortest: int) -> list[Column]:
     """Hashes of the first and last half; lines of even length have two half lengths."""
     low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
     keys = [F.xxhash64(F.lit(side), p, F.substring(line, at, p))
             for p in (low, high) for side, at in (("first", F.lit(1)), ("last", n - p + 1))]
-    return [F.when((n >= SHORT) & ((low != high) | F.lit(i < 2)), k).alias(name)
+    return [F.when((n >= shortest) & ((low != high) | F.lit(i < 2)), k).alias(name)
             for i, (k, name) in enumerate(zip(keys, HALVES))]
 
 
-def places(docs: DataFrame) -> DataFrame:
+def places(docs: DataFrame, shortest: int = SHORT) -> DataFrame:
     """(doc_id, th, at, digest, lid, n, half hashes) of every line that is not blank."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     lines = lines.where(F.trim("line") != "").withColumn("n", F.char_length("line"))
     return lines.select("doc_id", "th", "at", F.unhex(F.md5("line")).alias("digest"), F.xxhash64("line").alias("lid"),
-                        "n", *_half_keys(F.col("line"), F.col("n")))
+                        "n", *_half_keys(F.col("line"), F.col("n"), shortest))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -81,8 +81,6 @@ def _with_text(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Adds the text of lines known by their place."""
     wanted = stored(lines, "line-candidates")
     sources = wanted.select(F.col("place.doc_id").alias("d"), F.col("place.th").alias("h")).distinct()
-    if sources.count() <= BROADCAST_ROWS:
-        sources = F.broadcast(sources)
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     rows = rows.join(sources, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left_semi")
     rows = rows.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
@@ -129,15 +127,15 @@ def near_links(lines: DataFrame) -> DataFrame:
     return replaced.unionByName(inserted).where(F.col("place") > F.col("lead_place")).distinct()
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, shortest: int = SHORT) -> DataFrame:
     """(doc_id, th, gone, n_near): the line numbers each document loses, and how many of them
     for a near copy."""
-    lines = stored(places(docs), "lines")
+    lines = stored(places(docs, shortest), "lines")
     place = F.struct("doc_id", "th", "at")
     distinct = stored(lines.groupBy("digest", "lid", "n", *HALVES).agg(
         F.min(place).alias("place"), F.max(place).alias("last_place")), "distinct-lines")
     cands = _candidates(distinct)
-    texts = stored(_with_text(docs, distinct.where(F.col("n") >= SHORT).join(cands, "lid")
+    texts = stored(_with_text(docs, distinct.where(F.col("n") >= shortest).join(cands, "lid")
                               .select("lid", "edit_late", "edit_early", "place")), "line-texts")
     short = texts.select("lid", "place", "line")
     links = (near_links(texts).join(short, ["lid", "place"])
@@ -156,10 +154,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
                                             F.size(F.collect_set(F.when(F.col("near"), F.col("at")))).alias("n_near"))
 
 
-def rewrite(docs: DataFrame) -> DataFrame:
+def rewrite(docs: DataFrame, shortest: int = SHORT) -> DataFrame:
     """``docs`` with __lines (how many), __gone (dropped line numbers or null), __near and
     __text (what is left)."""
-    gone = stored(dropped_lines(docs), "dropped-lines").select(
+    gone = stored(dropped_lines(docs, shortest), "dropped-lines").select(
         F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"), F.col("n_near").alias("__near"))
     rows = docs.withColumn("__h", F.xxhash64("text"))
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
