@@ -7,7 +7,7 @@ bucket). The log-probability matrix has ``BUCKETS`` x languages entries, at most
 n-grams of a batch of texts in numpy; texts are cut into pieces of ``PIECE`` characters so that
 memory does not depend on the longest text, and all pieces of a text are summed.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text if
+Defined cases: malformed UTF-8 is read as U+FFFD (and stays as it is in the rows); a null text or one without a letter is ``und`` with score 0, as is every text if
 nothing was learned; equal posteriors go to the alphabetically first language; repeated rows
 are counted and predicted each; rows with a null id are predicted, not learned from, and not
 held out; an empty table gives an empty result.
@@ -35,6 +35,11 @@ LETTER = re.compile(r"[^\W\d_]")
 MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
+def _texts(column: pa.Array) -> list[str | None]:
+    """Texts of a column, whatever their bytes."""
+    return [None if t is None else t.decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
+
+
 def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str], list[int]]]:
     """Groups of pieces of about PIECE characters: row of each piece, its characters (with the
     overlap its last n-grams need) and how many n-grams start in it."""
@@ -91,7 +96,7 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray] | None:
         total = np.zeros(len(langs) * width, np.int64)
         for batch in batches:
             which = [index[x] for x in batch.column(1).to_pylist()]
-            for doc, parts, limits in _pieces(batch.column(0).to_pylist()):
+            for doc, parts, limits in _pieces(_texts(batch.column(0))):
                 base = np.repeat([which[i] * width for i in doc], [len(p) for p in parts])
                 for b in ngram_buckets(parts, limits)[0]:
                     total += np.bincount(base + b, minlength=len(total))
@@ -129,7 +134,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None,
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table, prior = shared.value
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            texts = _texts(batch.column(at))
             known = [t is not None and LETTER.search(t) is not None for t in texts]
             sums = np.tile(prior, (len(texts), 1))
             for doc, parts, limits in _pieces([t if k else "" for t, k in zip(texts, known)]):
