@@ -1,14 +1,14 @@
 """Operator 8: quality of documents by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE`` words. Every passage is described by character
-class and punctuation shares and word repetition, encoded by a learned layer, weighted by gated
+class and punctuation shares, word repetition and its words hashed into ``BUCKETS`` columns, encoded by a learned layer, weighted by gated
 attention (tanh times sigmoid) within its document, and the weighted sum is scored by a logistic
 unit. All parts are learned together from document labels by gradient descent.
 
 The model is fitted on a sample of at most about ``LEARN`` labelled documents per label (by hash of the
-id, weighted back to the label shares of all learning rows), of each at most ``MOST`` passages
-(evenly spaced). Features of the sample are computed by Spark; only they go to the driver.
-Scoring covers every passage of every text.
+id, weighted back to the label shares of all learning rows), with every passage of each. Features
+of the sample are computed by Spark; only they go to the driver. Scoring covers every passage of
+every text.
 
 Defined cases: a null or empty text is one passage of zero features; labels other than 0 and 1
 and null labels are not learned from; several labels of one id are samples of their own;
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,14 @@ from pyspark.sql import functions as F
 from .common import id_remainder
 
 PASSAGE = 96
-LEARN = 3000
-MOST = 64
+LEARN = 2000
 HIDDEN, ATTEND = 16, 8
 ROUNDS, STEP = 250, 0.02
 THRESHOLD = 0.7
 ROWS = 256
 PUNCTUATION = [b for b in range(33, 127) if not chr(b).isalnum()]
 WIDTH = 8 + len(PUNCTUATION)
+BUCKETS = 64
 
 
 def passages(text: bytes | None) -> list[list[bytes]]:
@@ -61,15 +62,22 @@ def describe(words: list[bytes]) -> list[float] | np.ndarray:
     return out
 
 
+def encode(words: list[bytes]) -> np.ndarray:
+    """What the attention layer sees of a passage: its description and the square roots of the
+    shares of its lower-cased words by bucket."""
+    out = np.zeros(WIDTH + BUCKETS)
+    out[:WIDTH] = describe(words)
+    if words:
+        marks = np.fromiter(map(crc32, b" ".join(words).lower().split(b" ")), np.uint32, len(words))
+        out[WIDTH:] = np.sqrt(np.bincount(marks % BUCKETS, minlength=BUCKETS) / len(words))
+    return out
+
+
 def _features(docs: DataFrame) -> DataFrame:
     """(doc_id, y, x): the passages of the sample, row-wise in one array."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = []
-            for t in batch.column(2):
-                cut = passages(t.as_py())
-                pick = range(len(cut)) if len(cut) <= MOST else np.linspace(0, len(cut) - 1, MOST).astype(int)
-                bags.append(np.concatenate([describe(cut[i]) for i in pick]).astype(np.float32).tobytes())
+            bags = [np.concatenate([encode(w) for w in passages(t.as_py())]).astype(np.float32).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], ["doc_id", "y", "x"])
     return docs.mapInArrow(run, "doc_id long, y int, x binary")
 
@@ -137,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | float:
     if len(set(y.tolist())) < 2:
         return count[1] / sum(count.values())
     importance = np.array([count[k] / (y == k).sum() for k in (0, 1)])[y]
-    return fit([np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in got["x"]], y, importance)
+    return fit([np.frombuffer(b, np.float32).reshape(-1, WIDTH + BUCKETS) for b in got["x"]], y, importance)
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | float) -> DataFrame:
@@ -151,7 +159,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | float) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
-                bags = [[describe(w) for w in passages(t.as_py())] for t in part.column(1)]
+                bags = [[encode(w) for w in passages(t.as_py())] for t in part.column(1)]
                 sizes = np.array([len(b) for b in bags])
                 p, _ = forward(m, np.array([x for b in bags for x in b]), np.cumsum(sizes) - sizes, sizes)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p)], ["doc_id", "score"])
