@@ -5,7 +5,8 @@ hashed into ``BUCKETS`` columns, so that unseen forms of a word share its stem's
 the vector of the square roots of their shares, so its length matters little, beside a few
 shares of character classes and repetition. The categories form a chain: each has a logistic
 model over these and the log odds of all earlier categories. While
-learning, those come from models that have not seen the document (``FOLDS`` folds); while
+learning, those come from models that have not seen the document (``FOLDS`` folds, by a hash of the
+text, so copies of a document are unseen together); while
 scoring, from the models before it in the chain.
 
 The label table names one toxicity category and whether a text is junk; the registered chain is
@@ -106,12 +107,13 @@ def _scaled(style: np.ndarray, scale: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     return (style - scale[0]) / scale[1] / np.sqrt(WIDTH)
 
 
-def fit_chain(rows: list[tuple[np.ndarray, np.ndarray]], style: np.ndarray, y: np.ndarray, importance: np.ndarray):
+def fit_chain(rows: list[tuple[np.ndarray, np.ndarray]], style: np.ndarray, y: np.ndarray, importance: np.ndarray,
+              fold: np.ndarray):
     """Scale of the style columns and one model per column of ``y``; the earlier categories'
-    log odds are out of fold."""
+    log odds are out of ``fold``."""
     std = style.std(axis=0)
     scale = style.mean(axis=0), np.where(std > 1e-9, std, 1.0)
-    extra, models, fold = _scaled(style, scale), [], np.arange(len(rows)) % FOLDS
+    extra, models = _scaled(style, scale), []
     every = Rows(rows)
     for k in range(y.shape[1]):
         models.append(fit_linear(every, extra, y[:, k], importance))
@@ -160,10 +162,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]):
             got = [word_shares(t) for t in texts]
             blobs = ([c.tobytes() for c, _ in got], [v.astype(np.float32).tobytes() for _, v in got],
                      [_style(t).tobytes() for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(b, pa.binary()) for b in blobs]],
-                                             ["doc_id", "kind", "c", "v", "style"])
+            folds = [crc32(t or b"") % FOLDS for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(b, pa.binary()) for b in blobs], pa.array(folds, pa.int32())],
+                                             ["doc_id", "kind", "c", "v", "style", "fold"])
 
-    got = rows.mapInArrow(run, "doc_id long, kind string, c binary, v binary, style binary").toPandas().sort_values(["doc_id", "kind"])
+    got = rows.mapInArrow(run, "doc_id long, kind string, c binary, v binary, style binary, fold int").toPandas().sort_values(["doc_id", "kind"])
     if got.empty:
         return None
     kinds = got["kind"].to_numpy()
@@ -172,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]):
     pairs = [(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32).astype(float)) for c, v in zip(got["c"], got["v"])]
     common = np.bincount(np.concatenate([c for c, _ in pairs]), minlength=BUCKETS) >= min(LEAST_DOCS, len(pairs) // 20 + 1)
     style = np.array([np.frombuffer(b, float) for b in got["style"]])
-    return fit_chain([(c[common[c]], v[common[c]]) for c, v in pairs], style, y, importance)
+    return fit_chain([(c[common[c]], v[common[c]]) for c, v in pairs], style, y, importance, got["fold"].to_numpy())
 
 
 def score(docs: DataFrame, models, names: list[str]) -> DataFrame:
