@@ -4,7 +4,9 @@
 every record, ``payloads`` holds each distinct payload once under its SHA-256. Of the records
 with equal payloads the one with the largest id is the ``response``, the others are
 ``revisit`` records that refer to it. ``read_archive`` verifies every stored payload against
-its key and joins it back to the headers; ``record_bytes`` gives the original record.
+its key and joins it back to the headers; ``record_bytes`` gives the original record: header, block
+and two line ends. The block of a response is the HTTP header and the payload, that of a
+revisit the HTTP header alone; what it was a visit of is the payload it refers to.
 
 Only digests are shuffled to find equal payloads; payload bytes move once, after copies are
 removed on the map side. All copies of a payload meet the payload again in a join whose hot
@@ -111,22 +113,30 @@ def header_field(name: str) -> Column:
     return F.nullif(F.regexp_extract("header", rf"\r\n{name}: ([^\r]*)\r\n", 1), F.lit(""))
 
 
+def _is_response() -> Column:
+    return header_field("WARC-Type") == "response"
+
+
 def record_bytes(records: DataFrame) -> DataFrame:
-    """The original records: header, HTTP header, payload (a revisit keeps its own header)."""
+    """The original records as they stand in a WARC file."""
+    payload = F.when(_is_response(), F.col("payload")).otherwise(F.lit(b""))
     return records.withColumn("record", F.concat(F.col("header").cast("binary"), F.col("http").cast("binary"),
-                                                 F.col("payload")))
+                                                 payload, F.lit(CRLF + CRLF).cast("binary")))
 
 
 def page_digests(records: DataFrame) -> DataFrame:
-    """What the rebuilt records say about each page, from the bytes of the record itself."""
+    """What the rebuilt records say about each page: a response from its own bytes, cut by its
+    Content-Length, a revisit from the payload it refers to."""
     r = record_bytes(records)
-    body = F.expr("substring(record, octet_length(header) + octet_length(http) + 1)")
+    block = header_field("Content-Length").cast("int")
+    held = F.when(_is_response(), F.substring(F.col("record"), F.octet_length("header") + F.octet_length("http") + 1,
+                                              block - F.octet_length("http"))).otherwise(F.col("payload"))
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)", 1)
     number = lambda c: F.nullif(page(c), F.lit("")).cast("long")
-    r = r.select("header", body.alias("body")).withColumn("digest", base32_sha1(F.col("body")))
+    r = r.select("header", held.alias("held")).withColumn("digest", base32_sha1(F.col("held")))
     digest = F.when(F.col("digest") == F.regexp_extract("header", r"sha1:([A-Z2-7]{32})\r\n", 1), F.col("digest")) \
         .otherwise(F.raise_error(F.lit("a record does not match its payload digest")))
     return r.select(number(header_field("WARC-Record-ID")).alias("page_id"),
-                    F.octet_length("body").cast("long").alias("payload_bytes"),
+                    F.octet_length("held").cast("long").alias("payload_bytes"),
                     digest.alias("payload_digest"), header_field("WARC-Type").alias("record_type"),
                     number(header_field("WARC-Refers-To")).alias("refers_to"))
