@@ -256,12 +256,22 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Pipeline stage: one row of each group stays, that with the smallest id (of rows that
-    share it, that with the smallest text hash). Rows without id stay only where their whole
-    group has none."""
-    firsts = (classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-              .groupBy("root", "doc_id").agg(F.min("text_hash").alias("__first"))
-              .select(F.col("doc_id").alias("__id"), "__first"))
-    rows = docs.withColumn("__hash", F.xxhash64("text"))
-    kept = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__first")),
-                     "left_semi")
-    return kept.dropDuplicates(["doc_id", "__hash"]).select(docs.columns)
+    share it, that with the smallest text hash, and of rows that share that too the least by all
+    columns). Rows without id stay only where their whole group has none.
+
+    Only ids and hashes are grouped. The rows that go are taken out by an anti-join, and full rows
+    are grouped only where id and text repeat."""
+    rows = classes(docs).groupBy("root", "component_id", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    rows = stored(rows, "group-rows")
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    firsts = rows.where(own).groupBy("root").agg(F.min("text_hash").alias("first"))
+    stays = own & (F.col("text_hash") == F.col("first"))
+    fate = rows.join(firsts, "root").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), stays.alias("stays"), "n")
+    hashed = docs.withColumn("__h", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash"))
+    changed = fate.where(~F.col("stays") | (F.col("n") > 1))
+    alone = hashed.join(changed, same, "left_anti").select(docs.columns)
+    whole = F.struct(*docs.columns)
+    repeated = (hashed.join(fate.where(F.col("stays") & (F.col("n") > 1)), same, "left_semi").groupBy("doc_id", "__h")
+                .agg(F.min_by(whole, F.to_json(whole)).alias("__row")).select("__row.*"))
+    return alone.unionByName(repeated)
