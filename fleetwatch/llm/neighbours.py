@@ -7,7 +7,8 @@
 * Every vector goes to its nearest list and, if it lies near a boundary, to up to ``REPLICAS``
   lists whose distance is within ``BOUNDARY`` of the nearest.
 * A query visits the lists within ``PRUNE`` of its nearest centroid's distance, at least
-  ``MIN_LISTS`` and at most 1/``SHARE`` of all, and more where these hold too few vectors.
+  ``MIN_LISTS`` and at most 1/``SHARE`` of all, and more where these hold too few vectors. Both
+  bounds are arguments; without them all lists are visited and the result is exact.
 * Lists are stored as parts of ``PART`` vectors and queries as blocks of ``QUERIES``, joined by
   list and scored by matrix product, so a list with a third of all vectors is many rows.
 
@@ -177,9 +178,12 @@ def _best(ids: np.ndarray, v: np.ndarray, who: np.ndarray, q: np.ndarray, k: int
     return _top(who[i], ids[j], score, k)
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
+           prune: float | None = PRUNE, share: int | None = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows where ``queries`` holds, the k nearest of
-    all other rows that were found."""
+    all other rows that were found. ``prune`` bounds the distance ratio of the lists visited and
+    ``share`` their part of all lists; None lifts a bound, and without both every list is
+    visited and the answer is exact."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"),
                           F.coalesce(queries, F.lit(False)).alias("asked")).where(F.col("id").isNotNull() & usable(F.col("v")))
@@ -212,10 +216,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     def visits(x):
         c, graph, _ = shared.value
         q = np.concatenate([x, np.zeros((len(x), 1))], 1)
-        most = min(len(c), max(MIN_LISTS, len(c) // SHARE))
+        if prune is None and share is None:
+            return np.repeat(np.arange(len(q)), len(c)), np.tile(np.arange(len(c)), len(q))
+        most = len(c) if share is None else min(len(c), max(MIN_LISTS, len(c) // share))
         ids, d = walk(q, c, graph, most + most // 2)
         ids, d = ids[:, :most], d[:, :most]
-        take = (d <= d[:, :1] * (1 + PRUNE)) | (np.arange(ids.shape[1]) < MIN_LISTS)
+        near = np.ones(d.shape, bool) if prune is None else d <= d[:, :1] * (1 + prune)
+        take = near | (np.arange(ids.shape[1]) < MIN_LISTS)
         who, at = np.nonzero(take)
         out = ids[who, at]
         for i in np.flatnonzero((counts[ids] * take).sum(axis=1) < need):  # too few vectors: go on in distance order
