@@ -5,16 +5,19 @@ every term of the segment, its gap-coded positions. A document lies whole in one
 documents are one position apart, so no match runs over a document's end. Segments are dealt
 by documents, not by terms: a frequent term is a list in every segment and never one group.
 
-``phrase_matches`` takes a query set in blocks of ``BLOCK`` distinct windows (so what is sent to
-the executors is bounded) and searches all segments for each block: in a segment the offset-
-adjusted lists of a window's terms are intersected from the rarest term on. ``proximity_matches``
+``phrase_matches`` searches all segments in one pass for up to ``BLOCK`` distinct windows (what is
+sent to the executors, word numbers and the vocabulary, is bounded by that; a larger query set takes a
+pass per block): in a segment the offset-adjusted lists of a window's terms are intersected from
+the rarest term on. It names windows by number; which items hold a window is joined to the few
+matches afterwards, so a window that a third of the items share is one number. ``proximity_matches``
 finds the places where all terms of a query lie within ``slop`` positions, again around the
 rarest term.
 
 Defined cases: a null text has no words; an item without words has no window, one of fewer
-than ``window`` words is one window; repeated items, documents and windows count once per item
-and document row; an empty index or query set gives no match and documents of zero words stay
-in the report; null ids are kept as null.
+than ``window`` words is one window; item ids may be of any type and count as strings; repeated items,
+documents and windows count once per item and document row; an empty index or query set gives no match and
+documents of zero words stay in the report; null ids are kept as null, and all items without
+id count as one.
 """
 
 from __future__ import annotations
@@ -33,13 +36,13 @@ from .common import sha256_hex, stored
 
 WINDOW = 13
 SEGMENT = 400_000
-BLOCK = 20_000
+BLOCK = 200_000
 # delimiters become spaces, A-Z become a-z, all other bytes stay
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
              for b in range(256))
 INDEX_SCHEMA = ("segment long, doc_ids array<long>, text_hashes array<long>, doc_starts binary, n_words binary,"
                 " terms binary, term_starts binary, gaps binary")
-MATCH_SCHEMA = "segment long, ord int, matches array<struct<item_id: long, start: int, stop: int>>"
+MATCH_SCHEMA = "segment long, ord int, matches array<struct<query: long, start: int, stop: int>>"
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -103,23 +106,24 @@ def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
 def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
-            for item, text in zip(*(c.to_pylist() for c in batch.columns)):
+            rows, out = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 own = words(text)
-                for phrase in {b" ".join(own[i:i + length]) for i in range(max(1, len(own) - length + 1))} if own else ():
-                    ids.append(item)
+                for phrase in {b" ".join(own[k:k + length]) for k in range(max(1, len(own) - length + 1))} if own else ():
+                    rows.append(i)
                     out.append(phrase)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())],
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out, pa.binary())],
                                              ["item_id", "phrase"])
     return run
 
 
-def item_windows(items: DataFrame, length: int = WINDOW) -> DataFrame:
-    """(phrase, items): each distinct window with the items that hold it, as structs, since
-    collect_list would drop a null id."""
-    rows = items.select("item_id", F.col("text").cast("binary").alias("text"))
-    return (rows.mapInArrow(_windows(length), "item_id long, phrase binary").distinct()
-            .groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("item_id"))).alias("items")))
+def item_windows(items: DataFrame, length: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(query, phrase) of each distinct window, and (query, item_id) for the items that hold it."""
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    pairs = stored(rows.mapInArrow(_windows(length), "item_id string, phrase binary").distinct(), "item-windows")
+    # a number is given once, when the table is written
+    windows = stored(pairs.select("phrase").distinct().select(F.monotonically_increasing_id().alias("query"), "phrase"), "windows")
+    return windows, pairs.join(windows, "phrase").select("query", "item_id")
 
 
 class _Postings:
@@ -177,16 +181,16 @@ class _Postings:
 
 
 def _grouped_matches(segment: int, doc_starts: np.ndarray, found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    """Matches per document, the overlapping ones of an item merged into runs."""
+    """Matches per document, the overlapping ones of a query merged into runs."""
     per: dict[int, list[dict]] = defaultdict(list)
-    for item, start, stop in sorted(found, key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2])):
+    for query, start, stop in sorted(found):
         k = int(np.searchsorted(doc_starts, start, "right")) - 1
         runs, a, b = per[k], start - int(doc_starts[k]), stop - int(doc_starts[k])
-        if runs and runs[-1]["item_id"] == item and a <= runs[-1]["stop"]:
+        if runs and runs[-1]["query"] == query and a <= runs[-1]["stop"]:
             runs[-1]["stop"] = max(b, runs[-1]["stop"])
         else:
-            runs.append({"item_id": item, "start": a, "stop": b})
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
+            runs.append({"query": query, "start": a, "stop": b})
+    kind = pa.list_(pa.struct([("query", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
     return pa.RecordBatch.from_arrays(
         [pa.array([segment] * len(per), pa.int64()), pa.array(list(per), pa.int32()), pa.array(list(per.values()), kind)],
         ["segment", "ord", "matches"])
@@ -203,28 +207,27 @@ def _searched(index: DataFrame, search) -> DataFrame:
 
 
 def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """(segment, ord, matches): the places of all phrases of ``windows`` (phrase, items)."""
+    """(segment, ord, matches): the places of all phrases of ``windows`` (query, phrase)."""
     spark = index.sparkSession
-    windows = stored(windows, "windows")
     blocks = max(1, -(-windows.count() // BLOCK))
     out = None
     for b in range(blocks):
-        rows = windows.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b).collect()
+        rows = windows.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b).toPandas()
         vocabulary: dict[bytes, int] = {}
-        phrases = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in bytes(r["phrase"]).split(b" ")])
-                   for r in rows]
-        shared = spark.sparkContext.broadcast((vocabulary, phrases, [[i["item_id"] for i in r["items"]] for r in rows]))
+        terms = [[vocabulary.setdefault(w, len(vocabulary)) for w in bytes(p).split(b" ")] for p in rows["phrase"]]
+        sizes = np.array([len(t) for t in terms], np.int64)
+        flat = np.fromiter((w for t in terms for w in t), np.int32, int(sizes.sum()))
+        shared = spark.sparkContext.broadcast((vocabulary, flat, np.cumsum(sizes) - sizes, sizes, rows["query"].to_numpy(np.int64)))
 
         def search(lists, shared=shared):
-            vocabulary, phrases, items = shared.value
+            vocabulary, flat, starts, sizes, queries = shared.value
             seg, found = _Postings(*lists, vocabulary), []
-            if not phrases:
+            if not len(sizes):
                 return found
-            sizes = np.array([len(p) for p in phrases])
-            absent = np.add.reduceat((seg.local[np.concatenate(phrases)] < 0).astype(int), np.cumsum(sizes) - sizes)
-            for j in np.flatnonzero(absent == 0):
-                for start in seg.phrase(phrases[j]).tolist():
-                    found += [(item, start, start + len(phrases[j])) for item in items[j]]
+            absent = np.add.reduceat((seg.local[flat] < 0).astype(np.int32), starts)
+            for j in np.flatnonzero(absent == 0).tolist():
+                n = int(sizes[j])
+                found += [(int(queries[j]), at, at + n) for at in seg.phrase(flat[starts[j]:starts[j] + n]).tolist()]
             return found
 
         part = _searched(index, search)
@@ -278,16 +281,19 @@ def covered(matches: str) -> Column:
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, text_hash,
-    item_ids."""
+    item_ids (strings)."""
     index = build_index(docs)
-    found = phrase_matches(index, item_windows(items))
-    rows = documents_of(index).join(found, ["segment", "ord"], "left")
-    ids = F.array_distinct(F.transform("matches", lambda m: m["item_id"]))
-    rows = (rows.withColumn("n_hit", F.coalesce(covered("matches"), F.lit(0).cast("long")))
-            .withColumn("item_ids", F.coalesce(ids, F.array().cast("array<bigint>"))))
-    listed = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
+    windows, holders = item_windows(items)
+    found = stored(phrase_matches(index, windows), "matches")
+    named = (found.select("segment", "ord", F.explode(F.array_distinct(F.transform("matches", lambda m: m["query"]))).alias("query"))
+             .join(holders, "query").select("segment", "ord", "item_id").distinct()
+             # structs, since collect_list would drop a null id
+             .groupBy("segment", "ord").agg(F.sort_array(F.collect_list(F.struct("item_id"))).alias("named")))
+    rows = documents_of(index).join(found, ["segment", "ord"], "left").join(named, ["segment", "ord"], "left")
+    ids = F.coalesce(F.transform("named", lambda i: i["item_id"]), F.array().cast("array<string>"))
+    rows = rows.withColumn("n_hit", F.coalesce(covered("matches"), F.lit(0).cast("long"))).withColumn("item_ids", ids)
     return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
-                       sha256_hex(listed).alias("items_sha256"),
+                       sha256_hex(F.array_join("item_ids", ",")).alias("items_sha256"),
                        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
                        "text_hash", "item_ids")
 
