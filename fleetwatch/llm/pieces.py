@@ -1,20 +1,22 @@
 """Operator 3: SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-A model file is compiled once into a transducer: one arc per piece and a byte-fallback arc for
-every other character. The normaliser (space squeezing, dummy prefix, white-space marks) is not
-compiled into it; it runs as a string step before. Composing the transducer with an input gives a lattice of positions; the best path in the tropical semiring (min, +) is the
-encoding.
+A model file is compiled once into three machines. The normaliser is a transducer of three
+states (nothing written yet, in a text, space pending), whose arcs squeeze spaces, write the dummy
+prefix and the white-space marks. The piece machine has one arc per piece, and a byte-fallback arc
+leads over every other character. Composing them with an input gives a lattice of positions; the best
+path in the tropical semiring (min, +) is the encoding, found by one search for both kinds of model.
 
 * Unigram models weigh an arc with the piece's negative log probability; a state is a position.
-* BPE models admit an arc only if it is compatible with the piece before it: their pair must be
-  what merging their joined text gives. A segmentation is what the merges give for the whole
+* BPE models weigh an arc 0 or infinity: 0 if it is compatible with the piece before it, whose pair must
+  be what merging their joined text gives. A segmentation is what the merges give for the whole
   text exactly if all its neighbours are compatible, because the first merge across a border
-  would also be the first for that pair alone. So a state is (position, last piece), all
-  admitted arcs weigh nothing, and the one admitted path is the merge result.
+  would also be the first for that pair alone. So every position has one last piece that is reached at
+  finite weight, the state is (position, that piece), and the path of weight 0 is the merge result.
 
 No piece has a white-space mark behind another character (checked when compiling; else a text
-is one chunk), so the transducer is composed with one chunk of marks and word at a time, and
-the paths of recent short chunks are kept up to ``CACHE`` entries.
+is one chunk), so the machines are composed with one chunk of spaces and word at a time: the first
+from the normaliser's first state, all others from its second, in which every word ends. The paths of
+recent short chunks are kept up to ``CACHE`` entries.
 
 Defined cases: a null text has no tokens and decodes to null, an empty one to empty; malformed
 UTF-8 is read as U+FFFD; a literal mark character decodes as a space; repeated rows are encoded
@@ -43,6 +45,7 @@ ROWS = 256
 # fixed values of the model format: piece kinds and model types
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+INFINITE = float("inf")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -117,6 +120,39 @@ class _Paths(dict):
         return ids
 
 
+# states of the normaliser
+START, TEXT, GAP = 0, 1, 2
+RUNS = re.compile(" +|[^ ]+")
+
+
+class Normaliser:
+    """(state, whether the character is a space) -> (what is written before it, whether it is written
+    itself, the next state)."""
+
+    def __init__(self, m: Model) -> None:
+        self.mark = mark = MARK if m.escape else " "
+        first = mark if m.dummy_prefix else ""
+        self.arcs = {(START, False): (first, True, TEXT), (TEXT, False): ("", True, TEXT), (GAP, False): (mark, True, TEXT)}
+        if m.squeeze:
+            self.arcs |= {(START, True): ("", False, START), (TEXT, True): ("", False, GAP), (GAP, True): ("", False, GAP)}
+        else:
+            self.arcs |= {(START, True): (first + mark, False, TEXT), (TEXT, True): (mark, False, TEXT)}
+
+    def compose(self, chunk: str, state: int) -> str:
+        """What is written while reading a chunk from a state. In a run of other characters only
+        the first arc can leave the text state's loop, so the rest of the run is written as it is."""
+        arcs, out = self.arcs, []
+        for run in RUNS.findall(chunk):
+            if run[0] == " ":
+                for _ in run:
+                    before, _, state = arcs[state, True]
+                    out.append(before)
+            else:
+                before, _, state = arcs[state, False]
+                out += before, run
+        return "".join(out)
+
+
 @dataclass
 class Transducer:
     model: Model
@@ -132,20 +168,25 @@ class Transducer:
                 self.arcs.setdefault(p[:n], -1)
         self.arcs.update(own)
         self.states = self._states()
+        self.normaliser = Normaliser(m)
         self.cost = [-s for _, s, _ in m.pieces]
+        self.least = 0.0 if m.kind == BPE else min((self.cost[i] for i in own.values()), default=0.0)
         self.unknown_cost = max((c for c, p in zip(self.cost, m.pieces) if p[2] == NORMAL), default=0.0) + 10
         self.user = sorted((p for p, _, k in m.pieces if k == USER), key=len, reverse=True)
         joint = {c for p in own if len(p) > 1 for c in p}
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joint)
-        if any(MARK in p.lstrip(MARK) for p in own):
-            rest = r"(?s:.+)"
-        else:
-            rest = rf"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (rf"|[{alone}]" if alone else "")
+        self.whole = bool(self.user) or not m.escape or any(MARK in p.lstrip(MARK) for p in own)
+        single = rf"|[{alone}]" if alone else ""
+        # spaces go with what follows them; only the end of a text is spaces alone
+        self.chunks = re.compile(r"(?s:.+)" if self.whole else rf"[ {MARK}]*(?:[^ {MARK}{alone}]+{single})|[ {MARK}]+")
+        inside = any(MARK in p.lstrip(MARK) for p in own)
+        self.parts = re.compile(r"(?s:.+)" if inside else rf"{MARK}*[^{MARK}{alone}]+|{MARK}+" + single)
         self.users = re.compile("(" + "|".join(map(re.escape, self.user)) + ")") if self.user else None
-        self.chunks = re.compile(rest)
         self.surface = [self._surface(p, k) for p, _, k in m.pieces]
-        self.pairs: dict[int, bool] = {}
-        self.paths = _Paths(self.shortest_path)
+        self.pairs: dict[int, float] = {}
+        self.paths = _Paths(lambda chunk: self.shortest_path(self.normaliser.compose(chunk, TEXT)))
+        self.opening = _Paths(lambda chunk: self.shortest_path(self.normaliser.compose(chunk, START)))
+        self.written = _Paths(self.shortest_path)
 
     def _states(self) -> dict:
         """The piece transducer as nested states: character -> (piece or -1, state after it)."""
@@ -163,24 +204,12 @@ class Transducer:
             return " ⁇ ".encode()
         return b"" if kind == CONTROL else piece.replace(MARK, " ").encode()
 
-    def normalise(self, text: str) -> str:
-        m = self.model
-        if m.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        if m.dummy_prefix:
-            text = " " + text
-        return text.replace(" ", MARK) if m.escape else text
-
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether merging the joined text of two pieces gives these two pieces."""
-        known = self.pairs.get(key := a << 24 | b)
-        if known is None:
-            if len(self.pairs) >= 4 * CACHE:
-                self.pairs.clear()
-            known = self.pairs[key] = self._stays(self.model.pieces[a][0], self.model.pieces[b][0])
-        return known
+    def pair_weight(self, a: int, b: int) -> float:
+        """0 if merging the joined text of two pieces gives these two pieces, else infinity."""
+        if len(self.pairs) >= 4 * CACHE:
+            self.pairs.clear()
+        weight = self.pairs[a << 24 | b] = 0.0 if self._stays(self.model.pieces[a][0], self.model.pieces[b][0]) else INFINITE
+        return weight
 
     def _stays(self, left: str, right: str) -> bool:
         """Merges best pair first (ties: leftmost) until a merge crosses the border."""
@@ -203,76 +232,55 @@ class Transducer:
             if at < len(gain):
                 gain[at] = arcs.get(parts[at] + parts[at + 1], -1)
 
-    def shortest_path(self, chunk: str) -> list[int]:
-        """Tropical shortest path through the transducer composed with ``chunk``."""
-        return self._weighed(chunk) if self.model.kind == UNIGRAM else self._admitted(chunk)
-
-    def _admitted(self, chunk: str) -> list[int]:
-        """BPE: all admitted arcs weigh nothing and each position has one admitted last piece,
-        so the first way to reach it is the best."""
-        states, pair, compatible, n = self.states, self.pairs.get, self.compatible, len(chunk)
-        last, came = [None] * (n + 1), [0] * (n + 1)
-        last[0] = -1
+    def shortest_path(self, written: str) -> list[int]:
+        """Tropical shortest path over the positions of a written chunk: (min, +) relaxation of
+        every arc that leaves a position reached at finite weight, positions in order."""
+        states, arcs, cost, pairs, least, n = self.states, self.arcs, self.cost, self.pairs.get, self.least, len(written)
+        bpe = self.model.kind == BPE
+        other = 0.0 if bpe else self.unknown_cost
+        weight, last, came = [INFINITE] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        weight[0] = 0.0
         for i in range(n):
-            before = last[i]
-            if before is None:
+            here, before = weight[i], last[i]
+            if here == INFINITE or 0 <= least and weight[n] <= here:  # not reached, or nothing to gain
                 continue
             after, stop = states, i
-            for c in chunk[i:]:
+            for c in written[i:]:
                 arc = after.get(c)
                 if arc is None:
                     break
                 piece, after = arc
                 stop += 1
-                if piece >= 0 and last[stop] is None:
-                    ok = before < 0 or pair(before << 24 | piece)
-                    if ok is None:
-                        ok = compatible(before, piece)
-                    if ok:
-                        last[stop], came[stop] = piece, i
-            if last[i + 1] is None and self.arcs.get(chunk[i], -1) < 0:  # no piece is this character
-                last[i + 1], came[i + 1] = -1, i
+                if piece >= 0 and here + least < weight[stop]:
+                    w = (0.0 if before < 0 else pairs(before << 24 | piece)) if bpe else cost[piece]
+                    if w is None:
+                        w = self.pair_weight(before, piece)
+                    if here + w < weight[stop]:
+                        weight[stop], last[stop], came[stop] = here + w, piece, i
+            # the byte-fallback arc leads over a character that is no piece
+            if here + other < weight[i + 1] and arcs.get(written[i], -1) < 0:
+                weight[i + 1], last[i + 1], came[i + 1] = here + other, -1, i
         out, at = [], n
         while at > 0:
-            out.append([last[at]] if last[at] >= 0 else self._fallback(chunk[at - 1]))
+            out.append([last[at]] if last[at] >= 0 else self._fallback(written[at - 1]))
             at = came[at]
         return [x for part in reversed(out) for x in part]
 
     def _fallback(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode("utf-8", "replace")] if self.model.byte_fallback else [self.unknown]
 
-    def _weighed(self, chunk: str) -> list[int]:
-        arcs, n = self.arcs, len(chunk)
-        # per position: (weight, piece or -1 for a character without piece, start)
-        best: list[tuple[float, int, int] | None] = [None] * (n + 1)
-        best[0] = (0.0, -1, 0)
-        for i in range(n):
-            weight = best[i][0]
-            for stop in range(i + 1, n + 1):
-                piece = arcs.get(chunk[i:stop])
-                if piece is None:
-                    break
-                if piece >= 0 and (best[stop] is None or weight + self.cost[piece] < best[stop][0]):
-                    best[stop] = (weight + self.cost[piece], piece, i)
-            if arcs.get(chunk[i], -1) < 0 and (best[i + 1] is None or weight + self.unknown_cost < best[i + 1][0]):
-                best[i + 1] = (weight + self.unknown_cost, -1, i)
-        out, at = [], n
-        while at > 0:
-            _, piece, start = best[at]
-            out.append([piece] if piece >= 0 else self._fallback(chunk[start]))
-            at = start
-        return [x for part in reversed(out) for x in part]
-
     def encode(self, text: str) -> np.ndarray:
-        text = self.normalise(text)
-        parts = self.users.split(text) if self.users else [text]
-        found = [self.arcs[p] if k % 2 else p for k, p in enumerate(parts)]
-        blobs = []
-        for p in found:
-            if isinstance(p, int):
-                blobs.append(array("i", [p]).tobytes())
-            else:
-                blobs += map(self.paths.__getitem__, self.chunks.findall(p))
+        if self.whole:
+            text = self.normaliser.compose(text, START)
+            blobs = []
+            for k, p in enumerate(self.users.split(text) if self.users else [text]):
+                if k % 2:
+                    blobs.append(array("i", [self.arcs[p]]).tobytes())
+                else:
+                    blobs += map(self.written.__getitem__, self.parts.findall(p))
+        else:
+            found = self.chunks.findall(text)
+            blobs = [self.opening[found[0]], *map(self.paths.__getitem__, found[1:])] if found else []
         ids = np.frombuffer(b"".join(blobs), np.int32)
         if not self.model.byte_fallback:  # a run of unknown characters is one token
             ids = ids[(ids != self.unknown) | (np.diff(ids, prepend=-1) != 0)]

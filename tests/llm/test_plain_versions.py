@@ -268,6 +268,32 @@ def test_repeated_rows_keep_the_least(spark):
         assert simhash.keep_one(given).columns == table.columns
 
 
+@pytest.mark.parametrize("dummy, squeeze, escape", [(d, q, e) for d in (0, 1) for q in (0, 1) for e in (0, 1)])
+def test_normaliser_states_equal_a_string_step(dummy, squeeze, escape):
+    model = pieces.Model([("<unk>", 0.0, 2)], dummy_prefix=bool(dummy), squeeze=bool(squeeze), escape=bool(escape))
+    states = pieces.Normaliser(model)
+    for text in ("", " ", "   ", "a", " a", "a ", "  a  b c   ", "▁a ▁ b", " ▁", "▁  ▁x", "a\n b\t c", "a▁b", "  12 3 "):
+        want = re.sub(" +", " ", text).strip(" ") if squeeze else text
+        want = (" " if dummy and want else "") + want
+        assert states.compose(text, pieces.START) == (want.replace(" ", "▁") if escape else want), repr(text)
+
+
+def test_chunks_give_the_path_of_the_whole_text(spark):
+    """Composing chunk by chunk is composing the whole text, for both kinds of model."""
+    t = pieces.load()
+    toy = [("<unk>", 0.0, 2)] + [(p, -1.0 - k / 7, 1) for k, p in enumerate(["a", "b", "▁", "ab", "▁a", "▁ab", "ba", "▁▁", "5"])]
+    unigram = pieces.Transducer(pieces.Model(toy))
+    texts = [r["text"][:300] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(40).collect()]
+    texts += ["  ab  5 ▁ab a5b ", "5", " ", "▁", "5 5", "ab  ", "\n\n 5 x", "aab▁ ▁5 bab"]
+    for text in texts:
+        for machine in (t, unigram):
+            whole = machine.shortest_path(machine.normaliser.compose(text, pieces.START))
+            ids = machine.encode(text).tolist()
+            if not machine.model.byte_fallback:
+                whole = [x for k, x in enumerate(whole) if x != machine.unknown or k == 0 or whole[k - 1] != x]
+            assert ids == whole, text
+
+
 def test_pipeline_equals_plain_stages(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     rows = [(i, t, lang) for i, t, lang in mixed_rows(spark) if i is not None][:-2]
