@@ -36,6 +36,9 @@ from .common import sha256_hex, stored
 
 BLOCK = 64
 SHORT = 16
+# ids of documents with candidate lines (16 bytes each) go to the tasks up to this checked number;
+# beyond it a shuffle join fetches their text, with the same result
+BROADCAST_ROWS = 500_000
 
 HALVES = ("first_low", "last_low", "first_high", "last_high")
 
@@ -81,6 +84,8 @@ def _with_text(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Adds the text of lines known by their place."""
     wanted = stored(lines, "line-candidates")
     sources = wanted.select(F.col("place.doc_id").alias("d"), F.col("place.th").alias("h")).distinct()
+    if sources.count() <= BROADCAST_ROWS:
+        sources = F.broadcast(sources)
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     rows = rows.join(sources, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left_semi")
     rows = rows.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
