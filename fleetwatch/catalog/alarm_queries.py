@@ -200,12 +200,12 @@ cte("sug_task_window", ["alarms", "tasks"], """
   WHERE a.signal IN ('error.new_class_seen', 'error.rate>0.20', 'cost.daily>2x_ewma')""")
 cte("sug_steps", ["sug_window", "sug_task_window"], """
   SELECT alarm_id, 'repeated call ' || arg_max(tool_name, ts) || ' (last at ' || strftime(max(ts), '%Y-%m-%d %H:%M:%S') || ')' AS step,
-         0.90 AS conf, '3-identical-call loop breaker fired on this tool' AS why
+         0.90 AS conf, 'this tool was called three times in a row with equal arguments' AS why
   FROM sug_window WHERE signal = 'loop>=2' AND event_type = 'tool_call' GROUP BY 1
   UNION ALL
   SELECT f.alarm_id, f.error_class || ' on ' || f.task_id || ' (' || strftime(f.ts, '%Y-%m-%d %H:%M:%S') || ')', 0.75,
-         'first error ''' || f.error_class || ''' on task ' || f.task_id
-         || coalesce('; same-session partner: ' || o.partner, '')
+         'earliest error ' || f.error_class || ' in task ' || f.task_id
+         || coalesce(', in one session with ' || o.partner, '')
   FROM (SELECT * FROM sug_task_window WHERE signal LIKE 'error.%' AND status = 'error'
         QUALIFY row_number() OVER (PARTITION BY alarm_id ORDER BY ts, event_id) = 1) f
   LEFT JOIN (SELECT x.alarm_id, min(t.agent_id) AS partner
@@ -215,15 +215,15 @@ cte("sug_steps", ["sug_window", "sug_task_window"], """
   UNION ALL
   SELECT alarm_id, CASE WHEN signal LIKE 'permission%' THEN 'denied tool ''' ELSE 'pivot onto ''' END || tool_name || ''' (' || CAST(c AS VARCHAR) || 'x in 24h)',
          CASE WHEN signal LIKE 'permission%' THEN 0.80 ELSE 0.70 END,
-         CASE WHEN signal LIKE 'permission%' THEN 'highest deny count inside the alarm window'
-              ELSE 'JSD drift alarm; dominant 24h tool differs from 7d prior' END
+         CASE WHEN signal LIKE 'permission%' THEN 'this tool was denied more often than any other before the alarm'
+              ELSE 'this tool was called most often before the mix of tools shifted' END
   FROM (SELECT alarm_id, signal, tool_name, count(*) AS c FROM sug_window
         WHERE (signal LIKE 'permission%' AND event_type = 'permission_decision' AND decision = 'deny')
            OR (signal LIKE 'drift%' AND event_type = 'tool_call') GROUP BY 1, 2, 3
         QUALIFY row_number() OVER (PARTITION BY alarm_id ORDER BY c DESC, tool_name) = 1)
   UNION ALL
   SELECT alarm_id, 'task ' || task_id || ' on ' || model_name || ' ($' || format('{:.2f}', CAST(cost_usd AS DOUBLE)) || ')', 0.65,
-         'largest single-task cost in the alarm day'
+         'no other task before the alarm cost as much'
   FROM (SELECT * FROM sug_task_window WHERE signal LIKE 'cost%'
         QUALIFY row_number() OVER (PARTITION BY alarm_id ORDER BY cost_usd DESC, event_id DESC) = 1)""")
 cte("suggestions", ["sug_steps", "tickets"], """
@@ -232,13 +232,13 @@ cte("suggestions", ["sug_steps", "tickets"], """
            CAST(CAST(round_even((epoch_us(a.created_at) - epoch_us(t.created_at)) / 3.6e9, 0) AS BIGINT) AS VARCHAR) || 'h, opened ' || strftime(t.created_at, '%Y-%m-%d %H:%M:%S') || ')'
          ELSE coalesce(step, 'insufficient trace') END AS suggested_step,
     CAST(CASE WHEN a.signal LIKE 'escalation%' THEN 0.60 ELSE coalesce(conf, 0.30) END AS DOUBLE) AS confidence,
-    CASE WHEN a.signal LIKE 'escalation%' THEN 'oldest open escalation in the fleet' WHEN step IS NOT NULL THEN why
-         WHEN a.signal = 'loop>=2' THEN 'loop breaker fired; no tool trace in window'
-         WHEN a.signal LIKE 'error.%' THEN 'error burst detected; no error rows in window'
-         WHEN a.signal LIKE 'permission%' THEN 'deny storm detected; no deny rows in window'
-         WHEN a.signal LIKE 'drift.tool%' THEN 'drift alarm; no tool calls in window'
-         WHEN a.signal LIKE 'cost%' THEN 'cost spike; no task rows in window'
-         ELSE 'signal ' || a.signal || ' has no dedicated ladder rung' END AS note
+    CASE WHEN a.signal LIKE 'escalation%' THEN 'no open ticket of the fleet has waited longer' WHEN step IS NOT NULL THEN why
+         WHEN a.signal = 'loop>=2' THEN 'a loop was found, but no tool call before the alarm'
+         WHEN a.signal LIKE 'error.%' THEN 'errors were counted, but none before the alarm'
+         WHEN a.signal LIKE 'permission%' THEN 'denials were counted, but none before the alarm'
+         WHEN a.signal LIKE 'drift.tool%' THEN 'the mix of tools shifted, but no call came before the alarm'
+         WHEN a.signal LIKE 'cost%' THEN 'costs rose, but no task came before the alarm'
+         ELSE 'no rule for the signal ' || a.signal END AS note
   FROM alarms a LEFT JOIN sug_steps s USING (alarm_id)
   CROSS JOIN (SELECT * FROM tickets WHERE status = 'open' ORDER BY created_at, escalation_id LIMIT 1) t""")
 

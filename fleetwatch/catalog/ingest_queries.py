@@ -10,6 +10,7 @@ from .. import adapters as A
 from ..functions.hashing import hmac_pads, hmac_sha256
 from ..functions.timeparse import ns_to_ts, parse_ts
 from ..operators import ingest, tiers
+from ..operators.commits import TableLog
 from ..session import work_dir
 from ..sources import observations, otlp, registry, signed
 from .base import cte, query, r6
@@ -323,6 +324,42 @@ def a17(spark, sf):
     return ingest.latest_copy(t.unionByName(newer)).select("event_id", "agent_id", "latency_ms")
 
 
+def _late_batches(spark, sf):
+    """The second half of the month, then the first half with a part of the second once more."""
+    t = A.task_events(spark, sf).select("event_id", "agent_id", "ts")
+    old = F.col("ts") < A.as_of("2024-01-15 00:00:00")
+    return t.where(~old), t.where(old | (F.dayofmonth("ts") == 20))
+
+
+@query("a12_landed_new", "SELECT event_id, agent_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date FROM tasks", ["tasks"])
+def a12_landed(spark, sf):
+    """Two batches that share a day, with a move to the warm table in between: each event once."""
+    log = TableLog(spark, work_dir(spark, "landed"))
+    for rows in _late_batches(spark, sf):
+        tiers.land_new(log, rows)
+        tiers.to_warm(log, date(2024, 1, 25))
+    one = lambda name: log.read(name, "event_id string, agent_id string, event_date date")
+    return one("hot").unionByName(one("warm")).select("event_id", "agent_id", F.col("event_date").cast("string").alias("event_date"))
+
+
+@query("a16_copied_folders", """
+SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 2 ELSE 1 END AS run FROM tasks""", ["tasks"])
+def a16_copied(spark, sf):
+    """Rows below the newest copied time are copied by the run after they came, and once."""
+    source, target = TableLog(spark, work_dir(spark, "copy-source")), TableLog(spark, work_dir(spark, "copy-target"))
+    t = A.task_events(spark, sf).select("event_id", "agent_id", "ts")
+    old, out = F.col("ts") < A.as_of("2024-01-15 00:00:00"), None
+    for run, rows in enumerate((t.where(~old), t.where(old)), 1):
+        tiers.land(source, rows)
+        before = target.snapshot().of("hot")
+        tiers.copy_new(source, target)
+        tiers.copy_new(source, target)  # nothing new
+        got = target.read("hot", "event_id string", [f for f in target.snapshot().of("hot") if f not in before])
+        got = got.select("event_id", F.lit(run).alias("run"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 @query("a18_hot_rows", f"SELECT event_id, ts FROM tasks WHERE ts >= {AS_OF_SQL} - INTERVAL 10 DAY", ["tasks"])
 def a18(spark, sf):
     return ingest.hot_rows(A.task_events(spark, sf), A.as_of(), 10).select("event_id", "ts")

@@ -1,9 +1,9 @@
 """Which agent and step most likely caused an alarm, and what operators said.
 
 Each rung needs "the first / last / biggest / most frequent event of the agent in the 24
-hours before the alarm". Events are reduced per agent and hour, minute and second; an alarm
-reads whole hours, minutes and seconds from these and raw rows only in the two seconds at its
-window's ends. No alarm is ever paired with all events of its agent or of a busy hour.
+hours before the alarm". Events are rolled up per agent: seconds from rows (one scan, stored),
+minutes from seconds, hours from minutes; an alarm reads whole hours, minutes and seconds from
+these and raw rows only in the two seconds at its window's ends. No alarm is ever paired with all events of its agent or of a busy hour.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import work_dir
 from .alarms import clock_text
 
 METHOD = "heuristic.v1"
@@ -23,22 +24,22 @@ LOOKBACK_H = 24
 _ERROR_SIGNALS = ["error.new_class_seen", "error.rate>0.20"]
 
 
-# fixed values: the texts of suggestions, which are stored with the alarm
+# what a suggestion rests on, by signal
 WHY = {
-    "loop>=2": "3-identical-call loop breaker fired on this tool",
-    "permission.deny>0.20": "highest deny count inside the alarm window",
-    "drift.tool_distribution>0.40": "JSD drift alarm; dominant 24h tool differs from 7d prior",
-    "cost.daily>2x_ewma": "largest single-task cost in the alarm day",
+    "loop>=2": "this tool was called three times in a row with equal arguments",
+    "permission.deny>0.20": "this tool was denied more often than any other before the alarm",
+    "drift.tool_distribution>0.40": "this tool was called most often before the mix of tools shifted",
+    "cost.daily>2x_ewma": "no other task before the alarm cost as much",
 }
-WHY_TICKET = "oldest open escalation in the fleet"
+WHY_TICKET = "no open ticket of the fleet has waited longer"
 MISSING = {
-    "loop>=2": "loop breaker fired; no tool trace in window",
-    "error.new_class_seen": "error burst detected; no error rows in window",
-    "error.rate>0.20": "error burst detected; no error rows in window",
-    "permission.deny>0.20": "deny storm detected; no deny rows in window",
-    "drift.tool_distribution>0.40": "drift alarm; no tool calls in window",
-    "cost.daily>2x_ewma": "cost spike; no task rows in window",
-    "escalation.age_max>24": "aging alarm; no open ticket found",
+    "loop>=2": "a loop was found, but no tool call before the alarm",
+    "error.new_class_seen": "errors were counted, but none before the alarm",
+    "error.rate>0.20": "errors were counted, but none before the alarm",
+    "permission.deny>0.20": "denials were counted, but none before the alarm",
+    "drift.tool_distribution>0.40": "the mix of tools shifted, but no call came before the alarm",
+    "cost.daily>2x_ewma": "costs rose, but no task came before the alarm",
+    "escalation.age_max>24": "a ticket was too old, but none is open",
 }
 NO_TRACE = "insufficient trace"
 
@@ -73,16 +74,26 @@ def _lookback(alarms: DataFrame, signals: list[str], rows: DataFrame, states: di
     for unit, above in ((60, 3600), (1, 60)):
         cuts[unit] = F.concat(_between(_div(f, unit) + 1, (_div(f, above) + 1) * (above // unit) - 1),
                               _between(_div(t, above) * (above // unit), _div(t, unit) - 1))
+    # the smallest level is built by the one full scan and stored; each larger one comes from the one below
+    levels = {1: _stored(rows.groupBy("agent_id", F.col("_s").alias("_at"), *by).agg(*folded))}
+    for unit, below in ((60, 1), (3600, 60)):
+        up = levels[below].withColumn("_at", _div(F.col("_at"), unit // below))
+        levels[unit] = up.groupBy("agent_id", "_at", *by).agg(*folded)
     ends = windows.select("alarm_id", "agent_id", "_from", "_to", F.explode(F.array_distinct(F.array(f, t))).alias("_s"))
     out = (ends.join(rows, ["agent_id", "_s"])
            .where((F.col("ts") >= F.col("_from")) & (F.col("ts") <= F.col("_to"))).select(*keep))
     for unit, cut in cuts.items():
         wanted = windows.select("alarm_id", "agent_id", F.explode(cut).alias("_at"))
-        whole = rows.groupBy("agent_id", _div(F.col("_s"), unit).alias("_at"), *by).agg(*folded)
-        out = out.unionByName(wanted.join(whole, ["agent_id", "_at"]).select(*keep))
+        out = out.unionByName(wanted.join(levels[unit], ["agent_id", "_at"]).select(*keep))
     return out.groupBy("alarm_id", *by).agg(*folded)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    path = work_dir(df.sparkSession, "rollup")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _clock(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
@@ -136,8 +147,8 @@ def suggest(alarms: DataFrame, tasks: DataFrame, guards: DataFrame,
     conf = (F.when(is_("loop>=2"), 0.90).when(is_(*_ERROR_SIGNALS), 0.75)
             .when(is_("permission.deny>0.20"), 0.80).when(is_("drift.tool_distribution>0.40"), 0.70)
             .when(is_("cost.daily>2x_ewma"), 0.65))
-    first_error = F.concat(F.lit("first error '"), label, F.lit("' on task "), F.col("first.task_id"),
-                           F.coalesce(F.concat(F.lit("; same-session partner: "), partner), F.lit("")))
+    first_error = F.concat(F.lit("earliest error "), label, F.lit(" in task "), F.col("first.task_id"),
+                           F.coalesce(F.concat(F.lit(", in one session with "), partner), F.lit("")))
     why = F.when(is_(*_ERROR_SIGNALS), first_error).otherwise(_by_signal(WHY))
     rows = rows.select("alarm_id", "agent_id", "signal", "created_at", step.alias("step"),
                        conf.alias("conf"), why.alias("why"))
@@ -151,7 +162,7 @@ def suggest(alarms: DataFrame, tasks: DataFrame, guards: DataFrame,
     ticket_step = F.concat(F.lit("open ticket "), F.col("_t.task_id"), F.lit(" ("),
                            age_h.cast("bigint").cast("string"), F.lit("h, opened "),
                            _clock(F.col("_t.created_at")), F.lit(")"))
-    missing = F.coalesce(_by_signal(MISSING), F.concat(F.lit("signal "), F.col("signal"), F.lit(" has no dedicated ladder rung")))
+    missing = F.coalesce(_by_signal(MISSING), F.concat(F.lit("no rule for the signal "), F.col("signal")))
     pick = lambda ticket, rung, otherwise: (
         F.when(has_ticket, ticket).when(F.col("step").isNotNull(), rung).otherwise(otherwise))
     return rows.select(

@@ -3,13 +3,14 @@ folders or the hot and warm tables of one commit log."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .commits import TableLog, partition_value
-from .ingest import by_day
+from .ingest import by_day, new_events
 from .sequences import range_bucket, rank_rows, time_bucket
 
 BLOCK = 1024
@@ -42,6 +43,30 @@ def land(log: TableLog, rows: DataFrame, files_per_day: int = 1, writer: str | N
     log.commit({"hot": log.stage("hot", by_day(rows, files_per_day), "event_date")}, writer=writer, batch=batch)
 
 
+def land_new(log: TableLog, incoming: DataFrame, files_per_day: int = 1, arrival: Sequence[str] = ("ts",)) -> None:
+    """A12 against the tables of the log: the first write of an event_id wins, within the batch and against
+    what is hot or warm. Only the days of the batch are looked at; the days prune the folders at run time."""
+    first = new_events(incoming, arrival=arrival).withColumn("event_date", F.to_date("ts"))
+    days = first.select("event_date").distinct()
+    now = log.snapshot()
+    for table in ("hot", "warm"):
+        held = log.read(table, "event_id string, event_date date", now.of(table)).join(days, "event_date", "left_semi")
+        first = first.join(held.select("event_date", "event_id"), ["event_date", "event_id"], "left_anti")
+    log.commit({"hot": log.stage("hot", by_day(first.drop("event_date"), files_per_day), "event_date")})
+
+
+def copy_new(source: TableLog, target: TableLog, table: str = "hot", files_per_day: int = 1) -> list[str]:
+    """Copies what came since the last copy, whatever its timestamps. A folder of the source never
+    changes, so the target marks the folders it holds, in the commit that adds their rows: late rows are
+    copied once, folders that were copied before are not read, and a run that is cut copies nothing."""
+    marks = f"copied-{table}"
+    new = sorted(set(source.snapshot().of(table)) - set(target.snapshot().of(marks)))
+    if new:
+        rows = source.read(table, folders=new).drop("event_date")
+        target.commit({table: target.stage(table, by_day(rows, files_per_day), "event_date"), marks: new})
+    return new
+
+
 def _old(folders: list[str], before: date) -> dict[str, date]:
     """The folders of days before ``before``. Rows without a day never grow old."""
     days = {f: partition_value(f, "event_date") for f in folders}

@@ -145,6 +145,30 @@ def test_expired_days_leave_without_being_read(spark, log):
     assert ids(log, "hot") == ["6a"] and log.purge() == 2
 
 
+def test_first_write_wins_against_hot_and_warm(spark, log):
+    tiers.land_new(log, rows(spark, "3a", "3a", "4a", "6a"))
+    tiers.to_warm(log, date(2024, 1, 5))
+    tiers.land_new(log, rows(spark, "3a", "3b", "6a", "6b", "7a"))
+    assert (ids(log, "warm"), ids(log, "hot")) == (["3a", "4a"], ["3b", "6a", "6b", "7a"])
+
+
+def test_late_rows_are_copied_once(spark, log, tmp_path, monkeypatch):
+    target = TableLog(spark, str(tmp_path / "copy"))
+    tiers.land(log, rows(spark, "6a", "6-"))
+    assert len(tiers.copy_new(log, target)) == 1 and tiers.copy_new(log, target) == []
+    tiers.land(log, rows(spark, "3a", "6b"))  # below and at the newest copied day
+    read = []
+    keep = TableLog.read
+    monkeypatch.setattr(TableLog, "read", lambda self, table, schema=None, folders=None: read.extend(folders or []) or keep(self, table, schema, folders))
+    with monkeypatch.context() as m:
+        m.setattr(TableLog, "commit", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            tiers.copy_new(log, target)
+    new = tiers.copy_new(log, target)
+    assert len(new) == 2 and set(read) == set(new)  # the first folder is not read again
+    assert ids(target, "hot") == ["3a", "6-", "6a", "6b"]
+
+
 def test_days_of_plain_folders_are_dropped(spark, tmp_path):
     path = str(tmp_path / "days")
     ingest.write_by_day(rows(spark, "3a", "4a", "6a"), path)
