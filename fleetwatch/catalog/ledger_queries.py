@@ -9,6 +9,7 @@ from .. import adapters as A
 from .. import schemas
 from ..functions.hashing import payload_digest
 from ..operators import archive, facts, ledger as led, privacy, reliability as rel
+from ..operators.commits import TableLog
 from ..plans import reports, views
 from ..session import work_dir
 from .base import cte, query
@@ -152,6 +153,25 @@ def e7_roots(spark, sf):
     return led.prefix_roots(ledger_of(spark, sf), _covers(spark, sf))
 
 
+def _node_log(spark, sf):
+    """The node table of the ledger, stored in two runs as the ledger grew."""
+    log = TableLog(spark, work_dir(spark, "merkle-nodes"))
+    for rows in (ledger_of(spark, sf).where(F.col("created_at") < A.as_of("2024-01-15 00:00:00")), ledger_of(spark, sf)):
+        led.extend_nodes(rows, log)
+    return log
+
+
+@query("e7_roots_from_nodes", "SELECT covers, h AS root FROM prefix_tree WHERE cnt = 1", ["prefix_tree"])
+def e7_nodes(spark, sf):
+    return led.prefix_roots(ledger_of(spark, sf), _covers(spark, sf), log=_node_log(spark, sf))
+
+
+@query("e6_seal_from_nodes", """
+SELECT h AS root_hash, (SELECT count(*) FROM ledger) AS covers_through_seq FROM tree WHERE cnt = 1""", ["tree"])
+def e6_nodes(spark, sf):
+    return led.seal(ledger_of(spark, sf), A.as_of(), log=_node_log(spark, sf)).select("root_hash", "covers_through_seq")
+
+
 def seals_of(spark, sf):
     """Seals over several prefixes; by position some are altered, unsigned, badly
     countersigned or reach past the ledger."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions.hashing import payload_digest
 from ..session import work_dir
+from .commits import TableLog
 from .sequences import previous_values, range_bucket, running_offsets, time_bucket
 
 # rows ordered by one task
@@ -171,12 +172,46 @@ def merkle_root(ledger: DataFrame, levels: int | None = None) -> DataFrame:
     return nodes.groupBy().agg(F.coalesce(F.max("hash"), empty).alias("root"))
 
 
-def prefix_roots(ledger: DataFrame, counts: DataFrame, levels: int | None = None) -> DataFrame:
+NODE_ROWS = "level int, pos bigint, hash string"
+
+
+def extend_nodes(ledger: DataFrame, log: TableLog) -> int:
+    """Stores the roots of full blocks of every level as table ``nodes`` of the log, and returns the
+    number of levels. Only blocks after the stored ones are folded: the bound on ``seq`` is a plain
+    number that reaches the scan of the ledger. All levels of a run are one commit."""
+    now = log.snapshot()
+    stored = log.read("nodes", NODE_ROWS, now.of("nodes"))
+    have = {r["level"]: r["n"] for r in stored.groupBy("level").agg((F.max("pos") + 1).alias("n")).collect()}  # one row per level
+    below, add, level = _nodes(ledger.where(F.col("seq") > have.get(1, 0) * BLOCK)), [], 1
+    while True:
+        new = log.stage("nodes", _block_roots(below, full_only=True).withColumn("level", F.lit(level)), "level")
+        if not new and level not in have:
+            break
+        add += new
+        start = have.get(level + 1, 0) * BLOCK
+        below = (stored.where(F.col("level") == level).unionByName(log.read("nodes", NODE_ROWS, new))
+                 .where(F.col("pos") >= start).select("pos", "hash"))
+        level += 1
+    if add:
+        log.commit({"nodes": add})
+    return level - 1
+
+
+def prefix_roots(ledger: DataFrame, counts: DataFrame, levels: int | None = None, log: TableLog | None = None) -> DataFrame:
     """Roots of several prefixes: ``counts`` has a distinct column ``covers``.
 
     Full blocks are folded once and shared. A prefix differs from the others only in the
-    last block of each level, so per prefix and level at most 1024 nodes are read."""
-    nodes = _nodes(ledger)
+    last block of each level, so per prefix and level at most 1024 nodes are read. With the ``log`` of
+    ``extend_nodes`` the full blocks are read from there, and the ledger only from the last block of the
+    shortest prefix on."""
+    nodes, stored = _nodes(ledger), None
+    if log is not None:
+        ends = counts.agg(F.min("covers").alias("least"), F.max("covers").alias("most")).first()
+        nodes = _nodes(ledger.where(F.col("seq") > max(0, (ends["least"] or 1) - 1) // BLOCK * BLOCK))
+        stored, levels = log.read("nodes", NODE_ROWS), 1
+        while BLOCK ** levels < (ends["most"] or 1):
+            levels += 1
+    height = 0
     state = counts.select("covers", F.col("covers").alias("_n"), F.lit(None).cast("string").alias("_carry"))
     for _ in range(_levels(ledger, levels)):
         carry = F.col("_carry")
@@ -198,7 +233,8 @@ def prefix_roots(ledger: DataFrame, counts: DataFrame, levels: int | None = None
         full = F.concat(F.transform("_h", lambda s: s["hash"]), last)
         state = tails.select("covers", up.alias("_n"), F.when(
             F.size(full) > 0, _fold(full, F.col("_block") > 0)).alias("_carry"))
-        nodes = _block_roots(nodes, full_only=True)
+        height += 1
+        nodes = _block_roots(nodes, full_only=True) if stored is None else stored.where(F.col("level") == height).select("pos", "hash")
     return state.select("covers", F.col("_carry").alias("root"))
 
 
@@ -213,14 +249,18 @@ def token_bound(token: Column, message: Column) -> Column:
 
 
 def seal(ledger: DataFrame, sealed_at: Column, public_key: Column | None = None,
-         signature: Column | None = None, countersign: Column | None = None) -> DataFrame:
+         signature: Column | None = None, countersign: Column | None = None, log: TableLog | None = None) -> DataFrame:
     """The seal row over the whole ledger. Signature and countersign come from outside.
     An empty ledger gives no row, and so does a countersign that is not bound to the
-    message: nothing may be stored in either case."""
+    message: nothing may be stored in either case. With the ``log`` of ``extend_nodes`` a seal folds
+    what came after its last full block."""
     none = F.lit(None).cast("binary")
-    covers = ledger.groupBy().agg(F.max("seq").alias("m")).scalar()
-    s = (merkle_root(ledger).withColumn("covers_through_seq", covers)
-         .where(F.col("covers_through_seq").isNotNull()))
+    last = ledger.groupBy().agg(F.max("seq").alias("covers"))
+    if log is not None:
+        s = prefix_roots(ledger, last.where(F.col("covers").isNotNull()), log=log).withColumnRenamed("covers", "covers_through_seq")
+    else:
+        s = merkle_root(ledger).withColumn("covers_through_seq", last.scalar())
+    s = s.where(F.col("covers_through_seq").isNotNull())
     s = s.select(
         F.format_string("seal_%08d_%d", "covers_through_seq", F.unix_seconds(sealed_at)).alias("seal_id"),
         F.col("root").alias("root_hash"), "covers_through_seq",

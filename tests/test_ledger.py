@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetwatch import schemas
-from fleetwatch.operators import archive, ledger
+from fleetwatch.operators import archive, commits, ledger
 from fleetwatch.rules import UNSIGNED_MARK
 
 T0 = datetime(2026, 1, 1)
@@ -127,6 +127,40 @@ def test_seal_and_verify(spark):
     assert card(_ledger(spark, []), seals.limit(0)) == "empty"
 
 
+def test_roots_from_stored_nodes(spark, tmp_path, monkeypatch):
+    """Blocks of four: every prefix of a ledger that grew in steps, from its stored nodes."""
+    monkeypatch.setattr(ledger, "BLOCK", 4)
+    monkeypatch.setattr(ledger, "_HEIGHT", 2)
+    log = commits.TableLog(spark, str(tmp_path / "nodes"))
+    l = _ledger(spark, _rows(70))
+    assert ledger.extend_nodes(l.where("seq <= 3"), log) == 0
+    assert [ledger.extend_nodes(l.where(f"seq <= {n}"), log) for n in (21, 22, 70)] == [2, 2, 3]
+    got = log.read("nodes", ledger.NODE_ROWS)
+    assert {r["level"]: r["count"] for r in got.groupBy("level").count().collect()} == {1: 17, 2: 4, 3: 1}
+    covers = [1, 3, 4, 5, 16, 17, 21, 63, 64, 65, 70]
+    roots = ledger.prefix_roots(l, spark.createDataFrame([(c,) for c in covers], "covers long"), log=log)
+    assert {r["covers"]: r["root"] for r in roots.collect()} == {c: _root([_h(i) for i in range(c)]) for c in covers}
+    s = ledger.seal(l, F.lit(T0), log=log).first()
+    assert (s["root_hash"], s["covers_through_seq"]) == (_root([_h(i) for i in range(70)]), 70)
+    assert ledger.seal(_ledger(spark, []), F.lit(T0), log=log).count() == 0
+
+
+def test_a_seal_reads_new_blocks_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger, "BLOCK", 4)
+    monkeypatch.setattr(ledger, "_HEIGHT", 2)
+    _ledger(spark, _rows(70)).write.parquet(str(tmp_path / "ledger"))
+    l, log = spark.read.parquet(str(tmp_path / "ledger")), commits.TableLog(spark, str(tmp_path / "nodes"))
+    ledger.extend_nodes(l.where("seq <= 41"), log)
+    read = []
+    keep = ledger._nodes
+    monkeypatch.setattr(ledger, "_nodes", lambda rows: read.append(rows) or keep(rows))
+    ledger.extend_nodes(l, log)
+    roots = ledger.prefix_roots(l, spark.createDataFrame([(70,)], "covers long"), log=log)
+    assert roots.first()["root"] == _root([_h(i) for i in range(70)])
+    plans = [r._jdf.queryExecution().toString() for r in read]
+    assert any("GreaterThan(seq,40)" in p for p in plans) and any("GreaterThan(seq,68)" in p for p in plans)
+
+
 def test_payload_problems(spark):
     rows = [("a", '{"v": 1}'), ("b", '{"v": NaN}'), ("c", '{"v": -Infinity}'), ("d", "{"), ("e", None), ("f", '{"v": "NaN"}')]
     got = ledger.payload_problems(spark.createDataFrame(rows, "source_id string, payload string")).collect()
