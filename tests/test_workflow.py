@@ -75,7 +75,7 @@ def test_attribution_ladder(spark):
     by = {s: got[f"al{i}"] for i, s in enumerate(sig)}
     assert by["loop>=2"]["suggested_step"] == "repeated call last (last at 2026-01-10 12:30:00)"
     assert by["error.rate>0.20"]["suggested_step"] == "edge on t1 (2026-01-09 12:30:00)"
-    assert by["error.rate>0.20"]["note"].endswith("same-session partner: b")
+    assert by["error.rate>0.20"]["note"].endswith("in one session with b")
     assert by["permission.deny>0.20"]["suggested_step"] == "denied tool 'aaa' (1x in 24h)"
     assert by["drift.tool_distribution>0.40"]["suggested_step"] == "pivot onto 'many' (2x in 24h)"
     assert by["cost.daily>2x_ewma"]["suggested_step"] == "task t3 on m ($7.50)"
