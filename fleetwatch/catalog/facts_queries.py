@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from .. import rules as R
 from ..functions.hashing import call_signature
 from ..operators import alarms as alarm_ops
 from ..operators import facts, ingest, stats
-from ..plans.evaluate import Windows, advance, evaluate
+from ..plans.evaluate import StateLog, Windows, evaluate
 from ..session import work_dir
 from .base import PRESEEN_SQL, classify_sql, cte, query, r6
 
@@ -399,22 +399,46 @@ def b17(spark, sf):
     return fact_table(spark, sf).select("agent_id", "signal", "fired", F.round("value", 4).alias("value"))
 
 
-def _incremental(spark, sf, middle="2024-01-17 00:00:00"):
-    """A stored state of the rows before ``middle``, then the evaluation of the rest."""
-    since, state = A.as_of(middle), calibration(spark, sf)
-    t, g = A.task_events(spark, sf), A.guard_events(spark, sf)
-    # the new rows and their look-back come from a scan with a pushed filter
-    w = windows()
-    reach = timedelta(hours=w.recent_h, days=w.prior_days, seconds=w.deny_s)
-    recent = {"since": str(datetime.fromisoformat(middle) - reach)}
-    before = advance(t.where(F.col("ts") < since), g.where(F.col("ts") < since), windows()).saved(work_dir(spark, "evaluation"))
-    return evaluate(state, A.task_events(spark, sf, **recent), A.guard_events(spark, sf, **recent), A.tickets(spark, sf),
-                    A.as_of(), windows(), state, state=before, since=since)
+_STEPS: dict[tuple, StateLog] = {}
+_FACTS_SQL = "SELECT agent_id, signal, fired, round(value, 4) AS value FROM facts"
 
 
-@query("b17_incremental", "SELECT agent_id, signal, fired, round(value, 4) AS value FROM facts", ["facts"])
+def _state_log(spark, sf, *until: str) -> StateLog:
+    """A state that took in the rows before each of the given days in turn; built once per session, like the ledger."""
+    at = (spark.sparkContext.applicationId, id(spark), sf, until)
+    if at not in _STEPS:
+        log = StateLog(spark, work_dir(spark, "evaluation"), windows())
+        for day in until:
+            log.step(*_rows_for(spark, sf, log), datetime.fromisoformat(day).replace(tzinfo=UTC))
+        _STEPS[at] = log
+    return _STEPS[at]
+
+
+def _rows_for(spark, sf, log: StateLog):
+    """Events from scans with a pushed filter: what is new to the log and the beginnings of its windows."""
+    covered, w = log.covered(), log.windows
+    reach = timedelta(hours=w.recent_h, days=w.prior_days)
+    since = None if covered is None else str((covered - reach).replace(tzinfo=None))
+    return A.task_events(spark, sf, since=since), A.guard_events(spark, sf, since=since)
+
+
+def _from_log(spark, sf, log: StateLog):
+    agents = calibration(spark, sf)
+    facts = evaluate(agents, *_rows_for(spark, sf, log), A.tickets(spark, sf), A.as_of(), log.windows, agents,
+                     state=log.state(), since=log.since())
+    return facts.select("agent_id", "signal", "fired", F.round("value", 4).alias("value"))
+
+
+@query("b17_incremental", _FACTS_SQL, ["facts"])
 def b17_incremental(spark, sf):
-    return _incremental(spark, sf).select("agent_id", "signal", "fired", F.round("value", 4).alias("value"))
+    """A stored state of the rows before a day, then the evaluation of all rows after it."""
+    return _from_log(spark, sf, _state_log(spark, sf, "2024-01-17"))
+
+
+@query("b17_daily_step", _FACTS_SQL, ["facts"])
+def b17_daily_step(spark, sf):
+    """Three stored steps, then the evaluation of the last day."""
+    return _from_log(spark, sf, _state_log(spark, sf, "2024-01-12", "2024-01-29", "2024-01-30"))
 
 
 @query("c2_jsd_return_flags", f"""

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from datetime import UTC, datetime, timedelta
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..operators import facts
+from ..operators.commits import TableLog, partition_value
 from ..operators.stats import jsd
 
 
@@ -57,14 +61,98 @@ def _guard_facts(guards: DataFrame, w: Windows) -> DataFrame:
             .withColumn("deny", F.col("denied") / F.when(F.col("judged") > 0, F.col("judged"))))
 
 
+def _minute(at: Column) -> Column:
+    return F.date_trunc("minute", at)
+
+
+def _task_minutes(tasks: DataFrame) -> DataFrame:
+    """Sums per agent and minute, from which the error share of any window can be merged."""
+    status = F.col("status")
+    return tasks.groupBy("agent_id", _minute(F.col("ts")).alias("minute")).agg(
+        F.count_if(status == "error").alias("errors"), F.count_if(status.isin("ok", "error")).alias("total"))
+
+
+def _guard_minutes(guards: DataFrame) -> DataFrame:
+    """Calls per agent, minute and tool, decisions per agent and minute."""
+    call, decision = (F.col("event_type") == t for t in ("tool_call", "permission_decision"))
+    return (guards.where(call | decision)
+            .groupBy("agent_id", _minute(F.col("ts")).alias("minute"), F.when(call, F.col("tool_name")).alias("tool_name"))
+            .agg(F.count_if(call).alias("calls"), F.count_if(decision & F.col("decision").eqNullSafe("deny")).alias("denied"),
+                 F.count_if(decision).alias("judged")))
+
+
+def _edge_rows(rows: DataFrame, new: DataFrame, since: Column, lengths: list[float]) -> DataFrame:
+    """The rows of the minutes in which windows of these lengths begin that end at rows of ``new``:
+    per length a slice of time as long as the new rows take, whatever the length."""
+    ends = [F.max(_minute(F.col("ts") - facts.seconds(s)) + facts.seconds(60)).alias("e") for s in lengths]
+    slices = [(F.col("ts") >= since - facts.seconds(s)) & (F.col("ts") < new.agg(e).select("e").scalar())
+              for s, e in zip(lengths, ends)]
+    # the first condition is the one that certainly reaches the scan
+    return rows.where(F.col("ts") >= since - facts.seconds(max(lengths))).where(reduce(or_, slices))
+
+
+def _inside(start: Column, strict: bool = False) -> Column:
+    """Whether a stored minute (``ts`` null) lies after the one in which the window begins, or a row
+    of that minute lies in the window."""
+    ts, edge = F.col("ts"), _minute(start)
+    return F.when(ts.isNull(), F.col("minute") > edge).otherwise(
+        (F.col("minute") == edge) & (ts > start if strict else ts >= start))
+
+
+def _with_edges(minutes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Stored minutes and single rows in one table; the rows are minutes with a ``ts``."""
+    return minutes.withColumn("ts", F.lit(None).cast("timestamp")).unionByName(edges.withColumn("minute", _minute(F.col("ts"))))
+
+
+def _merged_task_facts(minutes: DataFrame, tasks: DataFrame, new: DataFrame, since: Column, window_s: float) -> DataFrame:
+    """``_task_facts`` of the agents in ``new``, from stored minutes and the rows at the window's edge."""
+    status = F.col("status")
+    anchors = new.groupBy("agent_id").agg((F.max("ts") - facts.seconds(window_s)).alias("start"),
+                                          F.max("retry_count").cast("double").alias("retries"))
+    edges = _edge_rows(tasks, new, since, [window_s]).select(
+        "agent_id", "ts", F.coalesce(status == "error", F.lit(False)).cast("bigint").alias("errors"),
+        F.coalesce(status.isin("ok", "error"), F.lit(False)).cast("bigint").alias("total"))
+    total = F.sum("total")
+    return (_with_edges(minutes, edges).join(anchors, "agent_id").where(_inside(F.col("start")))
+            .groupBy("agent_id").agg((F.sum("errors") / F.when(total > 0, total)).alias("errors"),
+                                     F.max("retries").alias("retries")))
+
+
+def _merged_guard_facts(minutes: DataFrame, guards: DataFrame, new: DataFrame, since: Column, w: Windows) -> DataFrame:
+    """``_guard_facts`` of the agents in ``new``, likewise."""
+    call, decision = (F.col("event_type") == t for t in ("tool_call", "permission_decision"))
+    recent_s, week_s = w.recent_h * 3600, w.recent_h * 3600 + w.prior_days * 86_400
+    begin = lambda c, s: c - facts.seconds(s)
+    newest, judgement = F.max("ts"), F.max(F.when(decision, F.col("ts")))
+    anchors = new.groupBy("agent_id").agg(begin(newest, recent_s).alias("day"), begin(newest, week_s).alias("week"),
+                                          begin(judgement, w.deny_s).alias("deny_from"))
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
+    edges = _edge_rows(guards, new, since, [recent_s, week_s, w.deny_s]).where(call | decision).select(
+        "agent_id", "ts", F.when(call, F.col("tool_name")).alias("tool_name"), one(call).alias("calls"),
+        one(decision & (F.col("decision") == "deny")).alias("denied"), one(decision).alias("judged"))
+    week, day, judged = _inside(F.col("week"), True), _inside(F.col("day"), True), _inside(F.col("deny_from"))
+    some = lambda inside, c: F.sum(F.when(inside, F.col(c)).otherwise(0))
+    counts = (_with_edges(minutes, edges).join(anchors, "agent_id")
+              .where(((F.col("calls") > 0) & (week | day)) | ((F.col("judged") > 0) & judged))
+              .groupBy("agent_id", "tool_name").agg(
+                  (some(week, "calls") - some(day, "calls")).alias("prior"), some(day, "calls").alias("recent"),
+                  some(judged, "denied").alias("denied"), some(judged, "judged").alias("judged")))
+    # an agent whose newest rows reach no call and no decision has moved on from its former divergence
+    return (anchors.select("agent_id").join(jsd(counts, ["agent_id"], "tool_name", "prior", "recent", ["denied", "judged"]),
+                                            "agent_id", "left")
+            .withColumn("band", F.coalesce("band", F.lit("warming_up")))
+            .withColumn("deny", F.col("denied") / F.when(F.col("judged") > 0, F.col("judged"))))
+
+
 @dataclass
 class State:
-    """What an evaluation keeps of all rows it has seen, each table with a row per key.
+    """What an evaluation keeps of all rows it has seen.
 
     ``tasks`` (agent_id, errors, retries) and ``guards`` (agent_id, deny, jsd, band) are the
     window facts of each agent's newest rows; ``costs`` its days, ``classes`` its error classes,
     ``looped`` the tasks in which it met an open breaker, ``opened`` the tasks with one and
-    ``tails`` the last calls of the other tasks."""
+    ``tails`` the last calls of the other tasks. ``task_minutes`` and ``guard_minutes`` are sums per
+    agent and minute, as far back as a window that ends at a coming row can reach; several rows of a minute add up."""
     tasks: DataFrame
     guards: DataFrame
     costs: DataFrame
@@ -72,6 +160,8 @@ class State:
     looped: DataFrame
     opened: DataFrame
     tails: DataFrame
+    task_minutes: DataFrame
+    guard_minutes: DataFrame
 
     def saved(self, folder: str) -> State:
         """Written below ``folder`` and read again."""
@@ -83,54 +173,139 @@ class State:
         return State(**out)
 
 
+# tables of a state to which a step only adds; the others have one row per agent or open task and are replaced
+ADDED = ("costs", "classes", "looped", "opened", "task_minutes", "guard_minutes")
+
+
 def _replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(old.columns))
 
 
-def advance(tasks: DataFrame, guards: DataFrame, windows: Windows | None = None,
-            state: State | None = None, since: Column | None = None) -> State:
-    """The state after the rows from ``since`` on. With a state, older rows are read only as far
-    as the windows of those new rows reach back (a filter on ``ts`` that reaches the scan);
-    an agent without new rows keeps the facts of its last ones."""
-    w = windows or Windows()
-    back = lambda rows, s: rows if since is None else rows.where(F.col("ts") >= since - facts.seconds(s))
-    new_tasks, new_guards = back(tasks, 0), back(guards, 0)
-    wide_tasks = back(tasks, w.error_s)
-    wide_guards = back(guards, w.recent_h * 3600 + w.prior_days * 86_400 + w.deny_s)
-    calls = new_guards.where(F.col("event_type") == "tool_call")
+def _reach(w: Windows) -> float:
+    """Seconds from a row to the earliest row that a window ending there can hold."""
+    return max(w.error_s, w.deny_s, w.recent_h * 3600 + w.prior_days * 86_400)
+
+
+def _step(tasks: DataFrame, guards: DataFrame, w: Windows, state: State | None, since: Column | None) -> State:
+    """What the rows from ``since`` on add to the state, or all its tables if there is none."""
     call_columns = ["event_type", "task_id", "agent_id", "ts", "event_id", "tool_name", "arguments_json"]
-    if state is not None:
-        wide_tasks = wide_tasks.join(new_tasks.select("agent_id").distinct(), "agent_id", "left_semi")
-        wide_guards = wide_guards.join(new_guards.select("agent_id").distinct(), "agent_id", "left_semi")
-        calls = state.tails.unionByName(calls.select(call_columns))
-        running = calls.join(state.opened.select("task_id"), "task_id", "left_anti")
+    from_since = lambda rows: rows if since is None else rows.where(F.col("ts") >= since)
+    new_tasks, new_guards = from_since(tasks), from_since(guards)
+    calls = new_guards.where(F.col("event_type") == "tool_call").select(call_columns)
+    if state is None:
+        running = calls
+        t, g = _task_facts(new_tasks, w.error_s), _guard_facts(new_guards, w)
+        # minutes before these no window of a later row reaches
+        kept = lambda rows: rows.where(F.col("ts") >= rows.agg(
+            F.max(_minute(F.col("ts") - facts.seconds(_reach(w)))).alias("m")).select("m").scalar())
+        task_minutes, guard_minutes = _task_minutes(kept(new_tasks)), _guard_minutes(kept(new_guards))
     else:
-        running = calls.select(call_columns)
-    t, g = _task_facts(wide_tasks, w.error_s), _guard_facts(wide_guards, w).select("agent_id", "deny", "jsd", "band")
-    costs = (tasks if since is None else new_tasks).groupBy("agent_id", F.to_date("ts").alias("day")).agg(F.sum("cost_usd").alias("cost"))
+        task_minutes, guard_minutes = _task_minutes(new_tasks), _guard_minutes(new_guards)
+        running = (state.tails.unionByName(calls).join(state.opened.select("task_id"), "task_id", "left_anti"))
+        old = lambda minutes, s: minutes.where(F.col("minute") >= _minute(since - facts.seconds(s)))
+        t = _merged_task_facts(old(state.task_minutes, w.error_s).unionByName(task_minutes), tasks, new_tasks, since, w.error_s)
+        t = (t.join(state.tasks.select("agent_id", F.col("retries").alias("_r")), "agent_id", "left")
+             .withColumn("retries", F.greatest("retries", "_r")).drop("_r"))
+        g = _merged_guard_facts(old(state.guard_minutes, _reach(w)).unionByName(guard_minutes), guards, new_guards, since, w)
+        # a new guard row that is no decision leaves the deny share as it was
+        g = (g.join(state.guards.select("agent_id", F.col("deny").alias("_d")), "agent_id", "left")
+             .withColumn("deny", F.when(F.col("judged") > 0, F.col("deny")).otherwise(F.col("_d"))))
+    costs = new_tasks.groupBy("agent_id", F.to_date("ts").alias("day")).agg(F.sum("cost_usd").alias("cost"))
     classes = facts.new_error_classes(new_tasks).select("agent_id", "class")
     opened = facts.loop_openings(running).select("task_id", "opened_at", "event_id")
     looped = facts.looped_tasks(running, opened)
     if state is not None:
-        t = _replaced(state.tasks, t.join(state.tasks.select("agent_id", F.col("retries").alias("_r")), "agent_id", "left")
-                      .withColumn("retries", F.greatest("retries", "_r")), ["agent_id"])
-        # a new guard row that is no decision leaves the deny share as it was
-        judged = new_guards.where(F.col("event_type") == "permission_decision").select("agent_id").distinct()
-        kept = (state.guards.select("agent_id", F.col("deny").alias("_d")).join(judged, "agent_id", "left_anti")
-                .withColumn("_kept", F.lit(True)))
-        g = (g.join(kept, "agent_id", "left")
-             .withColumn("deny", F.when(F.col("_kept"), F.col("_d")).otherwise(F.col("deny"))))
-        g = _replaced(state.guards, g, ["agent_id"])
-        costs = state.costs.unionByName(costs).groupBy("agent_id", "day").agg(F.sum("cost").cast(costs.schema["cost"].dataType).alias("cost"))
-        classes = state.classes.unionByName(classes).distinct()
-        after = (new_guards.where(F.col("event_type") == "tool_call").select("agent_id", "task_id")
-                 .join(state.opened.select("task_id"), "task_id", "left_semi"))
-        looped = state.looped.unionByName(looped).unionByName(after.select("agent_id", "task_id")).distinct()
-        opened = state.opened.unionByName(opened)
+        after = calls.select("agent_id", "task_id").join(state.opened.select("task_id"), "task_id", "left_semi")
+        looped = looped.unionByName(after.select("agent_id", "task_id"))
     last = F.row_number().over(W.partitionBy("task_id").orderBy(F.desc("ts"), F.desc("event_id")))
     tails = (running.withColumn("_nth", last).where(F.col("_nth") < R.LOOP_RUN).drop("_nth")
              .join(opened.select("task_id"), "task_id", "left_anti").select(call_columns))
-    return State(t, g, costs, classes, looped, opened, tails)
+    return State(t, g.select("agent_id", "deny", "jsd", "band"), costs, classes, looped, opened, tails, task_minutes, guard_minutes)
+
+
+def _summed(costs: DataFrame) -> DataFrame:
+    """Days of which several steps saw a part; the type of the sum stays."""
+    return costs.groupBy("agent_id", "day").agg(F.sum("cost").cast(costs.schema["cost"].dataType).alias("cost"))
+
+
+def _merged(state: State, new: State, w: Windows, since: Column) -> State:
+    both = lambda name: getattr(state, name).unionByName(getattr(new, name))
+    live = lambda name: getattr(state, name).where(
+        F.col("minute") >= _minute(since - facts.seconds(_reach(w)))).unionByName(getattr(new, name))
+    return State(_replaced(state.tasks, new.tasks, ["agent_id"]), _replaced(state.guards, new.guards, ["agent_id"]),
+                 _summed(both("costs")), both("classes").distinct(), both("looped").distinct(), both("opened"), new.tails,
+                 live("task_minutes"), live("guard_minutes"))
+
+
+def advance(tasks: DataFrame, guards: DataFrame, windows: Windows | None = None,
+            state: State | None = None, since: Column | None = None) -> State:
+    """The state after the rows from ``since`` on. With a state, its minutes give the windows of
+    the new rows; of older rows only the minutes in which those windows begin are read (filters on
+    ``ts`` that reach the scan). An agent without new rows keeps the facts of its last ones."""
+    w = windows or Windows()
+    new = _step(tasks, guards, w, state, since)
+    return new if state is None else _merged(state, new, w, since)
+
+
+class StateLog:
+    """A state in a commit log, extended step by step. A step adds folders to the tables in ``ADDED``, replaces the
+    others, and is one commit that also says up to which time rows are in: a run that is cut leaves the
+    state before it, a repeated step adds nothing. Minutes lie in folders by day, and only days in reach are read."""
+
+    def __init__(self, spark: SparkSession, root: str, windows: Windows | None = None):
+        self.log, self.windows = TableLog(spark, root), windows or Windows()
+
+    def covered(self) -> datetime | None:
+        """Rows before this time (UTC) are in the state."""
+        at = self.log.snapshot().done.get("steps")
+        return None if at is None else datetime.fromtimestamp(0, UTC) + timedelta(microseconds=at)
+
+    def since(self) -> Column | None:
+        at = self.covered()
+        return None if at is None else F.timestamp_micros(F.lit(_micros(at)))
+
+    def state(self) -> State | None:
+        now, at = self.log.snapshot(), self.covered()
+        if at is None:
+            return None
+        # a day of margin for the session's time zone
+        first = (at - timedelta(seconds=_reach(self.windows), days=1)).date().isoformat()
+        out = {}
+        for f in fields(State):
+            folders, schema = now.of(f.name), _MINUTES.get(f.name)
+            if schema is not None:
+                folders = [x for x in folders if partition_value(x, "day") >= first]
+            rows = self.log.read(f.name, schema, folders)
+            out[f.name] = rows if schema is None else rows.drop("day")
+        out["costs"] = _summed(out["costs"])
+        out["classes"], out["looped"] = out["classes"].distinct(), out["looped"].distinct()
+        return State(**out)
+
+    def step(self, tasks: DataFrame, guards: DataFrame, until: datetime) -> State:
+        """Takes in the rows from where the state ends to ``until``, which they must be complete to; returns the state."""
+        covered = self.covered()
+        if covered is None or covered < until:
+            before, old, since = lambda rows: rows.where(F.col("ts") < F.timestamp_micros(F.lit(_micros(until)))), self.state(), self.since()
+            new = _step(before(tasks), before(guards), self.windows, old, since)
+            whole = new if old is None else _merged(old, new, self.windows, since)
+            add = {}
+            for f in fields(State):
+                rows = getattr(new if f.name in ADDED else whole, f.name)
+                if f.name in _MINUTES:
+                    add[f.name] = self.log.stage(f.name, rows.where(F.col("minute").isNotNull()).withColumn("day", F.to_date("minute")), "day")
+                else:
+                    add[f.name] = self.log.stage(f.name, rows)
+            now = self.log.snapshot()
+            self.log.commit(add, {f.name: now.of(f.name) for f in fields(State) if f.name not in ADDED}, "steps", _micros(until))
+        return self.state()
+
+
+_MINUTES = {"task_minutes": "agent_id string, minute timestamp, errors bigint, total bigint, day date",
+            "guard_minutes": "agent_id string, minute timestamp, tool_name string, calls bigint, denied bigint, judged bigint, day date"}
+
+
+def _micros(at: datetime) -> int:
+    return (at - datetime.fromtimestamp(0, UTC)) // timedelta(microseconds=1)
 
 
 def evaluate(agents: DataFrame, tasks: DataFrame, guards: DataFrame, tickets: DataFrame,
@@ -142,7 +317,7 @@ def evaluate(agents: DataFrame, tasks: DataFrame, guards: DataFrame, tickets: Da
     Facts over the same rows share a pass, and every fact is down to one row per agent
     before they meet. The cost fact reads the newest day of the card and needs a closed
     calibration. Divergent end states feed ``drift.output_quality`` only on request. With
-    ``state`` and ``since`` only the rows since then and their look-back are read."""
+    ``state`` and ``since`` only the rows since then are read, and those at the beginning of their windows."""
     w = windows or Windows()
     s = advance(tasks, guards, w, state, since)
     t, g = s.tasks, s.guards

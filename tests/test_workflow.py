@@ -1,6 +1,8 @@
 """Privacy, attribution, triage, streams over several batches, and plan shapes."""
 
-from datetime import datetime, timedelta
+import random
+from dataclasses import fields
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +12,9 @@ from fleetwatch import catalog, schemas
 from fleetwatch import rules as R
 from fleetwatch.operators import alarms, attribution, facts, ledger, privacy
 from fleetwatch.operators.commits import TableLog
+from fleetwatch.plans import evaluate as evaluate_plan
 from fleetwatch.plans import reports
-from fleetwatch.plans.evaluate import advance
+from fleetwatch.plans.evaluate import State, StateLog, Windows, advance
 from fleetwatch.session import work_dir
 from fleetwatch.streaming import detectors, ingest
 from fleetwatch.streaming.runner import to_parquet
@@ -296,3 +299,77 @@ def test_incremental_evaluation_reads_only_what_is_new(spark, tmp_path, long_pla
         plan = getattr(after, name)._jdf.queryExecution().toString()
         scans = [x for x in plan.split("\n") if "FileScan parquet" in x and (f"{tmp_path}/tasks]" in x or f"{tmp_path}/guards]" in x)]
         assert scans and all("GreaterThanOrEqual(ts" in x for x in scans), name
+
+
+FACTS = ("tasks", "guards", "costs", "classes", "looped", "opened", "tails")
+
+
+def _texts(df):
+    return sorted(map(str, df.select(*[F.round(c, 9).alias(c) if d == "double" else c for c, d in sorted(df.dtypes)]).collect()))
+
+
+def _many_rows(spark, n=700):
+    """Rows on a grid of 15 s, so that windows begin on rows, on full minutes and between them;
+    one agent has a third of all rows, others come back after long breaks, some columns are null."""
+    draw, start = random.Random(3), datetime(2024, 3, 1, 10, 0, tzinfo=UTC)
+    tasks, guards = [], []
+    for i in range(n):
+        agent = "a0" if draw.random() < 0.33 else f"a{draw.randrange(1, 40)}"
+        at = start + timedelta(seconds=15 * draw.randrange(0, 900))
+        tasks.append((f"t{i}", agent, at, draw.choice(["ok", "ok", "error", "quarantined", None]), draw.randrange(0, 5),
+                      draw.random(), draw.choice([None, "timeout", "HTTP 401"])))
+        kind = draw.choice(["tool_call", "tool_call", "permission_decision", "other"])
+        guards.append((f"g{i}", agent, f"{agent}-{draw.randrange(3)}", at, kind, draw.choice(["x", "y", None]),
+                       '{"a":1}', draw.choice(["deny", "allow", None])))
+    return (spark.createDataFrame(tasks, "event_id string, agent_id string, ts timestamp, status string, retry_count int, cost_usd double, error_class string"),
+            spark.createDataFrame(guards, "event_id string, agent_id string, task_id string, ts timestamp, event_type string,"
+                                  " tool_name string, arguments_json string, decision string"))
+
+
+def test_state_log_merges_minutes_to_the_facts_of_all_rows(spark, tmp_path):
+    t, g = _many_rows(spark)
+    w = Windows(error_s=1500, deny_s=615, recent_h=0.25, prior_days=0.03)
+    log, start = StateLog(spark, str(tmp_path / "state"), w), datetime(2024, 3, 1, 10, 0, tzinfo=UTC)
+    assert log.state() is None and log.covered() is None
+    for minutes in (70, 70, 101.75, 140, 226):
+        until = start + timedelta(minutes=minutes)
+        got = log.step(t, g, until)
+        assert log.covered() == until
+        seen = F.col("ts") < F.timestamp_micros(F.lit((until - datetime.fromtimestamp(0, UTC)) // timedelta(microseconds=1)))
+        want = advance(t.where(seen), g.where(seen), w)
+        # an agent whose newest rows reach nothing has a row without values, or none
+        valued = lambda s: {**{n: getattr(s, n) for n in FACTS}, "guards": s.guards.where("jsd IS NOT NULL OR deny IS NOT NULL")}
+        for name in FACTS:
+            assert _texts(valued(got)[name]) == _texts(valued(want)[name]), (minutes, name)
+    folders = log.log.snapshot()
+    # four steps, the second call of one of them added nothing
+    assert len(folders.of("costs")) == 4 and len(folders.of("tasks")) == 1 and folders.version == 3
+
+
+def test_a_cut_step_leaves_the_state_before_it(spark, tmp_path, monkeypatch):
+    t, g = _many_rows(spark, 60)
+    start = datetime(2024, 3, 1, 10, 0, tzinfo=UTC)
+    log = StateLog(spark, str(tmp_path / "state"))
+    log.step(t, g, start + timedelta(minutes=90))
+    before = [_texts(getattr(log.state(), f.name)) for f in fields(State)]
+    with monkeypatch.context() as m:
+        m.setattr(type(log.log), "commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            log.step(t, g, start + timedelta(minutes=226))
+    assert [_texts(getattr(log.state(), f.name)) for f in fields(State)] == before
+    assert _texts(log.step(t, g, start + timedelta(minutes=226)).tasks) == _texts(advance(t, g).tasks)
+
+
+def test_minutes_replace_the_look_back(spark, tmp_path):
+    """Of the older rows a step asks for the slices in which windows begin, not for the week between."""
+    day = lambda n: datetime(2024, 1, n, tzinfo=UTC)
+    A.task_events(spark, SF).write.parquet(str(tmp_path / "tasks"))
+    A.guard_events(spark, SF).write.parquet(str(tmp_path / "guards"))
+    t, g = (spark.read.parquet(str(tmp_path / n)) for n in ("tasks", "guards"))
+    log = StateLog(spark, str(tmp_path / "state"))
+    state, since = log.step(t, g, day(20)), log.since()
+    new = g.where((F.col("ts") >= since) & (F.col("ts") < A.as_of("2024-01-21 00:00:00")))
+    edges = evaluate_plan._edge_rows(g.where(F.col("ts") < A.as_of("2024-01-21 00:00:00")), new, since, [86_400, 8 * 86_400, 1])
+    days = {r["d"].day for r in edges.select(F.to_date("ts").alias("d")).distinct().collect()}
+    assert {12, 19, 20} <= days <= {12, 13, 19, 20}
+    assert state.task_minutes.agg(F.min("minute")).first()[0].day >= 18
