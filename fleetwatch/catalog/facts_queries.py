@@ -11,7 +11,7 @@ from .. import rules as R
 from ..functions.hashing import call_signature
 from ..operators import alarms as alarm_ops
 from ..operators import facts, ingest, stats
-from ..plans.evaluate import StateLog, Windows, evaluate
+from ..plans.evaluate import StateLog, Windows, evaluate, instant
 from ..session import work_dir
 from .base import PRESEEN_SQL, classify_sql, cte, query, r6
 
@@ -409,23 +409,22 @@ def _state_log(spark, sf, *until: str) -> StateLog:
     if at not in _STEPS:
         log = StateLog(spark, work_dir(spark, "evaluation"), windows())
         for day in until:
-            log.step(*_rows_for(spark, sf, log), datetime.fromisoformat(day).replace(tzinfo=UTC))
+            log.step(*_rows_for(spark, sf, log.latest()[0]), datetime.fromisoformat(day).replace(tzinfo=UTC))
         _STEPS[at] = log
     return _STEPS[at]
 
 
-def _rows_for(spark, sf, log: StateLog):
-    """Events from scans with a pushed filter: what is new to the log and the beginnings of its windows."""
-    covered, w = log.covered(), log.windows
-    reach = timedelta(hours=w.recent_h, days=w.prior_days)
-    since = None if covered is None else str((covered - reach).replace(tzinfo=None))
+def _rows_for(spark, sf, covered: datetime | None):
+    """Events from scans with a pushed filter: what is new since then and the beginnings of its windows."""
+    w = windows()
+    since = None if covered is None else str((covered - timedelta(hours=w.recent_h, days=w.prior_days)).replace(tzinfo=None))
     return A.task_events(spark, sf, since=since), A.guard_events(spark, sf, since=since)
 
 
 def _from_log(spark, sf, log: StateLog):
-    agents = calibration(spark, sf)
-    facts = evaluate(agents, *_rows_for(spark, sf, log), A.tickets(spark, sf), A.as_of(), log.windows, agents,
-                     state=log.state(), since=log.since())
+    agents, (covered, state) = calibration(spark, sf), log.latest()
+    facts = evaluate(agents, *_rows_for(spark, sf, covered), A.tickets(spark, sf), A.as_of(), log.windows, agents,
+                     state=state, since=instant(covered))
     return facts.select("agent_id", "signal", "fired", F.round("value", 4).alias("value"))
 
 
@@ -437,8 +436,8 @@ def b17_incremental(spark, sf):
 
 @query("b17_daily_step", _FACTS_SQL, ["facts"])
 def b17_daily_step(spark, sf):
-    """Three stored steps, then the evaluation of the last day."""
-    return _from_log(spark, sf, _state_log(spark, sf, "2024-01-12", "2024-01-29", "2024-01-30"))
+    """Two stored steps, then the evaluation of the last day."""
+    return _from_log(spark, sf, _state_log(spark, sf, "2024-01-29", "2024-01-30"))
 
 
 @query("c2_jsd_return_flags", f"""

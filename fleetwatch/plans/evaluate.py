@@ -181,9 +181,13 @@ def _replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(old.columns))
 
 
-def _reach(w: Windows) -> float:
-    """Seconds from a row to the earliest row that a window ending there can hold."""
-    return max(w.error_s, w.deny_s, w.recent_h * 3600 + w.prior_days * 86_400)
+def _reach(w: Windows) -> dict[str, float]:
+    """Seconds from a row to the earliest minute that a window ending there can hold."""
+    return {"task_minutes": w.error_s, "guard_minutes": max(w.deny_s, w.recent_h * 3600 + w.prior_days * 86_400)}
+
+
+def _in_reach(state: State, name: str, w: Windows, since: Column) -> DataFrame:
+    return getattr(state, name).where(F.col("minute") >= _minute(since - facts.seconds(_reach(w)[name])))
 
 
 def _step(tasks: DataFrame, guards: DataFrame, w: Windows, state: State | None, since: Column | None) -> State:
@@ -196,17 +200,17 @@ def _step(tasks: DataFrame, guards: DataFrame, w: Windows, state: State | None,
         running = calls
         t, g = _task_facts(new_tasks, w.error_s), _guard_facts(new_guards, w)
         # minutes before these no window of a later row reaches
-        kept = lambda rows: rows.where(F.col("ts") >= rows.agg(
-            F.max(_minute(F.col("ts") - facts.seconds(_reach(w)))).alias("m")).select("m").scalar())
-        task_minutes, guard_minutes = _task_minutes(kept(new_tasks)), _guard_minutes(kept(new_guards))
+        kept = lambda rows, name: rows.where(F.col("ts") >= rows.agg(
+            F.max(_minute(F.col("ts") - facts.seconds(_reach(w)[name]))).alias("m")).select("m").scalar())
+        task_minutes = _task_minutes(kept(new_tasks, "task_minutes"))
+        guard_minutes = _guard_minutes(kept(new_guards, "guard_minutes"))
     else:
         task_minutes, guard_minutes = _task_minutes(new_tasks), _guard_minutes(new_guards)
         running = (state.tails.unionByName(calls).join(state.opened.select("task_id"), "task_id", "left_anti"))
-        old = lambda minutes, s: minutes.where(F.col("minute") >= _minute(since - facts.seconds(s)))
-        t = _merged_task_facts(old(state.task_minutes, w.error_s).unionByName(task_minutes), tasks, new_tasks, since, w.error_s)
+        t = _merged_task_facts(_in_reach(state, "task_minutes", w, since).unionByName(task_minutes), tasks, new_tasks, since, w.error_s)
         t = (t.join(state.tasks.select("agent_id", F.col("retries").alias("_r")), "agent_id", "left")
              .withColumn("retries", F.greatest("retries", "_r")).drop("_r"))
-        g = _merged_guard_facts(old(state.guard_minutes, _reach(w)).unionByName(guard_minutes), guards, new_guards, since, w)
+        g = _merged_guard_facts(_in_reach(state, "guard_minutes", w, since).unionByName(guard_minutes), guards, new_guards, since, w)
         # a new guard row that is no decision leaves the deny share as it was
         g = (g.join(state.guards.select("agent_id", F.col("deny").alias("_d")), "agent_id", "left")
              .withColumn("deny", F.when(F.col("judged") > 0, F.col("deny")).otherwise(F.col("_d"))))
@@ -230,8 +234,7 @@ def _summed(costs: DataFrame) -> DataFrame:
 
 def _merged(state: State, new: State, w: Windows, since: Column) -> State:
     both = lambda name: getattr(state, name).unionByName(getattr(new, name))
-    live = lambda name: getattr(state, name).where(
-        F.col("minute") >= _minute(since - facts.seconds(_reach(w)))).unionByName(getattr(new, name))
+    live = lambda name: _in_reach(state, name, w, since).unionByName(getattr(new, name))
     return State(_replaced(state.tasks, new.tasks, ["agent_id"]), _replaced(state.guards, new.guards, ["agent_id"]),
                  _summed(both("costs")), both("classes").distinct(), both("looped").distinct(), both("opened"), new.tails,
                  live("task_minutes"), live("guard_minutes"))
@@ -255,53 +258,65 @@ class StateLog:
     def __init__(self, spark: SparkSession, root: str, windows: Windows | None = None):
         self.log, self.windows = TableLog(spark, root), windows or Windows()
 
-    def covered(self) -> datetime | None:
-        """Rows before this time (UTC) are in the state."""
-        at = self.log.snapshot().done.get("steps")
-        return None if at is None else datetime.fromtimestamp(0, UTC) + timedelta(microseconds=at)
-
-    def since(self) -> Column | None:
-        at = self.covered()
-        return None if at is None else F.timestamp_micros(F.lit(_micros(at)))
-
-    def state(self) -> State | None:
-        now, at = self.log.snapshot(), self.covered()
+    def latest(self) -> tuple[datetime | None, State | None]:
+        """The time (UTC) before which all rows are in the state, and the state; both None before the first step."""
+        now = self.log.snapshot()
+        at = now.done.get("steps")
         if at is None:
-            return None
-        # a day of margin for the session's time zone
-        first = (at - timedelta(seconds=_reach(self.windows), days=1)).date().isoformat()
+            return None, None
+        at = datetime.fromtimestamp(0, UTC) + timedelta(microseconds=at)
         out = {}
         for f in fields(State):
-            folders, schema = now.of(f.name), _MINUTES.get(f.name)
-            if schema is not None:
+            folders = now.of(f.name)
+            if f.name in _MINUTES:
+                # a day of margin for the session's time zone
+                first = (at - timedelta(seconds=_reach(self.windows)[f.name], days=1)).date().isoformat()
                 folders = [x for x in folders if partition_value(x, "day") >= first]
-            rows = self.log.read(f.name, schema, folders)
-            out[f.name] = rows if schema is None else rows.drop("day")
+            rows = self.log.read(f.name, _SCHEMAS.get(f.name), folders)
+            out[f.name] = rows.drop("day") if f.name in _MINUTES else rows
+        # a day of costs, a class or a looped task may have been added by several steps
         out["costs"] = _summed(out["costs"])
         out["classes"], out["looped"] = out["classes"].distinct(), out["looped"].distinct()
-        return State(**out)
+        return at, State(**out)
 
     def step(self, tasks: DataFrame, guards: DataFrame, until: datetime) -> State:
         """Takes in the rows from where the state ends to ``until``, which they must be complete to; returns the state."""
-        covered = self.covered()
-        if covered is None or covered < until:
-            before, old, since = lambda rows: rows.where(F.col("ts") < F.timestamp_micros(F.lit(_micros(until)))), self.state(), self.since()
-            new = _step(before(tasks), before(guards), self.windows, old, since)
-            whole = new if old is None else _merged(old, new, self.windows, since)
-            add = {}
-            for f in fields(State):
-                rows = getattr(new if f.name in ADDED else whole, f.name)
-                if f.name in _MINUTES:
-                    add[f.name] = self.log.stage(f.name, rows.where(F.col("minute").isNotNull()).withColumn("day", F.to_date("minute")), "day")
-                else:
-                    add[f.name] = self.log.stage(f.name, rows)
-            now = self.log.snapshot()
-            self.log.commit(add, {f.name: now.of(f.name) for f in fields(State) if f.name not in ADDED}, "steps", _micros(until))
-        return self.state()
-
-
-_MINUTES = {"task_minutes": "agent_id string, minute timestamp, errors bigint, total bigint, day date",
-            "guard_minutes": "agent_id string, minute timestamp, tool_name string, calls bigint, denied bigint, judged bigint, day date"}
+        covered, old = self.latest()
+        if covered is not None and covered >= until:
+            return old
+        since = None if covered is None else instant(covered)
+        before = lambda rows: rows.where(F.col("ts") < instant(until))
+        new = _step(before(tasks), before(guards), self.windows, old, since)
+        whole = new if old is None else _merged(old, new, self.windows, since)
+        add = {}
+        for f in fields(State):
+            rows = getattr(new if f.name in ADDED else whole, f.name)
+            if f.name in _MINUTES:
+                add[f.name] = self.log.stage(f.name, rows.where(F.col("minute").isNotNull()).withColumn("day", F.to_date("minute")), "day")
+            else:
+                add[f.name] = self.log.stage(f.name, rows)
+        now = self.log.snapshot()
+        self.log.commit(add, {f.name: now.of(f.name) for f in fields(State) if f.name not in ADDED}, "steps", _micros(until))
+        return self.latest()[1]
+
+
+_MINUTES = ("task_minutes", "guard_minutes")
+# costs keep the type that the sum of their column has
+_SCHEMAS = {
+    "tasks": "agent_id string, errors double, retries double",
+    "guards": "agent_id string, deny double, jsd double, band string",
+    "classes": "agent_id string, class string",
+    "looped": "agent_id string, task_id string",
+    "opened": "task_id string, opened_at timestamp, event_id string",
+    "tails": "event_type string, task_id string, agent_id string, ts timestamp, event_id string, tool_name string, arguments_json string",
+    "task_minutes": "agent_id string, minute timestamp, errors bigint, total bigint, day date",
+    "guard_minutes": "agent_id string, minute timestamp, tool_name string, calls bigint, denied bigint, judged bigint, day date",
+}
+
+
+def instant(at: datetime) -> Column:
+    """The time as a literal that does not depend on the session's time zone."""
+    return F.timestamp_micros(F.lit(_micros(at)))
 
 
 def _micros(at: datetime) -> int:

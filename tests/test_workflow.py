@@ -330,12 +330,12 @@ def test_state_log_merges_minutes_to_the_facts_of_all_rows(spark, tmp_path):
     t, g = _many_rows(spark)
     w = Windows(error_s=1500, deny_s=615, recent_h=0.25, prior_days=0.03)
     log, start = StateLog(spark, str(tmp_path / "state"), w), datetime(2024, 3, 1, 10, 0, tzinfo=UTC)
-    assert log.state() is None and log.covered() is None
+    assert log.latest() == (None, None)
     for minutes in (70, 70, 101.75, 140, 226):
         until = start + timedelta(minutes=minutes)
         got = log.step(t, g, until)
-        assert log.covered() == until
-        seen = F.col("ts") < F.timestamp_micros(F.lit((until - datetime.fromtimestamp(0, UTC)) // timedelta(microseconds=1)))
+        assert log.latest()[0] == until
+        seen = F.col("ts") < evaluate_plan.instant(until)
         want = advance(t.where(seen), g.where(seen), w)
         # an agent whose newest rows reach nothing has a row without values, or none
         valued = lambda s: {**{n: getattr(s, n) for n in FACTS}, "guards": s.guards.where("jsd IS NOT NULL OR deny IS NOT NULL")}
@@ -351,12 +351,13 @@ def test_a_cut_step_leaves_the_state_before_it(spark, tmp_path, monkeypatch):
     start = datetime(2024, 3, 1, 10, 0, tzinfo=UTC)
     log = StateLog(spark, str(tmp_path / "state"))
     log.step(t, g, start + timedelta(minutes=90))
-    before = [_texts(getattr(log.state(), f.name)) for f in fields(State)]
+    held = lambda: [_texts(getattr(log.latest()[1], f.name)) for f in fields(State)]
+    before = held()
     with monkeypatch.context() as m:
         m.setattr(type(log.log), "commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
         with pytest.raises(RuntimeError, match="lost"):
             log.step(t, g, start + timedelta(minutes=226))
-    assert [_texts(getattr(log.state(), f.name)) for f in fields(State)] == before
+    assert held() == before
     assert _texts(log.step(t, g, start + timedelta(minutes=226)).tasks) == _texts(advance(t, g).tasks)
 
 
@@ -367,7 +368,7 @@ def test_minutes_replace_the_look_back(spark, tmp_path):
     A.guard_events(spark, SF).write.parquet(str(tmp_path / "guards"))
     t, g = (spark.read.parquet(str(tmp_path / n)) for n in ("tasks", "guards"))
     log = StateLog(spark, str(tmp_path / "state"))
-    state, since = log.step(t, g, day(20)), log.since()
+    state, since = log.step(t, g, day(20)), evaluate_plan.instant(day(20))
     new = g.where((F.col("ts") >= since) & (F.col("ts") < A.as_of("2024-01-21 00:00:00")))
     edges = evaluate_plan._edge_rows(g.where(F.col("ts") < A.as_of("2024-01-21 00:00:00")), new, since, [86_400, 8 * 86_400, 1])
     days = {r["d"].day for r in edges.select(F.to_date("ts").alias("d")).distinct().collect()}
