@@ -9,7 +9,7 @@ from .. import schemas
 from ..operators import tiers
 from ..operators.commits import TableLog
 from ..sources import otlp, signed
-from .runner import batch_head, each_batch, earlier_batches, to_parquet, write_batch
+from .runner import batch_head, each_batch, earlier_batches, stored, to_parquet, write_batch
 
 WATERMARK = "10 minutes"
 
@@ -74,44 +74,53 @@ def landed_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema + ", batch_id bigint").parquet(path).drop("batch_id")
 
 
-def signed_log(envelopes: DataFrame, pads: DataFrame, folder: str, checkpoint: str) -> None:
+def signed_log(envelopes: DataFrame, pads: DataFrame, folder: str, checkpoint: str, files_per_day: int = 8) -> None:
     """S1 as tables below ``folder``, first write wins and nothing is lost: ``landed`` holds the
     accepted envelopes, ``rejected`` the others with their reason, ``events`` each event id once,
     ``known`` the ids that were there before.
 
     A nonce is looked up among the landed envelopes of the hours in question (an older replay
     fails the timestamp test), an event id among the events of its day, so what a batch reads
-    does not grow with the life of the stream."""
+    does not grow with the life of the stream. Folders are by day, and each day is dealt to a few
+    files. Checked envelopes and parsed events are stored once, since several tables are made of them."""
     spark = envelopes.sparkSession
     landed, events, known, rejected = (f"{folder}/{n}" for n in ("landed", "events", "known", "rejected"))
-    hour = F.date_format("received_at", "yyyyMMddHH").alias("hour")
-    near = F.explode(F.array(*[F.date_format(F.col("received_at") + F.make_dt_interval(hours=F.lit(h)), "yyyyMMddHH")
-                               for h in (-1, 0, 1)])).alias("hour")
+    day_of, hour_of = (lambda at: F.date_format(at, "yyyyMMdd").alias("day")), (lambda at: F.date_format(at, "yyyyMMddHH").alias("hour"))
+    shifted = F.explode(F.array(*[F.col("received_at") + F.make_dt_interval(hours=F.lit(h)) for h in (-1, 0, 1)])).alias("at")
 
-    def part(path: str, batch_id: int, schema: str, column: str, wanted: DataFrame) -> DataFrame:
-        # the hours or days of the batch; the engine prunes the folders by them
-        return earlier_batches(spark, path, batch_id, f"{schema}, {column} string").join(wanted.distinct(), column, "left_semi")
+    def part(path: str, batch_id: int, schema: str, wanted: DataFrame) -> DataFrame:
+        # the days (and hours) of the batch; the engine prunes the folders by them
+        wanted = wanted.distinct()
+        return earlier_batches(spark, path, batch_id, schema).join(wanted, wanted.columns, "left_semi")
+
+    def by_day(rows: DataFrame, day: str, key: str) -> DataFrame:
+        return rows.repartition(day, F.pmod(F.xxhash64(key), F.lit(files_per_day)))
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        checked = signed.verify(batch, pads)
-        before = part(landed, batch_id, "key_id string, nonce string", "hour", batch.select(near)) \
+        near = batch.select(shifted).select(day_of("at"), hour_of("at"))
+        before = part(landed, batch_id, "key_id string, nonce string, hour string, day string", near) \
             .select("key_id", "nonce").distinct().withColumn("_seen", F.lit(True))
-        checked = checked.join(before, ["key_id", "nonce"], "left").withColumn(
-            "reason", F.when(F.col("reason").isNull() & F.col("_seen"), "replay").otherwise(F.col("reason"))).drop("_seen")
+        checked = signed.verify(batch, pads).join(before, ["key_id", "nonce"], "left").withColumn(
+            "reason", F.when(F.col("reason").isNull() & F.col("_seen"), "replay").otherwise(F.col("reason")))
+        checked = stored(checked.select("envelope_id", "key_id", "nonce", "received_at", "reason",
+                                        F.when(F.col("reason").isNull(), F.col("body")).alias("body")), "signed-checked")
         write_batch(checked.where(F.col("reason").isNotNull()).select("envelope_id", "key_id", "received_at", "reason"),
                     rejected, batch_id)
-        write_batch(signed.accepted(checked).select("envelope_id", "key_id", "nonce", "body", "received_at", hour),
-                    landed, batch_id, "hour")
-        fresh = spark.read.schema("envelope_id string, body string, received_at timestamp").parquet(f"{landed}/batch_id={batch_id}")
+        accepted = signed.accepted(checked).select("envelope_id", "key_id", "nonce", "body", "received_at",
+                                                   hour_of("received_at"), day_of("received_at"))
+        write_batch(by_day(accepted, "day", "nonce"), landed, batch_id, "day")
+        fresh = signed.accepted(checked).select("envelope_id", "body", "received_at")
         rows = otlp.to_task_events(otlp.flatten(fresh.withColumnRenamed("envelope_id", "request_id")))
         rest = [c for c in rows.columns if c not in ("event_id", "received_at")]
         rows = (rows.groupBy("event_id").agg(F.min(F.struct("received_at", *rest)).alias("r"), F.count(F.lit(1)).alias("n"))
                 .select("event_id", "r.*", "n").withColumn("event_date", F.to_date("ts").cast("string")))
-        old = part(events, batch_id, "event_id string", "event_date", rows.select("event_date")) \
+        rows = stored(rows, "signed-rows")
+        old = part(events, batch_id, "event_id string, event_date string", rows.select("event_date")) \
             .select("event_id").withColumn("_known", F.lit(True))
         rows = rows.join(old, "event_id", "left")
         write_batch(rows.select("event_id", (F.col("n") - F.when(F.col("_known"), 0).otherwise(1)).alias("n"))
                     .where("n > 0"), known, batch_id)
-        write_batch(rows.where(F.col("_known").isNull()).drop("n", "_known"), events, batch_id, "event_date")
+        new = rows.where(F.col("_known").isNull()).drop("n", "_known")
+        write_batch(by_day(new, "event_date", "event_id"), events, batch_id, "event_date")
 
     each_batch(envelopes, land, checkpoint)

@@ -7,6 +7,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import work_dir
+
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -58,6 +60,13 @@ def write_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> No
     df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/batch_id={batch_id}")
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written once to a folder of their own and read again."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def batch_head(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
     """The one row that the batch before this one left as its head; empty for the first. So a
     batch never reads what all earlier ones wrote."""
