@@ -159,12 +159,12 @@ def content_hash(df: DataFrame) -> DataFrame:
 
 
 def export_tables(tables: dict[str, DataFrame], path: str, as_json: bool = False) -> None:
-    """Every table under ``path``; in JSON, binary columns become hex text."""
+    """Every table under ``path``; in JSON, which is compressed, binary columns become hex text."""
     for name, df in tables.items():
         if as_json:
             df = df.select(*[F.lower(F.hex(c)).alias(c) if t == "binary" else F.col(c)
                              for c, t in df.dtypes])
-            df.write.mode("overwrite").option("ignoreNullFields", "false") \
+            df.write.mode("overwrite").option("ignoreNullFields", "false").option("compression", "gzip") \
                 .option("timestampFormat", _TS).json(f"{path}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
