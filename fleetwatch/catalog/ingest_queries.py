@@ -192,8 +192,9 @@ def a6_redelivered(spark, sf):
 SELECT event_id AS request_id, (['unread scopeSpans', '', 'unread spans', '', 'unread attributes'])[CAST(n % 5 + 1 AS INT)] AS reason,
        CAST(([1, 1, 0, 2, 1])[CAST(n % 5 + 1 AS INT)] AS BIGINT) AS spans FROM tasks""", ["tasks"])
 def a8_nested(spark, sf):
-    """Requests with a part that cannot be read, and with one object in place of a span list."""
-    t = A.task_events(spark, sf).withColumn("n", _n())
+    """Requests with a part that cannot be read, and with one object in place of a span list. The ids are dealt
+    out before the requests are made, since a file of few row groups would be parsed by as few tasks."""
+    t = A.task_events(spark, sf).select("event_id", "ts").repartition("event_id").withColumn("n", _n())
     span = F.concat(F.lit('{"traceId":"t","spanId":"'), F.col("event_id"), F.lit('","name":"x"}'))
     scope = lambda spans: F.concat(F.lit('{"scopeSpans":[{"spans":'), spans, F.lit("}]}"))
     listed = lambda *parts: F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))

@@ -27,16 +27,17 @@ def _parsed(requests: DataFrame) -> DataFrame:
     """Adds ``_spans``, the resource list. Regular requests are parsed once; a request with a
     single object where a list belongs is parsed again, level by level. What cannot be read on
     a level is null there, which ``malformed`` reports."""
-    body, regular = F.col("body"), F.col("_regular")
+    body = F.col("body")
     outer = F.from_json(_listed(F.get_json_object(body, "$.resourceSpans")),
                         f"array<struct<resource:{_RESOURCE}, scopeSpans:string>>")
     lenient = F.transform(outer, lambda r: F.struct(
         r["resource"].alias("resource"),
         F.transform(F.from_json(_listed(r["scopeSpans"]), "array<struct<spans:string>>"), lambda s: F.struct(
             F.from_json(_listed(s["spans"]), f"array<{_SPAN}>").alias("spans"))).alias("scopeSpans")))
-    odd = regular.isNull() | _unread_scope(regular) | _unread_spans(regular)
-    return (requests.withColumn("_regular", F.from_json(body, REQUEST)["resourceSpans"])
-            .withColumn("_spans", F.when(odd, lenient).otherwise(regular)).drop("_regular"))
+    odd = lambda p: p.isNull() | _unread_scope(p) | _unread_spans(p)
+    # the list of one gives the parse a name inside the expression, so that no rule of the optimizer can write it out twice
+    regular = F.array(F.from_json(body, REQUEST)["resourceSpans"])
+    return requests.withColumn("_spans", F.get(F.transform(regular, lambda p: F.when(odd(p), lenient).otherwise(p)), F.lit(0)))
 
 
 def _unread_scope(resources: Column) -> Column:
@@ -61,15 +62,17 @@ def malformed(requests: DataFrame) -> DataFrame:
     reason = (F.when(spans.isNull(), F.when(F.try_parse_json("body").isNull(), "bad json").otherwise("no resourceSpans"))
               .when(_unread_scope(spans), "unread scopeSpans").when(_unread_spans(spans), "unread spans")
               .when(_unread_attributes(spans, body), "unread attributes"))
-    return (_parsed(requests).withColumn("_reason", reason).where(F.col("_reason").isNotNull())
-            .select("request_id", F.col("_reason").alias("reason"), "body"))
+    # a generated column: a filter on the expression itself would parse every request once more, below any repartitioning
+    return (_parsed(requests).select("request_id", F.explode_outer(F.array(reason)).alias("reason"), "body")
+            .where(F.col("reason").isNotNull()))
 
 
 def flatten(requests: DataFrame) -> DataFrame:
     """A1: one row per span of the requests (request_id, received_at, body), with the
     attributes of its resource."""
     keep = [c for c in requests.columns if c != "body"]
-    res = _parsed(requests).select(*keep, F.explode("_spans").alias("_r"))
+    # outer, as the engine would filter by the size of the parsed list first; the next level drops the nulls
+    res = _parsed(requests).select(*keep, F.explode_outer("_spans").alias("_r"))
     scopes = res.select(*keep, F.col("_r.resource.attributes").alias("resource_attributes"),
                         F.explode("_r.scopeSpans").alias("_s"))
     return (scopes.select(*keep, "resource_attributes", F.explode("_s.spans").alias("_p"))

@@ -219,3 +219,17 @@ def test_requests_of_two_files_have_own_ids(spark, tmp_path):
         (tmp_path / name).write_text('{"resourceSpans":[]}\n')
     ids = [r["request_id"] for r in otlp.read_requests(spark, str(tmp_path)).collect()]
     assert len(ids) == len(set(ids)) == 2
+
+
+def test_a_request_is_parsed_once(spark):
+    bodies = ['{"resourceSpans":[null,{"scopeSpans":[]},{"scopeSpans":[{"spans":[null,{"spanId":"a","attributes":[]}]}]}]}',
+              '{"resourceSpans":[]}', '{"resourceSpans":{"scopeSpans":{"spans":{"spanId":"b"}}}}', "{"]
+    req = spark.createDataFrame([(f"r{i}", NOW, b) for i, b in enumerate(bodies)],
+                                "request_id string, received_at timestamp, body string").repartition("request_id")
+    spans, bad = otlp.flatten(req), otlp.malformed(req)
+    assert sorted((r.request_id, r.spanId or "") for r in spans.collect()) == [("r0", ""), ("r0", "a"), ("r2", "b")]
+    assert {r.request_id: r.reason for r in bad.collect()} == {"r0": "unread scopeSpans", "r3": "bad json"}
+    for df in (spans, bad):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert sum("from_json(" in line for line in plan) == 1
+        assert not any("Filter" in line and "from_json(" in line for line in plan)
