@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -177,23 +177,22 @@ class _LoopBreaker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tail = handle.getValueState("tail", "sig string, run bigint, opened boolean", self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        sig, length, opened = self.tail.get() if self.tail.exists() else (None, 0, False)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        sig, length, opened = self.tail.get() or (None, 0, False)
         if opened:
             return
-        for m in pd.concat(list(rows)).sort_values(["minute", "first_ts"]).itertuples():
+        # what has no time comes last
+        for m in sorted(rows, key=lambda m: (m.minute is None, m.minute or 0, m.first_us or 0)):
             joins = sig is not None and sig == m.head_sig
             call = m.hit
             if joins and length + m.head >= self.run:
-                call = m.head_calls[max(0, self.run - int(length) - 1)]
+                call = m.head_calls[max(0, self.run - length - 1)]
             if call is not None:
-                self.tail.update((m.tail_sig, int(m.tail), True))
-                call = call.asDict() if hasattr(call, "asDict") else call
-                yield pd.DataFrame([{"task_id": key[0], "opened_at": call["ts"], "event_id": call["event_id"],
-                                     "agent_id": call["agent_id"], "tool_name": call["tool_name"]}])
+                self.tail.update((m.tail_sig, m.tail, True))
+                yield Row(task_id=key[0], opened_us=call["us"], event_id=call["event_id"], agent_id=call["agent_id"], tool_name=call["tool_name"])
                 return
-            sig, length = m.tail_sig, int(m.tail) + (int(length) if joins and m.head == m.n else 0)
-        self.tail.update((sig, int(length), False))
+            sig, length = m.tail_sig, m.tail + (length if joins and m.head == m.n else 0)
+        self.tail.update((sig, length, False))
 
     def close(self) -> None:
         pass
@@ -203,11 +202,17 @@ def loop_openings(runs: DataFrame, ttl_ms: int | None = 7 * 86_400_000) -> DataF
     """S4, second half: the call that opens the breaker of a task, at most once per task, from
     the stream of its runs. State and Python see one row per task and minute, never the calls; the
     state of a task is one row and goes ``ttl_ms`` after its last change (None: never), a week by default. Run it with
-    ``idle_batches=False`` where the run should end with its input."""
-    schema = "task_id string, opened_at timestamp, event_id string, agent_id string, tool_name string"
-    return runs.groupBy("task_id").transformWithStateInPandas(
+    ``idle_batches=False`` where the run should end with its input. Tasks are many and short, so the processor
+    takes single rows, not a pandas frame per task; times pass as microseconds, whatever the time zone."""
+    us = lambda c: F.struct(F.unix_micros(c["ts"]).alias("us"), c["event_id"], c["agent_id"], c["tool_name"])
+    short = runs.select("task_id", "minute", F.unix_micros("first_ts").alias("first_us"), "n", "head_sig", "head",
+                        F.transform("head_calls", us).alias("head_calls"), "tail_sig", "tail",
+                        F.when(F.col("hit").isNotNull(), us(F.col("hit"))).alias("hit"))
+    schema = "task_id string, opened_us bigint, event_id string, agent_id string, tool_name string"
+    return short.groupBy("task_id").transformWithState(
         _LoopBreaker(R.LOOP_RUN, ttl_ms), outputStructType=schema, outputMode="Append",
-        timeMode="ProcessingTime" if ttl_ms else "None")
+        timeMode="ProcessingTime" if ttl_ms else "None").select(
+            "task_id", F.timestamp_micros("opened_us").alias("opened_at"), "event_id", "agent_id", "tool_name")
 
 
 def new_class_log(tasks: DataFrame, path: str, checkpoint: str) -> None:

@@ -5,6 +5,7 @@ from dataclasses import fields
 from datetime import UTC, datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fleetwatch import adapters as A
@@ -415,3 +416,25 @@ def test_signed_log_deals_days_to_few_files(spark, tmp_path):
     assert len(folders) == 3 and all(len(list(p.glob("part-*"))) <= 8 for p in folders)
     assert spark.read.parquet(str(tmp_path / "log" / "landed")).count() == 48
     assert [r["reason"] for r in spark.read.parquet(str(tmp_path / "log" / "rejected")).collect()] == ["replay"] * 5
+
+
+def test_the_loop_breaker_takes_rows_and_asks_its_state_once():
+    class Tail:
+        value, asked = None, 0
+
+        def get(self):
+            self.asked += 1
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    run = lambda minute, n, sig, calls: Row(task_id="t", minute=minute, first_us=minute, n=n, head_sig=sig, head=n, tail_sig=sig, tail=n,
+                                            head_calls=[{"us": c, "event_id": f"e{c}", "agent_id": "a", "tool_name": "x"} for c in calls], hit=None)
+    breaker = detectors._LoopBreaker(3, None)
+    breaker.tail = Tail()
+    assert list(breaker.handleInputRows(("t",), iter([run(2, 1, "s", [20]), run(1, 1, "s", [10])]), None)) == []
+    assert breaker.tail.value == ("s", 2, False) and breaker.tail.asked == 1
+    out = list(breaker.handleInputRows(("t",), iter([run(3, 2, "s", [30, 31])]), None))
+    assert [(r.task_id, r.opened_us, r.event_id) for r in out] == [("t", 30, "e30")]
+    assert list(breaker.handleInputRows(("t",), iter([run(4, 2, "s", [40, 41])]), None)) == []
