@@ -12,9 +12,16 @@ from .facts import seconds
 def map_to_alarms(facts: DataFrame, rules: DataFrame, calibration: DataFrame | None = None) -> DataFrame:
     """Fired facts with their rule; ``suppressed`` while the agent is calibrating and
     the rule does not fire in that time. Agents without calibration state count as open."""
-    fired = facts.where("fired").join(F.broadcast(rules), "signal")
+    return _with_rules(facts, rules, calibration).where("_known").drop("_known")
+
+
+def _with_rules(facts: DataFrame, rules: DataFrame, calibration: DataFrame | None) -> DataFrame:
+    """``map_to_alarms`` with the signals that have no rule, which are not ``_known``."""
+    fired = facts.where("fired").join(F.broadcast(rules.withColumn("_known", F.lit(True))), "signal", "left")
     if calibration is not None:
-        fired = fired.join(calibration.select("agent_id", "closed"), "agent_id", "left")
+        state = calibration.select(F.col("agent_id").alias("_agent"), "closed")
+        fired = fired.join(state, (F.col("agent_id") == F.col("_agent")) & F.col("_known"), "left").drop("_agent")
+        fired = fired.select("agent_id", *[c for c in fired.columns if c != "agent_id"])
         closed = F.coalesce("closed", F.lit(False))
     else:
         fired, closed = fired.withColumn("closed", F.lit(True)), F.lit(True)
@@ -25,12 +32,11 @@ def map_to_alarms(facts: DataFrame, rules: DataFrame, calibration: DataFrame | N
 def audit_notes(facts: DataFrame, rules: DataFrame, calibration: DataFrame,
                 diverged: DataFrame | None = None) -> DataFrame:
     """D3: what was dropped on the way to an alarm: signals without a rule and alarms held
-    back by calibration, plus divergent end states."""
-    unknown = (facts.where("fired").join(F.broadcast(rules.select("signal")), "signal", "left_anti")
-               .select(F.lit("unknown_signal").alias("note"), "agent_id", "signal"))
-    held = (map_to_alarms(facts, rules, calibration).where("suppressed")
-            .select(F.lit("calibration_suppressed").alias("note"), "agent_id", "signal"))
-    notes = unknown.unionByName(held)
+    back by calibration, plus divergent end states. Both come from one pass over the facts."""
+    note = (F.when(F.col("_known").isNull(), "unknown_signal")
+            .when(F.col("suppressed"), "calibration_suppressed"))
+    notes = (_with_rules(facts, rules, calibration).select(note.alias("note"), "agent_id", "signal")
+             .where(F.col("note").isNotNull()))
     if diverged is not None:
         notes = notes.unionByName(diverged.where("diverged").select(
             F.lit("output_quality").alias("note"), "agent_id",

@@ -163,3 +163,15 @@ def test_windows_are_inclusive_at_the_start(spark):
         f.task("a", "t", t + timedelta(seconds=s), error="x" if status == "error" else None, status=status)
     r = facts.error_rate(spark.createDataFrame(f.tasks, schemas.TASK_EVENTS)).first()
     assert (r["hits"], r["total"], r["fired"]) == (1, 2, True)
+
+
+def test_audit_notes_take_the_facts_once(spark):
+    facts_ = spark.createDataFrame([("a", "loop>=2", True, 1.0), ("a", "odd", True, 1.0), ("b", "odd", False, 1.0), ("c", "latency.retry>=3", True, 3.0)],
+                                   "agent_id string, signal string, fired boolean, value double").repartition("agent_id")
+    state = spark.createDataFrame([("a", False), ("a", False), ("c", True)], "agent_id string, closed boolean")
+    rules = R.signal_rules(spark)
+    held = alarms.map_to_alarms(facts_, rules, state).where("suppressed").count()
+    notes = alarms.audit_notes(facts_, rules, state)
+    got = sorted(tuple(r) for r in notes.collect())
+    assert got == sorted([("unknown_signal", "a", "odd")] + [("calibration_suppressed", "a", "loop>=2")] * held)
+    assert notes._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
