@@ -366,12 +366,13 @@ def evaluate(agents: DataFrame, tasks: DataFrame, guards: DataFrame, tickets: Da
                        [fact("escalation.age_max>24", v("value"), v("fired"))])
     found = None
     for df, items in listed.values():
-        part = df.select("agent_id", F.inline(F.array(*items)))
+        # dealt by another key than the facts are: parts that lie alike would be one stage whose tasks hold the sorts of all
+        part = df.select("agent_id", F.array(*items).alias("_p")).repartition("agent_id", F.lit(len(items)))
         found = part if found is None else found.unionByName(part)
 
     # the grid joins the union through one grouping per agent, not per agent and signal
-    by_signal = found.groupBy("agent_id").agg(F.map_from_entries(F.collect_list(
-        F.struct("signal", F.struct("value", "fired")))).alias("_f"))
+    by_signal = found.groupBy("agent_id").agg(F.map_from_entries(F.transform(
+        F.flatten(F.collect_list("_p")), lambda p: F.struct(p["signal"], F.struct(p["value"], p["fired"])))).alias("_f"))
     grid = (agents.select("agent_id").join(by_signal, "agent_id", "left")
             .select("agent_id", "_f", F.explode(F.array(*[F.lit(s) for s in R.SIGNALS])).alias("signal")))
     table = grid.select("agent_id", "signal", F.coalesce(F.col("_f")[F.col("signal")]["fired"],

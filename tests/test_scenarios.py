@@ -175,3 +175,12 @@ def test_audit_notes_take_the_facts_once(spark):
     got = sorted(tuple(r) for r in notes.collect())
     assert got == sorted([("unknown_signal", "a", "odd")] + [("calibration_suppressed", "a", "loop>=2")] * held)
     assert notes._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
+def test_fact_parts_do_not_share_a_stage(spark):
+    tasks = spark.createDataFrame([], schemas.TASK_EVENTS)
+    guards = spark.createDataFrame([], schemas.GUARD_EVENTS)
+    tickets = spark.createDataFrame([], "agent_id string, status string, created_at timestamp")
+    rows = evaluate(spark.createDataFrame([("a",)], "agent_id string"), tasks, guards, tickets, F.lit(DAY0).cast("timestamp"))
+    assert rows.count() == len(R.SIGNALS)
+    assert rows._jdf.queryExecution().analyzed().toString().count("RepartitionByExpression") == 5
