@@ -41,7 +41,8 @@ def _in_turn(spark, name, batches, run):
 
 @query("s1_signed_ingest", _CONVERTED, ["tasks"])
 def s1(spark, sf):
-    """Every request delivered twice, some with a wrong key: each good one counts once."""
+    """Every request delivered twice, some with a wrong key: each good one counts once. A request is made and
+    signed once for all its deliveries."""
     pads = hmac_pads(spark, SECRETS)
     r = otlp_requests(spark, sf)
     seconds = F.unix_seconds("received_at").cast("string")
@@ -49,10 +50,12 @@ def s1(spark, sf):
                       F.col("request_id").alias("nonce"), "body", "received_at").join(F.broadcast(pads), "key_id")
     msg = F.concat(F.concat("ts_text", F.lit("."), "nonce").cast("binary"), F.col("body").cast("binary"))
     signed = signed.withColumn("signature", hmac_sha256(F.col("ipad"), F.col("opad"), msg)).drop("ipad", "opad")
-    forged = signed.withColumn("key_id", F.lit("key-2")).withColumn("envelope_id", F.concat("envelope_id", F.lit("-forged")))
+    delivery = lambda envelope, key: F.struct(envelope.alias("envelope_id"), key.alias("key_id"))
+    good = delivery(F.col("envelope_id"), F.col("key_id"))
+    forged = delivery(F.concat("envelope_id", F.lit("-forged")), F.lit("key-2"))
     path = work_dir(spark, "envelopes")
-    cols = ["envelope_id", "key_id", "ts_text", "nonce", "signature", "body", "received_at"]
-    signed.unionByName(signed).unionByName(forged).select(*cols).write.parquet(path)
+    rest = ["ts_text", "nonce", "signature", "body", "received_at"]
+    signed.select(F.explode(F.array(good, good, forged)).alias("d"), *rest).select("d.*", *rest).write.parquet(path)
     events = ingest.signed_events(ingest.envelope_stream(spark, path), pads)
     return _run(events, spark, "signed").select(
         "event_id", "agent_id", "task_id", "session_id", "model_name", "input_tokens", "output_tokens",

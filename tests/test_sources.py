@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetwatch import schemas
+from fleetwatch.catalog import stream_queries
 from fleetwatch.functions.hashing import call_signature, hmac_pads
 from fleetwatch.functions.text import mask_personal_data
 from fleetwatch.functions.timeparse import parse_ts
@@ -233,3 +234,13 @@ def test_a_request_is_parsed_once(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
         assert sum("from_json(" in line for line in plan) == 1
         assert not any("Filter" in line and "from_json(" in line for line in plan)
+
+
+def test_deliveries_are_signed_once(spark, tmp_path, monkeypatch):
+    """All three deliveries of a request are written by the task that signed it."""
+    monkeypatch.setattr(stream_queries, "work_dir", lambda _, name: str(tmp_path / name))
+    rows = stream_queries.s1(spark, "/root/testdata/sf0.001")
+    e = spark.read.parquet(str(tmp_path / "envelopes")).withColumn("file", F.input_file_name())
+    found = e.groupBy("nonce").agg(F.countDistinct("file").alias("files"), F.count(F.lit(1)).alias("n"),
+                                   F.count_if(F.col("key_id") == "key-2").alias("forged")).select("files", "n", "forged").distinct().collect()
+    assert [tuple(r) for r in found] == [(1, 3, 1)] and rows.count() > 0
