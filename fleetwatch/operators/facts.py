@@ -7,6 +7,8 @@ when it is not.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,20 +114,23 @@ def tool_drift(guards: DataFrame, recent_h: int = 24, prior_days: int = 7) -> Da
 
 
 def _calls(guards: DataFrame) -> DataFrame:
+    """Calls with their signature, which rows that were stored may bring along."""
+    sig = F.col("_sig") if "_sig" in guards.columns else call_signature(F.col("tool_name"), F.col("arguments_json"))
     return (guards.where(F.col("event_type") == "tool_call")
-            .select("task_id", "agent_id", "ts", "event_id", "tool_name",
-                    call_signature(F.col("tool_name"), F.col("arguments_json")).alias("sig")))
+            .select("task_id", "agent_id", "ts", "event_id", "tool_name", sig.alias("sig")))
 
 
-def loop_openings(guards: DataFrame, bucket_s: int = SEQUENCE_BUCKET_S) -> DataFrame:
-    """Per task, the first call that is the third equal one in a row."""
-    seq = previous_values(_calls(guards), ["task_id"], time_bucket("ts", bucket_s),
+def loop_openings(guards: DataFrame, bucket_s: int = SEQUENCE_BUCKET_S,
+                  also: Sequence[str] = ("agent_id", "tool_name")) -> DataFrame:
+    """Per task, the first call that is the third equal one in a row, with its columns ``also``."""
+    calls = _calls(guards).select("task_id", "ts", "event_id", "sig", *also)
+    seq = previous_values(calls, ["task_id"], time_bucket("ts", bucket_s),
                           ["ts", "event_id"], "sig", R.LOOP_RUN - 1)
     third = seq.where((F.col("sig") == F.col("prev_1")) & (F.col("sig") == F.col("prev_2")))
-    first = F.min(F.struct("ts", "event_id", "agent_id", "tool_name"))
+    first = F.min(F.struct("ts", "event_id", *also))
     return (third.groupBy("task_id").agg(first.alias("o"))
             .select("task_id", F.col("o.ts").alias("opened_at"), F.col("o.event_id"),
-                    F.col("o.agent_id"), F.col("o.tool_name")))
+                    *[F.col(f"o.{c}") for c in also]))
 
 
 def looped_tasks(guards: DataFrame, opened: DataFrame) -> DataFrame:

@@ -12,9 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..functions.hashing import call_signature
 from ..operators import facts
 from ..operators.commits import TableLog, partition_value
 from ..operators.stats import jsd
+from ..session import kept
 
 
 @dataclass
@@ -104,21 +106,21 @@ def _with_edges(minutes: DataFrame, edges: DataFrame) -> DataFrame:
     return minutes.withColumn("ts", F.lit(None).cast("timestamp")).unionByName(edges.withColumn("minute", _minute(F.col("ts"))))
 
 
-def _merged_task_facts(minutes: DataFrame, tasks: DataFrame, new: DataFrame, since: Column, window_s: float) -> DataFrame:
+def _merged_task_facts(minutes: DataFrame, tasks: DataFrame, new: DataFrame, since: Column, window_s: float, once) -> DataFrame:
     """``_task_facts`` of the agents in ``new``, from stored minutes and the rows at the window's edge."""
     status = F.col("status")
     anchors = new.groupBy("agent_id").agg((F.max("ts") - facts.seconds(window_s)).alias("start"),
                                           F.max("retry_count").cast("double").alias("retries"))
-    edges = _edge_rows(tasks, new, since, [window_s]).select(
+    edges = once(_edge_rows(tasks, new, since, [window_s]).select(
         "agent_id", "ts", F.coalesce(status == "error", F.lit(False)).cast("bigint").alias("errors"),
-        F.coalesce(status.isin("ok", "error"), F.lit(False)).cast("bigint").alias("total"))
+        F.coalesce(status.isin("ok", "error"), F.lit(False)).cast("bigint").alias("total")), "task-edges")
     total = F.sum("total")
     return (_with_edges(minutes, edges).join(anchors, "agent_id").where(_inside(F.col("start")))
             .groupBy("agent_id").agg((F.sum("errors") / F.when(total > 0, total)).alias("errors"),
                                      F.max("retries").alias("retries")))
 
 
-def _merged_guard_facts(minutes: DataFrame, guards: DataFrame, new: DataFrame, since: Column, w: Windows) -> DataFrame:
+def _merged_guard_facts(minutes: DataFrame, guards: DataFrame, new: DataFrame, since: Column, w: Windows, once) -> DataFrame:
     """``_guard_facts`` of the agents in ``new``, likewise."""
     call, decision = (F.col("event_type") == t for t in ("tool_call", "permission_decision"))
     recent_s, week_s = w.recent_h * 3600, w.recent_h * 3600 + w.prior_days * 86_400
@@ -127,9 +129,9 @@ def _merged_guard_facts(minutes: DataFrame, guards: DataFrame, new: DataFrame, s
     anchors = new.groupBy("agent_id").agg(begin(newest, recent_s).alias("day"), begin(newest, week_s).alias("week"),
                                           begin(judgement, w.deny_s).alias("deny_from"))
     one = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
-    edges = _edge_rows(guards, new, since, [recent_s, week_s, w.deny_s]).where(call | decision).select(
+    edges = once(_edge_rows(guards, new, since, [recent_s, week_s, w.deny_s]).where(call | decision).select(
         "agent_id", "ts", F.when(call, F.col("tool_name")).alias("tool_name"), one(call).alias("calls"),
-        one(decision & (F.col("decision") == "deny")).alias("denied"), one(decision).alias("judged"))
+        one(decision & (F.col("decision") == "deny")).alias("denied"), one(decision).alias("judged")), "guard-edges")
     week, day, judged = _inside(F.col("week"), True), _inside(F.col("day"), True), _inside(F.col("deny_from"))
     some = lambda inside, c: F.sum(F.when(inside, F.col(c)).otherwise(0))
     counts = (_with_edges(minutes, edges).join(anchors, "agent_id")
@@ -190,41 +192,58 @@ def _in_reach(state: State, name: str, w: Windows, since: Column) -> DataFrame:
     return getattr(state, name).where(F.col("minute") >= _minute(since - facts.seconds(_reach(w)[name])))
 
 
-def _step(tasks: DataFrame, guards: DataFrame, w: Windows, state: State | None, since: Column | None) -> State:
-    """What the rows from ``since`` on add to the state, or all its tables if there is none."""
+def _step(tasks: DataFrame, guards: DataFrame, w: Windows, state: State | None, since: Column | None,
+          stored: bool = False) -> State:
+    """What the rows from ``since`` on add to the state, or all its tables if there is none. When they are ``stored``,
+    the new rows are read and their calls signed once, and so is what several tables need written once."""
+    once = kept if stored else lambda rows, purpose: rows
     call_columns = ["event_type", "task_id", "agent_id", "ts", "event_id", "tool_name", "arguments_json"]
     from_since = lambda rows: rows if since is None else rows.where(F.col("ts") >= since)
     new_tasks, new_guards = from_since(tasks), from_since(guards)
-    calls = new_guards.where(F.col("event_type") == "tool_call").select(call_columns)
+    signature = call_signature(F.col("tool_name"), F.col("arguments_json"))
+    running_columns = [*call_columns, "_sig"]
+    new_guards = new_guards.withColumn("_sig", F.when(F.col("event_type") == "tool_call", signature))
+    if stored:
+        new_tasks = kept(new_tasks.select("agent_id", "ts", "status", "retry_count", "cost_usd", "error_class"), "new-tasks")
+        new_guards = kept(new_guards.select(*running_columns, "decision"), "new-guards")
+    calls = new_guards.where(F.col("event_type") == "tool_call").select(running_columns)
     if state is None:
         running = calls
         t, g = _task_facts(new_tasks, w.error_s), _guard_facts(new_guards, w)
         # minutes before these no window of a later row reaches
-        kept = lambda rows, name: rows.where(F.col("ts") >= rows.agg(
+        reached = lambda rows, name: rows.where(F.col("ts") >= rows.agg(
             F.max(_minute(F.col("ts") - facts.seconds(_reach(w)[name]))).alias("m")).select("m").scalar())
-        task_minutes = _task_minutes(kept(new_tasks, "task_minutes"))
-        guard_minutes = _guard_minutes(kept(new_guards, "guard_minutes"))
+        task_minutes = _task_minutes(reached(new_tasks, "task_minutes"))
+        guard_minutes = _guard_minutes(reached(new_guards, "guard_minutes"))
     else:
-        task_minutes, guard_minutes = _task_minutes(new_tasks), _guard_minutes(new_guards)
-        running = (state.tails.unionByName(calls).join(state.opened.select("task_id"), "task_id", "left_anti"))
-        t = _merged_task_facts(_in_reach(state, "task_minutes", w, since).unionByName(task_minutes), tasks, new_tasks, since, w.error_s)
+        task_minutes, guard_minutes = once(_task_minutes(new_tasks), "task-minutes"), once(_guard_minutes(new_guards), "guard-minutes")
+        # only a task with new calls can open its breaker; the others keep their tails
+        touched = calls.select(F.col("task_id").alias("_task")).distinct()
+        met = F.col("task_id").eqNullSafe(F.col("_task"))
+        resumed = state.tails.join(touched, met, "left_semi").withColumn("_sig", signature)
+        running = resumed.unionByName(calls).join(state.opened.select("task_id"), "task_id", "left_anti")
+        t = _merged_task_facts(_in_reach(state, "task_minutes", w, since).unionByName(task_minutes), tasks, new_tasks, since, w.error_s, once)
         t = (t.join(state.tasks.select("agent_id", F.col("retries").alias("_r")), "agent_id", "left")
              .withColumn("retries", F.greatest("retries", "_r")).drop("_r"))
-        g = _merged_guard_facts(_in_reach(state, "guard_minutes", w, since).unionByName(guard_minutes), guards, new_guards, since, w)
+        g = _merged_guard_facts(_in_reach(state, "guard_minutes", w, since).unionByName(guard_minutes), guards, new_guards, since, w, once)
         # a new guard row that is no decision leaves the deny share as it was
         g = (g.join(state.guards.select("agent_id", F.col("deny").alias("_d")), "agent_id", "left")
              .withColumn("deny", F.when(F.col("judged") > 0, F.col("deny")).otherwise(F.col("_d"))))
+    t, g = once(t, "task-facts"), once(g.select("agent_id", "deny", "jsd", "band"), "guard-facts")
     costs = new_tasks.groupBy("agent_id", F.to_date("ts").alias("day")).agg(F.sum("cost_usd").alias("cost"))
     classes = facts.new_error_classes(new_tasks).select("agent_id", "class")
-    opened = facts.loop_openings(running).select("task_id", "opened_at", "event_id")
+    opened = once(facts.loop_openings(running, also=()).select("task_id", "opened_at", "event_id"), "opened")
     looped = facts.looped_tasks(running, opened)
     if state is not None:
         after = calls.select("agent_id", "task_id").join(state.opened.select("task_id"), "task_id", "left_semi")
         looped = looped.unionByName(after.select("agent_id", "task_id"))
     last = F.row_number().over(W.partitionBy("task_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    tails = (running.withColumn("_nth", last).where(F.col("_nth") < R.LOOP_RUN).drop("_nth")
+    tails = (running.select(call_columns).withColumn("_nth", last).where(F.col("_nth") < R.LOOP_RUN).drop("_nth")
              .join(opened.select("task_id"), "task_id", "left_anti").select(call_columns))
-    return State(t, g.select("agent_id", "deny", "jsd", "band"), costs, classes, looped, opened, tails, task_minutes, guard_minutes)
+    if state is not None:
+        untouched = state.tails.join(touched, met, "left_anti").join(state.opened.select("task_id"), "task_id", "left_anti")
+        tails = tails.unionByName(untouched.select(call_columns))
+    return State(t, g, costs, classes, looped, opened, tails, task_minutes, guard_minutes)
 
 
 def _summed(costs: DataFrame) -> DataFrame:
@@ -241,12 +260,13 @@ def _merged(state: State, new: State, w: Windows, since: Column) -> State:
 
 
 def advance(tasks: DataFrame, guards: DataFrame, windows: Windows | None = None,
-            state: State | None = None, since: Column | None = None) -> State:
+            state: State | None = None, since: Column | None = None, stored: bool = False) -> State:
     """The state after the rows from ``since`` on. With a state, its minutes give the windows of
     the new rows; of older rows only the minutes in which those windows begin are read (filters on
-    ``ts`` that reach the scan). An agent without new rows keeps the facts of its last ones."""
+    ``ts`` that reach the scan). An agent without new rows keeps the facts of its last ones. ``stored`` writes the new
+    rows and what several tables need of them first."""
     w = windows or Windows()
-    new = _step(tasks, guards, w, state, since)
+    new = _step(tasks, guards, w, state, since, stored)
     return new if state is None else _merged(state, new, w, since)
 
 
@@ -286,7 +306,7 @@ class StateLog:
             return old
         since = None if covered is None else instant(covered)
         before = lambda rows: rows.where(F.col("ts") < instant(until))
-        new = _step(before(tasks), before(guards), self.windows, old, since)
+        new = _step(before(tasks), before(guards), self.windows, old, since, stored=True)
         whole = new if old is None else _merged(old, new, self.windows, since)
         add = {}
         for f in fields(State):
@@ -334,7 +354,7 @@ def evaluate(agents: DataFrame, tasks: DataFrame, guards: DataFrame, tickets: Da
     calibration. Divergent end states feed ``drift.output_quality`` only on request. With
     ``state`` and ``since`` only the rows since then are read, and those at the beginning of their windows."""
     w = windows or Windows()
-    s = advance(tasks, guards, w, state, since)
+    s = advance(tasks, guards, w, state, since, stored=state is not None)
     t, g = s.tasks, s.guards
     costs = s.costs.withColumn("cost", F.col("cost").cast("double"))
     if calibration is not None:
