@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.hashing import payload_digest
-from ..session import work_dir
+from ..session import kept
 from .commits import TableLog
 from .sequences import previous_values, range_bucket, running_offsets, time_bucket
 
@@ -52,10 +52,8 @@ def _hashed(entries: DataFrame) -> DataFrame:
     """The accepted entries with their payload hash. Each payload is parsed once, by one expression
     that gives both the digest and the verdict; the small rows are stored, because two steps read them."""
     digest = payload_digest(F.col("payload"))
-    path = work_dir(entries.sparkSession, "hashed-entries")
     rows = entries.select("event_type", "created_at", "source_id", digest.alias("payload_hash"), _refusal(digest).alias("reason"))
-    rows.write.parquet(path)
-    return entries.sparkSession.read.schema(rows.schema).parquet(path).where(F.col("reason").isNull()).drop("reason")
+    return kept(rows, "hashed-entries").where(F.col("reason").isNull()).drop("reason")
 
 
 def append(entries: DataFrame, ledger: DataFrame | None = None,
@@ -197,45 +195,88 @@ def extend_nodes(ledger: DataFrame, log: TableLog) -> int:
     return level - 1
 
 
+def _pairs(hashes: Column) -> Column:
+    """The level above: one node per whole pair."""
+    ends = F.sequence(F.lit(0), F.call_function("div", F.size(hashes), F.lit(2)).cast("int") - 1)
+    return F.when(F.size(hashes) < 2, F.array().cast("array<string>")).otherwise(
+        F.transform(ends, lambda i: _joined(F.get(hashes, i * 2), F.get(hashes, i * 2 + 1))))
+
+
+def _joined(left: Column, right: Column) -> Column:
+    return F.sha2(F.unhex(F.concat(left, right)), 256)
+
+
+def _folded(rows: Column, block: Column, asked: Column) -> Column:
+    """(root, picks) of a block of sorted (pos, hash): its root if it is full, and the nodes of any of its levels
+    that are asked for as (bit, pos, up, nth). All levels are folded once. A node above a position that is
+    missing or there twice is null."""
+    again = lambda s, i: F.coalesce(F.get(rows, i + 1)["pos"] == s["pos"], F.lit(False))
+    leaves = F.transform(rows, lambda s, i: F.when((s["pos"] == block * BLOCK + i) & ~again(s, i), s["hash"]))
+    node = lambda levels, a: F.get(F.get(levels, a["up"]), a["nth"])
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(_HEIGHT)), F.array(leaves), lambda levels, _: F.concat(levels, F.array(_pairs(F.element_at(levels, -1)))),
+        lambda levels: F.struct(F.get(F.get(levels, F.lit(_HEIGHT)), F.lit(0)).alias("root"), F.transform(
+            asked, lambda a: F.struct(a["bit"].alias("bit"), a["pos"].alias("pos"), node(levels, a).alias("hash"))).alias("picks")))
+
+
+def _root_of(n: Column, nodes: Column) -> Column:
+    """Root of a prefix of n entries from its nodes by bit: whole subtrees, one per bit set in n. What is left of
+    a level is joined to the node of its bit, or to itself; a bit without a node gives a null root."""
+    node, top = lambda bit: F.try_element_at(nodes, bit), F.length(F.bin(n)) - 1
+    rest = lambda bit: n % _power(bit) != 0
+    one = lambda bit: F.call_function("shiftright", n, bit) % 2 == 1
+    up = lambda left, bit: F.when(one(bit) & rest(bit), _joined(node(bit), left)).when(one(bit), _joined(node(bit), node(bit))) \
+        .when(rest(bit), _joined(left, left))
+    return F.when(n > 0, F.when(n == _power(top), node(top)).otherwise(
+        F.aggregate(F.sequence(F.lit(0), top), F.lit(None).cast("string"), up)))
+
+
+def _power(bit: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+
+
 def prefix_roots(ledger: DataFrame, counts: DataFrame, levels: int | None = None, log: TableLog | None = None) -> DataFrame:
     """Roots of several prefixes: ``counts`` has a distinct column ``covers``.
 
-    Full blocks are folded once and shared. A prefix differs from the others only in the
-    last block of each level, so per prefix and level at most 1024 nodes are read. With the ``log`` of
-    ``extend_nodes`` the full blocks are read from there, and the ledger only from the last block of the
-    shortest prefix on."""
-    nodes, stored = _nodes(ledger), None
-    if log is not None:
-        ends = counts.agg(F.min("covers").alias("least"), F.max("covers").alias("most")).first()
-        nodes = _nodes(ledger.where(F.col("seq") > max(0, (ends["least"] or 1) - 1) // BLOCK * BLOCK))
-        stored, levels = log.read("nodes", NODE_ROWS), 1
-        while BLOCK ** levels < (ends["most"] or 1):
-            levels += 1
-    height = 0
-    state = counts.select("covers", F.col("covers").alias("_n"), F.lit(None).cast("string").alias("_carry"))
-    for _ in range(_levels(ledger, levels)):
-        carry = F.col("_carry")
-        own = carry.isNotNull() | (F.col("_n") % BLOCK != 0)
-        up = F.call_function("div", F.col("_n") + (BLOCK - 1), F.lit(BLOCK))
-        # a prefix that ends on a shared full block looks up nothing and carries nothing
-        keyed = state.withColumn("_block", F.when(
-            own, F.call_function("div", F.col("_n") - 1, F.lit(BLOCK))))
-        wanted = F.col("pos") < F.col("_n") - F.when(carry.isNotNull(), 1).otherwise(0)
-        # the few wanted blocks (one per seal and level) pick their nodes first, so no level
-        # has to move the ledger for the sake of the left join
-        blocks = keyed.select("_block").where(F.col("_block").isNotNull()).distinct()
-        picked = nodes.withColumn("_block", range_bucket("pos", BLOCK)).join(blocks, "_block", "left_semi")
-        tails = (keyed.join(picked, "_block", "left")
-                 .withColumn("_h", F.when(wanted, F.struct("pos", "hash")))
-                 .groupBy("covers", "_n", "_carry", "_block")
-                 .agg(F.sort_array(F.collect_list("_h")).alias("_h")))
-        last = F.when(carry.isNotNull(), F.array(carry)).otherwise(F.array().cast("array<string>"))
-        full = F.concat(F.transform("_h", lambda s: s["hash"]), last)
-        state = tails.select("covers", up.alias("_n"), F.when(
-            F.size(full) > 0, _fold(full, F.col("_block") > 0)).alias("_carry"))
+    A prefix is made of whole subtrees, one per bit set in its length, so it asks for as many nodes and not for its
+    rows. Every level of blocks is folded once, whatever the number of prefixes, and stored with the nodes that
+    are asked of it. With the ``log`` of ``extend_nodes`` the full blocks are read from there, and the ledger only
+    from the last block of the shortest prefix on."""
+    n = F.col("covers")
+    bits = F.filter(F.sequence(F.lit(0), F.length(F.bin(n)) - 1), lambda b: F.call_function("shiftright", n, b) % 2 == 1)
+    # one row per prefix and bit, several steps read them; a prefix of nothing keeps one row
+    wanted = kept(counts.select("covers", F.explode_outer(F.when(n > 0, bits)).alias("bit"))
+                  .withColumn("pos", F.call_function("shiftright", n, F.col("bit")) - 1), "merkle-wanted")
+    ends = wanted.agg(F.min("covers").alias("least"), F.max("covers").alias("most")).first()
+    height = 1
+    while BLOCK ** height <= (ends["most"] or 1):
         height += 1
-        nodes = _block_roots(nodes, full_only=True) if stored is None else stored.where(F.col("level") == height).select("pos", "hash")
-    return state.select("covers", F.col("_carry").alias("root"))
+    if log is None:
+        # the root of a ledger that just fills its levels is a node of the next one
+        nodes, stored, height = _nodes(ledger), None, min(height, _levels(ledger, levels) + 1)
+    else:
+        nodes = _nodes(ledger.where(F.col("seq") > max(0, (ends["least"] or 1) - 1) // BLOCK * BLOCK))
+        stored = log.read("nodes", NODE_ROWS)
+    found = None
+    for level in range(height):
+        up = F.col("bit") - _HEIGHT * level
+        block = F.call_function("shiftright", F.col("pos"), _HEIGHT - up)
+        node = F.struct("bit", "pos", up.alias("up"), (F.col("pos") - block * _power(_HEIGHT - up)).cast("int").alias("nth"))
+        asked = (wanted.where((up >= 0) & (up < _HEIGHT)).groupBy(block.alias("_block")).agg(F.collect_set(node).alias("_asked")))
+        rows = (nodes.groupBy(range_bucket("pos", BLOCK).alias("_block"))
+                .agg(F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("_h"))
+                .join(asked, "_block", "left" if stored is None else "inner"))
+        blocks = rows.select(F.col("_block").alias("pos"), _folded(F.col("_h"), F.col("_block"), F.col("_asked")).alias("b"))
+        if stored is None:
+            blocks = kept(blocks, "merkle-blocks")
+            nodes = blocks.where(F.col("b.root").isNotNull()).select("pos", F.col("b.root").alias("hash"))
+        else:
+            nodes = stored.where(F.col("level") == level + 1).select("pos", "hash")
+        picks = blocks.select(F.explode("b.picks").alias("p")).select("p.*")
+        found = picks if found is None else found.unionByName(picks)
+    one = F.when(F.col("hash").isNotNull(), F.struct("bit", "hash"))
+    return (wanted.join(found, ["bit", "pos"], "left").groupBy("covers").agg(F.map_from_entries(F.collect_set(one)).alias("_n"))
+            .select("covers", _root_of(n, F.col("_n")).alias("root")))
 
 
 def seal_message(root: Column, covers: Column) -> Column:
@@ -298,11 +339,11 @@ def verify_seals(ledger: DataFrame, seals: DataFrame) -> DataFrame:
         F.max("seq").alias("m"),
         F.min(F.when(~F.coalesce(F.col("payload_hash").rlike("^([0-9a-fA-F]{2})*$"), F.lit(False)),
                      F.col("seq"))).alias("bad"))
-    last, corrupt = facts.select("m").scalar(), facts.select("bad").scalar()
     covers = F.col("covers_through_seq")
     roots = prefix_roots(ledger, seals.select(covers.alias("covers")).distinct())
-    s = (seals.join(roots, covers == F.col("covers"), "left")
-         .withColumn("_last", F.coalesce(last, F.lit(0))).withColumn("_corrupt", corrupt))
+    # one row, from one pass over the ledger
+    s = seals.join(roots, covers == F.col("covers"), "left").crossJoin(
+        facts.select(F.coalesce("m", F.lit(0)).alias("_last"), F.col("bad").alias("_corrupt")))
     beyond = covers > F.col("_last")
     spoiled = F.coalesce(F.col("_corrupt") <= covers, F.lit(False))
     matches = (F.coalesce(F.col("root") == F.col("root_hash"), F.lit(False))
@@ -339,9 +380,7 @@ def integrity_card(ledger: DataFrame, seals: DataFrame) -> DataFrame:
     status = (F.when((F.col("entries") == 0) & (F.col("seals") == 0), "empty")
               .when(F.col("chain_ok") & (F.col("seals") == F.col("seals_valid")), "pass").otherwise("fail"))
     return (verify_chain(ledger).select(F.col("ok").alias("chain_ok"), F.col("checked").alias("entries"))
-            .withColumn("seals", s.select("seals").scalar())
-            .withColumn("seals_valid", s.select("seals_valid").scalar())
-            .withColumn("status", status))
+            .crossJoin(s).withColumn("status", status))
 
 
 def audit_trail(ledger: DataFrame, seals: DataFrame) -> DataFrame:
