@@ -341,11 +341,11 @@ def verify_seals(ledger: DataFrame, seals: DataFrame) -> DataFrame:
                      F.col("seq"))).alias("bad"))
     covers = F.col("covers_through_seq")
     roots = prefix_roots(ledger, seals.select(covers.alias("covers")).distinct())
-    # one row, from one pass over the ledger
-    s = seals.join(roots, covers == F.col("covers"), "left").crossJoin(
-        facts.select(F.coalesce("m", F.lit(0)).alias("_last"), F.col("bad").alias("_corrupt")))
-    beyond = covers > F.col("_last")
-    spoiled = F.coalesce(F.col("_corrupt") <= covers, F.lit(False))
+    # one value, from one pass over the ledger
+    known = facts.select(F.struct("m", "bad")).scalar()
+    s = seals.join(roots, covers == F.col("covers"), "left").withColumn("_known", known)
+    beyond = covers > F.coalesce(F.col("_known")["m"], F.lit(0))
+    spoiled = F.coalesce(F.col("_known")["bad"] <= covers, F.lit(False))
     matches = (F.coalesce(F.col("root") == F.col("root_hash"), F.lit(False))
                & F.coalesce("signature_ok", F.lit(False)))
     countersigned = F.col("countersign").isNotNull()
@@ -376,11 +376,11 @@ def entries_by_type(ledger: DataFrame) -> DataFrame:
 def integrity_card(ledger: DataFrame, seals: DataFrame) -> DataFrame:
     """One row: chain and seal state with status empty, pass or fail."""
     checked = verify_seals(ledger, seals)
-    s = checked.groupBy().agg(F.count(F.lit(1)).alias("seals"), F.count_if("ok").alias("seals_valid"))
+    s = checked.groupBy().agg(F.struct(F.count(F.lit(1)).alias("seals"), F.count_if("ok").alias("seals_valid")).alias("s"))
     status = (F.when((F.col("entries") == 0) & (F.col("seals") == 0), "empty")
               .when(F.col("chain_ok") & (F.col("seals") == F.col("seals_valid")), "pass").otherwise("fail"))
     return (verify_chain(ledger).select(F.col("ok").alias("chain_ok"), F.col("checked").alias("entries"))
-            .crossJoin(s).withColumn("status", status))
+            .withColumn("s", s.scalar()).select("chain_ok", "entries", "s.seals", "s.seals_valid").withColumn("status", status))
 
 
 def audit_trail(ledger: DataFrame, seals: DataFrame) -> DataFrame:
