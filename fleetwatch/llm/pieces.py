@@ -4,14 +4,17 @@ A model file is compiled once into three machines. The normaliser is a transduce
 states (nothing written yet, in a text, space pending), whose arcs squeeze spaces, write the dummy
 prefix and the white-space marks. The piece machine has one arc per piece, and a byte-fallback arc
 leads over every other character. Composing them with an input gives a lattice of positions; the best
-path in the tropical semiring (min, +) is the encoding, found by one search for both kinds of model.
+path in the tropical semiring (min, +) is the encoding, found by one search for both kinds of model, which
+differ in the order of its agenda.
 
 * Unigram models weigh an arc with the piece's negative log probability; a state is a position.
 * BPE models weigh an arc 0 or infinity: 0 if it is compatible with the piece before it, whose pair must
   be what merging their joined text gives. A segmentation is what the merges give for the whole
   text exactly if all its neighbours are compatible, because the first merge across a border
   would also be the first for that pair alone. So every position has one last piece that is reached at
-  finite weight, the state is (position, that piece), and the path of weight 0 is the merge result.
+  finite weight, the state is (position, that piece), and the path of weight 0 is the merge result. No path
+  weighs less than 0, so the search goes on from the end of the longest arc of weight 0 and comes back to
+  the other arcs of a position, not weighed until then, only if no path leads on from there.
 
 No piece has a white-space mark behind another character (checked when compiling; else a text
 is one chunk), so the machines are composed with one chunk of spaces and word at a time: the first
@@ -29,7 +32,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -46,6 +49,7 @@ ROWS = 256
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 INFINITE = float("inf")
+OTHER = ((-1, 1),)  # the arcs over a character that is no piece
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -103,6 +107,20 @@ class Model:
         return m
 
 
+def _neighbours(own: Iterable[str]) -> list[set[str]]:
+    """The characters that stand beside another one in a piece, in groups, the largest first: no piece
+    has neighbours of two groups, so a border of two groups is in every path."""
+    group: dict[str, set[str]] = {}
+    for p in own:
+        p = p.lstrip(MARK)
+        for a, b in zip(p, p[1:]):
+            one, two = sorted((group.setdefault(a, {a}), group.setdefault(b, {b})), key=len)
+            if one is not two:
+                two |= one
+                group.update(dict.fromkeys(one, two))
+    return sorted({id(g): g for g in group.values()}.values(), key=lambda g: (-len(g), min(g)))
+
+
 class _Paths(dict):
     """Token bytes of recent chunks. When full, the entries become the old generation, from which
     those still in use are taken back."""
@@ -168,19 +186,22 @@ class Transducer:
                 self.arcs.setdefault(p[:n], -1)
         self.arcs.update(own)
         self.states = self._states()
+        self.longest = max(map(len, own), default=1)
         self.normaliser = Normaliser(m)
         self.cost = [-s for _, s, _ in m.pieces]
-        self.least = 0.0 if m.kind == BPE else min((self.cost[i] for i in own.values()), default=0.0)
         self.unknown_cost = max((c for c, p in zip(self.cost, m.pieces) if p[2] == NORMAL), default=0.0) + 10
+        self.least = 0.0 if m.kind == BPE else min([self.unknown_cost, *(self.cost[i] for i in own.values())])
         self.user = sorted((p for p, _, k in m.pieces if k == USER), key=len, reverse=True)
         joint = {c for p in own if len(p) > 1 for c in p}
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joint)
         self.whole = bool(self.user) or not m.escape or any(MARK in p.lstrip(MARK) for p in own)
-        single = rf"|[{alone}]" if alone else ""
+        groups = ["".join(map(re.escape, sorted(g))) for g in _neighbours(own) if not g.isdisjoint(map(chr, range(128)))][1:]
+        apart = "".join(rf"|[{g}]+" for g in groups) + (rf"|[{alone}]" if alone else "")
+        rest = alone + "".join(groups)
         # spaces go with what follows them; only the end of a text is spaces alone
-        self.chunks = re.compile(r"(?s:.+)" if self.whole else rf"[ {MARK}]*(?:[^ {MARK}{alone}]+{single})|[ {MARK}]+")
+        self.chunks = re.compile(r"(?s:.+)" if self.whole else rf"[ {MARK}]*(?:[^ {MARK}{rest}]+{apart})|[ {MARK}]+")
         inside = any(MARK in p.lstrip(MARK) for p in own)
-        self.parts = re.compile(r"(?s:.+)" if inside else rf"{MARK}*[^{MARK}{alone}]+|{MARK}+" + single)
+        self.parts = re.compile(r"(?s:.+)" if inside else rf"{MARK}*(?:[^{MARK}{rest}]+{apart})|{MARK}+")
         self.users = re.compile("(" + "|".join(map(re.escape, self.user)) + ")") if self.user else None
         self.surface = [self._surface(p, k) for p, _, k in m.pieces]
         self.pairs: dict[int, float] = {}
@@ -189,12 +210,17 @@ class Transducer:
         self.written = _Paths(self.shortest_path)
 
     def _states(self) -> dict:
-        """The piece transducer as nested states: character -> (piece or -1, state after it)."""
-        states: dict[str, dict] = {"": {}}
+        """The piece transducer as nested states: character -> (the arcs that end on the way up to it,
+        longest first, as (piece, characters), the state after it)."""
+        states: dict[str, tuple] = {"": ((), {})}
         for p in sorted(self.arcs, key=len):
-            before = states[p[:-1]]
-            before[p[-1]] = (self.arcs[p], states.setdefault(p, {}))
-        return states[""]
+            found, before = states[p[:-1]]
+            if self.arcs[p] >= 0:
+                found = ((self.arcs[p], len(p)), *found)
+            elif len(p) == 1:
+                found = OTHER
+            before[p[-1]] = states[p] = found, {}
+        return states[""][1]
 
     @staticmethod
     def _surface(piece: str, kind: int) -> bytes:
@@ -205,10 +231,12 @@ class Transducer:
         return b"" if kind == CONTROL else piece.replace(MARK, " ").encode()
 
     def pair_weight(self, a: int, b: int) -> float:
-        """0 if merging the joined text of two pieces gives these two pieces, else infinity."""
+        """0 if merging the joined text of two pieces gives these two pieces, else infinity. Nothing
+        merges with a character that is no piece (-1)."""
         if len(self.pairs) >= 4 * CACHE:
             self.pairs.clear()
-        weight = self.pairs[a << 24 | b] = 0.0 if self._stays(self.model.pieces[a][0], self.model.pieces[b][0]) else INFINITE
+        stays = a < 0 or b < 0 or self._stays(self.model.pieces[a][0], self.model.pieces[b][0])
+        weight = self.pairs[a << 24 | b] = 0.0 if stays else INFINITE
         return weight
 
     def _stays(self, left: str, right: str) -> bool:
@@ -233,38 +261,52 @@ class Transducer:
                 gain[at] = arcs.get(parts[at] + parts[at + 1], -1)
 
     def shortest_path(self, written: str) -> list[int]:
-        """Tropical shortest path over the positions of a written chunk: (min, +) relaxation of
-        every arc that leaves a position reached at finite weight, positions in order."""
-        states, arcs, cost, pairs, least, n = self.states, self.arcs, self.cost, self.pairs.get, self.least, len(written)
-        bpe = self.model.kind == BPE
-        other = 0.0 if bpe else self.unknown_cost
+        """Tropical shortest path over the positions of a written chunk: (min, +) relaxation of the arcs
+        that leave a position reached at finite weight. The agenda holds positions and their arcs not
+        weighed so far (None: not looked up): all positions in order, or, where an arc weighs 0 or
+        infinity, the one reached last on top."""
+        states, cost, pairs, least, longest, n = self.states, self.cost, self.pairs.get, self.least, self.longest, len(written)
+        bpe, other = self.model.kind == BPE, self.unknown_cost
         weight, last, came = [INFINITE] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         weight[0] = 0.0
-        for i in range(n):
-            here, before = weight[i], last[i]
+        agenda = [(0, None)] if bpe else [(i, None) for i in range(n - 1, -1, -1)]
+        while agenda:
+            i, found = agenda.pop()
+            here = weight[i]
             if here == INFINITE or 0 <= least and weight[n] <= here:  # not reached, or nothing to gain
                 continue
-            after, stop = states, i
-            for c in written[i:]:
-                arc = after.get(c)
-                if arc is None:
-                    break
-                piece, after = arc
-                stop += 1
-                if piece >= 0 and here + least < weight[stop]:
-                    w = (0.0 if before < 0 else pairs(before << 24 | piece)) if bpe else cost[piece]
-                    if w is None:
-                        w = self.pair_weight(before, piece)
+            if found is None:
+                found, after = OTHER, states
+                for c in written[i:i + longest]:
+                    arc = after.get(c)
+                    if arc is None:
+                        break
+                    found, after = arc
+                found = iter(found)
+            before = last[i] << 24
+            for piece, size in found:
+                stop = i + size
+                if here + least < weight[stop]:
+                    if bpe:
+                        w = pairs(before | piece)
+                        if w is None:
+                            w = self.pair_weight(last[i], piece)
+                    else:
+                        w = cost[piece] if piece >= 0 else other
                     if here + w < weight[stop]:
                         weight[stop], last[stop], came[stop] = here + w, piece, i
-            # the byte-fallback arc leads over a character that is no piece
-            if here + other < weight[i + 1] and arcs.get(written[i], -1) < 0:
-                weight[i + 1], last[i + 1], came[i + 1] = here + other, -1, i
+                        if bpe:
+                            agenda += (i, found), (stop, None)
+                            break
         out, at = [], n
         while at > 0:
-            out.append([last[at]] if last[at] >= 0 else self._fallback(written[at - 1]))
+            if last[at] >= 0:
+                out.append(last[at])
+            else:  # the byte-fallback arc
+                out += reversed(self._fallback(written[at - 1]))
             at = came[at]
-        return [x for part in reversed(out) for x in part]
+        out.reverse()
+        return out
 
     def _fallback(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode("utf-8", "replace")] if self.model.byte_fallback else [self.unknown]

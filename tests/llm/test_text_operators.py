@@ -1,6 +1,7 @@
 """Near-duplicates, decontamination, lines, tokens and languages against brute force."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -258,6 +259,53 @@ def test_unigram_path_is_the_best_of_all_segmentations():
     assert t.encode("axxb").tolist() == [1, 0, 2]
 
 
+class Counted(dict):
+    """Counts what is looked up."""
+    n = 0
+
+    def get(self, key, default=None):
+        self.n += 1
+        return super().get(key, default)
+
+
+class Sliced(str):
+    """Counts the characters of its slices."""
+    n = 0
+
+    def __getitem__(self, at):
+        out = super().__getitem__(at)
+        self.n += len(out)
+        return out
+
+
+def test_path_search_weighs_few_arcs():
+    """The search goes on from the longest arc of weight 0: it weighs about as many arcs as there are
+    tokens, not those of all positions, and reads a long chunk once per arc."""
+    t = pieces.load()
+    words = sorted({w for k in range(40) for w in prose(60, k).split()} | {"internationalisation", "counterrevolutionary", "Verantwortlichkeit"})
+    t.pairs = Counted()
+    n = sum(len(t.shortest_path("▁" + w * 3)) for w in words)
+    assert t.pairs.n <= 2 * n
+    long = Sliced("▁" + "internationalisation" * 200)
+    t.shortest_path(long)
+    assert long.n <= 2 * max(map(len, t.arcs)) * len(long)
+
+
+def test_chunks_end_where_no_piece_crosses():
+    t = pieces.load()
+    assert t.chunks.findall("  so, (they) said: 12...") == ["  so", ",", " (", "they", ")", " said", ":", " 1", "2", "..."]
+    groups = pieces._neighbours(["ab", "bc", "▁x", "de", "..", "▁.,", "f", "yz", "zb"])
+    assert groups == [{"a", "b", "c", "y", "z"}, {",", "."}, {"d", "e"}]
+    crossing = pieces.Transducer(pieces.Model([("<unk>", 0.0, 2), ("a.", -1.0, 1), ("b", -1.0, 1), ("▁", -1.0, 1), ("a", -3.0, 1), ("--", -1.0, 1), ("]^", -1.0, 1)]))
+    assert crossing.chunks.findall("ba. a.--b]^") == ["b", "a.", " a.", "--", "b", "]^"]
+    public = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(5)
+    signs = [p.replace("▁", " ") for p, i in t.arcs.items() if i >= 0 and not p.isalpha()]
+    for _ in range(300):
+        text = "".join(rng.choice((rng.choice(signs), rng.choice(("word", "Été", "день", "一个", "ال", "x", "\n", "🙂", "  ")))) for _ in range(40))
+        assert t.encode(text).tolist() == public.encode(text), repr(text)
+
+
 def test_language_id(spark, odd):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(table).join(table.select("doc_id", "lang"), "doc_id").where("held_out")
