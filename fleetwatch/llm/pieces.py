@@ -189,8 +189,9 @@ class Transducer:
         self.longest = max(map(len, own), default=1)
         self.normaliser = Normaliser(m)
         self.cost = [-s for _, s, _ in m.pieces]
-        self.unknown_cost = max((c for c, p in zip(self.cost, m.pieces) if p[2] == NORMAL), default=0.0) + 10
-        self.least = 0.0 if m.kind == BPE else min([self.unknown_cost, *(self.cost[i] for i in own.values())])
+        self.merged = {p: self.cost[i] for p, i in own.items()}
+        # the last one is that of the byte-fallback arc (-1)
+        self.cost.append(max((c for c, p in zip(self.cost, m.pieces) if p[2] == NORMAL), default=0.0) + 10)
         self.user = sorted((p for p, _, k in m.pieces if k == USER), key=len, reverse=True)
         joint = {c for p in own if len(p) > 1 for c in p}
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joint)
@@ -241,40 +242,35 @@ class Transducer:
 
     def _stays(self, left: str, right: str) -> bool:
         """Merges best pair first (ties: leftmost) until a merge crosses the border."""
-        arcs, cost, parts, border = self.arcs, self.cost, list(left + right), len(left) - 1
-        gain = [arcs.get(x + y, -1) for x, y in zip(parts, parts[1:])]
+        merged, parts, border = self.merged.get, list(left + right), len(left) - 1
+        gain = [merged(x + y, INFINITE) for x, y in zip(parts, parts[1:])]
         while True:
-            best, at = None, -1
-            for i, piece in enumerate(gain):
-                if piece >= 0 and (best is None or cost[piece] < best):
-                    best, at = cost[piece], i
-            if at < 0:
+            best = min(gain)
+            if best == INFINITE:
                 return border == 0 and len(parts) == 2
+            at = gain.index(best)
             if at == border:
                 return False
             border -= at < border
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
             del gain[at]
             if at:
-                gain[at - 1] = arcs.get(parts[at - 1] + parts[at], -1)
+                gain[at - 1] = merged(parts[at - 1] + parts[at], INFINITE)
             if at < len(gain):
-                gain[at] = arcs.get(parts[at] + parts[at + 1], -1)
+                gain[at] = merged(parts[at] + parts[at + 1], INFINITE)
 
     def shortest_path(self, written: str) -> list[int]:
         """Tropical shortest path over the positions of a written chunk: (min, +) relaxation of the arcs
-        that leave a position reached at finite weight. The agenda holds positions and their arcs not
-        weighed so far (None: not looked up): all positions in order, or, where an arc weighs 0 or
-        infinity, the one reached last on top."""
-        states, cost, pairs, least, longest, n = self.states, self.cost, self.pairs.get, self.least, self.longest, len(written)
-        bpe, other = self.model.kind == BPE, self.unknown_cost
+        that leave a position. The agenda holds positions and their arcs not weighed so far (None: not
+        looked up): all positions in order, or, where an arc weighs 0 or infinity, those passed on the
+        way, the last one on top."""
+        states, cost, pairs, longest, n = self.states, self.cost, self.pairs.get, self.longest, len(written)
+        bpe = self.model.kind == BPE
         weight, last, came = [INFINITE] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         weight[0] = 0.0
-        agenda = [(0, None)] if bpe else [(i, None) for i in range(n - 1, -1, -1)]
-        while agenda:
-            i, found = agenda.pop()
-            here = weight[i]
-            if here == INFINITE or 0 <= least and weight[n] <= here:  # not reached, or nothing to gain
-                continue
+        agenda = [] if bpe else [(i, None) for i in range(n - 1, 0, -1)]
+        i, found = 0, None
+        while i < n:
             if found is None:
                 found, after = OTHER, states
                 for c in written[i:i + longest]:
@@ -283,25 +279,25 @@ class Transducer:
                         break
                     found, after = arc
                 found = iter(found)
-            before = last[i] << 24
+            here, before = weight[i], last[i] << 24
             for piece, size in found:
+                w = pairs(before | piece) if bpe else cost[piece]
+                if w is None:
+                    w = self.pair_weight(last[i], piece)
                 stop = i + size
-                if here + least < weight[stop]:
-                    if bpe:
-                        w = pairs(before | piece)
-                        if w is None:
-                            w = self.pair_weight(last[i], piece)
-                    else:
-                        w = cost[piece] if piece >= 0 else other
-                    if here + w < weight[stop]:
-                        weight[stop], last[stop], came[stop] = here + w, piece, i
-                        if bpe:
-                            agenda += (i, found), (stop, None)
-                            break
+                if here + w < weight[stop]:
+                    weight[stop], last[stop], came[stop] = here + w, piece, i
+                    if bpe:  # nothing weighs less: on from there
+                        agenda.append((i, found))
+                        i, found = stop, None
+                        break
+            else:
+                i, found = agenda.pop() if agenda else (n, None)
         out, at = [], n
         while at > 0:
-            if last[at] >= 0:
-                out.append(last[at])
+            piece = last[at]
+            if piece >= 0:
+                out.append(piece)
             else:  # the byte-fallback arc
                 out += reversed(self._fallback(written[at - 1]))
             at = came[at]
