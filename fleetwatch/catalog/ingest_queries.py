@@ -22,7 +22,8 @@ _n = lambda c="event_id": F.substring(c, 5, 12).cast("bigint")
 def otlp_requests(spark, sf):
     """Five events per request. Every fourth request has a single object in place of its
     lists, every ninth is cut off and every fourteenth lacks the spans."""
-    t = A.task_events(spark, sf).withColumn("n", _n())
+    # dealt out by request before its text is made, which is many times longer
+    t = A.task_events(spark, sf).withColumn("n", _n()).withColumn("r", F.call_function("div", F.col("n"), F.lit(5))).repartition("r")
     k = F.call_function("div", F.col("input_tokens") - 100, F.lit(10))
     text = lambda key, v: F.struct(F.lit(key).alias("key"), F.struct(
         v.cast("string").alias("stringValue"), F.lit(None).cast("string").alias("intValue"),
@@ -55,9 +56,8 @@ def otlp_requests(spark, sf):
         F.when(~old, start).alias("startTimeUnixNano"), F.when(~old, end).alias("endTimeUnixNano"),
         attrs.alias("attributes"),
         F.struct(F.when(F.col("status") == "error", 2).otherwise(0).alias("code")).alias("status"))
-    g = (t.withColumn("r", F.call_function("div", F.col("n"), F.lit(5)))
-         .groupBy("r").agg(F.to_json(F.sort_array(F.collect_list(span))).alias("spans"),
-                           F.max("ts").alias("received_at")))
+    g = (t.groupBy("r").agg(F.to_json(F.sort_array(F.collect_list(span))).alias("spans"),
+                            F.max("ts").alias("received_at")))
     scope = F.concat(F.lit('{"spans":'), F.col("spans"), F.lit("}"))
     res = F.concat(F.lit('{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"svc-'),
                    (F.col("r") % 3).cast("string"), F.lit('"}}]},"scopeSpans":'),

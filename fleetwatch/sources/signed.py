@@ -34,13 +34,18 @@ def authenticity(envelopes: DataFrame, pads: DataFrame, skew_s: int = R.REPLAY_W
 
 def verify(envelopes: DataFrame, pads: DataFrame, skew_s: int = R.REPLAY_WINDOW_S) -> DataFrame:
     """Every envelope with its ``reason``; of authentic ones with the same key and nonce
-    only the first to arrive is accepted, also when a delivery is repeated under the same id.
+    only the first to arrive is accepted, also when a delivery is repeated under the same id."""
+    return first_arrivals(authenticity(envelopes, pads, skew_s))
+
+
+def first_arrivals(checked: DataFrame) -> DataFrame:
+    """The replay test of ``verify`` over what ``authenticity`` gave; it needs no bodies.
 
     The first arrival is found in two steps, so that a flood of one nonce is spread over
     ``_SPREAD`` groups: the first of each group, then the first of those. Everything that lost the first
     step, and every rejected envelope, is in no common group any more."""
     lost = F.when(F.col("reason").isNotNull(), F.col("envelope_id"))
-    checked = authenticity(envelopes, pads, skew_s).withColumn("_lost", lost).withColumn(
+    checked = checked.withColumn("_lost", lost).withColumn(
         "_salt", F.monotonically_increasing_id() % _SPREAD)
     arrival = lambda *by: F.row_number().over(W.partitionBy("key_id", "nonce", "_lost", *by).orderBy("received_at", "envelope_id"))
     return (checked.withColumn("_nth", arrival("_salt"))

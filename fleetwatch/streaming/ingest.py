@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from .. import schemas
 from ..operators import tiers
 from ..operators.commits import TableLog
 from ..sources import otlp, signed
-from .runner import batch_head, each_batch, earlier_batches, stored, to_parquet, write_batch
+from .runner import batch_head, batch_tables, each_batch, earlier_batches, to_parquet, write_batch
 
 WATERMARK = "10 minutes"
 
@@ -82,7 +84,9 @@ def signed_log(envelopes: DataFrame, pads: DataFrame, folder: str, checkpoint: s
     A nonce is looked up among the landed envelopes of the hours in question (an older replay
     fails the timestamp test), an event id among the events of its day, so what a batch reads
     does not grow with the life of the stream. Folders are by day, and each day is dealt to a few
-    files. Checked envelopes and parsed events are stored once, since several tables are made of them."""
+    files. Checked envelopes and parsed events are stored once, since several tables are made of them, and only
+    until the batch ends. Who came first is decided without the bodies; these are dealt out once, to the
+    files of their day, where they meet the verdict, and those of rejected envelopes not at all."""
     spark = envelopes.sparkSession
     landed, events, known, rejected = (f"{folder}/{n}" for n in ("landed", "events", "known", "rejected"))
     day_of, hour_of = (lambda at: F.date_format(at, "yyyyMMdd").alias("day")), (lambda at: F.date_format(at, "yyyyMMddHH").alias("hour"))
@@ -94,22 +98,32 @@ def signed_log(envelopes: DataFrame, pads: DataFrame, folder: str, checkpoint: s
         return earlier_batches(spark, path, batch_id, schema).join(wanted, wanted.columns, "left_semi")
 
     def by_day(rows: DataFrame, day: str, key: str) -> DataFrame:
-        return rows.repartition(day, F.pmod(F.xxhash64(key), F.lit(files_per_day)))
+        return rows.withColumn("_file", F.pmod(F.xxhash64(key), F.lit(files_per_day))).repartition(day, "_file")
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        near = batch.select(shifted).select(day_of("at"), hour_of("at"))
+        with batch_tables(spark) as stored:
+            write(batch, batch_id, stored)
+
+    def write(batch: DataFrame, batch_id: int, stored: Callable[[DataFrame, str], DataFrame]) -> None:
+        checked = signed.authenticity(batch, pads).select(
+            "envelope_id", "key_id", "nonce", "received_at", "reason", F.when(F.col("reason").isNull(), F.col("body")).alias("body"))
+        checked = stored(checked.withColumn("_row", F.monotonically_increasing_id()), "signed-checked")
+        near = checked.select(shifted).select(day_of("at"), hour_of("at"))
         before = part(landed, batch_id, "key_id string, nonce string, hour string, day string", near) \
             .select("key_id", "nonce").distinct().withColumn("_seen", F.lit(True))
-        checked = signed.verify(batch, pads).join(before, ["key_id", "nonce"], "left").withColumn(
-            "reason", F.when(F.col("reason").isNull() & F.col("_seen"), "replay").otherwise(F.col("reason")))
-        checked = stored(checked.select("envelope_id", "key_id", "nonce", "received_at", "reason",
-                                        F.when(F.col("reason").isNull(), F.col("body")).alias("body")), "signed-checked")
-        write_batch(checked.where(F.col("reason").isNotNull()).select("envelope_id", "key_id", "received_at", "reason"),
+        verdicts = signed.first_arrivals(checked.drop("body")).join(before, ["key_id", "nonce"], "left").withColumn(
+            "reason", F.when(F.col("reason").isNull() & F.col("_seen"), "replay").otherwise(F.col("reason"))).drop("_seen")
+        verdicts = stored(verdicts, "signed-verdicts")
+        write_batch(verdicts.where(F.col("reason").isNotNull()).select("envelope_id", "key_id", "received_at", "reason"),
                     rejected, batch_id)
-        accepted = signed.accepted(checked).select("envelope_id", "key_id", "nonce", "body", "received_at",
-                                                   hour_of("received_at"), day_of("received_at"))
-        write_batch(by_day(accepted, "day", "nonce"), landed, batch_id, "day")
-        fresh = signed.accepted(checked).select("envelope_id", "body", "received_at")
+        # both sides are dealt out alike, so they meet in the files of their day without another exchange
+        good = by_day(signed.accepted(verdicts).select("_row", "nonce", day_of("received_at")), "day", "nonce").drop("nonce")
+        bodies = by_day(signed.accepted(checked).select("*", hour_of("received_at"), day_of("received_at")), "day", "nonce")
+        accepted = bodies.join(good, ["day", "_file", "_row"]).select(
+            "envelope_id", "key_id", "nonce", "body", "received_at", "hour", "day")
+        write_batch(accepted, landed, batch_id, "day")
+        fresh = spark.read.schema("envelope_id string, body string, received_at timestamp").parquet(f"{landed}/batch_id={batch_id}") \
+            .select("envelope_id", "body", "received_at")
         rows = otlp.to_task_events(otlp.flatten(fresh.withColumnRenamed("envelope_id", "request_id")))
         rest = [c for c in rows.columns if c not in ("event_id", "received_at")]
         rows = (rows.groupBy("event_id").agg(F.min(F.struct("received_at", *rest)).alias("r"), F.count(F.lit(1)).alias("n"))
@@ -121,6 +135,6 @@ def signed_log(envelopes: DataFrame, pads: DataFrame, folder: str, checkpoint: s
         write_batch(rows.select("event_id", (F.col("n") - F.when(F.col("_known"), 0).otherwise(1)).alias("n"))
                     .where("n > 0"), known, batch_id)
         new = rows.where(F.col("_known").isNull()).drop("n", "_known")
-        write_batch(by_day(new, "event_date", "event_id"), events, batch_id, "event_date")
+        write_batch(by_day(new, "event_date", "event_id").drop("_file"), events, batch_id, "event_date")
 
     each_batch(envelopes, land, checkpoint)

@@ -57,14 +57,26 @@ def each_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoi
 
 def write_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
     """Replaces exactly this batch's folder."""
-    df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/batch_id={batch_id}")
+    df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partitions).parquet(f"{path}/batch_id={batch_id}")
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows written once to a folder of their own and read again."""
-    path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def batch_tables(spark: SparkSession):
+    """Gives ``stored(df, purpose)``: the rows written once to a folder of their own and read again. These
+    folders are deleted when the batch ends, whose output must stand by then."""
+    paths: list[str] = []
+
+    def stored(df: DataFrame, purpose: str) -> DataFrame:
+        paths.append(path := work_dir(spark, purpose))
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield stored
+    finally:
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def batch_head(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
