@@ -34,7 +34,7 @@ def ledger_of(spark, sf):
     at = (spark.sparkContext.applicationId, sf)
     if at not in _STORED:
         path = work_dir(spark, "ledger")
-        led.append(_entries(spark, sf)).write.parquet(path)
+        led.append(_entries(spark, sf)).write.option("compression", "zstd").parquet(path)
         _STORED[at] = path
     return spark.read.parquet(_STORED[at])
 

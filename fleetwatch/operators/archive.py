@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
@@ -154,8 +154,12 @@ def verify_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def content_hash(df: DataFrame) -> DataFrame:
     """One row (rows, content): row count and an order-free sum of row hashes."""
+    return df.groupBy().agg(*_content(df))
+
+
+def _content(df: DataFrame) -> list[Column]:
     h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
-    return df.groupBy().agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("content"))
+    return [F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("content")]
 
 
 def export_tables(tables: dict[str, DataFrame], path: str, as_json: bool = False) -> None:
@@ -203,15 +207,16 @@ def compare_tables(source: dict[str, DataFrame], rebuilt: dict[str, DataFrame])
 def export_bundle(tables: dict[str, DataFrame], path: str, as_json: bool = True) -> None:
     """Every table under ``path`` and, written last, the bundle's manifest: per table its
     columns, row count and content digest, taken from the source, and the digest of every file.
-    A bundle without manifest is one whose export did not end."""
+    A bundle without manifest is one whose export did not end. Count and digest are observed on the source
+    rows while they are written, so that no table is made twice."""
     spark = next(iter(tables.values())).sparkSession
-    export_tables(tables, path, as_json)
+    seen = {name: Observation() for name in tables}
+    export_tables({name: df.observe(seen[name], *_content(df)) for name, df in tables.items()}, path, as_json)
     _exported_files(spark, path).write.mode("overwrite").parquet(f"{path}/manifest/files")
-    listed = None
-    for name, df in tables.items():
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        row = content_hash(df).select(F.lit(name).alias("table"), F.lit(ddl).alias("columns"), F.lit(as_json).alias("as_json"), "rows", "content")
-        listed = row if listed is None else listed.unionByName(row)
+    ddl = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    listed = spark.createDataFrame(  # one row per table
+        [(name, ddl(df), as_json, seen[name].get["rows"], seen[name].get["content"]) for name, df in tables.items()],
+        "table string, columns string, as_json boolean, rows bigint, content string")
     listed.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/tables")
 
 

@@ -68,7 +68,9 @@ def append(entries: DataFrame, ledger: DataFrame | None = None,
     the source id when a large batch shares one creation time."""
     by = bucket if bucket is not None else time_bucket("created_at", 60)
     order = [*order, "payload_hash", "event_type"]
-    keyed = _hashed(entries).withColumn("_bucket", by)
+    # hashes are ordered and exchanged as bytes, half as long as their text
+    keyed = _hashed(entries).withColumn("_bucket", by).withColumn("payload_hash", F.unhex("payload_hash"))
+    text = lambda c: F.lower(F.hex(c))
     first, link = F.lit(0), F.lit(R.GENESIS)
     if ledger is not None:
         head = chain_head(ledger)
@@ -86,7 +88,7 @@ def append(entries: DataFrame, ledger: DataFrame | None = None,
             .withColumn("_prev", F.lag("payload_hash").over(inside)).join(carried, "_bucket"))
     return rows.select(
         (F.col("_before") + F.col("_local") + first).cast("bigint").alias("seq"), "event_type",
-        "payload_hash", F.coalesce("_prev", "_link", link).alias("prev_hash"),
+        text("payload_hash").alias("payload_hash"), F.coalesce(text("_prev"), text("_link"), link).alias("prev_hash"),
         F.lit(bytearray(R.UNSIGNED_MARK)).alias("signature"), "created_at", "source_id")
 
 
@@ -95,16 +97,30 @@ def chain_head(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy().agg(F.max("seq").alias("seq"), F.max_by("payload_hash", "seq").alias("payload_hash"))
 
 
+_HASH = "^[0-9a-f]{64}$"
+
+
+def _packed(h: Column) -> Column:
+    """A hash as its 32 bytes, for an exchange; a text that is none is kept behind 33 zero bytes, so that no two
+    texts become equal."""
+    return F.when(h.rlike(_HASH), F.unhex(h)).otherwise(F.concat(F.lit(bytearray(33)), h.cast("binary")))
+
+
+def _unpacked(b: Column) -> Column:
+    return F.when(F.octet_length(b) == 32, F.lower(F.hex(b))).otherwise(F.substring(b, 34, (1 << 31) - 1).cast("string"))
+
+
 def chain_breaks(ledger: DataFrame) -> DataFrame:
     """Entries that are malformed or do not link to the entry before them."""
-    rows = previous_values(ledger.select("seq", "payload_hash", "prev_hash", "signature"), [],
-                           range_bucket("seq", CHAIN_RANGE), ["seq"], "payload_hash")
-    hash_ok = F.coalesce(F.col("payload_hash").rlike("^[0-9a-f]{64}$"), F.lit(False))
     sig = F.col("signature")
+    hash_ok = F.coalesce(F.col("payload_hash").rlike(_HASH), F.lit(False))
     sig_ok = F.coalesce((sig == F.lit(bytearray(R.UNSIGNED_MARK)))
                         | (F.octet_length(sig) == R.SIGNATURE_BYTES), F.lit(False))
-    linked = F.col("prev_hash").eqNullSafe(F.coalesce("prev_1", F.lit(R.GENESIS)))
-    reason = (F.when(~hash_ok, "malformed hash").when(~sig_ok, "malformed signature")
+    checked = ledger.select("seq", _packed(F.col("payload_hash")).alias("payload_hash"), _packed(F.col("prev_hash")).alias("prev_hash"),
+                            hash_ok.alias("_hash_ok"), sig_ok.alias("_sig_ok"))
+    rows = previous_values(checked, [], range_bucket("seq", CHAIN_RANGE), ["seq"], "payload_hash")
+    linked = F.col("prev_hash").eqNullSafe(F.coalesce("prev_1", _packed(F.lit(R.GENESIS))))
+    reason = (F.when(~F.col("_hash_ok"), "malformed hash").when(~F.col("_sig_ok"), "malformed signature")
               .when(~linked, "broken link"))
     return rows.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("seq", "reason")
 
@@ -136,13 +152,15 @@ def _nodes(ledger: DataFrame) -> DataFrame:
     return ledger.select((F.col("seq") - 1).alias("pos"), F.col("payload_hash").alias("hash"))
 
 
-def _sorted(col: str = "hash") -> Column:
-    return F.transform(F.sort_array(F.collect_list(F.struct("pos", col))), lambda s: s[col])
+def _sorted() -> Column:
+    """The (pos, hash) of a group in order."""
+    return F.sort_array(F.transform(F.collect_list(F.struct("pos", _packed(F.col("hash")).alias("hash"))),
+                                    lambda s: F.struct(s["pos"].alias("pos"), _unpacked(s["hash"]).alias("hash"))))
 
 
 def _block_roots(nodes: DataFrame, full_only: bool = False) -> DataFrame:
     g = (nodes.groupBy(range_bucket("pos", BLOCK).alias("block"))
-         .agg(_sorted().alias("_h"), F.count(F.lit(1)).alias("_n")))
+         .agg(F.transform(_sorted(), lambda s: s["hash"]).alias("_h"), F.count(F.lit(1)).alias("_n")))
     if full_only:
         g = g.where(F.col("_n") == BLOCK)
     return g.select(F.col("block").alias("pos"), _fold(F.col("_h"), F.col("block") > 0).alias("hash"))
@@ -264,7 +282,7 @@ def prefix_roots(ledger: DataFrame, counts: DataFrame, levels: int | None = None
         node = F.struct("bit", "pos", up.alias("up"), (F.col("pos") - block * _power(_HEIGHT - up)).cast("int").alias("nth"))
         asked = (wanted.where((up >= 0) & (up < _HEIGHT)).groupBy(block.alias("_block")).agg(F.collect_set(node).alias("_asked")))
         rows = (nodes.groupBy(range_bucket("pos", BLOCK).alias("_block"))
-                .agg(F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("_h"))
+                .agg(_sorted().alias("_h"))
                 .join(asked, "_block", "left" if stored is None else "inner"))
         blocks = rows.select(F.col("_block").alias("pos"), _folded(F.col("_h"), F.col("_block"), F.col("_asked")).alias("b"))
         if stored is None:

@@ -23,12 +23,18 @@ def range_bucket(col: str, width: int) -> Column:
     return F.call_function("div", F.col(col), F.lit(width))
 
 
+def _bucketed(df: DataFrame, bucket: Column) -> DataFrame:
+    """Rows without a bucket get one before all others, as nulls are ordered."""
+    return df.withColumn("_bucket", F.coalesce(bucket, F.lit(-(1 << 63))))
+
+
 def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Equi-join on the keys and the bucket in which null keys also meet."""
+    """Equi-join on the keys and the bucket in which null keys also meet. Without keys the rows, which lie by
+    bucket, stay where they are."""
     cols = [*keys, "_bucket"]
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in cols],
                            *[c for c in right.columns if c not in cols])
-    cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in cols]
+    cond = [*[F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys], F.col("_bucket") == F.col("_r__bucket")]
     return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in cols])
 
 
@@ -44,7 +50,7 @@ def running_offsets(summary: DataFrame, keys: Sequence[str], bucket: str, count:
 def rank_rows(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str],
               out: str = "rank") -> DataFrame:
     """1-based row numbers per key in ``order``, without sorting a key in one task."""
-    keyed = df.withColumn("_bucket", bucket)
+    keyed = _bucketed(df, bucket)
     counts = keyed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     offsets = running_offsets(counts, keys, "_bucket", "_rows", "_before").drop("_rows")
     local = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
@@ -60,7 +66,7 @@ def previous_values(df: DataFrame, keys: Sequence[str], bucket: Column,
     Values inside a bucket come from ``lag``. For the first n rows of a bucket they come
     from the last n values of the buckets before it; a bucket is never empty, so n
     earlier buckets are enough."""
-    keyed = df.withColumn("_bucket", bucket)
+    keyed = _bucketed(df, bucket)
     w = W.partitionBy(*keys, "_bucket").orderBy(*order)
     rows = (keyed.withColumn("_local", F.row_number().over(w))
             .select("*", *[F.lag(F.struct(value), i).over(w).alias(f"_lag_{i}")
