@@ -6,6 +6,7 @@ from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import work_dir
 
@@ -90,9 +91,9 @@ def batch_head(spark: SparkSession, path: str, batch_id: int, schema: str) -> Da
 
 
 def earlier_batches(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
-    """What batches before this one wrote; empty for the first."""
+    """What batches before this one wrote; empty for the first, which the planner sees, so that nothing is exchanged for it."""
     from ..operators.archive import path_exists
     if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema).where(F.lit(False))
     rows = spark.read.schema(schema + ", batch_id bigint").parquet(path)
     return rows.where(rows.batch_id < batch_id).drop("batch_id")
